@@ -1,14 +1,13 @@
 """Exact n-gram Jaccard self-join with set-relation skipping (operator 4).
 
 Index-level skipping: shingles are ordered by an approximate corpus count, rare first; each set indexes only its
-prefix, index lists are sorted by set size and cut into blocks that can't match (size bound), and pairs whose
-positions leave too few shingles are skipped (positional bound).
-Answer-level skipping: equal sets share one entry and one answer. In each list the sets are first compared with
-their block's head only; what links to the head gets its answers from it. Lists whose sets have met in one
-component are done; only for sets of different components are further answers derived, through the head's known
-overlap where that already rules a pair out, and exactly otherwise.
-
-Every compared pair is verified on the whole 64-bit shingle sets, so links are exact.
+prefix; index lists are sorted by set size and cut into blocks, so that blocks which the size bound rules out are
+skipped, and lists of two are skipped by position where too few shingles are left behind it.
+Answer-level skipping: equal sets share one entry and one answer. The lists of a block name its first set as head;
+a head's sets meet in one task (or in pairs of bounded blocks), where each set's overlaps with all others are counted
+at once, and the answers of sets that have met in one component are derived from the ones already computed.
+
+Overlaps are counted on whole 64-bit shingle sets, so links are exact.
 """
 
 from __future__ import annotations
@@ -19,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernel import U64, WHITESPACE_WORDS, KeyFilter, Words, by_bucket, checkpoint, gathered, join2, mix, partitions_of, slices, window_hash
+from .kernel import U64, WHITESPACE_WORDS, KeyFilter, Words, by_bucket, checkpoint, gathered, join2, mix, partitions_of, slices, spread, window_hash
 
 SHINGLE = 5
 PERCENT = 75
 COUNT_SLOTS = 1 << 20  # of the approximate shingle counts; fixed, so the broadcast order table is 1 MB at any input size
 POSTINGS_A_BUCKET = 1_000_000
+SHINGLES_A_TASK = 4_000_000
 _SEGMENTS = 64
 
 
@@ -127,41 +127,35 @@ def _lists(table: pa.Table):
     return bounds, key, n, place
 
 
-def _compare(percent: int):
-    """From each list: (head, member) pairs that the bounds allow, and the lists of three and more sets for the second round."""
+def _heads(percent: int):
+    """From each list: (head, member, size of member) rows, one head for a block of sizes within the size bound.
+
+    A pair within the bound lies in one block or in two neighbours, so each member goes to its own block's head and
+    to the one before it; a list of two is dropped where size or position rule its pair out.
+    """
 
     def run(_, table):
         bounds, key, n, place = _lists(table)
         size = np.diff(bounds)
-        heads = np.zeros(len(key), np.int64)
-        for a, b in zip(bounds[:-1][size > 1].tolist(), bounds[1:][size > 1].tolist()):
-            if 100 * int(n[a]) >= percent * int(n[b - 1]):
-                heads[a:b] = a  # one block
-                continue
-            head = a
-            for i in range(a, b):
-                if 100 * int(n[head]) < percent * int(n[i]):
-                    head = i
-                heads[i] = head
-        member = np.flatnonzero((heads != np.arange(len(key))) & np.repeat(size > 1, size))
-        head = heads[member]
-        need = -(-percent * (n[head].astype(np.int64) + n[member]) // (100 + percent))
-        room = 1 + np.minimum(n[head].astype(np.int64) - place[head] - 1, n[member].astype(np.int64) - place[member] - 1)
-        member, head = member[room >= need], head[room >= need]
-        pairs = np.unique(np.stack([key[head], key[member]], axis=1), axis=0) if len(member) else np.zeros((0, 2), U64)
-        seen, rows_of, lists = set(), [], []
+        n = n.astype(np.int64)
+        two = bounds[:-1][size == 2]
+        room = 1 + np.minimum(n[two] - place[two] - 1, n[two + 1] - place[two + 1] - 1)
+        two = two[(room >= -(-percent * (n[two] + n[two + 1]) // (100 + percent))) & (100 * n[two] >= percent * n[two + 1])]
+        heads, members = [np.repeat(two, 2)], [np.repeat(two, 2) + np.tile([0, 1], len(two))]
         for a, b in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist()):
-            name = int(set_key(key[a:b]))
-            if name not in seen:
-                seen.add(name)
-                rows_of.append(np.arange(a, b))
-                lists.append(name)
-        rows = np.concatenate(rows_of) if rows_of else np.zeros(0, np.int64)
-        names = np.repeat(np.array(lists, U64), [len(r) for r in rows_of]) if lists else np.zeros(0, U64)
-        # A list that is cut into blocks compares blocks' borders in the second round too, as do lists of two sets never.
-        return pa.table({"list": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(names.view(np.int64))]), "a": pa.array(np.concatenate([pairs[:, 0], key[rows]]).view(np.int64)), "b": pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64)), pa.nulls(len(rows), pa.int64())]), "n": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(n[rows].astype(np.int64))])})
+            before, head = None, a
+            while head < b:
+                end = head + int(np.searchsorted(n[head:b], 100 * n[head] // percent, side="right"))
+                for h in (head, before):
+                    if h is not None:
+                        members.append(np.arange(head, end))
+                        heads.append(np.full(end - head, h))
+                before, head = head, end
+        heads, members = np.concatenate(heads), np.concatenate(members)
+        rows = np.unique(np.stack([key[heads], key[members], n[members].astype(U64)], axis=1), axis=0) if len(heads) else np.zeros((0, 3), U64)
+        return pa.table({c: pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k, c in enumerate(("head", "member", "n"))})
 
-    return run, "list long, a long, b long, n long"
+    return run, "head long, member long, n long"
 
 
 def _wanted_sets(wanted, size: int):
@@ -171,29 +165,74 @@ def _wanted_sets(wanted, size: int):
             part = part.filter(pa.array(wanted.value.has(ids)))
             if part.num_rows:
                 sets = shingle_sets(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in sets], U64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in sets], U64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["member", "members"])
 
-    return run, "set_key long, members binary"
+    return run, "member long, members binary"
 
 
-def _overlap(batches):
-    for batch in batches:
-        common = [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
-        sizes = [np.array([len(v) // 8 for v in batch.column(c).to_pylist()], np.int64) for c in ("sa", "sb")]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), *map(pa.array, sizes)], ["a", "b", "common", "na", "nb"])
+def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join what all links of these sets join: at most len(sets) - 1.
 
+    A set's overlaps with all others are counted at once over an inverted list. Sets that have met need no answers
+    of their own against each other: sets are taken from the smaller components until one component alone holds
+    sets that weren't taken.
+    """
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    token = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), sizes)
+    order = np.argsort(token, kind="stable")
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = token[order][1:] != token[order][:-1]
+    run_of = np.empty(len(token), np.int64)
+    run_of[order] = np.cumsum(fresh) - 1
+    starts = np.flatnonzero(fresh)
+    counts = np.diff(np.append(starts, len(token)))
+    owners, first = owner[order], np.cumsum(sizes) - sizes
+    label, taken, out = np.arange(m), np.zeros(m, bool), []
+    while True:
+        open_labels, amount = np.unique(label[~taken], return_counts=True)
+        if len(open_labels) <= 1:
+            return out
+        a = int(np.flatnonzero(~taken & (label != open_labels[np.argmax(amount)]))[0])
+        taken[a] = True
+        runs = run_of[first[a] : first[a] + sizes[a]]
+        runs = runs[counts[runs] > 1]
+        common = np.bincount(owners[spread(starts[runs], counts[runs])], minlength=m)
+        linked = np.flatnonzero((100 * common >= percent * (sizes[a] + sizes - common)) & (label != label[a]))
+        if len(linked):
+            met, where = np.unique(label[linked], return_index=True)
+            out += [(a, int(linked[k])) for k in where]
+            label[np.isin(label, np.append(met, label[a]))] = label[a]
+
+
+def _answer(percent: int):
+    def run(_, table):
+        keys, once = np.unique(table.column("member").to_numpy(), return_index=True)
+        blobs = table.column("members").take(pa.array(once)).to_pylist()
+        links = spanning_links([np.frombuffer(x, U64) for x in blobs], percent)
+        return pa.table({"a": pa.array([int(keys[x]) for x, _ in links], pa.int64()), "b": pa.array([int(keys[y]) for _, y in links], pa.int64())})
+
+    return run, "a long, b long"
 
-def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """pairs(a, b) of set keys -> (a, b, common, na, nb), on whole sets. Only sets in pairs are fetched."""
+
+def _links(docs: DataFrame, reps: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
+    """heads(head, member, n) -> spanning links (a, b) of set keys, exact on whole sets.
+
+    Only sets that are members are fetched. A head's sets meet in one task up to SHINGLES_A_TASK; more are cut into
+    blocks, and each pair of blocks is a task of its own, so no task holds an unbounded group.
+    """
     spark = docs.sparkSession
-    keys = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    ids = checkpoint(keys.join(reps, "set_key").select("doc_id"))
-    wanted = spark.sparkContext.broadcast(KeyFilter.build(ids.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "doc_id", ids.count()))
+    ids = checkpoint(heads.select(F.col("member").alias("set_key")).distinct().join(reps, "set_key").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")))
+    wanted = spark.sparkContext.broadcast(KeyFilter.build(ids, "doc_id", ids.count()))
     run, schema = _wanted_sets(wanted, size)
     sets = docs.select("doc_id", "text").mapInArrow(run, schema)
-    left = pairs.join(sets.select(F.col("set_key").alias("b"), F.col("members").alias("sb")), "b")
-    both = left.join(sets.select(F.col("set_key").alias("a"), F.col("members").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_overlap, "a long, b long, common long, na long, nb long").distinct()
+    blocks = heads.groupBy("head").agg(F.sum("n").alias("total")).where(F.col("total") > SHINGLES_A_TASK).select("head", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int").alias("blocks"))
+    dealt = heads.join(blocks, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("member"), "blocks").cast("int"))
+    dealt = dealt.select("head", "member", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("head", "member", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    run, schema = _answer(percent)
+    return dealt.join(sets, "member").groupBy("head", "i", "j").applyInArrow(run, schema)
 
 
 def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -209,37 +248,18 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     first = checkpoint(docs.mapInArrow(run, schema))
     profile = first.where("segment is null").select("doc_id", "n", "set_key")
     rank = np.zeros((_SEGMENTS, COUNT_SLOTS // _SEGMENTS), np.uint8)
-    for k, b in first.where("segment is not null").select("segment", "counts").repartition(_SEGMENTS, "segment").mapInArrow(_add_counts, "segment int, counts binary").collect():
+    for k, b in first.where("segment is not null").select("segment", "counts").repartition(min(_SEGMENTS, partitions_of(spark)), "segment").mapInArrow(_add_counts, "segment int, counts binary").collect():
         rank[k] = np.frombuffer(b, np.uint8)
     reps = profile.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     total = profile.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions_of(spark), total * (100 - percent) // 100 // POSTINGS_A_BUCKET)
 
     run, schema = _postings(spark.sparkContext.broadcast(rank.reshape(-1)), buckets, size, percent)
-    compare, found_schema = _compare(percent)
-    found = checkpoint(docs.mapInArrow(run, schema).groupBy("bucket").applyInArrow(compare, found_schema).distinct())
-    pairs = checkpoint(found.where("list is null").select("a", "b").distinct())
-    known = checkpoint(_verify(docs, reps, pairs, size))
-    linked = F.expr(f"100 * common >= {percent} * (na + nb - common)")
+    pick, head_schema = _heads(percent)
+    heads = checkpoint(docs.mapInArrow(run, schema).groupBy("bucket").applyInArrow(pick, head_schema).distinct())
+    links = _links(docs, reps, heads, size, percent)
     ends = reps.select(F.col("set_key").alias("a"), F.col("doc_id").alias("da")), reps.select(F.col("set_key").alias("b"), F.col("doc_id").alias("db"))
-    as_docs = lambda x: x.join(ends[0], "a").join(ends[1], "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    links = as_docs(known.where(linked))
-    parts = connected_components(links)
-
-    # Second round: lists whose sets haven't all met. What links to a set of its own component is met already.
-    member = found.where("list is not null").select("list", F.col("a").alias("set_key"), "n")
-    placed = reps.join(parts, reps.doc_id == parts.node, "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
-    member = member.join(placed, "set_key")
-    open_lists = member.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list")
-    member = checkpoint(member.join(open_lists, "list"))
-    other = member.select("list", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = member.join(other, "list").where((F.col("component") < F.col("cb")) & F.expr(f"100 * least(n, nb) >= {percent} * greatest(n, nb)")).select(F.least(F.col("set_key"), F.col("b")).alias("a"), F.greatest(F.col("set_key"), F.col("b")).alias("b")).distinct()
-    rest = rest.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = checkpoint(rest)
-    if rest.isEmpty():
-        return profile, parts
-    more = as_docs(_verify(docs, reps, rest, size).where(linked))
-    return profile, connected_components(links.unionByName(more))
+    return profile, connected_components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("da").alias("a"), F.col("db").alias("b")))
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
