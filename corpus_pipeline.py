@@ -1,11 +1,77 @@
-"""Corpus pipeline: filled in with its stages' operators."""
+"""Corpus pipeline: quality, near duplicates, decontamination, secrets, packing.
 
-STAGES = []
-ORACLE_SQL = None
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+All but the last return the columns of `documents`; n_chars follows a changed text.
+"""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spaxelflow.llm import decontamination, ngram_join, packing, quality, secrets
+from spaxelflow.llm.queries import held_out
+
+ORACLE_SQL = None  # the classifier's compressed sizes are not expressible in SQL
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go. It is fitted on the stage's own labelled rows."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    model = quality.train(docs.where(~held_out()), labels)
+    kept = [c for c in docs.columns]
+    scored = quality.score(docs.withColumn("kept", F.struct(*kept)), model, ["kept"])
+    return scored.where(F.col("score") >= quality.THRESHOLD).select("kept.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one whose doc_id names the group; of rows that repeat it, one."""
+    groups = ngram_join.near_duplicate_groups(docs)
+    stay = groups.where("doc_id <=> component_id").select("doc_id").distinct()
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_anti").unionByName(once)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontamination.contamination(docs.withColumn("kept", F.struct(*docs.columns)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["kept"])
+    return found.where("n_hit = 0").select("kept.*")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found in a text gives way to a mark."""
+    found = secrets.scan(docs.withColumn("kept", F.struct(*[c for c in docs.columns if c != "text"])), ["kept"])
+    changed = found.select("kept.*", F.col("clean_text").alias("text"), "spans")
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return changed.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the texts that are left, placed in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("secret_scan", redact_secrets),
+    ("best_fit_packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; between stages the rows are written to the shared checkpoint folder."""
+    from spaxelflow.llm.kernel import checkpoint
 
-def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpoint(docs)
     return docs
