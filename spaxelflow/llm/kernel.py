@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 U64 = np.uint64
 _M1, _M2, _M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=U64)
@@ -135,6 +135,19 @@ def window_hash(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def least_gram(h: np.ndarray, width: int, gram: int = 5) -> np.ndarray:
+    """The least hash of `gram` consecutive values inside each window of `width`: equal windows share it, and windows
+    next to each other mostly do."""
+    out, size, span = window_hash(h, gram), 1, width - gram + 1
+    while 2 * size <= span:
+        out[: len(out) - size] = np.minimum(out[: len(out) - size], out[size:])
+        size *= 2
+    rest = span - size
+    if rest:
+        out = np.concatenate([np.minimum(out[: len(out) - rest], out[rest:]), out[len(out) - rest :]])
+    return out
+
+
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Concatenated ranges [start, start + count)."""
     total = int(counts.sum())

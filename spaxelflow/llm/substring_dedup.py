@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, WHITESPACE_WORDS, KeyFilter, Words, by_bucket, checkpoint, gathered, join2, mix, partitions_of, slices, window_hash
+from .kernel import U64, WHITESPACE_WORDS, KeyFilter, Words, by_bucket, checkpoint, gathered, join2, least_gram, mix, partitions_of, slices, window_hash
 
 WINDOW = 50
 ROUNDS = 4
@@ -132,10 +132,11 @@ def _candidates(shared, buckets: int, width: int):
                 continue
             key = part.column("row_key").to_numpy(zero_copy_only=False)
             doc = part.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-            gram = window_hash(s.h, width)[at]
+            # Buckets follow the windows' least inner 5-gram, so a document's windows meet few of them.
+            gram, inner = window_hash(s.h, width)[at], mix(least_gram(s.h, width)[at])
             owner = s.text[at]
             order = np.lexsort((doc[owner], gram))
-            gram, at, owner = gram[order], at[order], owner[order]
+            gram, inner, at, owner = gram[order], inner[order], at[order], owner[order]
             fresh = np.ones(len(gram), bool)
             fresh[1:] = gram[1:] != gram[:-1]
             least = doc[owner[np.flatnonzero(fresh)]][np.cumsum(fresh) - 1]
@@ -146,7 +147,7 @@ def _candidates(shared, buckets: int, width: int):
             if known.any():
                 number = -1 - int(gram[0] % U64(buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), empty, empty, pa.array([place[known].tobytes()], pa.binary()), pa.array([key[owner[known]].tobytes()], pa.binary())], _FIELDS)
-            rows = list(by_bucket(gram[send], buckets, gram[send], doc[owner[send]], place[send], key[owner[send]]))
+            rows = list(by_bucket(inner[send], buckets, gram[send], doc[owner[send]], place[send], key[owner[send]]))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([c[k].tobytes() for _, c in rows], pa.binary()) for k in range(4))], _FIELDS)
 
     return run, "bucket int, gram binary, doc binary, place binary, row_key binary"
