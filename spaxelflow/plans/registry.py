@@ -1,9 +1,535 @@
-"""Registered queries of the particle-to-datacube operators and the SQL they are checked against."""
+"""Registered queries of the particle-to-datacube operators, and the SQL they are checked against.
+
+Queries read the given tables through the views of sources.views (stars from lineitem, gas from orders, spectra from
+embeddings). Numbers are rounded on both sides, since sums depend on order in their last digits.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import cosmology as K
+from ..operators import cube as C
+from ..operators import dust as D
+from ..operators import geometry as G
+from ..operators import particles as P
+from ..operators import spectra as S
+from ..sources import ingest as I
+from ..sources.views import GAS, STARS, frames
+from . import jobs
+
+HALF, N = 8.0, 5
+KEYS = ["galaxy_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_Q, _SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+def rounded(df, *columns, digits: int = 6):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def stars_of(spark, d):
+    return frames(spark, d)[0]
+
+
+def placed(spark, d, gas: bool = False):
+    return P.assign_spaxel(P.apply_mask(P.fov_mask(frames(spark, d)[1 if gas else 0], HALF)), HALF, N)
+
+
+def galaxies(df):
+    """One row a galaxy: mass-free stand-ins for a catalogue, derived from the particles."""
+    return df.groupBy("galaxy_id").agg((F.count("*") % 7 / 10.0).alias("a"), F.lit(5.0).alias("halfmassrad_stars")).select("galaxy_id", F.array("a", F.col("a") / 2, F.lit(0.0)).alias("center"), "halfmassrad_stars")
+
+
+_ST, _GA = f"stars AS ({STARS})", f"gas AS ({GAS})"
+_BIN = "least(greatest(floor((x + 8e0) / 3.2e0), 0), 4) + 5 * least(greatest(floor((y + 8e0) / 3.2e0), 0), 4)"
+_IN = "x BETWEEN -8 AND 8 AND y BETWEEN -8 AND 8"
+_PL = f"{_ST}, p AS (SELECT *, CAST({_BIN} AS INT) AS spaxel FROM stars WHERE {_IN})"
+_PG = f"{_GA}, pg AS (SELECT *, CAST({_BIN} AS INT) AS spaxel FROM gas WHERE {_IN})"
+_SP = "sp AS (SELECT label % 4 AS galaxy_id, vec_id, CAST(vec_id % 25 AS INT) AS spaxel, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), sl AS (SELECT galaxy_id, vec_id, spaxel, k, abs(CAST(e AS DOUBLE)) AS v FROM sp), cl AS (SELECT galaxy_id, spaxel, k, sum(v) AS v FROM sl GROUP BY ALL)"
+_R2 = "sqrt(x * x + y * y + z * z)"
+_CEN = f"g AS (SELECT galaxy_id, count(*) % 7 / 10e0 AS a FROM stars GROUP BY galaxy_id)"
+
+
+def cube_of(spark, d):
+    return C.accumulate_cube(frames(spark, d)[2])
+
+
+def long_out(cube, digits: int = 6):
+    return C.to_long(cube).select("galaxy_id", "spaxel", "k", r(F.col("v"), digits).alias("v"))
+
+
+# ---- projections and predicates
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y FROM stars WHERE {_IN}")
+def fov_filter(spark, d):
+    return P.apply_mask(P.fov_mask(stars_of(spark, d), HALF)).select(*KEYS, "x", "y")
+
+
+@query(f"WITH {_GA} SELECT o_orderkey, x, y, CASE WHEN {_IN} THEN mass ELSE 0 END AS mass FROM gas")
+def fov_zero_mask(spark, d):
+    return P.apply_mask(P.fov_mask(frames(spark, d)[1], HALF), "zero").select("o_orderkey", "x", "y", "mass")
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, vz AS v_los FROM stars")
+def los_velocity(spark, d):
+    return P.los_velocity(stars_of(spark, d), "z").select(*KEYS, "v_los")
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, vx FROM stars WHERE vx >= 0")
+def wind_filter(spark, d):
+    return P.drop_wind(stars_of(spark, d).withColumn("sft", F.col("vx"))).select(*KEYS, "vx")
+
+
+@query(f"WITH {_PL} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, spaxel FROM p")
+def spaxel_assign(spark, d):
+    return placed(spark, d).select(*KEYS, "spaxel")
+
+
+@query(f"WITH {_PL} SELECT galaxy_id, spaxel, count(*) AS n FROM p GROUP BY ALL")
+def count_map(spark, d):
+    return P.count_map(placed(spark, d))
+
+
+@query(f"WITH {_PL} SELECT galaxy_id, spaxel, round(sum(mass), 2) AS mass FROM p GROUP BY ALL")
+def mass_map(spark, d):
+    cube = C.accumulate_cube(placed(spark, d).withColumn("flux", F.array("mass")))
+    return cube.select("galaxy_id", "spaxel", r(F.get("flux", F.lit(0)), 2).alias("mass"))
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM stars WHERE l_suppkey = (SELECT min(l_suppkey) FROM stars)")
+def halo_select(spark, d):
+    return P_halo(stars_of(spark, d)).select(*KEYS)
+
+
+def P_halo(df):
+    return I.select_halo(df.withColumn("halo_id", F.col("l_suppkey")))
+
+
+# ---- ingest and units
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(mass * 0.25e0 * 0.49e0, 6) AS mass, round(age * 0.5e0, 6) AS age FROM stars")
+def unit_convert(spark, d):
+    return rounded(I.to_physical(stars_of(spark, d), {"mass": (2.0, 2.0, 0.0), "age": (1.0, 0.0, 1.0)}, 0.5, 0.7).select(*KEYS, "mass", "age"), "mass", "age")
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(age / 1000e0, 9) AS age FROM stars")
+def canonical_units(spark, d):
+    return rounded(I.to_canonical_units(stars_of(spark, d), {"age": "Myr"}).select(*KEYS, "age"), "age", digits=9)
+
+
+@query("SELECT l_suppkey AS galaxy_id, l_linenumber AS particle_id, l_extendedprice AS mass, l_tax AS metallicity, 0e0 AS age FROM lineitem")
+def ingest_zero_fill(spark, d):
+    raw = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("galaxy_id"), F.col("l_linenumber").alias("particle_id"), F.col("l_extendedprice").alias("GFM_InitialMass"), F.col("l_tax").alias("GFM_Metallicity"))
+    mapping = {k: v for k, v in I.TNG_STARS.items() if v in ("mass", "metallicity", "age")}
+    return I.ingest_snapshot(raw, mapping, missing="zero")
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, count(*) AS rows, count(*) - count(mass) AS mass_null, 0 AS mass_nan, count(*) FILTER (WHERE mass < 0) AS mass_negative, count(*) - count(vx) AS vx_null, 0 AS vx_nan, count(*) FILTER (WHERE vx < 0) AS vx_negative FROM stars GROUP BY galaxy_id")
+def validate(spark, d):
+    return I.value_report(stars_of(spark, d), ["mass", "vx"])
+
+
+@query(f"WITH {_ST}, {_GA} SELECT 'stars' AS ptype, galaxy_id, count(*) AS n, round(sum(mass), 2) AS mass, count(age) AS aged FROM stars GROUP BY ALL UNION ALL SELECT 'gas', galaxy_id, count(*), round(sum(mass), 2), 0 FROM gas GROUP BY ALL")
+def union_types(spark, d):
+    s, g, _ = frames(spark, d)
+    return P.union_types(s, g).groupBy("ptype", "galaxy_id").agg(F.count("*").alias("n"), r(F.sum("mass"), 2).alias("mass"), F.count("age").alias("aged"))
+
+
+# ---- group operators
+@query(f"WITH {_ST}, {_CEN}, b AS (SELECT galaxy_id, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max FROM stars GROUP BY galaxy_id) SELECT b.*, a BETWEEN x_min AND x_max AND a / 2 BETWEEN y_min AND y_max AND 0 BETWEEN z_min AND z_max AS inside FROM b JOIN g USING (galaxy_id)")
+def bounds_check(spark, d):
+    s = stars_of(spark, d)
+    return P.check_center(s, galaxies(s)).drop("center")
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, round(median(vx), 6) AS vx, round(median(vy), 6) AS vy, round(median(vz), 6) AS vz FROM stars WHERE {_R2} < 10 GROUP BY galaxy_id")
+def central_velocity(spark, d):
+    return rounded(P.central_velocity(stars_of(spark, d)), "vx", "vy", "vz")
+
+
+@query(f"WITH {_ST}, {_CEN}, m AS (SELECT s.* REPLACE (x - a AS x, y - a / 2 AS y) FROM stars AS s JOIN g USING (galaxy_id)), v AS (SELECT galaxy_id, median(vx) AS mx, median(vy) AS my, median(vz) AS mz FROM m WHERE {_R2} < 10 GROUP BY galaxy_id) SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(x, 6) AS x, round(y, 6) AS y, round(vx - mx, 6) AS vx, round(vz - mz, 6) AS vz FROM m JOIN v USING (galaxy_id)")
+def center(spark, d):
+    s = stars_of(spark, d)
+    return rounded(P.recenter(s, galaxies(s)).select(*KEYS, "x", "y", "vx", "vz"), "x", "y", "vx", "vz")
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, round(sum(mass * (y * y + z * z)), 0) AS ixx, round(sum(mass * (x * x + z * z)), 0) AS iyy, round(sum(mass * (x * x + y * y)), 0) AS izz, round(-sum(mass * x * y), 0) AS ixy, round(-sum(mass * x * z), 0) AS ixz, round(-sum(mass * y * z), 0) AS iyz FROM stars WHERE {_R2} <= 5 GROUP BY galaxy_id")
+def inertia_tensor(spark, d):
+    s = stars_of(spark, d)
+    return rounded(P.inertia_tensor(s, galaxies(s)), "ixx", "iyy", "izz", "ixy", "ixz", "iyz", digits=0)
+
+
+@query(f"WITH {_ST}, c AS (SELECT galaxy_id, {_R2} AS r, sum(mass) OVER (PARTITION BY galaxy_id ORDER BY {_R2}) AS cum, sum(mass) OVER (PARTITION BY galaxy_id) AS total FROM stars) SELECT galaxy_id, round(min(r), 6) AS halfmassrad FROM c WHERE cum >= total / 2 GROUP BY galaxy_id")
+def half_mass_radius(spark, d):
+    return rounded(P.half_mass_radius(stars_of(spark, d)), "halfmassrad")
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, mass, round(sum(mass) OVER (PARTITION BY galaxy_id ORDER BY {_R2}, l_orderkey, l_linenumber, l_partkey, l_suppkey, mass), 2) AS running_mass FROM stars")
+def running_mass(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("galaxy_id").orderBy("r", *KEYS[1:], "mass")
+    return stars_of(spark, d).withColumn("r", P.radius()).select(*KEYS, "mass", r(F.sum("mass").over(w), 2).alias("running_mass"))
+
+
+@query(f"WITH {_ST}, l AS (SELECT galaxy_id, min(age) AS lo, max(age) AS hi FROM stars GROUP BY galaxy_id) SELECT galaxy_id, CAST(least(floor((age - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, count(*) AS n FROM stars JOIN l USING (galaxy_id) GROUP BY ALL")
+def histogram(spark, d):
+    return P.histogram(stars_of(spark, d), "age")
+
+
+# ---- geometry
+_M = G.euler_matrix(30.0, 40.0, 50.0)
+_ROT = ", ".join(f"round(x * {float(_M[0, j])!r} + y * {float(_M[1, j])!r} + z * {float(_M[2, j])!r}, 6) AS {c}" for j, c in enumerate("xyz"))
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, {_ROT} FROM stars")
+def euler_rotate(spark, d):
+    return rounded(G.euler_rotate(stars_of(spark, d), 30.0, 40.0, 50.0).select(*KEYS, "x", "y", "z"), "x", "y", "z")
+
+
+@query()
+def principal_axes(spark, d):
+    s = stars_of(spark, d)
+    return G.principal_axes(P.inertia_tensor(s, galaxies(s)))
+
+
+@query()
+def orient_edge_on(spark, d):
+    s = stars_of(spark, d)
+    return G.orient(s, galaxies(s), "edge-on").select(*KEYS, "x", "y", "z", "vx", "vy", "vz")
+
+
+def redshifts(spark, d):
+    """A redshift for each galaxy, from its particle count."""
+    return stars_of(spark, d).groupBy("galaxy_id").agg((0.05 + F.count("*") % 11 / 10.0).alias("redshift"))
+
+
+_E = "sqrt(0.3075e0 * pow(1 + {z}, 3) + 0.6925e0)"
+_Z = f"{_ST}, g AS (SELECT galaxy_id, 0.05e0 + count(*) % 11 / 10e0 AS redshift FROM stars GROUP BY galaxy_id)"
+_TRAP = "WITH {base}, t AS (SELECT galaxy_id, redshift, redshift * i / {last}e0 AS z, i FROM g, range(0, {last} + 1) AS q(i)), f AS (SELECT *, 1 / {e}{w} AS f FROM t), s AS (SELECT galaxy_id, redshift, (z - lag(z) OVER o) * (f + lag(f) OVER o) / 2 AS a FROM f WINDOW o AS (PARTITION BY galaxy_id ORDER BY i)), n AS (SELECT galaxy_id, redshift, sum(a) AS a FROM s GROUP BY ALL)"
+_CH = K.C_SPEED * 1e-5 / K.PLANCK15.h
+
+
+@query(_TRAP.format(base=_Z, last=255, e=_E.format(z="z"), w="") + f" SELECT galaxy_id, round(redshift, 6) AS redshift, round(a * {_CH!r}, 5) AS comoving, round(a * {_CH!r} * (1 + redshift), 5) AS luminosity, round(a * {_CH!r} / (1 + redshift), 5) AS angular, round(5 * log10(a * {_CH!r} * (1 + redshift) * 1e5), 7) AS modulus, round(a * {_CH!r} / (1 + redshift) * {math.pi / 648000 * 1e3!r}, 7) AS kpc_per_arcsec FROM n")
+def distance_table(spark, d):
+    out = K.distance_columns(redshifts(spark, d))
+    return out.select("galaxy_id", r(F.col("redshift")).alias("redshift"), *[r(F.col(c), 5).alias(c) for c in ("comoving", "luminosity", "angular")], *[r(F.col(c), 7).alias(c) for c in ("modulus", "kpc_per_arcsec")])
+
+
+@query(_TRAP.format(base=_Z, last=511, e=_E.format(z="z"), w=" / (1 + z)") + f", u AS (SELECT i, pow(10, i * 3e0 / 511) - 1 AS z FROM range(0, 512) AS q(i)), v AS (SELECT i, z, 1 / {_E.format(z='z')} / (1 + z) AS f FROM u), y AS (SELECT sum(b) AS b FROM (SELECT (z - lag(z) OVER (ORDER BY i)) * (f + lag(f) OVER (ORDER BY i)) / 2 AS b FROM v)) SELECT galaxy_id, round(a * {K.PLANCK15.hubble_time!r}, 7) AS lookback, round(b * {K.PLANCK15.hubble_time!r}, 7) AS age_z0, round((b - a) * {K.PLANCK15.hubble_time!r}, 7) AS age FROM n, y")
+def age_table(spark, d):
+    return rounded(K.age_columns(redshifts(spark, d)).select("galaxy_id", "lookback", "age_z0", "age"), "lookback", "age_z0", "age", digits=7)
+
+
+@query(_TRAP.format(base=_Z, last=255, e=_E.format(z="z"), w="") + f" SELECT galaxy_id, round(a * {_CH!r} / (1 + redshift) * {math.pi / 648000 * 1e3!r} * 5, 6) AS aperture_kpc, round(a * {_CH!r} / (1 + redshift) * {math.pi / 648000 * 1e3!r} * 5 / 25, 6) AS bin_kpc FROM n")
+def spatial_grid(spark, d):
+    return rounded(G.spatial_grid(redshifts(spark, d), 5.0, G.instrument_bins("MUSE")).select("galaxy_id", "aperture_kpc", "bin_kpc"), "aperture_kpc", "bin_kpc")
+
+
+# closed form for a flat universe of matter and a constant
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, round({2 / 3 / math.sqrt(0.6925) * K.PLANCK15.hubble_time!r} * (asinh(sqrt({0.6925 / 0.3075!r})) - asinh(sqrt({0.6925 / 0.3075!r}) * pow(0.2e0 + l_linenumber / 10e0, 1.5e0))), 2) AS age FROM stars")
+def stellar_age(spark, d):
+    df = stars_of(spark, d).withColumn("a", 0.2 + F.col("l_linenumber") / 10.0)
+    return K.stellar_age(df.drop("age"), "a").select(*KEYS, r(F.col("age"), 2).alias("age"))
+
+
+# ---- cubes
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, k, round(v, 6) AS v FROM cl")
+def cube_sum(spark, d):
+    return long_out(cube_of(spark, d))
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, k, round(2 * v, 6) AS v FROM cl")
+def add_cubes(spark, d):
+    cube = cube_of(spark, d)
+    return long_out(C.add_cubes(cube.unionByName(cube)))
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, round(sum(v), 6) AS image FROM cl GROUP BY ALL")
+def image(spark, d):
+    return rounded(C.image(cube_of(spark, d)), "image")
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, k, round(sum(v), 6) AS v FROM cl GROUP BY ALL")
+def total_spectrum(spark, d):
+    return long_out(C.total_spectrum(cube_of(spark, d)).withColumn("spaxel", F.lit(0))).drop("spaxel")
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, k, round(sum(v), 6) AS v FROM cl WHERE sqrt(pow(spaxel % 5 - 2, 2) + pow(floor(spaxel / 5) - 2, 2)) <= 1.5 GROUP BY ALL")
+def aperture_spectrum(spark, d):
+    return long_out(C.aperture_spectrum(cube_of(spark, d), N, 2, 2, 1.5).withColumn("spaxel", F.lit(0))).drop("spaxel")
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, round(sum(v), 6) AS image FROM cl WHERE sqrt(pow(spaxel % 5 - 2, 2) + pow(floor(spaxel / 5) - 2, 2)) <= 2.5 GROUP BY ALL")
+def aperture_semi(spark, d):
+    inside = G.aperture(spark, "circular", N)
+    return rounded(C.image(C.with_xy(cube_of(spark, d), N).join(F.broadcast(inside), ["x", "y"], "left_semi")), "image")
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, k - 10 AS k, round(v, 6) AS v FROM cl WHERE k >= 10 AND k < 20")
+def slice_wave(spark, d):
+    return long_out(C.slice_wave(cube_of(spark, d), 10, 20))
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, k, round(v, 6) AS v FROM cl WHERE spaxel = 1 + 5 * 3")
+def spectrum_at(spark, d):
+    return long_out(C.spectrum_at(cube_of(spark, d), N, 1, 3))
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, CAST(floor(spaxel / 5) AS INT) AS y, CAST(spaxel % 5 AS INT) AS x FROM (SELECT DISTINCT galaxy_id, spaxel FROM cl) WHERE sqrt(pow(spaxel % 5 - 1, 2) + pow(floor(spaxel / 5) - 2, 2)) <= 2")
+def within_radius(spark, d):
+    return C.within_radius(cube_of(spark, d), N, 1, 2, 2.0).select("galaxy_id", "spaxel", "y", "x")
+
+
+@query(f"WITH {_SP} SELECT vec_id, k, round(v * (1 + vec_id % 3), 6) AS v FROM sl")
+def scale_by_mass(spark, d):
+    df = C.scale_by_mass(frames(spark, d)[2].withColumn("mass", 1.0 + F.col("vec_id") % 3))
+    return df.select("vec_id", F.posexplode("flux").alias("k", "v")).select("vec_id", "k", r(F.col("v")).alias("v"))
+
+
+_KER = C.gaussian_kernel(3, 3, 1.0)
+_KERSQL = ", ".join(f"({a}, {b}, {w!r})" for a, b, w in _KER)
+
+
+@query(f"WITH {_SP}, ker(dy, dx, w) AS (VALUES {_KERSQL}), m AS (SELECT galaxy_id, spaxel % 5 + dx AS x, floor(spaxel / 5) + dy AS y, k, v * w AS v FROM cl, ker) SELECT galaxy_id, CAST(x + 5 * y AS INT) AS spaxel, k, round(sum(v), 6) AS v FROM m WHERE x BETWEEN 0 AND 4 AND y BETWEEN 0 AND 4 GROUP BY ALL")
+def psf_convolve(spark, d):
+    return long_out(C.convolve_psf(cube_of(spark, d), N, 3, 1.0))
+
+
+_TAPS = C.lsf_taps(2.0, 1.0)
+_TAPSQL = ", ".join(f"({k - 12}, {w!r})" for k, w in enumerate(_TAPS))
+
+
+@query(f"WITH {_SP}, ker(o, w) AS (VALUES {_TAPSQL}) SELECT galaxy_id, spaxel, k + o AS k, round(sum(v * w), 6) AS v FROM cl, ker WHERE k + o BETWEEN 0 AND 63 GROUP BY ALL")
+def lsf_smooth(spark, d):
+    return long_out(C.convolve_lsf(cube_of(spark, d), 2.0, 1.0))
+
+
+@query(f"WITH {_SP}, i AS (SELECT galaxy_id, spaxel, sum(v) AS s FROM cl GROUP BY ALL), m AS (SELECT galaxy_id, median(s) FILTER (WHERE s > 0) AS m FROM i GROUP BY ALL) SELECT galaxy_id, spaxel, round(CASE WHEN s > 0 THEN sqrt(m) / 2 / sqrt(s) ELSE 0 END, 8) AS snr FROM i JOIN m USING (galaxy_id)")
+def snr_map(spark, d):
+    return rounded(C.snr_map(cube_of(spark, d), 2.0), "snr", digits=8)
+
+
+@query()
+def noise(spark, d):
+    return long_out(C.add_noise(cube_of(spark, d), 2.0))
+
+
+@query(f"WITH {_SP}, i AS (SELECT galaxy_id, spaxel, sum(v) AS image FROM cl GROUP BY ALL) SELECT galaxy_id, spaxel, round((image - min(image) OVER w) / (max(image) OVER w - min(image) OVER w), 8) AS scaled FROM i WINDOW w AS (PARTITION BY galaxy_id)")
+def minmax_normalise(spark, d):
+    return C.minmax_normalise(C.image(cube_of(spark, d))).select("galaxy_id", "spaxel", r(F.col("scaled"), 8).alias("scaled"))
+
+
+# ---- curves and spectra
+def curves(spark, d):
+    """Two filter curves over parts of the table: bands of the mean price by brand digit."""
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    return parts.select((F.col("p_partkey") % 2).alias("b"), (F.col("p_partkey") % 8 * 9.0).alias("wavelength")).distinct().select(F.concat(F.lit("band/set."), F.col("b")).alias("filter_id"), "wavelength", (0.1 + F.col("wavelength") / 80.0 + F.col("b") / 10.0).alias("transmission"))
+
+
+_CV = "cv AS (SELECT DISTINCT 'band/set.' || (p_partkey % 2) AS filter_id, p_partkey % 8 * 9e0 AS w, 0.1e0 + p_partkey % 8 * 9e0 / 80e0 + p_partkey % 2 / 10e0 AS t FROM part), rs AS (SELECT filter_id, k, CASE WHEN hi IS NULL THEN tl WHEN lo IS NULL THEN th ELSE tl + (th - tl) * (k - lo) / nullif(hi - lo, 0) END AS t0, tl, hi, lo FROM (SELECT f.filter_id, k, (SELECT max(w) FROM cv WHERE cv.filter_id = f.filter_id AND w <= k) AS lo, (SELECT min(w) FROM cv WHERE cv.filter_id = f.filter_id AND w > k) AS hi, (SELECT arg_max(t, w) FROM cv WHERE cv.filter_id = f.filter_id AND w <= k) AS tl, (SELECT arg_min(t, w) FROM cv WHERE cv.filter_id = f.filter_id AND w > k) AS th FROM (SELECT DISTINCT filter_id FROM cv) AS f, range(0, 64) AS q(k)))"
+
+
+@query(f"WITH {_CV} SELECT filter_id, k, round(t0, 8) AS response FROM rs")
+def interp_curve(spark, d):
+    points = spark.range(64).select(F.col("id").alias("k"), F.col("id").cast("double").alias("w"))
+    return S.interp_curve(points, curves(spark, d), "w").select("filter_id", "k", r(F.col("response"), 8).alias("response"))
+
+
+@query(f"WITH {_SP}, {_CV}, pr AS (SELECT galaxy_id, spaxel, filter_id, cl.k, v * t0 AS v FROM cl JOIN rs ON rs.k = cl.k) SELECT galaxy_id, spaxel, filter_id, round(sum(a), 6) AS image FROM (SELECT galaxy_id, spaxel, filter_id, (v + lag(v) OVER (PARTITION BY galaxy_id, spaxel, filter_id ORDER BY k)) / 2 AS a FROM pr) GROUP BY ALL")
+def trapezoid_photometry(spark, d):
+    wave = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i.cast("double"))
+    return rounded(S.photometry(cube_of(spark, d), curves(spark, d), wave), "image")
+
+
+@query("SELECT filter_id, min(w) AS wave_min, max(w) AS wave_max, count(*) AS points FROM (SELECT DISTINCT 'band/set.' || (p_partkey % 2) AS filter_id, p_partkey % 8 * 9e0 AS w FROM part) GROUP BY filter_id")
+def filter_catalogue(spark, d):
+    return I.filter_catalogue(I.load_filters(curves(spark, d), "band", "set")).select("filter_id", "wave_min", "wave_max", "points")
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(exp(vz / 299792.458e0), 12) AS factor, round(5000e0 * 1.1e0 * exp(vz / 299792.458e0), 6) AS wave FROM stars")
+def doppler(spark, d):
+    factor = S.doppler_factor(F.col("vz"))
+    df = stars_of(spark, d).withColumn("w", S.redshift_wave(F.array(F.lit(5000.0)), 0.1))
+    return df.select(*KEYS, r(factor, 12).alias("factor"), r(F.get("w", F.lit(0)) * factor).alias("wave"))
+
+
+_TG = "tg AS (SELECT i, 1.5e0 + 2 * i AS t FROM range(0, 30) AS q(i))"
+
+
+@query(f"WITH {_SP}, {_TG}, n AS (SELECT a.vec_id, i, t, a.v + (b.v - a.v) * (t - floor(t)) AS v FROM tg JOIN sl AS a ON a.k = floor(t) JOIN sl AS b ON b.k = a.k + 1 AND b.vec_id = a.vec_id), o AS (SELECT vec_id, sum(v) FILTER (WHERE k BETWEEN 1.5 AND 59.5) AS o FROM sl GROUP BY 1), w AS (SELECT vec_id, sum(v * 2) FILTER (WHERE i > 0) AS w FROM n GROUP BY 1) SELECT vec_id, i AS k, round(CASE WHEN w = 0 THEN 0 ELSE v * o / w END, 8) AS v FROM n JOIN o USING (vec_id) JOIN w USING (vec_id)")
+def resample_spectrum(spark, d):
+    out = S.resample(frames(spark, d)[2], np.arange(64.0), 1.5 + 2 * np.arange(30.0), ["vec_id"])
+    return out.select("vec_id", F.posexplode("flux").alias("k", "v")).select("vec_id", "k", r(F.col("v"), 8).alias("v"))
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(mass * {S.LSOL_TO_ERG / S.MPC_TO_CM**2 / (4 * math.pi)!r} / 10000e0 / 1.5e0 * 1e20, 5) AS flux FROM stars")
+def luminosity_to_flux(spark, d):
+    return stars_of(spark, d).select(*KEYS, r(S.luminosity_to_flux(F.col("mass"), 100.0, 0.5) * 1e20, 5).alias("flux"))
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, k, round(coalesce(v - lag(v) OVER (PARTITION BY galaxy_id, spaxel ORDER BY k), 0), 6) AS diff FROM cl")
+def adjacent_diff(spark, d):
+    return S.adjacent_diff(C.to_long(cube_of(spark, d)), "v", ["galaxy_id", "spaxel"], "k").select("galaxy_id", "spaxel", "k", r(F.col("diff")).alias("diff"))
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, k, round(sum(a) OVER (PARTITION BY galaxy_id, spaxel ORDER BY k), 6) AS integral FROM (SELECT galaxy_id, spaxel, k, coalesce((v + lag(v) OVER (PARTITION BY galaxy_id, spaxel ORDER BY k)) / 2, 0) AS a FROM cl)")
+def cumulative_trapezoid(spark, d):
+    long = C.to_long(cube_of(spark, d))
+    return S.cumulative_trapezoid(long, "k", "v", ["galaxy_id", "spaxel"]).select("galaxy_id", "spaxel", "k", r(F.col("integral")).alias("integral"))
+
+
+# A template grid made of the table's own spectra: metallicity node = vec_id % 4, age node = vec_id / 4 % 6, summed.
+def grid_frame(spark, d):
+    base = frames(spark, d)[2].select((F.col("vec_id") % 4).cast("long").alias("galaxy_id"), (F.floor(F.col("vec_id") / 4) % 6).cast("int").alias("spaxel"), "flux")
+    return C.accumulate_cube(base).select(F.col("galaxy_id").cast("int").alias("met_idx"), F.col("spaxel").alias("age_idx"), (F.col("galaxy_id") * 0.02).alias("metallicity"), (F.col("spaxel") * 2.5).alias("age"), "flux")
+
+
+_GR = f"{_SP}, gr AS (SELECT vec_id % 4 AS m, floor(vec_id / 4) % 6 AS a, k, sum(v) AS v FROM sl GROUP BY ALL)"
+
+
+@query(f"WITH {_ST}, {_GR}, u AS (SELECT DISTINCT metallicity, age FROM stars), c AS (SELECT metallicity, age, least(greatest(floor(metallicity / 0.02e0 + 1e-9), 0), 2) AS i, least(greatest(floor(age / 2.5e0), 0), 4) AS j FROM u), w AS (SELECT *, (metallicity - i * 0.02e0) / 0.02e0 AS s, (age - j * 2.5e0) / 2.5e0 AS t, metallicity <= 0.06e0 AND age <= 12.5e0 AS inside FROM c) SELECT metallicity, age, gr.k, round(CASE WHEN bool_and(inside) THEN sum(v * CASE WHEN gr.m = i THEN 1 - s ELSE s END * CASE WHEN gr.a = j THEN 1 - t ELSE t END) ELSE 0 END, 6) AS v FROM w JOIN gr ON gr.m IN (i, i + 1) AND gr.a IN (j, j + 1) GROUP BY metallicity, age, gr.k")
+def template_lookup_linear(spark, d):
+    points = stars_of(spark, d).select("metallicity", "age").distinct()
+    out = S.lookup_template(points, S.grid_arrays(grid_frame(spark, d)), ["metallicity", "age"], "linear")
+    return out.select("metallicity", "age", F.posexplode("flux").alias("k", "v")).withColumn("v", r(F.col("v")))
+
+
+@query()
+def template_lookup_cubic(spark, d):
+    points = stars_of(spark, d).select("metallicity", "age").distinct()
+    return S.lookup_template(points, S.grid_arrays(grid_frame(spark, d)), ["metallicity", "age"], "cubic")
+
+
+# ---- dust
+_OH = "(12 + log10(o_frac / (16 * h_frac)))"
+_DG = f"CASE WHEN {_OH} > 8.1e0 THEN pow(10, -(2.21e0 + 1.0e0 * (8.69e0 - {_OH}))) ELSE pow(10, -(0.96e0 + 3.1e0 * (8.69e0 - {_OH}))) END"
+_AV = 3 * math.pi * D.MSUN_G / D.KPC_CM**2 / (0.4 * math.log(10) * 5448.0 * 1e-8 * 3.5)
+
+
+@query(f"WITH {_GA} SELECT o_orderkey, round({_OH}, 8) AS oh, round({_DG}, 10) AS dg, round(mass * {_DG} * {_AV!r} * 1e3, 6) AS av FROM gas")
+def dust_to_gas(spark, d):
+    oh = D.oxygen_abundance(F.col("o_frac"), F.col("h_frac"))
+    dg = D.dust_to_gas(oh)
+    return frames(spark, d)[1].select("o_orderkey", r(oh, 8).alias("oh"), r(dg, 10).alias("dg"), r(D.visual_extinction(F.col("mass") * dg) * 1e3).alias("av"))
+
+
+@query(f"WITH {_PG} SELECT galaxy_id, spaxel, o_orderkey, round(sum(mass) OVER (PARTITION BY galaxy_id, spaxel ORDER BY z, o_orderkey), 2) AS c FROM pg")
+def column_density(spark, d):
+    out = D.column_density(placed(spark, d, gas=True), "mass", order=("z", "o_orderkey"))
+    return out.select("galaxy_id", "spaxel", "o_orderkey", r(F.col("column"), 2).alias("c"))
+
+
+_ASOF = f"WITH {_PL}, {_PG}, cg AS (SELECT galaxy_id, spaxel, z, sum(mass) OVER (PARTITION BY galaxy_id, spaxel ORDER BY z, o_orderkey) AS v FROM pg), u AS (SELECT galaxy_id, spaxel, z, v, 0 AS t, NULL AS l_orderkey, NULL AS l_linenumber, NULL AS l_partkey, NULL AS l_suppkey FROM cg UNION ALL SELECT galaxy_id, spaxel, z, NULL, 1, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM p), b AS (SELECT *, max(CASE WHEN t = 0 THEN z END) OVER w1 AS z0, max(v) OVER w1 AS v0, min(CASE WHEN t = 0 THEN z END) OVER w2 AS z1, min(v) OVER w2 AS v1 FROM u WINDOW w1 AS (PARTITION BY galaxy_id, spaxel ORDER BY z, t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY galaxy_id, spaxel ORDER BY z, t RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, round({_AV!r} * CASE WHEN z0 IS NULL AND z1 IS NULL THEN 0 WHEN z0 IS NULL THEN v1 WHEN z1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (z - z0) / (z1 - z0) END, 6) AS av FROM b WHERE t = 1"
+
+
+def _asof(spark, d, slab):
+    gas = D.column_density(placed(spark, d, gas=True), "mass", order=("z", "o_orderkey"))
+    return D.asof_interp(placed(spark, d), gas, "column", slab=slab).select(*KEYS, r(D.visual_extinction(F.col("asof"))).alias("av"))
+
+
+@query(_ASOF)
+def asof_extinction(spark, d):
+    return _asof(spark, d, None)
+
+
+@query(_ASOF)
+def asof_extinction_slabs(spark, d):
+    return _asof(spark, d, 2.0)
+
+
+def numbers(spark, d, scale: float):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (0.31 + F.col("p_partkey") % 400 / scale).alias("x"))
+
+
+_Y = "(x - 1.82e0)"
+_POLY = lambda cs, y: " + ".join(f"{c!r} * pow({y}, {k})" for k, c in enumerate(cs))
+
+
+@query(f"WITH n AS (SELECT p_partkey, 0.31e0 + p_partkey % 400 / 40e0 AS x FROM part) SELECT p_partkey, round(x, 8) AS x, round(CASE WHEN x < 1.1 THEN 0.574e0 * pow(x, 1.61e0) - 0.527e0 * pow(x, 1.61e0) / 3.1e0 WHEN x < 3.3 THEN {_POLY(D.CCM_OPT_A, _Y)} + ({_POLY(D.CCM_OPT_B, _Y)}) / 3.1e0 WHEN x <= 8 THEN 1.752e0 - 0.316e0 * x - 0.104e0 / (pow(x - 4.67e0, 2) + 0.341e0) + CASE WHEN x >= 5.9 THEN -0.04473e0 * pow(x - 5.9e0, 2) - 0.009779e0 * pow(x - 5.9e0, 3) ELSE 0 END + (-3.09e0 + 1.825e0 * x + 1.206e0 / (pow(x - 4.62e0, 2) + 0.263e0) + CASE WHEN x >= 5.9 THEN 0.2130e0 * pow(x - 5.9e0, 2) + 0.1207e0 * pow(x - 5.9e0, 3) ELSE 0 END) / 3.1e0 WHEN x <= 10 THEN {_POLY(D.CCM_FUV_A, '(x - 8e0)')} + ({_POLY(D.CCM_FUV_B, '(x - 8e0)')}) / 3.1e0 ELSE 0 END, 7) AS k FROM n")
+def extinction_ccm89(spark, d):
+    return numbers(spark, d, 40.0).select("p_partkey", r(F.col("x"), 8).alias("x"), r(D.ccm89(F.col("x")), 7).alias("k"))
+
+
+def _g23_sql() -> str:
+    step = lambda lo, hi: f"(pow(least(1e0, greatest(0e0, (x - {lo}) / ({hi} - {lo}))), 2) * (3 - 2 * least(1e0, greatest(0e0, (x - {lo}) / ({hi} - {lo})))))"
+    dr = lambda x, a, c, g: f"({a} * pow({g} / {c}, 2) / (pow({x} / {c} - {c} / {x}, 2) + pow({g} / {c}, 2)))"
+    opt = lambda p: "(" + _POLY(p[0], "(1 / x)") + " + " + " + ".join(dr("(1 / x)", *k) for k in p[1]) + ")"
+    fm = lambda p: f"({p[0]} + {p[1]} / x + {p[2]} / (x * x) / (pow(1 / (x * x) - {p[4]} * {p[4]}, 2) + {p[5]} * {p[5]} / (x * x)) + {p[3]} * (0.5392e0 * pow(greatest(1 / x - 5.9e0, 0), 2) + 0.05644e0 * pow(greatest(1 / x - 5.9e0, 0), 3)))"
+    s = D.G23_IR
+    m = step(s["centre"] - s["width"] / 2, s["centre"] + s["width"] / 2)
+    ratio = s["centre"] ** -s["alpha"] / s["centre"] ** -s["alpha2"]
+    ir_a = f"({s['scale']} * pow(x, -{s['alpha']}) * (1 - {m}) + {s['scale'] * ratio!r} * pow(x, -{s['alpha2']}) * {m} + " + " + ".join(dr("x", a, c, f"(2 * {g} / (1 + exp({t} * (x - {c}))))") for a, c, g, t in s["silicates"]) + ")"
+    ir_b = "(-1.01251e0 * pow(x, 1.06099e0))"
+    pick = lambda ir, o, u: f"CASE WHEN x < 0.3 THEN {u} WHEN x <= 0.33 THEN (1 - {step(0.3, 0.33)}) * {u} + {step(0.3, 0.33)} * {o} WHEN x < 0.9 THEN {o} WHEN x <= 1.1 THEN (1 - {step(0.9, 1.1)}) * {o} + {step(0.9, 1.1)} * {ir} ELSE {ir} END"
+    return f"({pick(ir_a, opt(D.G23_OPT_A), fm(D.G23_UV_A))}) + ({pick(ir_b, opt(D.G23_OPT_B), fm(D.G23_UV_B))}) * (1 / 4.0e0 - 1 / 3.1e0)"
+
+
+_X23 = "WITH n AS (SELECT p_partkey, 0.1e0 * pow(1.014e0, p_partkey % 400) AS x FROM part)"
+
+
+@query(f"{_X23} SELECT p_partkey, round({_g23_sql()}, 7) AS k FROM n")
+def extinction_g23(spark, d):
+    n = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (0.1 * F.pow(F.lit(1.014), F.col("p_partkey") % 400)).alias("x"))
+    return n.select("p_partkey", r(D.gordon23(F.col("x"), 4.0), 7).alias("k"))
+
+
+@query(f"WITH {_SP} SELECT vec_id, k, round(v * pow(10, -0.4e0 * (vec_id % 5 / 4e0) * (0.5e0 + k / 64e0)), 8) AS v FROM sl")
+def extinguish(spark, d):
+    curve = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 0.5 + i / 64.0)
+    out = D.attenuate(frames(spark, d)[2].withColumn("av", F.col("vec_id") % 5 / 4.0), curve)
+    return out.select("vec_id", F.posexplode("flux").alias("k", "v")).select("vec_id", "k", r(F.col("v"), 8).alias("v"))
+
+
+# ---- samples, generators and jobs
+@query()
+def subset(spark, d):
+    return P.subset(stars_of(spark, d), 100, key=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "mass")).select(*KEYS)
+
+
+def _snapshot(spark, d):
+    s, g, _ = frames(spark, d)
+    g = g.withColumns({c: F.lit(0.0) for c in ("vx", "vy", "vz")})
+    return jobs.Snapshot(galaxies(s), s, g)
+
+
+_JOB = {"wave": 4000 + 10 * np.arange(64.0), "target": 4100 + 8 * np.arange(40.0), "half_size": HALF, "n": N, "z": 0.01, "psf": (3, 0.6), "lsf": 10.0}
+
+
+@query()
+def mock_cube(spark, d):
+    return long_out(jobs.mock_cube(_snapshot(spark, d), S.grid_arrays(grid_frame(spark, d)), **_JOB), 3)
+
+
+@query()
+def mock_cube_dusty(spark, d):
+    return long_out(jobs.mock_cube_dusty(_snapshot(spark, d), S.grid_arrays(grid_frame(spark, d)), **_JOB), 3)
+
+
+@query()
+def photometric_images(spark, d):
+    out = jobs.photometric_images(cube_of(spark, d), curves(spark, d), np.arange(64.0))
+    return rounded(out, "image", "scaled")
 
 
 def queries():
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
