@@ -33,14 +33,15 @@ def asof_interp(stars: DataFrame, gas: DataFrame, value: str, by: tuple[str, ...
         rows = rows.withColumn("_slab", F.floor(F.col("z") / slab))
         group = [*by, "_slab"]
     back = Window.partitionBy(*group).orderBy("z", "_t", F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*group).orderBy("z", "_t", F.col("_v").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
+    # looking ahead is looking back in the reverse order, which keeps a running value instead of a frame a row
+    ahead = Window.partitionBy(*group).orderBy(F.desc("z"), F.desc("_t"), F.col("_v").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("_t") == 0, F.struct("z", "_v"))
-    marked = rows.withColumn("_b", F.last(known, ignorenulls=True).over(back)).withColumn("_a", F.first(known, ignorenulls=True).over(ahead))
+    marked = rows.withColumn("_b", F.last(known, ignorenulls=True).over(back)).withColumn("_a", F.last(known, ignorenulls=True).over(ahead))
     if slab:
         ends = points.withColumn("_slab", F.floor(F.col("z") / slab)).groupBy(*group).agg(F.max(F.struct("z", "_v")).alias("_hi"), F.min(F.struct("z", "_v")).alias("_lo"))
         spans = rows.select(*group).distinct().join(ends, group, "left")
-        order = Window.partitionBy(*by).orderBy("_slab")
-        carried = spans.select(*group, F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_pb"), F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_pa"))
+        order, reverse = Window.partitionBy(*by).orderBy("_slab"), Window.partitionBy(*by).orderBy(F.desc("_slab"))
+        carried = spans.select(*group, F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_pb"), F.last("_lo", ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, -1)).alias("_pa"))
         marked = marked.join(carried, group).withColumn("_b", F.coalesce("_b", "_pb")).withColumn("_a", F.coalesce("_a", "_pa")).drop("_slab", "_pb", "_pa")
     between = F.col("_b._v") + (F.col("_a._v") - F.col("_b._v")) * (F.col("z") - F.col("_b.z")) / (F.col("_a.z") - F.col("_b.z"))
     result = F.when(F.col("_b").isNull() & F.col("_a").isNull(), 0.0).when(F.col("_b").isNull(), F.col("_a._v")).when(F.col("_a").isNull(), F.col("_b._v")).otherwise(between)

@@ -69,18 +69,20 @@ def photometry(cube: DataFrame, curves: DataFrame, wave: Column, outside: str =
     return both.withColumn("p", product).select("galaxy_id", "spaxel", "filter_id", area.alias("image"))
 
 
-def resample_kernel(flux: np.ndarray, wave: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Rows of flux on rows of wave, interpolated to target with clamped ends, scaled so that the sum of flux * step over
-    the target's range is kept; where the new sum is 0 the result is 0."""
-    out = np.empty((len(flux), len(target)))
-    step = np.diff(target, prepend=target[0])
-    for k, (f, w) in enumerate(zip(flux, wave)):
-        inside = (w >= target[0]) & (w <= target[-1])
-        new = np.interp(target, w, f)
-        old_sum = (f * np.diff(w, prepend=w[0]))[inside].sum()
-        new_sum = (new * step).sum()
-        out[k] = new * (old_sum / new_sum) if new_sum else 0.0
-    return out
+def resample_kernel(flux: np.ndarray, wave: np.ndarray, factor: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Rows of flux on wave * factor (one factor a row), interpolated to target with clamped ends, scaled so that the sum
+    of flux * step over the target's range is kept; where the new sum is 0 the result is 0."""
+    at = target[None, :] / factor[:, None]
+    i = np.clip(np.searchsorted(wave, at, side="right") - 1, 0, len(wave) - 2)
+    t = np.clip((at - wave[i]) / (wave[i + 1] - wave[i]), 0.0, 1.0)
+    low = np.take_along_axis(flux, i, axis=1)
+    new = low + (np.take_along_axis(flux, i + 1, axis=1) - low) * t
+    shifted = wave[None, :] * factor[:, None]
+    inside = (shifted >= target[0]) & (shifted <= target[-1])
+    old_sum = (flux * (np.diff(wave, prepend=wave[0])[None, :] * factor[:, None]) * inside).sum(axis=1)
+    new_sum = new @ np.diff(target, prepend=target[0])
+    scale = np.divide(old_sum, new_sum, out=np.zeros_like(old_sum), where=new_sum != 0)
+    return new * scale[:, None]
 
 
 def _flux_batch(batch, keep, flux):
@@ -99,7 +101,7 @@ def resample(df: DataFrame, wave: np.ndarray, target: np.ndarray, keep: list[str
             if batch.num_rows:
                 flux = batch.column("flux").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 shift = batch.column(factor).to_numpy(zero_copy_only=False) if factor else np.ones(batch.num_rows)
-                yield _flux_batch(batch, keep, resample_kernel(flux, w[None, :] * shift[:, None], t))
+                yield _flux_batch(batch, keep, resample_kernel(flux, w, shift, t))
 
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, *([factor] if factor and factor not in keep else []), "flux").mapInArrow(run, f"{schema}, flux array<double>")
@@ -207,7 +209,7 @@ def star_cube(stars: DataFrame, grid, wave: np.ndarray, target: np.ndarray, z: f
                 part = batch.slice(k, 500)
                 m, a, mass, v = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("metallicity", "age", "mass", f"v{axis}"))
                 flux = template_flux(g, m, a, method) * mass[:, None]
-                yield _flux_batch(part, columns, resample_kernel(flux, w[None, :] * np.exp(v / C_KM_S)[:, None], t))
+                yield _flux_batch(part, columns, resample_kernel(flux, w, np.exp(v / C_KM_S), t))
 
     rows = stars.withColumn("galaxy_id", F.col("galaxy_id").cast("long")).withColumn("spaxel", F.col("spaxel").cast("int"))
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns) + ", flux array<double>"
