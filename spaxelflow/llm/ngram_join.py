@@ -5,7 +5,8 @@ prefix; index lists are sorted by set size and cut into blocks, so that blocks w
 skipped, and lists of two are skipped by position where too few shingles are left behind it.
 Answer-level skipping: equal sets share one entry and one answer. The lists of a block name its first set as head;
 a head's sets meet in one task (or in pairs of bounded blocks), where each set's overlaps with all others are counted
-at once, and the answers of sets that have met in one component are derived from the ones already computed.
+at once, and the answers of sets that have met in one component are derived from the ones already computed. Parity
+bitmaps rule out, exactly, most sets without a link before any whole set is moved.
 
 Overlaps are counted on whole 64-bit shingle sets, so links are exact.
 """
@@ -158,18 +159,63 @@ def _heads(percent: int):
     return run, "head long, member long, n long"
 
 
-def _wanted_sets(wanted, size: int):
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """A set's parity bitmap: each member flips one bit of 2n or more (a power of two). Two bitmaps differ in no more
+    bits than their sets in members, so they bound an overlap from above at a 32nd of the sets' size."""
+    size = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    flips = np.bincount((mix(s) & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8)).view(U64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The same set's bitmap in fewer words: members' bits are taken modulo the size."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+def _wanted(wanted, size: int, encode):
+    """(member, members) of the documents in the filter: each set as `encode` gives it."""
+
     def run(batches):
         for part in slices(batches, "text"):
             ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
             part = part.filter(pa.array(wanted.value.has(ids)))
             if part.num_rows:
-                sets = shingle_sets(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in sets], U64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["member", "members"])
+                sets = [s for s in shingle_sets(part.column("text"), size) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in sets], U64).view(np.int64)), pa.array([encode(s).tobytes() for s in sets], pa.binary())], ["member", "members"])
 
     return run, "member long, members binary"
 
 
+def _survivors(percent: int):
+    """Of the sets of a task: the groups that possible links join, by bitmaps; sets without a possible link drop out."""
+
+    def run(_, table):
+        keys, once = np.unique(table.column("member").to_numpy(), return_index=True)
+        sizes = table.column("n").to_numpy()[once]
+        bits = [np.frombuffer(x, U64) for x in table.column("members").take(pa.array(once)).to_pylist()]
+        words = min(len(b) for b in bits)
+        bits = np.stack([fold(b, words) for b in bits])
+        m, label = len(keys), np.arange(len(keys))
+        linked = np.zeros(m, bool)
+        for a in range(m - 1):
+            n = sizes[a + 1 :]
+            common = (sizes[a] + n - np.bitwise_count(bits[a + 1 :] ^ bits[a]).sum(axis=1, dtype=np.int64)) // 2
+            near = np.flatnonzero((100 * common >= percent * (sizes[a] + n - common)) & (100 * np.minimum(n, sizes[a]) >= percent * np.maximum(n, sizes[a]))) + a + 1
+            if len(near):
+                linked[a] = True
+                linked[near] = True
+                met = np.unique(label[near])
+                label[np.isin(label, met)] = label[a]
+        rows = np.flatnonzero(linked)
+        names = np.zeros(m, np.int64)
+        for c in np.unique(label[rows]):
+            group = np.flatnonzero(linked & (label == c))
+            names[group] = set_key(keys[group].view(U64)).view(np.int64)
+        return pa.table({"group": pa.array(names[rows]), "member": pa.array(keys[rows])})
+
+    return run, "group long, member long"
+
+
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join what all links of these sets join: at most len(sets) - 1.
 
@@ -216,23 +262,30 @@ def _answer(percent: int):
     return run, "a long, b long"
 
 
+def _fetch(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int, encode) -> DataFrame:
+    """(member, members) of the set keys in `members`, from the documents that stand for them."""
+    ids = checkpoint(members.select(F.col("member").alias("set_key")).distinct().join(reps, "set_key").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")))
+    wanted = docs.sparkSession.sparkContext.broadcast(KeyFilter.build(ids, "doc_id", ids.count()))
+    run, schema = _wanted(wanted, size, encode)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def _links(docs: DataFrame, reps: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
     """heads(head, member, n) -> spanning links (a, b) of set keys, exact on whole sets.
 
-    Only sets that are members are fetched. A head's sets meet in one task up to SHINGLES_A_TASK; more are cut into
-    blocks, and each pair of blocks is a task of its own, so no task holds an unbounded group.
+    First the heads' members meet as parity bitmaps, and only sets with a possible link go on. A head's sets meet in one
+    task up to SHINGLES_A_TASK; more are cut into blocks, and each pair of blocks is a task of its own, so no task
+    holds an unbounded group. What may link is then compared by its whole sets.
     """
-    spark = docs.sparkSession
-    ids = checkpoint(heads.select(F.col("member").alias("set_key")).distinct().join(reps, "set_key").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")))
-    wanted = spark.sparkContext.broadcast(KeyFilter.build(ids, "doc_id", ids.count()))
-    run, schema = _wanted_sets(wanted, size)
-    sets = docs.select("doc_id", "text").mapInArrow(run, schema)
     blocks = heads.groupBy("head").agg(F.sum("n").alias("total")).where(F.col("total") > SHINGLES_A_TASK).select("head", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int").alias("blocks"))
     dealt = heads.join(blocks, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("member"), "blocks").cast("int"))
-    dealt = dealt.select("head", "member", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("head", "member", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.select("head", "member", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("head", "member", "n", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    run, schema = _survivors(percent)
+    bitmaps = _fetch(docs, reps, heads, size, parity_bits)
+    groups = checkpoint(dealt.join(bitmaps, "member").groupBy("head", "i", "j").applyInArrow(run, schema).distinct())
     run, schema = _answer(percent)
-    return dealt.join(sets, "member").groupBy("head", "i", "j").applyInArrow(run, schema)
+    return groups.join(_fetch(docs, reps, groups, size, lambda s: s), "member").groupBy("group").applyInArrow(run, schema)
 
 
 def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
