@@ -108,15 +108,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     of the text. Null texts and labels teach nothing; a doc_id labelled both ways teaches neither. Without both classes
     every text scores 1 (nothing is known to be bad)."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
-    known = docs.where("text is not null and doc_id is not null").select("doc_id", F.col("text").alias("sampled")).join(marks, "doc_id")
+    # Hashes alone are joined to find the sample; only its texts move.
+    known = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.expr(f"if(octet_length(text) > {SAMPLE_TEXT_BYTES}, null, text)").alias("sampled"))
+    hashes = known.select("doc_id", "h").join(marks, "doc_id")
+    cuts = [hashes.where(F.col("quality") == q).select("h").orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h")).first()[0] for q in (0, 1)]
+    if None in cuts:
+        return Model(b"", b"", 0, 1, None, 1.0)
     rows = []
-    for quality in (0, 1):
-        one = known.where(F.col("quality") == quality).select("sampled", F.xxhash64("sampled").alias("h"))
-        cut = one.select("h").orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h")).first()[0]
-        if cut is None:
-            return Model(b"", b"", 0, 1, None, 1.0)
-        sample = one.where(F.col("h") <= cut).dropDuplicates(["h"]).select("h", F.expr(f"if(octet_length(sampled) > {SAMPLE_TEXT_BYTES}, null, sampled)").alias("sampled"))
-        rows.append([r[1].encode() for r in sorted(sample.where("sampled is not null").collect())])
+    for q, cut in enumerate(cuts):
+        sample = known.where(F.col("h") <= cut).join(marks.where(F.col("quality") == q), "doc_id").where("sampled is not null").dropDuplicates(["h"])
+        rows.append([r[1].encode() for r in sorted(sample.select("h", "sampled").collect())])
     bad, good = rows
     model_good, model_bad = _dictionary(good[::2]), _dictionary(bad[::2])
     c = Compressors(model_good, model_bad)
