@@ -21,18 +21,26 @@ SEGMENT = 1 << 20
 
 
 def phrase_ends(text: str, start: int = 0, seen: set | None = None, open_at: int | None = None) -> tuple[list[int], int]:
-    """Ends of the LZ78 phrases of text[start:], and where the last, unfinished one begins. `seen` gains them."""
+    """Ends of the LZ78 phrases of text[start:], and where the last, unfinished one begins. `seen` gains them.
+
+    Each prefix of a phrase was a phrase before it, so a known stretch of three characters skips the shorter tests.
+    """
     seen = set() if seen is None else seen
     ends: list[int] = []
-    begin = start if open_at is None else open_at
-    add = seen.add
-    note = ends.append
-    for end in range(start + 1, len(text) + 1):
-        phrase = text[begin:end]
-        if phrase not in seen:
-            add(phrase)
-            note(end)
-            begin = end
+    begin, total = start if open_at is None else open_at, len(text)
+    add, note = seen.add, ends.append
+    while begin < total:
+        end = begin + 4 if text[begin : begin + 3] in seen else begin + 1
+        while end <= total:
+            phrase = text[begin:end]
+            if phrase not in seen:
+                add(phrase)
+                note(end)
+                break
+            end += 1
+        else:
+            return ends, begin
+        begin = end
     return ends, begin
 
 
