@@ -21,38 +21,26 @@ SEGMENT = 1 << 20
 
 
 def phrase_ends(text: str, start: int = 0, seen: set | None = None, open_at: int | None = None) -> tuple[list[int], int]:
-    """Ends of the LZ78 phrases of text[start:], and where the last, unfinished one begins. `seen` gains them.
-
-    Each prefix of a phrase was a phrase before it, so a known stretch of three characters skips the shorter tests.
-    """
+    """Ends of the LZ78 phrases of text[start:], and where the last, unfinished one begins. `seen` gains them."""
     seen = set() if seen is None else seen
     ends: list[int] = []
-    begin, total = start if open_at is None else open_at, len(text)
+    begin = start if open_at is None else open_at
     add, note = seen.add, ends.append
-    while begin < total:
-        end = begin + 4 if text[begin : begin + 3] in seen else begin + 1
-        while end <= total:
-            phrase = text[begin:end]
-            if phrase not in seen:
-                add(phrase)
-                note(end)
-                break
-            end += 1
-        else:
-            return ends, begin
-        begin = end
-    return ends, begin
-
-
-def _hashes(text: str, bounds: list[tuple[int, int]]) -> np.ndarray:
+    phrase = text[begin:start]
+    for end, c in enumerate(text[start:], start + 1):
+        phrase += c
+        if phrase not in seen:
+            add(phrase)
+            note(end)
+            phrase = ""
+    return ends, ends[-1] if ends else begin
+
+
+def _hashes(text: str, ends: list[int]) -> np.ndarray:
+    """Distinct hashes of the phrases that end there, and of what is left behind the last."""
+    marks = np.array([0, *ends, *([len(text)] if len(text) > (ends[-1] if ends else 0) else [])], np.int64) * 4
     data = np.frombuffer(text.encode("utf-32-le"), np.uint8)
-    spans = np.array(bounds, np.int64).reshape(-1, 2) * 4
-    return np.unique(span_hash(data, spans[:, 0], spans[:, 1])) if len(spans) else np.zeros(0, U64)
-
-
-def _spans(ends: list[int], start: int, total: int) -> list[tuple[int, int]]:
-    marks = [start, *ends]
-    return [*zip(marks, marks[1:]), *([(marks[-1], total)] if marks[-1] < total else [])]
+    return np.unique(span_hash(data, marks[:-1], marks[1:])) if len(marks) > 1 else np.zeros(0, U64)
 
 
 def phrases(text: str) -> np.ndarray:
@@ -60,7 +48,7 @@ def phrases(text: str) -> np.ndarray:
     out = []
     for k in range(0, len(text), SEGMENT):
         part = text[k : k + SEGMENT]
-        out.append(_hashes(part, _spans(phrase_ends(part)[0], 0, len(part))))
+        out.append(_hashes(part, phrase_ends(part)[0]))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
 
@@ -74,7 +62,7 @@ def phrases_of_both(text: str, edited: str) -> tuple[np.ndarray, np.ndarray]:
     branch = set(seen)
     rest, _ = phrase_ends(text, half, seen, begin)
     other, _ = phrase_ends(edited, half, branch, begin)
-    return _hashes(text, _spans(head + rest, 0, len(text))), _hashes(edited, _spans(head + other, 0, len(edited)))
+    return _hashes(text, head + rest), _hashes(edited, head + other)
 
 
 def signature(h: np.ndarray, bins: int = BINS) -> np.ndarray | None:
