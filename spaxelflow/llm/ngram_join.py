@@ -270,6 +270,16 @@ def _fetch(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int, enco
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _without_contained(groups: DataFrame) -> DataFrame:
+    """(group, member) without the groups that lie inside a larger one, the largest that holds their first member."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("c"), F.min("member").alias("member"))
+    largest = groups.join(sizes.select("group", "c"), "group").groupBy("member").agg(F.max(F.struct("c", "group")).alias("top"))
+    parent = sizes.join(largest, "member").where("top.c > c").select("group", F.col("top.group").alias("parent"))
+    other = groups.select(F.col("group").alias("parent"), "member", F.lit(1).alias("hit"))
+    inside = groups.join(parent, "group").join(other, ["parent", "member"], "left").groupBy("group").agg(F.count("*").alias("n"), F.count("hit").alias("k")).where("n = k").select("group")
+    return groups.join(inside, "group", "left_anti")
+
+
 def _links(docs: DataFrame, reps: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
     """heads(head, member, n) -> spanning links (a, b) of set keys, exact on whole sets.
 
@@ -284,6 +294,7 @@ def _links(docs: DataFrame, reps: DataFrame, heads: DataFrame, size: int, percen
     run, schema = _survivors(percent)
     bitmaps = _fetch(docs, reps, heads, size, parity_bits)
     groups = checkpoint(dealt.join(bitmaps, "member").groupBy("head", "i", "j").applyInArrow(run, schema).distinct())
+    groups = checkpoint(_without_contained(groups))
     run, schema = _answer(percent)
     return groups.join(_fetch(docs, reps, groups, size, lambda s: s), "member").groupBy("group").applyInArrow(run, schema)
 
