@@ -2,7 +2,7 @@
 
 Index-level skipping: shingles are ordered by an approximate corpus count, rare first; each set indexes only its
 prefix; index lists are sorted by set size and cut into blocks, so that blocks which the size bound rules out are
-skipped, and lists of two are skipped by position where too few shingles are left behind it.
+skipped, and sets are skipped by position where too few shingles are left behind it.
 Answer-level skipping: equal sets share one entry and one answer. The lists of a block name its first set as head;
 a head's sets meet in one task (or in pairs of bounded blocks), where each set's overlaps with all others are counted
 at once, and the answers of sets that have met in one component are derived from the ones already computed. Parity
@@ -26,6 +26,7 @@ PERCENT = 75
 COUNT_SLOTS = 1 << 20  # of the approximate shingle counts; fixed, so the broadcast order table is 1 MB at any input size
 POSTINGS_A_BUCKET = 1_000_000
 SHINGLES_A_TASK = 4_000_000
+PAIRED_LIST = 64  # longer index lists go on without the test of pairs by position
 _SEGMENTS = 64
 
 
@@ -119,7 +120,7 @@ def _lists(table: pa.Table):
     paired[1:] |= same
     paired[:-1] |= same
     order = order[paired]
-    order = order[np.lexsort((key[order], n[order], token[order]))]
+    order = order[np.lexsort((place[order], key[order], n[order], token[order]))]
     token, key, n, place = token[order], key[order], n[order], place[order]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
@@ -128,11 +129,20 @@ def _lists(table: pa.Table):
     return bounds, key, n, place
 
 
+def _pairable(n: np.ndarray, room: np.ndarray, percent: int) -> np.ndarray:
+    """True for each set of an index list that size and position leave a possible partner in it; a pair is judged at the
+    first member that it shares, so no more than `room` members are common."""
+    sums, low = n[:, None] + n, np.minimum(n[:, None], n)
+    fits = (np.minimum(room[:, None], room) >= -(-percent * sums // (100 + percent))) & (100 * low >= percent * (sums - low))
+    np.fill_diagonal(fits, False)
+    return fits.any(axis=1)
+
+
 def _heads(percent: int):
     """From each list: (head, member, size of member) rows, one head for a block of sizes within the size bound.
 
     A pair within the bound lies in one block or in two neighbours, so each member goes to its own block's head and
-    to the one before it; a list of two is dropped where size or position rule its pair out.
+    to the one before it; sets that size and position leave no partner in a list of PAIRED_LIST or fewer are skipped.
     """
 
     def run(_, table):
@@ -144,14 +154,17 @@ def _heads(percent: int):
         two = two[(room >= -(-percent * (n[two] + n[two + 1]) // (100 + percent))) & (100 * n[two] >= percent * n[two + 1])]
         heads, members = [np.repeat(two, 2)], [np.repeat(two, 2) + np.tile([0, 1], len(two))]
         for a, b in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist()):
-            before, head = None, a
-            while head < b:
-                end = head + int(np.searchsorted(n[head:b], 100 * n[head] // percent, side="right"))
-                for h in (head, before):
+            rows = np.arange(a, b)
+            if b - a <= PAIRED_LIST:
+                rows = rows[_pairable(n[a:b], n[a:b] - place[a:b], percent)]
+            sizes, before, at = n[rows], None, 0
+            while at < len(rows):
+                end = at + int(np.searchsorted(sizes[at:], 100 * sizes[at] // percent, side="right"))
+                for h in (at, before):
                     if h is not None:
-                        members.append(np.arange(head, end))
-                        heads.append(np.full(end - head, h))
-                before, head = head, end
+                        members.append(rows[at:end])
+                        heads.append(np.full(end - at, rows[h]))
+                before, at = at, end
         heads, members = np.concatenate(heads), np.concatenate(members)
         rows = np.unique(np.stack([key[heads], key[members], n[members].astype(U64)], axis=1), axis=0) if len(heads) else np.zeros((0, 3), U64)
         return pa.table({c: pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k, c in enumerate(("head", "member", "n"))})
