@@ -7,6 +7,7 @@ Texts are read as UTF-8 bytes without a Python object per text; words are spans
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -256,3 +257,17 @@ class KeyFilter:
         for k, b in rows:
             bits[k * step : (k + 1) * step] = np.frombuffer(b, np.uint8)
         return KeyFilter(bits)
+
+
+def key_filter_column(df, column: str):
+    """A boolean column over `column`: True for every value of df (null as 0), and seldom for another one."""
+    from pyspark.sql import functions as F
+
+    keys = df.select(F.coalesce(F.col(column).cast("long"), F.lit(0)).alias("key"))
+    shared = df.sparkSession.sparkContext.broadcast(KeyFilter.build(keys, "key", keys.count()))
+
+    @F.pandas_udf("boolean")
+    def has(values: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(values.to_numpy(np.int64).view(U64)))
+
+    return has(F.coalesce(F.col(column).cast("long"), F.lit(0)))
