@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spaxelflow.llm import decontamination, ngram_join, packing, quality, secrets
+from spaxelflow.llm.kernel import checkpoint, key_filter_column
 from spaxelflow.llm.queries import held_out
 
 ORACLE_SQL = None  # the classifier's compressed sizes are not expressible in SQL
@@ -29,7 +30,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = ngram_join.near_duplicate_groups(docs)
     stay = groups.where("doc_id <=> component_id").select("doc_id").distinct()
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi")
+    ids = groups.select("doc_id").distinct()
+    gone = checkpoint(ids.join(stay, ids.doc_id.eqNullSafe(stay.doc_id), "left_anti"))
+    # A filter of bounded size says which texts may go; only those are shuffled, for the exact answer.
+    suspect = key_filter_column(gone, "doc_id")
+    doubted = docs.where(suspect)
+    kept = docs.where(~suspect).unionByName(doubted.join(gone, doubted.doc_id.eqNullSafe(gone.doc_id), "left_anti"))
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_semi").dropDuplicates(["doc_id"])
@@ -67,8 +73,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; between stages the rows are written to the shared checkpoint folder."""
-    from spaxelflow.llm.kernel import checkpoint
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
