@@ -20,7 +20,7 @@ from .kernel import ALNUM_WORDS, U64, Words, join2, slices, window_hash
 WINDOW = 10
 RAREST = 3  # terms of a window that proximity asks for
 SLOP = 5  # further words that a proximity match may span
-MAX_ITEM_WORDS = 20_000_000  # the broadcast query set; more items run in several passes
+MAX_ITEM_WORDS = 20_000_000  # the broadcast query set; more benchmark text is refused
 
 
 class Queries:
@@ -164,13 +164,13 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     items: ids (as strings, sorted) of items of which a window occurs; n_hit: words inside any occurrence; n_near: items
     of which some window's rarest terms stand within width + slop words. Null and empty texts have no words and no hits,
     as have items without words; repeated items count once; repeated documents each get their row; an empty table
-    gives an empty result. Extra columns may have any name.
+    gives an empty result. Extra columns may have any name. Items of over 6 * MAX_ITEM_WORDS characters raise ValueError.
     """
     spark = docs.sparkSession
     keep = keep if keep is not None else [c for c in docs.columns if c != "text"]
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if words > 6 * MAX_ITEM_WORDS:
-        raise ValueError("more benchmark text than one broadcast may hold: run it in several passes")
+        raise ValueError("more benchmark text than one broadcast may hold: give it in parts")
     rows = [(r[0], r[1]) for r in items.select(F.col("item_id").cast("string"), "text").where("item_id is not null").distinct().collect()]
     queries = Queries(rows, width)
     first = spark.sparkContext.broadcast(queries)
