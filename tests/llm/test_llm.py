@@ -242,6 +242,18 @@ def test_html(spark):
     assert got[20].text == got[21].text == "" and got[20].n_chars == 0
 
 
+def test_html_large_host(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    own = [say(30) + " at the end of the day " + say(30) for _ in range(4400)]
+    rare, common = [say(40) for _ in range(40)], say(20)  # rare ones stand on two pages each, in a block with own text
+    page = lambda k: f"<body><div>{common}</div><div>Read more</div><div>{own[k]} {rare[k % 2200] if k % 2200 < 40 else ''}</div></body>"
+    pages = spark.createDataFrame([(k, "http://big.example/x", page(k)) for k in range(4400)], "page_id long, url string, html string").repartition(7)
+    for hot in (10_000, 100):
+        monkeypatch.setattr(html_text, "HOT_PAGES", hot, raising=False)
+        assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == dict(enumerate(own))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (3, 2, "user", "c"), (4, 0, None, None), (5, None, "user", "z"), (6, 0, "user", "a"), (6, 1, "assistant", "b"), (6, 2, "user", "c"), (None, 0, "user", "q")]
     rows += [(7, k, "user", str(k)) for k in range(600)] + [(8, k, "user", str(k)) for k in range(599)]
