@@ -254,6 +254,13 @@ def test_html_large_host(spark, monkeypatch):
         assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == dict(enumerate(own))
 
 
+def test_html_outside_container(spark):
+    page = lambda k: f"<body><div>Welcome to the shop</div><h1>Title {k}</h1><article><p>Text {k % 2}</p></article><div>Ends {k}</div><div>All rights reserved</div><footer>f {k}</footer>"
+    rows = [(k, "http://a.example/x", page(k)) for k in range(3)] + [(9, "http://lone.example/", page(9))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"Title {k}\nText {k % 2}\nEnds {k}" for k in range(3)}, 9: "Text 1"}
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (3, 2, "user", "c"), (4, 0, None, None), (5, None, "user", "z"), (6, 0, "user", "a"), (6, 1, "assistant", "b"), (6, 2, "user", "c"), (None, 0, "user", "q")]
     rows += [(7, k, "user", str(k)) for k in range(600)] + [(8, k, "user", str(k)) for k in range(599)]
