@@ -26,20 +26,20 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose doc_id names the group; of rows that repeat it, one."""
-    groups = ngram_join.near_duplicate_groups(docs)
-    stay = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    ids = groups.select("doc_id").distinct()
-    gone = checkpoint(ids.join(stay, ids.doc_id.eqNullSafe(stay.doc_id), "left_anti"))
+    """One row of each group of near copies stays, the one with the smallest doc_id (null ids last), whatever ids the rows
+    have: different texts that share a doc_id, or have none, all stay, as do rows without words."""
+    surplus = checkpoint(ngram_join.surplus(docs))
     # A filter of bounded size says which texts may go; only those are shuffled, for the exact answer.
-    suspect = key_filter_column(gone, "doc_id")
-    doubted = docs.where(suspect)
-    kept = docs.where(~suspect).unionByName(doubted.join(gone, doubted.doc_id.eqNullSafe(gone.doc_id), "left_anti"))
-    if repeated.isEmpty():
+    suspect = key_filter_column(surplus, "doc_id")
+    doubted = ngram_join.with_set_key(docs.where(suspect))
+    same = doubted.row.doc_id.eqNullSafe(surplus.doc_id) & (doubted.set_key == surplus.set_key)
+    kept = docs.where(~suspect).unionByName(doubted.join(surplus, same, "left_anti").select("row.*"))
+    several = surplus.where("stays").select("doc_id", "set_key")
+    if several.isEmpty():
         return kept
-    once = kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_anti").unionByName(once)
+    equal = doubted.where(key_filter_column(several, "set_key")).groupBy("row.doc_id", "set_key").agg(F.min("row").alias("row"))
+    once = equal.join(several, equal.doc_id.eqNullSafe(several.doc_id) & (equal.set_key == several.set_key), "left_semi")
+    return kept.unionByName(once.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

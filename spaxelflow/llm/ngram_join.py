@@ -315,8 +315,8 @@ def _links(docs: DataFrame, reps: DataFrame, heads: DataFrame, size: int, percen
 def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text, ...) -> (profile, components).
 
-    profile(doc_id, n, set_key): each row's set size and set key. components(node, component): over rep ids (the
-    smallest doc_id with a set key); sets without links are absent. Null or wordless text: n = 0, linked with
+    profile(doc_id, n, set_key): each row's set size and set key. components(node, component): over set keys; sets
+    without links are absent. Null or wordless text: n = 0, linked with
     nothing. Repeated rows keep their own profile rows. Extra columns are ignored. Empty table: both empty.
     """
     spark = docs.sparkSession
@@ -335,8 +335,7 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     pick, head_schema = _heads(percent)
     heads = checkpoint(docs.mapInArrow(run, schema).groupBy("bucket").applyInArrow(pick, head_schema).distinct())
     links = _links(docs, reps, heads, size, percent)
-    ends = reps.select(F.col("set_key").alias("a"), F.col("doc_id").alias("da")), reps.select(F.col("set_key").alias("b"), F.col("doc_id").alias("db"))
-    return profile, connected_components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("da").alias("a"), F.col("db").alias("b")))
+    return profile, connected_components(links)
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -347,6 +346,37 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, percent: int = P
     """
     profile, parts = jaccard_links(docs, size, percent)
     reps = profile.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    placed = reps.join(parts, reps.rep == parts.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    linked = reps.join(parts, reps.set_key == parts.node).select("set_key", "rep", F.col("component").alias("part"))
+    names = linked.groupBy("part").agg(F.min("rep").alias("component"))
+    parts = linked.join(names, "part").select("set_key", "component")
+    placed = reps.join(parts, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     full = profile.where("n > 0").join(placed, "set_key").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return full.unionByName(profile.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def surplus(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, set_key, stays) of the rows that are too many, each pair of the two once.
+
+    A component is one of shingle sets, whatever ids their rows have. Its least (doc_id, set_key), null ids last, stays
+    (stays true, only listed if several rows have both); all other rows with one of its sets go (stays false). Rows without
+    words aren't listed.
+    """
+    profile, parts = jaccard_links(docs, size, percent)
+    rows = profile.where("n > 0").groupBy("doc_id", "set_key").agg(F.count("*").alias("rows"))
+    rows = rows.join(parts, rows.set_key == parts.node, "left").select("doc_id", "set_key", "rows", F.coalesce("component", "set_key").alias("component"))
+    top = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_key")).alias("top"))
+    top = top.select(F.col("top.doc_id").alias("top_id"), F.col("top.set_key").alias("top_key"))
+    found = rows.join(top, rows.doc_id.eqNullSafe(top.top_id) & (rows.set_key == top.top_key), "left")
+    return found.select("doc_id", "set_key", F.col("top_key").isNotNull().alias("stays"), "rows").where("rows > 1 or not stays").drop("rows")
+
+
+def with_set_key(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """docs(text, ...) -> (row: all columns of docs, set_key)."""
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            keys = np.array([set_key(s) for s in shingle_sets(part.column("text"), size)], U64)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(keys.view(np.int64))], ["row", "set_key"])
+
+    types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.select(F.struct(*docs.columns).alias("row"), "text").mapInArrow(run, f"row struct<{types}>, set_key long")

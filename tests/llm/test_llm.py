@@ -273,6 +273,24 @@ def test_chat(spark):
     assert chat_format.render(turns.limit(0)).count() == 0
 
 
+def test_near_duplicates_by_row(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(3)
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    text = lambda w: " ".join(w)
+    a, b, c, d, e, f, g = (say(100) for _ in range(7))
+    bridge = g[:92] + say(8)
+    far = bridge[8:] + say(8)  # linked with g over the bridge alone
+    rows = [(None, text(a)), (None, text(b)), (5, text(c)), (5, text(d)), (5, text(d)), (6, text(d) + " tail"), (7, text(e)), (None, text(e) + " tail"), (None, text(f)), (None, text(f))]
+    rows += [(8, text(g)), (None, text(bridge)), (9, text(far)), (None, None), (None, ""), (4, ""), (4, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    want = [(None, text(a)), (None, text(b)), (5, text(c)), (5, text(d)), (7, text(e)), (None, text(f)), (8, text(g)), (None, None), (None, ""), (4, ""), (4, " ")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    groups = {r.doc_id: r.component_id for r in ngram_join.near_duplicate_groups(docs).where("doc_id > 6").collect()}
+    assert groups == {7: 7, 8: 8, 9: 8}
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     folder = tmp_path / "sf"
