@@ -43,7 +43,7 @@ class Queries:
                 lengths.append(np.array([b - a]))
                 terms.append(h[a:b])
                 owner.append(k)
-        self.names = [str(i) for i, _ in items]
+        self.names = [i for i, _ in items]
         self.terms, self.owner = terms, np.array(owner, np.int64)
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         self.length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
@@ -152,7 +152,7 @@ def _search(shared, slop: int):
                     pairs = np.unique(np.stack([np.concatenate([d for d, _ in found]), np.concatenate([o for _, o in found])], axis=1), axis=0)
                     for d, o in pairs.tolist():
                         items[d].append(q.names[o]) if into == "items" else close_items[d].add(q.names[o])
-            items = [sorted(set(x)) for x in items]
+            items = [sorted(set(x), key=lambda i: (i is None, i)) for x in items]
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([len(x) for x in close_items], pa.int64())], ["row", "n_words", "n_hit", "items", "n_near"])
 
     return run, "n_words long, n_hit long, items array<string>, n_near long"
@@ -161,9 +161,10 @@ def _search(shared, slop: int):
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, width: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """docs(text, ...), items(item_id, text) -> the `keep` columns of docs with n_words, n_hit, items, n_near.
 
-    items: ids (as strings, sorted) of items of which a window occurs; n_hit: words inside any occurrence; n_near: items
-    of which some window's rarest terms stand within width + slop words. Null and empty texts have no words and no hits,
-    as have items without words; repeated items count once; repeated documents each get their row; an empty table
+    items: ids (as strings, sorted) of items of which a window occurs. All items without an id count as one, a null at the
+    end of the list: their words are hits, they add one to n_items, and no name to items_sha256. n_hit: words inside any occurrence; n_near: items of
+    which some window's rarest terms stand within width + slop words. Null and empty texts have no words and no hits, as
+    have items without words; repeated items count once; repeated documents each get their row; an empty table
     gives an empty result. Extra columns may have any name. Items of over 6 * MAX_ITEM_WORDS characters raise ValueError.
     """
     spark = docs.sparkSession
@@ -171,7 +172,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if words > 6 * MAX_ITEM_WORDS:
         raise ValueError("more benchmark text than one broadcast may hold: give it in parts")
-    rows = [(r[0], r[1]) for r in items.select(F.col("item_id").cast("string"), "text").where("item_id is not null").distinct().collect()]
+    rows = [(r[0], r[1]) for r in items.select(F.col("item_id").cast("string"), "text").distinct().collect()]
     queries = Queries(rows, width)
     first = spark.sparkContext.broadcast(queries)
     counts = np.zeros(len(queries.vocabulary), np.int64)

@@ -137,6 +137,20 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_without_item_id(spark, tmp_path):
+    from spaxelflow.llm import queries
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x a b c d e f y"), (3, "d e f"), (4, "z")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c"), (None, "b c d"), (7, "d e f"), (10, "e f")], "item_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.items for r in decontamination.contamination(docs, items).collect()}
+    assert got == {1: [None], 2: ["10", "7", None], 3: ["10", "7"], 4: []}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op6_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 3, 1, sha(""), True), 2: (8, 6, 3, sha("10,7"), True), 3: (3, 3, 2, sha("10,7"), True), 4: (1, 0, 0, sha(""), False)}
+
+
 def test_fingerprints(docs, empty):
     rows = sorted(((i, t or "") for i, t in corpus()), reverse=True)
     got = {r.doc_id: r for r in fingerprints.fingerprint_neighbours(docs).collect()}
