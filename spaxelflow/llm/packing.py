@@ -28,7 +28,7 @@ _CACHE_IDS = 20_000_000
 class PieceEncoder:
     """Token ids of whole texts. Texts are cut into the pre-tokens of the byte-level BPE (numpy, on code units), each
     different pre-token is encoded once, and ids are gathered. Texts with characters whose class is not in the fixed
-    table below (beyond Latin-1 and Latin Extended-A) go to the tokenizer whole. `ranks`: the same vocabulary as a file
+    table below (beyond Latin-1 and Latin Extended-A) or an added token's content (<|endoftext|>) go to the tokenizer whole. `ranks`: the same vocabulary as a file
     of ranks, with which single pre-tokens are encoded faster, to the same ids."""
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -44,7 +44,7 @@ class PieceEncoder:
             self.single = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=merges, special_tokens={}).encode_ordinary
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
         table = np.full(0x180, 3, np.uint8)  # 0 space, 1 letter, 2 number, 3 other
         for c in range(0x180):
@@ -94,6 +94,8 @@ class PieceEncoder:
         strange = code >= 0x180
         odd = np.zeros(n, bool)
         odd[np.searchsorted(begins, np.flatnonzero(strange), side="right") - 1] = True
+        for content in self.added:
+            odd |= pc.fill_null(pc.match_substring(column, content), False).to_numpy(zero_copy_only=False)
         kind = self.table[np.where(strange, 0, code)]
         m = len(at)
         edge = np.zeros(m + 1, bool)
