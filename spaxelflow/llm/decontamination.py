@@ -1,8 +1,8 @@
 """Benchmark decontamination over a document-partitioned positional inverted index (operator 6).
 
-Pass 1 counts every benchmark term over all training documents. Pass 2 stores, shard by shard, the positions of the
-terms that are the rarest of some window; a window's lists are intersected after shifting each by the term's offset,
-rarest first, and what is left is compared exactly. A document's postings never leave its shard, so there is no
+Pass 1 counts every benchmark term over all training documents. Pass 2 lists, slice by slice, the positions of the terms
+that are the rarest of some window. Exact hits take the positions of a window's rarest term, shifted by its offset, and
+compare the hash of the window's words there; only near items intersect the lists of several terms. A document's postings never leave its shard, so there is no
 shuffle by term and a frequent term is no hot key.
 """
 
