@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spaxelflow.llm import decontamination, ngram_join, packing, quality, secrets
-from spaxelflow.llm.kernel import checkpoint, key_filter_column
+from spaxelflow.llm.kernel import checkpoint, key_filter, key_filter_column
 from spaxelflow.llm.queries import held_out
 
 ORACLE_SQL = None  # the classifier's compressed sizes are not expressible in SQL
@@ -30,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     have: different texts that share a doc_id, or have none, all stay, as do rows without words."""
     surplus = checkpoint(ngram_join.surplus(docs))
     # A filter of bounded size says which texts may go; only those are shuffled, for the exact answer.
-    suspect = key_filter_column(surplus, "doc_id")
-    doubted = ngram_join.with_set_key(docs.where(suspect))
+    maybe = key_filter(surplus, "doc_id")
+    suspect = key_filter_column(surplus, "doc_id", maybe)
+    doubted = ngram_join.with_set_key(docs, maybe)
     same = doubted.row.doc_id.eqNullSafe(surplus.doc_id) & (doubted.set_key == surplus.set_key)
     kept = docs.where(~suspect).unionByName(doubted.join(surplus, same, "left_anti").select("row.*"))
     several = surplus.where("stays").select("doc_id", "set_key")

@@ -259,12 +259,20 @@ class KeyFilter:
         return KeyFilter(bits)
 
 
-def key_filter_column(df, column: str):
-    """A boolean column over `column`: True for every value of df (null as 0), and seldom for another one."""
+def key_filter(df, column: str):
+    """The broadcast KeyFilter of a column of df (null as 0)."""
     from pyspark.sql import functions as F
 
     keys = df.select(F.coalesce(F.col(column).cast("long"), F.lit(0)).alias("key"))
-    shared = df.sparkSession.sparkContext.broadcast(KeyFilter.build(keys, "key", keys.count()))
+    return df.sparkSession.sparkContext.broadcast(KeyFilter.build(keys, "key", keys.count()))
+
+
+def key_filter_column(df, column: str, shared=None):
+    """A boolean column over `column`: True for every value of df (null as 0), and seldom for another one. `shared`: the
+    filter, if it is there already."""
+    from pyspark.sql import functions as F
+
+    shared = shared or key_filter(df, column)
 
     @F.pandas_udf("boolean")
     def has(values: pd.Series) -> pd.Series:

@@ -370,13 +370,17 @@ def surplus(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     return found.select("doc_id", "set_key", F.col("top_key").isNotNull().alias("stays"), "rows").where("rows > 1 or not stays").drop("rows")
 
 
-def with_set_key(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """docs(text, ...) -> (row: all columns of docs, set_key)."""
+def with_set_key(docs: DataFrame, wanted, size: int = SHINGLE) -> DataFrame:
+    """docs(doc_id, text, ...) -> (row: all columns of docs, set_key) of the rows whose doc_id is in the filter."""
 
     def run(batches):
         for part in slices(batches, "text"):
+            ids = part.column("id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+            part = part.filter(pa.array(wanted.value.has(ids)))
+            if not part.num_rows:
+                continue
             keys = np.array([set_key(s) for s in shingle_sets(part.column("text"), size)], U64)
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(keys.view(np.int64))], ["row", "set_key"])
 
     types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(F.struct(*docs.columns).alias("row"), "text").mapInArrow(run, f"row struct<{types}>, set_key long")
+    return docs.select(F.struct(*docs.columns).alias("row"), "text", F.col("doc_id").cast("long").alias("id")).mapInArrow(run, f"row struct<{types}>, set_key long")
