@@ -176,12 +176,15 @@ def partitions_of(spark) -> int:
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
+    """The cluster names a shared folder in spark.checkpoint.dir. Where it is unset, only a local master (tests) gets a folder
+    of its own; on a cluster that is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

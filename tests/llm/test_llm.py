@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -247,18 +248,68 @@ def test_language_id(spark, empty):
     assert language_id.predict(empty.select("doc_id", "text"), model).count() == 0
 
 
-def test_quality(spark, empty):
-    rng = np.random.default_rng(6)
+def good_and_bad(n, seed=6):
+    rng = np.random.default_rng(seed)
     nouns = [f"{a}{b}" for a in ("ba", "ri", "to", "me", "lu") for b in ("nder", "ston", "ling", "ver", "mation")]
-    good = [". ".join(" ".join(rng.choice(nouns, 9)).capitalize() for _ in range(12)) for _ in range(80)]
-    bad = [" ".join(w.upper() + "!!%%%" for w in rng.choice(nouns, 90)) for _ in range(80)]
-    rows = [(k, t) for k, t in enumerate(good + bad)] + [(500, None), (501, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k < 80), 0) for k in range(160) if k % 2], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels)).collect()}
-    assert np.mean([(got[k] >= 0.7) == (k < 80) for k in range(0, 160, 2)]) > 0.95
-    assert got[500] == got[501] == 0.0
-    assert quality.score(empty.select("doc_id", "text"), quality.train(docs, labels.limit(0))).count() == 0
+    good = [". ".join(" ".join(rng.choice(nouns, 9)).capitalize() for _ in range(12)) for _ in range(n)]
+    bad = [" ".join(w.upper() + "!!%%%" for w in rng.choice(nouns, 90)) for _ in range(n)]
+    return good, bad
+
+
+def test_quality(spark, empty):
+    good, bad = good_and_bad(80)
+    rows = [(k, t) for k, t in enumerate(good + bad)] + [(500, None), (501, ""), (502, good[0]), (0, good[0])]
+    docs = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, score double, row string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k < 80), 0) for k in range(160) if k % 2] + [(1, 1, 0), (3, 0, 0), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs.select("doc_id", "text"), labels)
+    found = quality.score(docs, model, ["doc_id", "row"]).collect()
+    got = {r.doc_id: r.score for r in found}
+    assert len(found) == len(rows) and np.mean([(got[k] >= 0.7) == (k < 80) for k in range(0, 160, 2)]) > 0.95
+    assert got[500] == got[501] == 0.0 and got[502] == got[0] and len(set(got.values())) > 100
+    assert quality.score(empty.select("doc_id", "text"), quality.train(docs.select("doc_id", "text"), labels.limit(0))).count() == 0
+
+
+def test_quality_score_by_hand(spark):
+    import zstandard
+
+    good, bad = good_and_bad(60)
+    texts = good + bad + [" ".join(good), bad[0] * 40 + good[1], "é", "x" * 1023, "x" * 1024, "x" * 2047, "x" * 2048]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(k, int(k < 60)) for k in range(120)], "doc_id long, quality int"))
+    size = lambda part, dictionary: len(zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(part))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for k, t in list(enumerate(texts))[::9] + list(enumerate(texts))[-7:]:
+        raw = t.encode()
+        n = max(1, len(raw) // 1024)
+        parts = [raw[1024 * i :] if i == n - 1 else raw[1024 * i : 1024 * i + 1024] for i in range(n)]
+        saved = [size(p, model.bad) - size(p, model.good) for p in parts]
+        x = [sum(saved) / len(raw), min(s / len(p) for s, p in zip(saved, parts))]
+        logit = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale))
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-9)
+
+
+def test_quality_fit():
+    rng = np.random.default_rng(0)
+    for gap in (0.0, 1.0, 50.0):  # from no signal to wholly separable
+        x = np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(gap, 1, (300, 2))])
+        y = np.repeat([0.0, 1.0], 300)
+        w = quality.fit(x, y, np.ones(600))
+        assert np.abs(w).max() < 50
+        assert np.mean(((x @ w[1:] + w[0]) > 0) == y) >= (0.45, 0.7, 1.0)[(gap > 0) + (gap > 1)]
+
+
+def test_quality_held_out_labels(spark):
+    from spaxelflow.llm import queries
+
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no test data")
+    found = queries.op2_compression_quality(spark, str(folder)).where("held_out").toPandas()
+    marked = found.merge(spark.read.parquet(f"{folder}/labels.parquet").toPandas(), on="doc_id")
+    good = marked.quality == 1
+    ranks = marked.score.rank()
+    area = (ranks[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert (marked.predicted == marked.quality).mean() >= 0.97 and area >= 0.98 and marked.score.nunique() > 500
 
 
 def test_html(spark):
@@ -340,3 +391,24 @@ def test_pipeline(spark, tmp_path):
     final = {r.doc_id: r for r in seen.collect()}
     assert set(final) == stay and final[7001].text == "[SECRET] and more words here" and final[7001].n_chars == 28
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(folder)).collect()} == stay
+
+
+def test_pipeline_stages_with_labels(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    good, bad = good_and_bad(90, seed=1)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string, clean_text string, kept string, score double"
+    texts = good + bad + [good[0], good[1] + " tail", good[2] + " some words of the benchmark item here", good[3] + " password = hunter2222", None]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), "s", "c", "k", 1.5) for k, t in enumerate(texts)], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k < 90), 0) for k in range(180)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "some words of the benchmark item here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen, kept = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, str(tmp_path))
+        assert seen.columns == docs.columns and seen.dtypes == docs.dtypes
+        kept.append({r.doc_id: r for r in seen.collect()})
+    ids = [set(k) for k in kept]
+    assert ids[0] >= set(range(90)) - set(range(4)) and not ids[0] & set(range(90, 180)) and len(ids[0]) >= 90
+    assert ids[1] == ids[0] - {180, 181, 182, 183} | ({182, 183} & ids[1]) and not {180, 181} & ids[1]
+    assert 182 not in ids[2] and ids[2] == ids[1] - {182}
+    assert ids[3] == ids[2] and all(r.text == texts[k].replace("password = hunter2222", "[SECRET]") and r.spans == "s" for k, r in kept[3].items())
