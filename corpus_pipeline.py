@@ -20,8 +20,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the compression classifier rejects go. It is fitted on the stage's own labelled rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     model = quality.train(docs.where(~held_out()), labels)
-    kept = [c for c in docs.columns]
-    scored = quality.score(docs.withColumn("kept", F.struct(*kept)), model, ["kept"])
+    scored = quality.score(docs.select(F.struct(*docs.columns).alias("kept"), "text"), model, ["kept"])
     return scored.where(F.col("score") >= quality.THRESHOLD).select("kept.*")
 
 
@@ -45,17 +44,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontamination.contamination(docs.withColumn("kept", F.struct(*docs.columns)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["kept"])
+    found = decontamination.contamination(docs.select(F.struct(*docs.columns).alias("kept"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["kept"])
     return found.where("n_hit = 0").select("kept.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found in a text gives way to a mark."""
-    found = secrets.scan(docs.withColumn("kept", F.struct(*[c for c in docs.columns if c != "text"])), ["kept"])
-    changed = found.select("kept.*", F.col("clean_text").alias("text"), "spans")
+    found = secrets.scan(docs.select(F.struct(*docs.columns).alias("kept"), "text"), ["kept"])
+    changed = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("spans") == "", F.col("kept.n_chars")).otherwise(F.length("clean_text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*[changed.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
