@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on texts with every odd case."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -234,6 +235,107 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def brute_base(text):
+    """The base spans, by hand."""
+    out = []
+    for kind, words, member, least in (("access", ["AKIA"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", [""], "0123456789abcdef", 24)):
+        at = 0
+        while at < len(text):
+            word = next((w for w in words if text.startswith(w, at)), None)
+            end = at + len(word or "")
+            while word is not None and end < len(text) and text[end] in member:
+                end += 1
+            if word is None or end == at + len(word):
+                at += 1
+                continue
+            if end - at >= least:
+                out.append((at, kind, end))
+            at = end
+    for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if m.end() - m.start(1) >= 6:
+            out.append((m.start(), "assign", m.end()))
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(out, key=lambda x: (x[0], ("assign", "access", "hex").index(x[1]))))
+
+
+def test_secrets_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    bits = ["password", "Token", "api_key", "APIKEY", ":", "=", " ", '"', "'", "AKIA", "ABCDEFGHIJ", "0123456789ab", "cdef01", "hunter2", "é", "中", "\n", ".", "-", "x", "secret", "deadbeefdeadbeef"]
+    texts = ["".join(rng.choice(bits, int(n))) for n in rng.integers(0, 40, 400)]
+    docs = spark.createDataFrame([(k, t, "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, spans string, n_hex int").repartition(3)
+    got = {r.doc_id: r for r in secrets.scan(docs, ["doc_id"]).collect()}
+    for k, t in enumerate(texts):
+        want = brute_base(t)
+        assert ",".join(p for p in got[k].spans.split(",") if not p.startswith("novel")) == want
+        assert got[k].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [want.count(f"{n}:") for n in ("assign", "access", "hex")]
+
+
+def test_secrets_novelty(spark):
+    """Planted strings are found, identifiers that the corpus knows are not, with the dictionary taken from the corpus."""
+    rng = np.random.default_rng(4)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    parts = "customer billing address line machine learning course shipping status update service account manager index value result handler request client server buffer stream window factory builder parser".split()
+    named = lambda: "_".join(rng.choice(parts, 4))
+    code = [f"def {named()}({named()}):\n    {rng.choice(parts)}.{rng.choice(parts)} = {named()}(x)\n" for _ in range(120)]
+    planted = [draw(letters + "0123456789+/", n) for n in (20, 24, 32, 40, 64, 100)] * 8 + [draw("0123456789", 22) for _ in range(20)] + [draw(letters, 24) for _ in range(20)]
+    clean = [named() + "_" + str(k) for k in range(60)] + ["-" * 30, "x" * 40, "internationalization" + "s" * 4, "=" * 25]
+    texts = code + [f"bearer {p} ends" for p in planted] + [f"bearer {c} ends" for c in clean] + [f"plain {planted[0]} text", "credential " + planted[5] * 3]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    found = [got[len(code) + k].spans == f"novel:7:{7 + len(p)}" for k, p in enumerate(planted)]
+    kept = [got[len(code) + len(planted) + k].spans == "" for k in range(len(clean))]
+    assert np.mean(found) >= 0.97 and np.mean(kept) >= 0.95 and got[len(texts) - 2].spans == ""
+    words = secrets.identifiers(spark.createDataFrame(list(enumerate(texts + [planted[6]] * 50)), "doc_id long, text string"))
+    assert set(parts) <= set(words) and len(words) <= secrets.DICTIONARY_WORDS
+    assert words == secrets.identifiers(spark.createDataFrame(list(enumerate(texts[::-1])), "doc_id long, text string"))
+
+
+def test_secrets_long_text(spark):
+    text = "token " + " ".join(f"password=abcdef{k} key Zx81Qk4Lw0PpT7vBn3Rf9Ys2Hd6Gm5Jc" for k in range(4_000))
+    r = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_assign == 4_000
+
+
+def test_language_id_against_brute_force(spark):
+    """Counts, posteriors and choices of the whole model, gram by gram."""
+    rng = np.random.default_rng(9)
+    alphabets = {"aa": "abcdé ", "bb": "bcdeß中 ", "cc": "xyz\U0001F600ab "}
+    rows = [(k, "".join(rng.choice(list(alphabets[lang]), int(n))), lang) for k, (lang, n) in enumerate(zip(list(alphabets) * 30, rng.integers(0, 60, 90)))] + [(90, "ABC", "aa"), (91, None, "aa"), (92, "zz", None), (93, "bcd " * 300_000, "bb"), (0, "bcde", "bb")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string").repartition(4)
+    model = language_id.train(docs)
+
+    def grams(text):
+        return [(n, text[k : k + n]) for n in (1, 2, 3) for k in range(len(text) - n + 1)]
+
+    @functools.cache
+    def feature(g):
+        return int(language_id.features(np.array([ord(c) for c in g[1]], np.uint32), g[0])[0])
+
+    counts = {lang: np.ones(language_id.FEATURES) for lang in alphabets}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            for g in grams(text.lower()):
+                counts[lang][feature(g)] += 1
+    assert model.langs == sorted(alphabets)
+    for k, lang in enumerate(model.langs):
+        assert np.allclose(model.matrix[:, k], np.log(counts[lang] / counts[lang].sum()), atol=1e-5)
+    got = {(r.doc_id, r.text): r for r in language_id.predict(docs, model, ["doc_id", "text"]).collect()}
+    for k, text, _ in rows[:40] + rows[90:]:
+        r = got[k, text]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = np.array([sum(float(model.matrix[feature(g), j]) for g in grams(text.lower())) for j in range(3)])
+        assert r.lang_pred == model.langs[int(total.argmax())]
+        assert r.score == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-4)
+
+
+def test_language_id_ties(spark):
+    docs = spark.createDataFrame([(1, "ab", "yy"), (2, "ab", "xx")], "doc_id long, text string, lang string")
+    got = language_id.predict(docs, language_id.train(docs)).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("xx", 0.5)] * 2
+
+
 def test_language_id(spark, empty):
     words = {"en": "the and of that with for this from", "fr": "le les des une pour dans avec est", "de": "und der die das nicht ein mit auf"}
     rng = np.random.default_rng(5)
