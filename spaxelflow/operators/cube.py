@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..sources.ingest import uniform
 
 
+CUBE_SCHEMA = "galaxy_id long, spaxel int, flux array<double>"
+
+
 def array_total(flux: Column | str) -> Column:
     return F.aggregate(flux, F.lit(0.0), lambda s, v: s + v)
 
@@ -45,25 +48,42 @@ def _rows(sums):
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), flux], ["galaxy_id", "spaxel", "flux"])
 
 
+def _ordered_sums(batches):
+    """Sums of neighbouring rows of one (galaxy, spaxel); one running total is held."""
+    key, total = None, None
+    for batch in batches:
+        for part in _partial_sums([batch]):
+            galaxy, spaxel = part.column("galaxy_id").to_pylist(), part.column("spaxel").to_pylist()
+            flux = part.column("flux").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            done = {}
+            for g, s, row in zip(galaxy, spaxel, flux):
+                if (g, s) == key:
+                    total = total + row
+                    continue
+                if key is not None:
+                    done[key] = total
+                key, total = (g, s), row
+            if done:
+                yield _rows(done)
+    if key is not None:
+        yield _rows({key: total})
+
+
 def add_cubes(cubes: DataFrame) -> DataFrame:
-    """Sum of the arrays of each (galaxy, spaxel): partial and final sums of each bin, then bins in order again."""
-    long = cubes.select("galaxy_id", "spaxel", F.posexplode("flux").alias("k", "v"))
-    return from_long(long.groupBy("galaxy_id", "spaxel", "k").agg(F.sum("v").alias("v")))
+    """Sum of the arrays of each (galaxy, spaxel). Rows of a spaxel meet in one task, sorted, and are added one after another,
+    so that arrays are never taken apart and no group is held."""
+    met = cubes.select(F.col("galaxy_id").cast("long").alias("galaxy_id"), F.col("spaxel").cast("int").alias("spaxel"), F.col("flux").cast("array<double>").alias("flux")).where("flux is not null")
+    return met.repartition("galaxy_id", "spaxel").sortWithinPartitions("galaxy_id", "spaxel").mapInArrow(_ordered_sums, CUBE_SCHEMA)
 
 
 def to_long(cube: DataFrame) -> DataFrame:
     return cube.select("galaxy_id", "spaxel", F.posexplode("flux").alias("k", "v"))
 
 
-def from_long(long: DataFrame) -> DataFrame:
-    packed = long.groupBy("galaxy_id", "spaxel").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("p"))
-    return packed.select("galaxy_id", "spaxel", F.col("p.v").alias("flux"))
-
-
 def accumulate_cube(df: DataFrame, n: int | None = None) -> DataFrame:
     """Spectra (galaxy_id, spaxel, flux) summed by spaxel; with n, spaxels without spectra are zeros."""
     partial = df.select(F.col("galaxy_id").cast("long").alias("galaxy_id"), F.col("spaxel").cast("int").alias("spaxel"), F.col("flux").cast("array<double>").alias("flux")).where("flux is not null")
-    cube = add_cubes(partial.mapInArrow(_partial_sums, "galaxy_id long, spaxel int, flux array<double>"))
+    cube = add_cubes(partial.mapInArrow(_partial_sums, CUBE_SCHEMA))
     return cube if n is None else zero_fill(cube, n)
 
 
@@ -84,7 +104,7 @@ def image(cube: DataFrame, lo: int | None = None, hi: int | None = None) -> Data
 
 
 def total_spectrum(cube: DataFrame) -> DataFrame:
-    return add_cubes(cube.withColumn("spaxel", F.lit(0))).drop("spaxel")
+    return accumulate_cube(cube.withColumn("spaxel", F.lit(0))).drop("spaxel")
 
 
 def within_radius(cube: DataFrame, n: int, x: int, y: int, r: float) -> DataFrame:
@@ -126,6 +146,8 @@ def stencil_sum(cube: DataFrame, kernel: list[tuple[int, int, float]], n: int) -
 
 
 def convolve_psf(cube: DataFrame, n: int, size: int, sigma: float) -> DataFrame:
+    if not (size and size > 0 and sigma and sigma > 0):
+        raise ValueError("a PSF needs a size and a sigma above 0")
     return stencil_sum(cube, gaussian_kernel(size, size, sigma), n)
 
 
@@ -136,6 +158,8 @@ def lsf_taps(sigma: float, wave_res: float, extent: int = 12) -> list[float]:
 
 def convolve_lsf(cube: DataFrame, sigma: float, wave_res: float, extent: int = 12) -> DataFrame:
     """Gaussian smoothing along wavelength, zero padding, same length."""
+    if not (sigma and sigma > 0):
+        raise ValueError("an LSF needs a sigma above 0")
     taps = np.array(lsf_taps(sigma, wave_res, extent))
 
     def smooth(batches):
@@ -151,18 +175,24 @@ def convolve_lsf(cube: DataFrame, sigma: float, wave_res: float, extent: int = 1
     return cube.select(F.col("galaxy_id").cast("long").alias("galaxy_id"), F.col("spaxel").cast("int").alias("spaxel"), "flux").mapInArrow(smooth, "galaxy_id long, spaxel int, flux array<double>")
 
 
+def _amplitude(sn: float) -> Column:
+    """sqrt(median of the galaxy's non-zero image fluxes) / sn / sqrt(flux) of each spaxel's `image`; 0 where it is 0. A
+    galaxy's cube is small, so its spaxels may meet in one window."""
+    median = F.median(F.when(F.col("image") > 0, F.col("image"))).over(Window.partitionBy("galaxy_id"))
+    return F.when(F.col("image") > 0, F.sqrt(F.coalesce(median, F.lit(0.0))) / sn / F.sqrt("image")).otherwise(0.0)
+
+
 def snr_map(cube: DataFrame, sn: float) -> DataFrame:
-    """sqrt(median of non-zero image fluxes) / sn / sqrt(flux) per spaxel; 0 where the flux is 0."""
-    img = image(cube)
-    medians = img.groupBy("galaxy_id").agg(F.median(F.when(F.col("image") > 0, F.col("image"))).alias("m"))
-    amplitude = F.when(F.col("image") > 0, F.sqrt(F.coalesce("m", F.lit(0.0))) / sn / F.sqrt("image")).otherwise(0.0)
-    return img.join(medians, "galaxy_id", "left").select("galaxy_id", "spaxel", amplitude.alias("snr"))
+    return image(cube).select("galaxy_id", "spaxel", _amplitude(sn).alias("snr"))
 
 
 def add_noise(cube: DataFrame, sn: float, distribution: str = "normal", seed: int = 0) -> DataFrame:
-    """flux + flux * draw * amplitude; draws depend on (galaxy, spaxel, bin, seed) alone, whatever the partitioning."""
+    """flux + flux * draw * amplitude; draws depend on (galaxy, spaxel, bin, seed) alone, whatever the partitioning. The cube
+    is read once."""
     if distribution not in ("normal", "uniform"):
         raise ValueError(f"distribution {distribution} is neither normal nor uniform")
+    if sn is None or sn <= 0:
+        raise ValueError("the signal to noise must be above 0")
 
     def draw(k):
         u = uniform(F.col("galaxy_id"), F.col("spaxel"), k, seed)
@@ -171,7 +201,7 @@ def add_noise(cube: DataFrame, sn: float, distribution: str = "normal", seed: in
         v = uniform(F.col("galaxy_id"), F.col("spaxel"), k, seed, 1)
         return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
 
-    both = cube.join(snr_map(cube, sn), ["galaxy_id", "spaxel"])
+    both = cube.withColumn("image", array_total("flux")).withColumn("snr", _amplitude(sn))
     return both.select("galaxy_id", "spaxel", F.transform("flux", lambda v, k: v + v * draw(k) * F.col("snr")).alias("flux"))
 
 
@@ -179,7 +209,3 @@ def minmax_normalise(images: DataFrame, by: tuple[str, ...] = ("galaxy_id",), co
     limits = images.groupBy(*by).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     return images.join(limits, list(by)).withColumn("scaled", scaled).drop("lo", "hi")
-
-
-def bin_window(before: int, after: int) -> Window:
-    return Window.partitionBy("galaxy_id", "spaxel").orderBy("k").rowsBetween(-before, after)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .particles import running_sum
+
 # G in a solar mass, cm in a kpc, solar oxygen abundance.
 MSUN_G, KPC_CM, X_SOLAR = 1.989e33, 3.08568e21, 8.69
 # Fixed values of the fits log(G/D) = a + alpha (x_sol - x): free slope (a, alpha); broken (a, alpha_h, b, alpha_l, x_t).
@@ -14,16 +16,19 @@ FREE_SLOPE = {"MW": (2.21, 1.62), "Z": (2.21, 2.02)}
 BROKEN = {"MW": (2.21, 1.00, 0.68, 3.08, 7.96), "Z": (2.21, 1.00, 0.96, 3.10, 8.10)}
 
 
-def column_density(gas: DataFrame, value: str, by: tuple[str, ...] = ("galaxy_id", "spaxel"), order: tuple[str, ...] = ("z",)) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return gas.withColumn("column", F.sum(value).over(w))
+SLAB = 1.0  # kpc: depth of the slabs that a spaxel is cut into
+
+
+def column_density(gas: DataFrame, value: str, by: tuple[str, ...] = ("galaxy_id", "spaxel"), order: tuple[str, ...] = ("z",), slab: float = SLAB) -> DataFrame:
+    """Adds `column`, the sum of `value` along z, each cell's own included; in slabs, so that no spaxel is one task."""
+    return running_sum(gas, list(by), list(order), value, "column", slab)
 
 
-def asof_interp(stars: DataFrame, gas: DataFrame, value: str, by: tuple[str, ...] = ("galaxy_id", "spaxel"), slab: float | None = None) -> DataFrame:
+def asof_interp(stars: DataFrame, gas: DataFrame, value: str, by: tuple[str, ...] = ("galaxy_id", "spaxel"), slab: float | None = SLAB) -> DataFrame:
     """Stars with the gas column `value` (already cumulative) interpolated at their z between the gas cells before and
     behind; clamped at both ends, 0 where the group has no gas; at equal z gas comes first, the last of equals counts.
 
-    slab: depth in z of a sub-group. A group's window is then cut into slabs, whose border values are carried over by a
+    slab: depth in z of a sub-group (None: whole groups). A group's window is then cut into slabs, whose border values are carried over by a
     small second window, so that a crowded spaxel is not one task.
     """
     points = gas.select(*by, "z", F.col(value).alias("_v"), F.lit(0).alias("_t"))
@@ -90,6 +95,7 @@ def polynomial(x: Column, coefficients) -> Column:
 def ccm89(x: Column, rv: float = 3.1, x_unit: str = "reference") -> Column:
     """A(x)/A(V). x_unit: `wavenumber` (1/micron, the published curve), `reference` (x as it comes), `micron`."""
     x = 1 / x if x_unit == "micron" else x
+    # Fixed values of the published curve, here and in the two tables above.
     y, far = x - 1.82, F.greatest(x - 5.9, F.lit(0.0))
     a_nuv = 1.752 - 0.316 * x - 0.104 / ((x - 4.67) * (x - 4.67) + 0.341) + far * far * (-0.04473 - 0.009779 * far)
     b_nuv = -3.09 + 1.825 * x + 1.206 / ((x - 4.62) * (x - 4.62) + 0.263) + far * far * (0.2130 + 0.1207 * far)
@@ -123,7 +129,7 @@ def power_law(x: Column, amplitude: float, alpha: float, x0: float = 1.0) -> Col
 
 
 def fm90(x: Column, c1: float = 0.10, c2: float = 0.70, c3: float = 3.23, c4: float = 0.41, xo: float = 4.59, gamma: float = 0.95) -> Column:
-    far = F.greatest(x - 5.9, F.lit(0.0))
+    far = F.greatest(x - 5.9, F.lit(0.0))  # fixed values, as the defaults: the published far-ultraviolet term
     d = x * x - xo * xo
     return c1 + c2 * x + c3 * x * x / (d * d + x * x * gamma**2) + c4 * far * far * (0.5392 + 0.05644 * far)
 

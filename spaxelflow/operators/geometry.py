@@ -14,25 +14,42 @@ from .particles import inertia_tensor
 
 VIEWS = {"face-on": (0.0, 0.0, 0.0), "edge-on": (90.0, 0.0, 0.0)}
 
-# Fov and spatial resolution in arcsec, wavelength range and step in Angstrom, aperture.
+# Fov and spatial resolution in arcsec, wavelength range, step and LSF width (FWHM) in Angstrom, aperture.
 INSTRUMENTS = {
-    "MUSE": (5.0, 0.2, 4700.15, 9351.4, 1.25, "square"), "MaNGA_12": (12.0, 0.5, 3622.0, 10354.0, 1.04, "hexagonal"), "MaNGA_32": (32.0, 0.5, 3622.0, 10354.0, 1.04, "hexagonal"),
-    "SAMI": (15.0, 0.5, 3750.0, 5750.0, 1.04, "circular"), "HECTOR": (30.0, 0.1, 3720.0, 5910.0, 1.6, "hexagonal"), "CALIFA": (74.0, 1.0, 3700.0, 4750.0, 2.7, "hexagonal"),
-    "NIRSpec_PRISM_CLEAR": (3.0, 0.1, 6000.0, 53000.0, 114.36, "square"), "NIRSpec_G140M_F070LP": (3.0, 0.1, 7000.0, 12600.0, 6.38, "square"), "NIRSpec_G140M_F100LP": (3.0, 0.1, 9800.0, 18800.0, 6.38, "square"),
-    "NIRSpec_G235M_F170LP": (3.0, 0.1, 17000.0, 31500.0, 10.69, "square"), "NIRSpec_G395M_F290LP": (3.0, 0.1, 28800.0, 52000.0, 17.98, "square"), "NIRSpec_G140H_F070LP": (3.0, 0.1, 7000.0, 12600.0, 2.41, "square"),
-    "NIRSpec_G140H_F100LP": (3.0, 0.1, 9800.0, 18700.0, 2.37, "square"), "NIRSpec_G235H_F170LP": (3.0, 0.1, 17000.0, 31500.0, 3.98, "square"), "NIRSpec_G395H_F290LP": (3.0, 0.1, 28800.0, 52000.0, 6.69, "square"),
-}
+    "MUSE": (5.0, 0.2, 4700.15, 9351.4, 1.25, 2.51, "square"),
+    "NIRSpec_PRISM_CLEAR": (3.0, 0.1, 6000.0, 53000.0, 114.36, 471.00, "square"),
+    "NIRSpec_G140M_F070LP": (3.0, 0.1, 7000.0, 12600.0, 6.38, 15.02, "square"),
+    "NIRSpec_G140M_F100LP": (3.0, 0.1, 9800.0, 18800.0, 6.38, 15.02, "square"),
+    "NIRSpec_G235M_F170LP": (3.0, 0.1, 17000.0, 31500.0, 10.69, 25.20, "square"),
+    "NIRSpec_G395M_F290LP": (3.0, 0.1, 28800.0, 52000.0, 17.98, 42.39, "square"),
+    "NIRSpec_G140H_F070LP": (3.0, 0.1, 7000.0, 12600.0, 2.41, 5.65, "square"),
+    "NIRSpec_G140H_F100LP": (3.0, 0.1, 9800.0, 18700.0, 2.37, 5.65, "square"),
+    "NIRSpec_G235H_F170LP": (3.0, 0.1, 17000.0, 31500.0, 3.98, 9.42, "square"),
+    "NIRSpec_G395H_F290LP": (3.0, 0.1, 28800.0, 52000.0, 6.69, 15.78, "square"),
+    "MaNGA_12": (12.0, 0.5, 3622.0, 10354.0, 1.04, 2.85, "hexagonal"),
+    "MaNGA_32": (32.0, 0.5, 3622.0, 10354.0, 1.04, 2.85, "hexagonal"),
+    "SAMI": (15.0, 0.5, 3750.0, 5750.0, 1.04, 2.65, "circular"),
+    "HECTOR": (30.0, 0.1, 3720.0, 5910.0, 1.6, 1.3, "hexagonal"),
+    "CALIFA": (74.0, 1.0, 3700.0, 4750.0, 2.7, 2.7, "hexagonal"),
+}
+FWHM_A_SIGMA = 2 * math.sqrt(2 * math.log(2))
 
 
 def instrument_wave(name: str) -> np.ndarray:
-    _, _, lo, hi, step, _ = INSTRUMENTS[name]
-    return lo + step * np.arange(int(math.floor((hi - lo) / step + 1e-9)) + 1)
+    """The instrument's wavelengths; the upper end of its range is not among them."""
+    _, _, lo, hi, step, _, _ = INSTRUMENTS[name]
+    return lo + step * np.arange(int(math.ceil((hi - lo) / step - 1e-9)))
 
 
 def instrument_bins(name: str) -> int:
     return int(math.floor(INSTRUMENTS[name][0] / INSTRUMENTS[name][1] + 1e-9))
 
 
+def instrument_lsf(name: str) -> float:
+    """Sigma of the line spread function in Angstrom."""
+    return INSTRUMENTS[name][5] / FWHM_A_SIGMA
+
+
 def spatial_grid(galaxy: DataFrame, fov: float, bins: int, c: Cosmology = PLANCK15) -> DataFrame:
     """Adds the aperture's and a bin's size in kpc at each galaxy's redshift."""
     scaled = distance_columns(galaxy, "redshift", c)

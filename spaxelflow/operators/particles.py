@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ingest import uniform
+
 MASKED = ("mass", "metallicity", "age", "density", "sfr", "internal_energy", "electron_abundance", "temperature")
 
 
@@ -19,7 +21,7 @@ def drop_wind(df: DataFrame, formation: str = "sft") -> DataFrame:
     return df.where(F.col(formation) >= 0)
 
 
-def fov_mask(df: DataFrame, half_size: float) -> DataFrame:
+def fov_mask(df: DataFrame, half_size: float | Column) -> DataFrame:
     return df.withColumn("mask", F.col("x").between(-half_size, half_size) & F.col("y").between(-half_size, half_size))
 
 
@@ -30,12 +32,12 @@ def apply_mask(df: DataFrame, how: str = "drop") -> DataFrame:
     return df.withColumns({c: F.when(F.col("mask"), F.col(c)).otherwise(0.0) for c in MASKED if c in df.columns})
 
 
-def spaxel_of(x: Column, half_size: float, n: int) -> Column:
+def spaxel_of(x: Column, half_size: float | Column, n: int) -> Column:
     return F.least(F.greatest(F.floor((x + half_size) / (2 * half_size / n)), F.lit(0)), F.lit(n - 1)).cast("int")
 
 
-def assign_spaxel(df: DataFrame, half_size: float, n: int) -> DataFrame:
-    """Square bins, left-closed, ends clipped; id = x + n * y."""
+def assign_spaxel(df: DataFrame, half_size: float | Column, n: int) -> DataFrame:
+    """Square bins, left-closed, ends clipped; id = x + n * y. half_size: one for all, or a column."""
     return df.withColumn("spaxel", spaxel_of(F.col("x"), half_size, n) + n * spaxel_of(F.col("y"), half_size, n))
 
 
@@ -46,11 +48,10 @@ def count_map(df: DataFrame) -> DataFrame:
 def subset(df: DataFrame, k: int, seed: int = 42, key: tuple[str, ...] = ("particle_id",)) -> DataFrame:
     """A reproducible k rows of each galaxy. Rows are first cut by their hash to a little over k (a count per galaxy tells
     the share), so the ranked part stays small."""
-    h = F.xxhash64(F.lit(seed), *key)
     share = F.least(F.lit(1.0), (k + 6 * math.sqrt(k) + 20) / F.col("rows"))
-    counted = df.join(F.broadcast(df.groupBy("galaxy_id").agg(F.count("*").alias("rows"))), "galaxy_id").withColumn("_h", h)
-    near = counted.where((F.pmod(F.col("_h"), F.lit(1 << 30)) / float(1 << 30)) <= share)
-    w = Window.partitionBy("galaxy_id").orderBy(F.pmod(F.col("_h"), F.lit(1 << 30)), "_h", *key)
+    counted = df.join(df.groupBy("galaxy_id").agg(F.count("*").alias("rows")), "galaxy_id").withColumn("_h", F.md5(F.concat_ws(",", F.lit(seed), *key)))
+    near = counted.where(uniform(seed, *key) <= share)  # the first digits of the same hash
+    w = Window.partitionBy("galaxy_id").orderBy("_h", *key)
     return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r", "_h", "rows")
 
 
@@ -73,9 +74,31 @@ def check_center(df: DataFrame, galaxy: DataFrame) -> DataFrame:
 
 
 def central_velocity(df: DataFrame, r: float = 10.0, exact: bool = True) -> DataFrame:
-    """Per-axis median velocity of the particles nearer than r to the center (columns x, y, z relative to it)."""
-    median = F.median if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
-    return df.where(radius() < r).groupBy("galaxy_id").agg(*[median(c).alias(c) for c in ("vx", "vy", "vz")])
+    """Per-axis median velocity of the particles nearer than r to the center (columns x, y, z relative to it), without nulls
+    and NaN.
+
+    Exact, in two levels: counts of velocity bins (narrow near zero, in proportion beyond) tell which bins hold the middle
+    ranks; only their particles are ranked, by different values.
+    """
+    near = df.where(radius() < r)
+    axes = ("vx", "vy", "vz")
+    if not exact:
+        return near.groupBy("galaxy_id").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in axes])
+    group = ["galaxy_id", "axis"]
+    long = near.select("galaxy_id", F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in axes])).alias("p")).select("galaxy_id", "p.*")
+    rows = long.where("v is not null and not isnan(v)").withColumn("bin", F.floor(F.asinh("v") * 64))
+    run, whole = Window.partitionBy(*group).orderBy("bin"), Window.partitionBy(*group)
+    counts = rows.groupBy(*group, "bin").agg(F.count("*").alias("n"))
+    counts = counts.withColumns({"before": F.sum("n").over(run) - F.col("n"), "total": F.sum("n").over(whole)})
+    ranks = [F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)]
+    holds = lambda before, n: [(before <= k) & (k < before + n) for k in ranks]
+    low, high = holds(F.col("before"), F.col("n"))
+    middle = counts.where(low | high).drop("n")
+    values = rows.join(middle, [*group, "bin"]).groupBy(*group, "bin", "before", "total", "v").agg(F.count("*").alias("n"))
+    inner = Window.partitionBy(*group, "bin").orderBy("v")
+    low, high = holds(F.col("before") + F.sum("n").over(inner) - F.col("n"), F.col("n"))
+    halves = values.withColumn("share", F.col("v") * (low.cast("double") + high.cast("double")) / 2)
+    return halves.groupBy("galaxy_id").agg(*[F.sum(F.when(F.col("axis") == c, F.col("share"))).alias(c) for c in axes])
 
 
 def center(df: DataFrame, galaxy: DataFrame, r: float = 10.0) -> DataFrame:
@@ -87,14 +110,14 @@ def center(df: DataFrame, galaxy: DataFrame, r: float = 10.0) -> DataFrame:
 
 
 def recenter(df: DataFrame, galaxy: DataFrame, r: float = 10.0) -> DataFrame:
-    moved = df.join(galaxy.select("galaxy_id", "center"), "galaxy_id").withColumns({c: F.col(c) - F.element_at("center", k + 1) for k, c in enumerate("xyz")}).drop("center")
+    moved = with_galaxy(df, galaxy.select("galaxy_id", "center")).withColumns({c: F.col(c) - F.element_at("center", k + 1) for k, c in enumerate("xyz")}).drop("center")
     v = central_velocity(moved, r).select("galaxy_id", *[F.col(c).alias(f"_{c}") for c in ("vx", "vy", "vz")])
     return moved.join(v, "galaxy_id", "left").withColumns({c: F.col(c) - F.coalesce(f"_{c}", F.lit(0.0)) for c in ("vx", "vy", "vz")}).drop("_vx", "_vy", "_vz")
 
 
 def inertia_tensor(df: DataFrame, galaxy: DataFrame) -> DataFrame:
     """Six second moments per galaxy within the half-mass radius (bound included)."""
-    near = df.join(galaxy.select("galaxy_id", "halfmassrad_stars"), "galaxy_id").where(radius() <= F.col("halfmassrad_stars"))
+    near = with_galaxy(df, galaxy.select("galaxy_id", "halfmassrad_stars")).where(radius() <= F.col("halfmassrad_stars"))
     return tensor_sums(near)
 
 
@@ -104,15 +127,28 @@ def tensor_sums(near: DataFrame) -> DataFrame:
     return near.groupBy("galaxy_id").agg(*diagonal, *[(-F.sum(F.col("mass") * F.col(a) * F.col(b))).alias(f"i{a}{b}") for a, b in ("xy", "xz", "yz")])
 
 
-def half_mass_radius(df: DataFrame, shells: int = 1024) -> DataFrame:
+def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out: str, slab: float) -> DataFrame:
+    """Adds `out`, the sum of `value` up to each row in the order of the columns `order`, group by group.
+
+    Groups are cut into slabs of depth `slab` in the first order column: rows are summed inside their slab, and a second,
+    small window over the slabs' totals gives what lies before, so that a crowded group is not one task.
+    """
+    rows = df.withColumn("_slab", F.coalesce(F.floor(F.col(order[0]) / slab), F.lit(-(1 << 62))))
+    totals = rows.groupBy(*by, "_slab").agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy(*by).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "_slab", F.sum("_total").over(earlier).alias("_before"))
+    inside = Window.partitionBy(*by, "_slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn(out, F.sum(value).over(inside)).join(before, [*by, "_slab"], "left")
+    return summed.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0.0))).drop("_slab", "_before")
+
+
+def half_mass_radius(df: DataFrame, shells: int = 32) -> DataFrame:
     """The least radius whose enclosed mass reaches half of the total, per galaxy.
 
-    Two levels: masses of radial shells find the shell that holds the half; only its particles are ranked.
+    Two levels: masses of radial shells, `shells` to each doubling of the radius, find the shell that holds the half; only
+    its particles are ranked. A far particle changes no other one's shell.
     """
-    rows = df.withColumn("r", radius())
-    limits = rows.groupBy("galaxy_id").agg(F.max("r").alias("r_max"))
-    shelled = rows.join(limits, "galaxy_id").withColumn("shell", F.least(F.floor(F.col("r") / F.nullif("r_max", F.lit(0.0)) * shells), F.lit(shells)))
-    shelled = shelled.withColumn("shell", F.coalesce("shell", F.lit(0)))
+    shelled = df.withColumn("r", radius()).withColumn("shell", F.floor(F.log2(F.greatest(F.col("r"), F.lit(1e-12))) * shells))
     run = Window.partitionBy("galaxy_id").orderBy("shell")
     total = Window.partitionBy("galaxy_id")
     masses = shelled.groupBy("galaxy_id", "shell").agg(F.sum("mass").alias("m")).withColumn("cum", F.sum("m").over(run)).withColumn("half", F.sum("m").over(total) / 2)
@@ -123,9 +159,9 @@ def half_mass_radius(df: DataFrame, shells: int = 1024) -> DataFrame:
     return reached.groupBy("galaxy_id").agg(F.min("r").alias("halfmassrad"))
 
 
-def running_mass(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy("galaxy_id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("r", radius()).withColumn("running_mass", F.sum("mass").over(w))
+def running_mass(df: DataFrame, ties: tuple[str, ...] = (), shell: float = 1.0) -> DataFrame:
+    """Adds r and the mass inside each particle's radius, itself included; `ties` order particles at one radius."""
+    return running_sum(df.withColumn("r", radius()), ["galaxy_id"], ["r", *ties], "mass", "running_mass", shell)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

@@ -53,7 +53,12 @@ def interp_curve(df: DataFrame, curve: DataFrame, x: str, by: str = "filter_id",
     return df.join(F.broadcast(packed)).withColumn("response", interp_array(F.col(x), F.col("xs"), F.col("ys"), outside)).drop("xs", "ys")
 
 
+MAX_CURVE_POINTS = 2_000_000  # of all curves that one broadcast holds, about 32 MB; more raise ValueError
+
+
 def pack_curves(curve: DataFrame, by: str = "filter_id") -> DataFrame:
+    if curve.limit(MAX_CURVE_POINTS + 1).count() > MAX_CURVE_POINTS:
+        raise ValueError(f"more than {MAX_CURVE_POINTS} curve points: give the curves in parts")
     points = curve.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("wavelength", "transmission"))).alias("p"))
     return points.select(by, F.col("p.wavelength").alias("xs"), F.col("p.transmission").alias("ys"))
 
@@ -194,24 +199,26 @@ def lookup_template(stars: DataFrame, grid, keep: list[str], method: str = "cubi
     return stars.select(*dict.fromkeys([*keep, "metallicity", "age"])).mapInArrow(run, f"{schema}, flux array<double>")
 
 
-def star_cube(stars: DataFrame, grid, wave: np.ndarray, target: np.ndarray, z: float, method: str = "cubic", axis: str = "z", keep: list[str] | None = None) -> DataFrame:
-    """Template lookup, times mass, Doppler shift and resampling in one pass; without `keep` also the task's partial sums
-    by (galaxy, spaxel), so that no spectrum of a star crosses a shuffle."""
-    from .cube import _partial_sums
+def star_cube(stars: DataFrame, grid, wave: np.ndarray, target: np.ndarray, z: float | Column = 0.0, method: str = "cubic", axis: str = "z", curve=None) -> DataFrame:
+    """Template lookup, times mass, Doppler shift and resampling in one pass, with the task's partial sums by (galaxy,
+    spaxel), so that no spectrum of a star crosses a shuffle. z: one redshift, or a column. curve: A(wave) / A_V on
+    `target`; spectra are then attenuated by each star's column av in the same pass."""
+    from .cube import CUBE_SCHEMA, _partial_sums
 
-    shared = stars.sparkSession.sparkContext.broadcast((grid, np.asarray(wave, float) * (1 + z), np.asarray(target, float)))
-    columns = keep or ["galaxy_id", "spaxel"]
+    shared = stars.sparkSession.sparkContext.broadcast((grid, np.asarray(wave, float), np.asarray(target, float), None if curve is None else np.asarray(curve, float)))
+    columns = ["galaxy_id", "spaxel"]
 
     def spectra(batches):
-        g, w, t = shared.value
+        g, w, t, k_v = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                m, a, mass, v = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("metallicity", "age", "mass", f"v{axis}"))
-                flux = template_flux(g, m, a, method) * mass[:, None]
-                yield _flux_batch(part, columns, resample_kernel(flux, w, np.exp(v / C_KM_S), t))
-
-    rows = stars.withColumn("galaxy_id", F.col("galaxy_id").cast("long")).withColumn("spaxel", F.col("spaxel").cast("int"))
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns) + ", flux array<double>"
-    needed = rows.select(*dict.fromkeys([*columns, "metallicity", "age", "mass", f"v{axis}"]))
-    return needed.mapInArrow(spectra if keep else (lambda b: _partial_sums(spectra(b))), schema)
+                m, a, mass, shift = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("metallicity", "age", "mass", "_shift"))
+                flux = resample_kernel(template_flux(g, m, a, method) * mass[:, None], w, shift, t)
+                if k_v is not None:
+                    flux *= 10 ** (-0.4 * part.column("av").to_numpy(zero_copy_only=False)[:, None] * k_v)
+                yield _flux_batch(part, columns, flux)
+
+    shift = doppler_factor(F.col(f"v{axis}")) * (1 + (z if isinstance(z, Column) else F.lit(float(z))))
+    needed = stars.select(F.col("galaxy_id").cast("long").alias("galaxy_id"), F.col("spaxel").cast("int").alias("spaxel"), "metallicity", "age", "mass", shift.alias("_shift"), *(["av"] if curve is not None else []))
+    return needed.mapInArrow(lambda batches: _partial_sums(spectra(batches)), CUBE_SCHEMA)

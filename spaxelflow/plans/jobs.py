@@ -1,18 +1,20 @@
-"""End-to-end jobs: particles to cubes and images, for all galaxies at once."""
+"""End-to-end jobs: raw snapshots to particles, particles to cubes and images, for all galaxies at once."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cosmology as K
 from ..operators import cube as C
 from ..operators import dust as D
 from ..operators import geometry as G
 from ..operators import particles as P
 from ..operators import spectra as S
+from ..sources import ingest as I
 
 
 @dataclass(frozen=True)
@@ -22,17 +24,76 @@ class Snapshot:
     gas: DataFrame | None = None
 
 
-def prepare(snapshot: Snapshot, subset: int | None = None, seed: int = 42) -> Snapshot:
-    """Wind filter, centring, and a reproducible subset of each particle type."""
+@dataclass(frozen=True)
+class Layout:
+    """How a simulation names its fields; `formation`: its stars' age field is a formation scale factor."""
+
+    fields: dict[str, dict[str, str]]
+    missing: str
+    formation: bool
+
+
+LAYOUTS = {
+    "TNG": Layout({"stars": I.TNG_STARS, "gas": I.TNG_GAS}, "error", True),
+    "pynbody": Layout({"stars": I.PYNBODY_STARS, "gas": I.PYNBODY_GAS}, "zero", False),
+}
+
+
+def canonical(raw: dict[str, DataFrame], layout: str = "TNG", attributes: dict | None = None, units: dict | None = None, scale_factor: float | Column = 1.0, hubble: float | Column = K.PLANCK15.h, cosmology: K.Cosmology = K.PLANCK15) -> dict[str, DataFrame]:
+    """Raw particle tables by type -> canonical ones: fields renamed, wind cells dropped and formation factors turned into
+    ages, physical and canonical units, checked. attributes: {type: {field: (alpha, beta, cgs)}}; units: {type: {field:
+    unit}}, canonical ones where none is given."""
+    plan, out = LAYOUTS[layout], {}
+    unexpected = [kind for kind in raw if kind not in plan.fields]
+    if unexpected:
+        raise ValueError(f"unexpected groups: {unexpected}")
+    for kind, df in raw.items():
+        df = I.ingest_snapshot(df, plan.fields[kind], plan.missing)
+        if kind == "stars" and plan.formation:
+            df = K.stellar_age(P.drop_wind(df, "age"), "age", cosmology)
+        df = I.to_physical(df, (attributes or {}).get(kind, {}), scale_factor, hubble)
+        known = {c: I.UNITS[c] for c in df.columns if c in I.UNITS} | (units or {}).get(kind, {})
+        out[kind] = I.to_canonical_units(df, known)
+    I.validate_groups(out)
+    return out
+
+
+def prepare(raw: dict[str, DataFrame], galaxy: DataFrame, path: str | None = None, mode: str = "ignore", header: dict | None = None, subset: int | None = None, seed: int = 42, **ingest) -> Snapshot:
+    """Raw snapshot -> centred particles. Canonical tables are stored under `path` by type and read back (mode `ignore` keeps
+    what is there), centers must lie inside the particles' bounds, velocities lose the central one, and `subset` particles
+    of each type and galaxy are drawn. `ingest`: arguments of canonical()."""
+    tables = canonical(raw, **ingest)
+    if path:
+        spark = galaxy.sparkSession
+        for kind, df in tables.items():
+            I.write_canonical(df, f"{path}/{kind}", mode)
+            tables[kind] = I.read_canonical(spark, f"{path}/{kind}")
+        if header:
+            I.write_header(spark, header, f"{path}/header")
+
     def one(df):
-        df = P.recenter(P.drop_wind(df) if "sft" in df.columns else df, snapshot.galaxy)
+        df = P.center(I.vector_columns(df), galaxy)
         return P.subset(df, subset, seed) if subset else df
 
-    return Snapshot(snapshot.galaxy, one(snapshot.stars), one(snapshot.gas) if snapshot.gas is not None else None)
+    return Snapshot(galaxy, one(tables["stars"]), one(tables["gas"]) if "gas" in tables else None)
+
+
+def observed_with(galaxy: DataFrame, instrument: str) -> tuple[DataFrame, dict]:
+    """The galaxies (with redshift) with half the instrument's field in kpc, and the job arguments that the instrument sets."""
+    n = G.instrument_bins(instrument)
+    seen = G.spatial_grid(galaxy, G.INSTRUMENTS[instrument][0], n).withColumn("half_kpc", F.col("aperture_kpc") / 2)
+    return seen.select(*galaxy.columns, "half_kpc"), {"target": G.instrument_wave(instrument), "half_size": "half_kpc", "n": n, "z": "redshift", "lsf": G.instrument_lsf(instrument)}
+
+
+def _value(v: float | str) -> Column:
+    return F.col(v) if isinstance(v, str) else F.lit(float(v))
 
 
-def _placed(df: DataFrame, half_size: float, n: int, how: str) -> DataFrame:
-    return P.assign_spaxel(P.apply_mask(P.fov_mask(df, half_size), how), half_size, n)
+def _placed(df: DataFrame, galaxy: DataFrame, half_size: float | str, n: int, how: str, *others: float | str) -> DataFrame:
+    """In the field of view and on its grid; columns of the galaxy table that are named come along."""
+    names = [v for v in (half_size, *others) if isinstance(v, str)]
+    df = P.with_galaxy(df, galaxy.select("galaxy_id", *dict.fromkeys(names))) if names else df
+    return P.assign_spaxel(P.apply_mask(P.fov_mask(df, _value(half_size)), how), _value(half_size), n)
 
 
 def _observed(cube: DataFrame, n: int, psf, lsf, noise, wave_res: float) -> DataFrame:
@@ -43,32 +104,42 @@ def _observed(cube: DataFrame, n: int, psf, lsf, noise, wave_res: float) -> Data
     return C.add_noise(cube, *noise) if noise else cube
 
 
-def mock_cube(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, half_size: float, n: int, z: float = 0.0, view="face-on", psf=None, lsf: float | None = None, noise=None, method: str = "cubic", align_by: str | None = None) -> DataFrame:
+def mock_cube(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, half_size: float | str, n: int, z: float | str = 0.0, view="face-on", psf=None, lsf: float | None = None, noise=None, method: str = "cubic") -> DataFrame:
     """orient -> field of view -> spaxel -> template * mass -> Doppler and resample -> sum -> PSF -> LSF -> noise.
-    psf: (size, sigma); noise: (signal to noise, distribution, seed)."""
-    stars = _placed(G.orient(snapshot.stars, snapshot.galaxy, view), half_size, n, "drop")
-    cube = C.zero_fill(C.add_cubes(S.star_cube(stars, grid, wave, target, z, method)), n)
+
+    half_size, z: one value for all galaxies, or a column of the galaxy table. psf: (size, sigma); noise: (signal to noise,
+    distribution, seed)."""
+    stars = _placed(G.orient(snapshot.stars, snapshot.galaxy, view), snapshot.galaxy, half_size, n, "drop", z)
+    cube = C.zero_fill(C.add_cubes(S.star_cube(stars, grid, wave, target, _value(z), method)), n)
     return _observed(cube, n, psf, lsf, noise, float(target[1] - target[0]))
 
 
-def dust_columns(stars: DataFrame, gas: DataFrame, half_size: float, n: int, model: str = "broken power law fit", xco: str = "Z", grain_density: float = 3.5) -> DataFrame:
+def dust_columns(stars: DataFrame, gas: DataFrame, half_size: float | str, n: int, model: str = "broken power law fit", xco: str = "Z", grain_density: float = 3.5, slab: float = D.SLAB) -> DataFrame:
     """Stars (placed) with av: gas dust columns accumulated along z per spaxel, interpolated at each star. gas has
     h_frac and o_frac. Gas outside the field of view stays as knots of no mass in the edge spaxels."""
-    dusty = gas.withColumn("dust", F.col("mass") * D.dust_to_gas(D.oxygen_abundance(F.col("o_frac"), F.col("h_frac")), model, xco))
-    area = (2 * half_size / n) ** 2
-    summed = D.column_density(dusty.withColumn("surface", F.col("dust") / area), "surface")
-    return D.asof_interp(stars, summed.withColumn("a", D.visual_extinction(F.col("column"), grain_density)), "a").withColumnRenamed("asof", "av")
+    side = 2 * _value(half_size) / n
+    dusty = gas.withColumn("surface", F.col("mass") * D.dust_to_gas(D.oxygen_abundance(F.col("o_frac"), F.col("h_frac")), model, xco) / (side * side))
+    summed = D.column_density(dusty, "surface", slab=slab)
+    return D.asof_interp(stars, summed.withColumn("a", D.visual_extinction(F.col("column"), grain_density)), "a", slab=slab).withColumnRenamed("asof", "av")
+
+
+CURVES = {"Cardelli89": D.ccm89, "Gordon23": D.gordon23}
+
+
+def curve_on(spark, target: np.ndarray, curve: str, rv: float) -> list[float]:
+    """A(wave) / A_V of an extinction curve at each target wavelength (Angstrom)."""
+    microns = F.array(*[F.lit(float(w) * 1e-4) for w in target])
+    return spark.range(1).select(F.transform(microns, lambda x: CURVES[curve](x, rv))).first()[0]
 
 
-def mock_cube_dusty(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, half_size: float, n: int, z: float = 0.0, view="face-on", psf=None, lsf: float | None = None, noise=None, method: str = "cubic", curve: str = "Cardelli89", rv: float = 3.1, model: str = "broken power law fit", xco: str = "Z", grain_density: float = 3.5, align_by: str | None = None) -> DataFrame:
-    """mock_cube with each star's spectrum attenuated before it is summed."""
-    stars = _placed(G.orient(snapshot.stars, snapshot.galaxy, view), half_size, n, "drop")
-    gas = _placed(G.orient(snapshot.gas, snapshot.galaxy, view, snapshot.stars if align_by == "stars" else None), half_size, n, "zero")
+def mock_cube_dusty(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, half_size: float | str, n: int, z: float | str = 0.0, view="face-on", psf=None, lsf: float | None = None, noise=None, method: str = "cubic", curve: str = "Cardelli89", rv: float = 3.1, model: str = "broken power law fit", xco: str = "Z", grain_density: float = 3.5, align_by: str | None = None) -> DataFrame:
+    """mock_cube with each star's spectrum attenuated before it is summed, in the same pass. align_by='stars': gas is turned
+    with the stars' axes instead of its own."""
+    galaxy = snapshot.galaxy
+    stars = _placed(G.orient(snapshot.stars, galaxy, view), galaxy, half_size, n, "drop", z)
+    gas = _placed(G.orient(snapshot.gas, galaxy, view, snapshot.stars if align_by == "stars" else None), galaxy, half_size, n, "zero")
     seen = dust_columns(stars, gas, half_size, n, model, xco, grain_density)
-    spectra = S.star_cube(seen, grid, wave, target, z, method, keep=["galaxy_id", "spaxel", "av"])
-    spark = stars.sparkSession
-    microns = spark.range(1).select(F.transform(F.array(*[F.lit(float(w) * 1e-4) for w in target]), (lambda x: D.ccm89(x, rv)) if curve == "Cardelli89" else (lambda x: D.gordon23(x, rv))).alias("k")).first()[0]
-    cube = C.accumulate_cube(D.attenuate(spectra, F.array(*[F.lit(float(k)) for k in microns])), n)
+    cube = C.zero_fill(C.add_cubes(S.star_cube(seen, grid, wave, target, _value(z), method, curve=curve_on(stars.sparkSession, target, curve, rv))), n)
     return _observed(cube, n, psf, lsf, noise, float(target[1] - target[0]))
 
 

@@ -108,8 +108,7 @@ def count_map(spark, d):
 
 @query(f"WITH {_PL} SELECT galaxy_id, spaxel, round(sum(mass), 2) AS mass FROM p GROUP BY ALL")
 def mass_map(spark, d):
-    cube = C.accumulate_cube(placed(spark, d).withColumn("flux", F.array("mass")))
-    return cube.select("galaxy_id", "spaxel", r(F.get("flux", F.lit(0)), 2).alias("mass"))
+    return placed(spark, d).groupBy("galaxy_id", "spaxel").agg(r(F.sum("mass"), 2).alias("mass"))
 
 
 @query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM stars WHERE l_suppkey = (SELECT min(l_suppkey) FROM stars)")
@@ -181,10 +180,8 @@ def half_mass_radius(spark, d):
 
 @query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, mass, round(sum(mass) OVER (PARTITION BY galaxy_id ORDER BY {_R2}, l_orderkey, l_linenumber, l_partkey, l_suppkey, mass), 2) AS running_mass FROM stars")
 def running_mass(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("galaxy_id").orderBy("r", *KEYS[1:], "mass")
-    return stars_of(spark, d).withColumn("r", P.radius()).select(*KEYS, "mass", r(F.sum("mass").over(w), 2).alias("running_mass"))
+    out = P.running_mass(stars_of(spark, d), (*KEYS[1:], "mass"))
+    return out.select(*KEYS, "mass", r(F.col("running_mass"), 2).alias("running_mass"))
 
 
 @query(f"WITH {_ST}, l AS (SELECT galaxy_id, min(age) AS lo, max(age) AS hi FROM stars GROUP BY galaxy_id) SELECT galaxy_id, CAST(least(floor((age - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, count(*) AS n FROM stars JOIN l USING (galaxy_id) GROUP BY ALL")
@@ -192,6 +189,18 @@ def histogram(spark, d):
     return P.histogram(stars_of(spark, d), "age")
 
 
+_RAW = f"{_ST}, raw AS (SELECT galaxy_id, l_orderkey, x, y, z, vx, vy, vz, mass * 1e-3 * 0.5e0 AS mass, metallicity, (l_linenumber - 2) / 6e0 AS a FROM stars), kept AS (SELECT * FROM raw WHERE a >= 0)"
+
+
+@query(f"WITH {_RAW}, g AS (SELECT galaxy_id, count(*) % 7 / 10e0 AS c FROM stars GROUP BY galaxy_id), m AS (SELECT kept.* REPLACE (x - c AS x, y - c / 2 AS y) FROM kept JOIN g USING (galaxy_id)), v AS (SELECT galaxy_id, median(vx) AS mx, median(vy) AS my, median(vz) AS mz FROM m WHERE {_R2} < 10 GROUP BY galaxy_id) SELECT galaxy_id, l_orderkey AS particle_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(vx - mx, 6) AS vx, round(vy - my, 6) AS vy, round(vz - mz, 6) AS vz, round(mass, 6) AS mass, metallicity, round({2 / 3 / math.sqrt(0.6925) * K.PLANCK15.hubble_time!r} * (asinh(sqrt({0.6925 / 0.3075!r})) - asinh(sqrt({0.6925 / 0.3075!r}) * pow(greatest(a, 1e-3), 1.5e0))), 1) AS age FROM m JOIN v USING (galaxy_id)")
+def prepare(spark, d):
+    """Raw star fields in the TNG layout, made of the particle view, to centred particles."""
+    s = stars_of(spark, d)
+    raw = s.select("galaxy_id", F.col("l_orderkey").alias("particle_id"), F.array("x", "y", "z").alias("Coordinates"), F.array("vx", "vy", "vz").alias("Velocities"), (F.col("mass") * 1e-3).alias("GFM_InitialMass"), F.col("metallicity").alias("GFM_Metallicity"), ((F.col("l_linenumber") - 2) / 6.0).alias("GFM_StellarFormationTime"))
+    out = jobs.prepare({"stars": raw}, galaxies(s), attributes={"stars": {"mass": (1.0, 0.0, 0.0)}}, scale_factor=0.5).stars
+    return rounded(rounded(out, "x", "y", "z", "vx", "vy", "vz", "mass"), "age", digits=1)
+
+
 # ---- geometry
 _M = G.euler_matrix(30.0, 40.0, 50.0)
 _ROT = ", ".join(f"round(x * {float(_M[0, j])!r} + y * {float(_M[1, j])!r} + z * {float(_M[2, j])!r}, 6) AS {c}" for j, c in enumerate("xyz"))
@@ -202,16 +211,41 @@ def euler_rotate(spark, d):
     return rounded(G.euler_rotate(stars_of(spark, d), 30.0, 40.0, 50.0).select(*KEYS, "x", "y", "z"), "x", "y", "z")
 
 
-@query()
+def _axes_sql(src: str) -> str:
+    """Principal axes in closed form: eigenvalues of the symmetric 3 x 3 tensor by the cosine rule, vectors as cross products of
+    two rows of (A - l) with the largest component positive, the third as the product of the first two."""
+    vector = lambda k: f"SELECT *, ixy * iyz - ixz * (iyy - l{k}) AS a, ixz * ixy - (ixx - l{k}) * iyz AS b, (ixx - l{k}) * (iyy - l{k}) - ixy * ixy AS c FROM"
+    signed = lambda k, t: f"SELECT * EXCLUDE (a, b, c), a * f{k} AS x{k}, b * f{k} AS y{k}, c * f{k} AS z{k} FROM (SELECT *, CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN sign(a) WHEN abs(b) >= abs(c) THEN sign(b) ELSE sign(c) END / sqrt(a * a + b * b + c * c) AS f{k} FROM ({vector(k)} {t})) AS v{k}"
+    tensor = f"SELECT galaxy_id, sum(mass * (y * y + z * z)) AS ixx, sum(mass * (x * x + z * z)) AS iyy, sum(mass * (x * x + y * y)) AS izz, -sum(mass * x * y) AS ixy, -sum(mass * x * z) AS ixz, -sum(mass * y * z) AS iyz FROM {src} WHERE {_R2} <= 5 GROUP BY galaxy_id"
+    middle = f"SELECT *, (ixx + iyy + izz) / 3 AS q, sqrt((pow(ixx - (ixx + iyy + izz) / 3, 2) + pow(iyy - (ixx + iyy + izz) / 3, 2) + pow(izz - (ixx + iyy + izz) / 3, 2) + 2 * (ixy * ixy + ixz * ixz + iyz * iyz)) / 6) AS p FROM ({tensor}) AS t0"
+    angle = f"SELECT *, acos(greatest(-1e0, least(1e0, ((ixx - q) * ((iyy - q) * (izz - q) - iyz * iyz) - ixy * (ixy * (izz - q) - iyz * ixz) + ixz * (ixy * iyz - (iyy - q) * ixz)) / (p * p * p) / 2))) / 3 AS phi FROM ({middle}) AS t1"
+    values = f"SELECT *, q + 2 * p * cos(phi + {2 * math.pi / 3!r}) AS l1, q + 2 * p * cos(phi + {4 * math.pi / 3!r}) AS l2 FROM ({angle}) AS t2"
+    both = signed(2, f"({signed(1, f'({values}) AS t3')}) AS t4")
+    return f"ax_{src} AS (SELECT *, y1 * z2 - z1 * y2 AS x3, z1 * x2 - x1 * z2 AS y3, x1 * y2 - y1 * x2 AS z3 FROM ({both}) AS t5)"
+
+
+def _turned_sql(src: str, *others: str) -> str:
+    """Face-on coordinates of a particle table, with its other columns."""
+    dot = lambda k, p: f"{p}x * x{k} + {p}y * y{k} + {p}z * z{k}"
+    place = ", ".join(f"{dot(k + 1, 's.')} AS {c}" for k, c in enumerate("xyz"))
+    return f"{_axes_sql(src)}, turned_{src} AS (SELECT s.galaxy_id, {', '.join(others)}, {place} FROM {src} AS s JOIN ax_{src} USING (galaxy_id))"
+
+
+@query(f"WITH {_ST}, {_axes_sql('stars')} SELECT galaxy_id, {', '.join(f'round({c}{k}, 6) AS {c}{k}' for k in (1, 2, 3) for c in 'xyz')} FROM ax_stars")
 def principal_axes(spark, d):
     s = stars_of(spark, d)
-    return G.principal_axes(P.inertia_tensor(s, galaxies(s)))
+    axes = G.principal_axes(P.inertia_tensor(s, galaxies(s)))
+    return axes.select("galaxy_id", *[r(F.element_at("axes", 3 * i + k)).alias(f"{c}{k}") for k in (1, 2, 3) for i, c in enumerate("xyz")])
 
 
-@query()
+_VT = ", ".join(f"s.vx * x{k} + s.vy * y{k} + s.vz * z{k} AS v{c}" for k, c in zip((1, 2, 3), "xyz"))
+
+
+@query(f"WITH {_ST}, {_turned_sql('stars', *(f's.{k}' for k in KEYS[1:]), _VT)} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(x, 5) AS x, round(z, 5) AS y, round(-y, 5) AS z, round(vx, 4) AS vx, round(vz, 4) AS vy, round(-vy, 4) AS vz FROM turned_stars")
 def orient_edge_on(spark, d):
     s = stars_of(spark, d)
-    return G.orient(s, galaxies(s), "edge-on").select(*KEYS, "x", "y", "z", "vx", "vy", "vz")
+    out = G.orient(s, galaxies(s), "edge-on").select(*KEYS, "x", "y", "z", "vx", "vy", "vz")
+    return rounded(rounded(out, "x", "y", "z", digits=5), "vx", "vy", "vz", digits=4)
 
 
 def redshifts(spark, d):
@@ -281,6 +315,16 @@ def aperture_semi(spark, d):
     return rounded(C.image(C.with_xy(cube_of(spark, d), N).join(F.broadcast(inside), ["x", "y"], "left_semi")), "image")
 
 
+_HEX = f"{2 * 1.25 * 1.25 * math.sqrt(3)!r} - 1.25e0 * abs(floor(spaxel / 5) - 2) - {1.25 * math.sqrt(3)!r} * abs(spaxel % 5 - 2) >= 0 AND abs(spaxel % 5 - 2) < 2.5 AND abs(floor(spaxel / 5) - 2) < {1.25 * math.sqrt(3)!r}"
+
+
+@query(f"WITH {_SP}, i AS (SELECT galaxy_id, spaxel, sum(v) AS image FROM cl GROUP BY ALL) SELECT 'square' AS kind, galaxy_id, spaxel, round(image, 6) AS image FROM i UNION ALL SELECT 'hexagonal', galaxy_id, spaxel, round(image, 6) FROM i WHERE {_HEX}")
+def aperture_shapes(spark, d):
+    images = C.with_xy(C.image(cube_of(spark, d)), N)
+    cut = [images.join(G.aperture(spark, kind, N), ["x", "y"], "left_semi").withColumn("kind", F.lit(kind)) for kind in ("square", "hexagonal")]
+    return rounded(cut[0].unionByName(cut[1]).select("kind", "galaxy_id", "spaxel", "image"), "image")
+
+
 @query(f"WITH {_SP} SELECT galaxy_id, spaxel, k - 10 AS k, round(v, 6) AS v FROM cl WHERE k >= 10 AND k < 20")
 def slice_wave(spark, d):
     return long_out(C.slice_wave(cube_of(spark, d), 10, 20))
@@ -325,7 +369,19 @@ def snr_map(spark, d):
     return rounded(C.snr_map(cube_of(spark, d), 2.0), "snr", digits=8)
 
 
-@query()
+def _draw_sql(*keys: str) -> str:
+    """The uniform number of some keys: 52 bits of their MD5."""
+    return f"(CAST('0x' || substr(md5(concat_ws(',', {', '.join(keys)})), 1, 13) AS BIGINT) / 4503599627370496e0)"
+
+
+def _noisy_sql(cube: str, sn: float, seed: int) -> str:
+    """v with normal noise, from a table (galaxy_id, spaxel, k, v)."""
+    u, w = _draw_sql("galaxy_id", "spaxel", "k", str(seed)), _draw_sql("galaxy_id", "spaxel", "k", str(seed), "1")
+    image = f"SELECT galaxy_id, spaxel, sum(v) AS s FROM {cube} GROUP BY ALL"
+    return f"SELECT galaxy_id, spaxel, k, v + v * sqrt(-2 * ln(1 - {u})) * cos({2 * math.pi!r} * {w}) * CASE WHEN s > 0 THEN sqrt(m) / {sn!r} / sqrt(s) ELSE 0 END AS v FROM {cube} JOIN ({image}) AS i USING (galaxy_id, spaxel) JOIN (SELECT galaxy_id, median(s) FILTER (WHERE s > 0) AS m FROM ({image}) AS i2 GROUP BY galaxy_id) AS md USING (galaxy_id)"
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, k, round(v, 6) AS v FROM ({_noisy_sql('cl', 2.0, 0)})")
 def noise(spark, d):
     return long_out(C.add_noise(cube_of(spark, d), 2.0))
 
@@ -403,17 +459,51 @@ def grid_frame(spark, d):
 _GR = f"{_SP}, gr AS (SELECT vec_id % 4 AS m, floor(vec_id / 4) % 6 AS a, k, sum(v) AS v FROM sl GROUP BY ALL)"
 
 
-@query(f"WITH {_ST}, {_GR}, u AS (SELECT DISTINCT metallicity, age FROM stars), c AS (SELECT metallicity, age, least(greatest(floor(metallicity / 0.02e0 + 1e-9), 0), 2) AS i, least(greatest(floor(age / 2.5e0), 0), 4) AS j FROM u), w AS (SELECT *, (metallicity - i * 0.02e0) / 0.02e0 AS s, (age - j * 2.5e0) / 2.5e0 AS t, metallicity <= 0.06e0 AND age <= 12.5e0 AS inside FROM c) SELECT metallicity, age, gr.k, round(CASE WHEN bool_and(inside) THEN sum(v * CASE WHEN gr.m = i THEN 1 - s ELSE s END * CASE WHEN gr.a = j THEN 1 - t ELSE t END) ELSE 0 END, 6) AS v FROM w JOIN gr ON gr.m IN (i, i + 1) AND gr.a IN (j, j + 1) GROUP BY metallicity, age, gr.k")
+_CELLS = "least(greatest(floor(metallicity / 0.02e0 + 1e-9), 0), 2) AS i, least(greatest(floor(age / 2.5e0), 0), 4) AS j, (metallicity - i * 0.02e0) / 0.02e0 AS s, (age - j * 2.5e0) / 2.5e0 AS t, metallicity <= 0.06e0 AND age <= 12.5e0 AS inside"
+
+
+def _lookup_sql(method: dict) -> str:
+    """Each star's spectrum from the nodes around it, as its sum and first moment. Cubic: Hermite with slopes from the two
+    neighbours, one-sided at the ends of an axis of `last` + 1 equal steps."""
+
+    def weight(node, i, t, last):
+        if "nearest" in method:
+            return f"CASE WHEN {node} = {i} + CASE WHEN {t} > 0.5 THEN 1 ELSE 0 END THEN 1 ELSE 0 END"
+        if "cubic" not in method:
+            return f"CASE {node} - {i} WHEN 0 THEN 1 - {t} WHEN 1 THEN {t} ELSE 0 END"
+        h00, h10, h01, h11 = f"(2 * {t} * {t} * {t} - 3 * {t} * {t} + 1)", f"({t} * {t} * {t} - 2 * {t} * {t} + {t})", f"(3 * {t} * {t} - 2 * {t} * {t} * {t})", f"({t} * {t} * {t} - {t} * {t})"
+        low, high = f"CASE WHEN {i} = 0 THEN 1e0 ELSE 0.5e0 END", f"CASE WHEN {i} = {last - 1} THEN 1e0 ELSE 0.5e0 END"
+        return f"""CASE {node} - {i} WHEN -1 THEN -0.5e0 * {h10}
+            WHEN 0 THEN {h00} - CASE WHEN {i} = 0 THEN {h10} ELSE 0 END - ({high}) * {h11}
+            WHEN 1 THEN {h01} + ({low}) * {h10} + CASE WHEN {i} = {last - 1} THEN {h11} ELSE 0 END
+            WHEN 2 THEN 0.5e0 * {h11} ELSE 0 END"""
+
+    keys = "galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, metallicity, age"
+    nodes = "tot AS (SELECT m, a, sum(v) AS v0, sum(v * k) AS v1 FROM gr GROUP BY ALL)"
+    total = lambda v: f"CASE WHEN bool_and(inside) THEN sum({v} * ({weight('tot.m', 'i', 's', 3)}) * ({weight('tot.a', 'j', 't', 5)})) ELSE 0 END"
+    return f"WITH {_ST}, {_GR}, {nodes}, c AS (SELECT {keys}, mass, row_number() OVER () AS id, {_CELLS} FROM stars), e AS (SELECT {keys}, id, {total('v0')} AS total, {total('v1')} AS moment FROM c JOIN tot ON tot.m BETWEEN i - 1 AND i + 2 AND tot.a BETWEEN j - 1 AND j + 2 GROUP BY ALL) SELECT {keys}, round(total, 4) AS total, round(moment, 2) AS moment FROM e"
+
+
+def _lookup(spark, d, method: str):
+    keys = [*KEYS, "metallicity", "age"]
+    out = S.lookup_template(stars_of(spark, d), S.grid_arrays(grid_frame(spark, d)), keys, method)
+    moment = F.aggregate(F.transform("flux", lambda v, k: v * k), F.lit(0.0), lambda s, v: s + v)
+    return out.select(*keys, r(C.array_total("flux"), 4).alias("total"), r(moment, 2).alias("moment"))
+
+
+@query(_lookup_sql({}))
 def template_lookup_linear(spark, d):
-    points = stars_of(spark, d).select("metallicity", "age").distinct()
-    out = S.lookup_template(points, S.grid_arrays(grid_frame(spark, d)), ["metallicity", "age"], "linear")
-    return out.select("metallicity", "age", F.posexplode("flux").alias("k", "v")).withColumn("v", r(F.col("v")))
+    return _lookup(spark, d, "linear")
+
 
+@query(_lookup_sql({"nearest": True}))
+def template_lookup_nearest(spark, d):
+    return _lookup(spark, d, "nearest")
 
-@query()
+
+@query(_lookup_sql({"cubic": True}))
 def template_lookup_cubic(spark, d):
-    points = stars_of(spark, d).select("metallicity", "age").distinct()
-    return S.lookup_template(points, S.grid_arrays(grid_frame(spark, d)), ["metallicity", "age"], "cubic")
+    return _lookup(spark, d, "cubic")
 
 
 # ---- dust
@@ -429,6 +519,16 @@ def dust_to_gas(spark, d):
     return frames(spark, d)[1].select("o_orderkey", r(oh, 8).alias("oh"), r(dg, 10).alias("dg"), r(D.visual_extinction(F.col("mass") * dg) * 1e3).alias("av"))
 
 
+def _fit_sql(a: float, alpha: float) -> str:
+    return f"pow(10, -({a!r} + {alpha!r} * (8.69e0 - {_OH})))"
+
+
+@query(f"WITH {_GA} SELECT o_orderkey, round({_fit_sql(2.21, 1.62)}, 10) AS free_mw, round({_fit_sql(2.21, 2.02)}, 10) AS free_z, round(CASE WHEN {_OH} > 7.96e0 THEN {_fit_sql(2.21, 1.0)} ELSE {_fit_sql(0.68, 3.08)} END, 10) AS broken_mw FROM gas")
+def dust_to_gas_models(spark, d):
+    oh, free = D.oxygen_abundance(F.col("o_frac"), F.col("h_frac")), "power law slope free"
+    return frames(spark, d)[1].select("o_orderkey", r(D.dust_to_gas(oh, free, "MW"), 10).alias("free_mw"), r(D.dust_to_gas(oh, free, "Z"), 10).alias("free_z"), r(D.dust_to_gas(oh, xco="MW"), 10).alias("broken_mw"))
+
+
 @query(f"WITH {_PG} SELECT galaxy_id, spaxel, o_orderkey, round(sum(mass) OVER (PARTITION BY galaxy_id, spaxel ORDER BY z, o_orderkey), 2) AS c FROM pg")
 def column_density(spark, d):
     out = D.column_density(placed(spark, d, gas=True), "mass", order=("z", "o_orderkey"))
@@ -438,19 +538,19 @@ def column_density(spark, d):
 _ASOF = f"WITH {_PL}, {_PG}, cg AS (SELECT galaxy_id, spaxel, z, sum(mass) OVER (PARTITION BY galaxy_id, spaxel ORDER BY z, o_orderkey) AS v FROM pg), u AS (SELECT galaxy_id, spaxel, z, v, 0 AS t, NULL AS l_orderkey, NULL AS l_linenumber, NULL AS l_partkey, NULL AS l_suppkey FROM cg UNION ALL SELECT galaxy_id, spaxel, z, NULL, 1, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM p), b AS (SELECT *, max(CASE WHEN t = 0 THEN z END) OVER w1 AS z0, max(v) OVER w1 AS v0, min(CASE WHEN t = 0 THEN z END) OVER w2 AS z1, min(v) OVER w2 AS v1 FROM u WINDOW w1 AS (PARTITION BY galaxy_id, spaxel ORDER BY z, t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY galaxy_id, spaxel ORDER BY z, t RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, round({_AV!r} * CASE WHEN z0 IS NULL AND z1 IS NULL THEN 0 WHEN z0 IS NULL THEN v1 WHEN z1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (z - z0) / (z1 - z0) END, 6) AS av FROM b WHERE t = 1"
 
 
-def _asof(spark, d, slab):
+def _asof(spark, d, **slab):
     gas = D.column_density(placed(spark, d, gas=True), "mass", order=("z", "o_orderkey"))
-    return D.asof_interp(placed(spark, d), gas, "column", slab=slab).select(*KEYS, r(D.visual_extinction(F.col("asof"))).alias("av"))
+    return D.asof_interp(placed(spark, d), gas, "column", **slab).select(*KEYS, r(D.visual_extinction(F.col("asof"))).alias("av"))
 
 
 @query(_ASOF)
 def asof_extinction(spark, d):
-    return _asof(spark, d, None)
+    return _asof(spark, d)
 
 
 @query(_ASOF)
-def asof_extinction_slabs(spark, d):
-    return _asof(spark, d, 2.0)
+def asof_extinction_whole(spark, d):
+    return _asof(spark, d, slab=None)
 
 
 def numbers(spark, d, scale: float):
@@ -497,7 +597,7 @@ def extinguish(spark, d):
 
 
 # ---- samples, generators and jobs
-@query()
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY galaxy_id ORDER BY md5(concat_ws(',', 42, l_orderkey, l_linenumber, l_partkey, l_suppkey, mass)), l_orderkey, l_linenumber, l_partkey, l_suppkey, mass) AS n FROM stars) WHERE n <= 100")
 def subset(spark, d):
     return P.subset(stars_of(spark, d), 100, key=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "mass")).select(*KEYS)
 
@@ -505,23 +605,60 @@ def subset(spark, d):
 def _snapshot(spark, d):
     s, g, _ = frames(spark, d)
     g = g.withColumns({c: F.lit(0.0) for c in ("vx", "vy", "vz")})
-    return jobs.Snapshot(galaxies(s), s, g)
-
-
-_JOB = {"wave": 4000 + 10 * np.arange(64.0), "target": 4100 + 8 * np.arange(40.0), "half_size": HALF, "n": N, "z": 0.01, "psf": (3, 0.6), "lsf": 10.0}
-
-
-@query()
+    galaxy = galaxies(s).withColumns({"redshift": 0.01 + F.col("galaxy_id") / 1000.0, "half": F.lit(HALF) - F.col("galaxy_id") / 4.0})
+    return jobs.Snapshot(galaxy, s, g)
+
+
+# Redshift and field of view are the galaxy's own.
+_JOB = {"wave": 4000 + 10 * np.arange(64.0), "target": 4100 + 8 * np.arange(40.0), "half_size": "half", "n": N, "z": "redshift", "psf": (3, 0.6), "lsf": 10.0, "noise": (2.0, "normal", 3), "method": "linear"}
+
+
+def _job_sql(dusty: bool) -> str:
+    """Face-on particles of each galaxy's own axes, placed, looked up, resampled, summed, smoothed, with noise."""
+    half = "(8e0 - galaxy_id / 4e0)"
+    cell = lambda c: f"least(greatest(floor(({c} + {half}) / (2 * {half} / 5)), 0), 4)"
+    inside = f"x BETWEEN -{half} AND {half} AND y BETWEEN -{half} AND {half}"
+    placed_as = f"CAST({cell('x')} + 5 * {cell('y')} AS INT) AS spaxel"
+    parts = [_ST, _GR, _turned_sql("stars", "mass", "metallicity", "age", "s.vx * x3 + s.vy * y3 + s.vz * z3 AS vz")]
+    parts.append(f"st AS (SELECT *, row_number() OVER () AS id, {placed_as}, exp(vz / 299792.458e0) * (1 + (0.01e0 + galaxy_id / 1000e0)) AS f FROM turned_stars WHERE {inside})")
+    if dusty:
+        parts += [_GA, _turned_sql("gas", "mass", "h_frac", "o_frac")]
+        parts.append(f"gp AS (SELECT *, {placed_as}, CASE WHEN {inside} THEN mass ELSE 0 END * {_DG} / pow(2 * {half} / 5, 2) AS sd FROM turned_gas)")
+        parts.append(f"cg AS (SELECT galaxy_id, spaxel, z, sum(sd) OVER (PARTITION BY galaxy_id, spaxel ORDER BY z) * {_AV!r} AS v FROM gp)")
+        parts.append("un AS (SELECT galaxy_id, spaxel, z, v, 0 AS t, NULL AS id FROM cg UNION ALL SELECT galaxy_id, spaxel, z, NULL, 1, id FROM st)")
+        parts.append("bk AS (SELECT *, max(CASE WHEN t = 0 THEN z END) OVER w1 AS z0, max(v) OVER w1 AS v0, min(CASE WHEN t = 0 THEN z END) OVER w2 AS z1, min(v) OVER w2 AS v1 FROM un WINDOW w1 AS (PARTITION BY galaxy_id, spaxel ORDER BY z, t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY galaxy_id, spaxel ORDER BY z, t RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
+        parts.append("avs AS (SELECT id, CASE WHEN z0 IS NULL AND z1 IS NULL THEN 0 WHEN z0 IS NULL THEN v1 WHEN z1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (z - z0) / (z1 - z0) END AS av FROM bk WHERE t = 1)")
+    parts.append(f"ce AS (SELECT *, {_CELLS} FROM st)")
+    parts.append(f"fl AS (SELECT id, gr.k, CASE WHEN bool_and(inside) THEN sum(mass * v * CASE WHEN gr.m = i THEN 1 - s ELSE s END * CASE WHEN gr.a = j THEN 1 - t ELSE t END) ELSE 0 END AS v FROM ce JOIN gr ON gr.m IN (i, i + 1) AND gr.a IN (j, j + 1) GROUP BY id, gr.k)")
+    parts.append("tg AS (SELECT id, galaxy_id, spaxel, o, 4100e0 + 8 * o AS t, (4100e0 + 8 * o) / f AS pos FROM st, range(0, 40) AS q(o))")
+    parts.append("tj AS (SELECT *, CAST(least(greatest(floor((pos - 4000e0) / 10), 0), 62) AS INT) AS j FROM tg)")
+    parts.append("nw AS (SELECT tj.id, galaxy_id, spaxel, o, lo.v + (hi.v - lo.v) * least(1e0, greatest(0e0, (pos - 4000e0 - 10 * tj.j) / 10)) AS v FROM tj JOIN fl AS lo ON lo.id = tj.id AND lo.k = tj.j JOIN fl AS hi ON hi.id = tj.id AND hi.k = tj.j + 1)")
+    parts.append("os AS (SELECT st.id, sum(CASE WHEN k > 0 AND (4000e0 + 10 * k) * f BETWEEN 4100e0 AND 4412e0 THEN v * 10 * f ELSE 0 END) AS o FROM st JOIN fl USING (id) GROUP BY st.id)")
+    parts.append("ns AS (SELECT id, sum(CASE WHEN o > 0 THEN v * 8 ELSE 0 END) AS n FROM nw GROUP BY id)")
+    fade = f" * pow(10, -0.4e0 * av * pow((4100e0 + 8 * nw.o) * 1e-4, 1.61e0) * {0.574 - 0.527 / 3.1!r})" if dusty else ""
+    parts.append(f"cu AS (SELECT galaxy_id, spaxel, nw.o AS k, sum(CASE WHEN n = 0 THEN 0 ELSE v * os.o / n END{fade}) AS v FROM nw JOIN os USING (id) JOIN ns USING (id){' JOIN avs USING (id)' if dusty else ''} GROUP BY ALL)")
+    psf = ", ".join(f"({a}, {b}, {w!r})" for a, b, w in C.gaussian_kernel(3, 3, 0.6))
+    lsf = ", ".join(f"({k - 12}, {w!r})" for k, w in enumerate(C.lsf_taps(10.0, 8.0)))
+    parts.append(f"ker(dy, dx, w) AS (VALUES {psf}), ps AS (SELECT galaxy_id, CAST(x + 5 * y AS INT) AS spaxel, k, sum(v) AS v FROM (SELECT galaxy_id, spaxel % 5 + dx AS x, floor(spaxel / 5) + dy AS y, k, v * w AS v FROM cu, ker) WHERE x BETWEEN 0 AND 4 AND y BETWEEN 0 AND 4 GROUP BY ALL)")
+    parts.append(f"tap(o, w) AS (VALUES {lsf}), ls AS (SELECT galaxy_id, spaxel, k + o AS k, sum(v * w) AS v FROM ps, tap WHERE k + o BETWEEN 0 AND 39 GROUP BY ALL)")
+    return f"WITH {', '.join(parts)} SELECT galaxy_id, spaxel, CAST(k AS INT) AS k, round(v / 1e6, 3) AS v FROM ({_noisy_sql('ls', 2.0, 3)})"
+
+
+def _cube_out(cube):
+    return C.to_long(cube).select("galaxy_id", "spaxel", "k", r(F.col("v") / 1e6, 3).alias("v"))
+
+
+@query(_job_sql(False))
 def mock_cube(spark, d):
-    return long_out(jobs.mock_cube(_snapshot(spark, d), S.grid_arrays(grid_frame(spark, d)), **_JOB), 3)
+    return _cube_out(jobs.mock_cube(_snapshot(spark, d), S.grid_arrays(grid_frame(spark, d)), **_JOB))
 
 
-@query()
+@query(_job_sql(True))
 def mock_cube_dusty(spark, d):
-    return long_out(jobs.mock_cube_dusty(_snapshot(spark, d), S.grid_arrays(grid_frame(spark, d)), **_JOB), 3)
+    return _cube_out(jobs.mock_cube_dusty(_snapshot(spark, d), S.grid_arrays(grid_frame(spark, d)), **_JOB))
 
 
-@query()
+@query(f"WITH {_SP}, {_CV}, pr AS (SELECT galaxy_id, spaxel, filter_id, cl.k, v * t0 AS v FROM cl JOIN rs ON rs.k = cl.k), im AS (SELECT galaxy_id, spaxel, filter_id, sum(a) AS image FROM (SELECT galaxy_id, spaxel, filter_id, (v + lag(v) OVER (PARTITION BY galaxy_id, spaxel, filter_id ORDER BY k)) / 2 AS a FROM pr) GROUP BY ALL) SELECT galaxy_id, spaxel, filter_id, round(image, 6) AS image, round((image - min(image) OVER w) / (max(image) OVER w - min(image) OVER w), 6) AS scaled FROM im WINDOW w AS (PARTITION BY galaxy_id)")
 def photometric_images(spark, d):
     out = jobs.photometric_images(cube_of(spark, d), curves(spark, d), np.arange(64.0))
     return rounded(out, "image", "scaled")

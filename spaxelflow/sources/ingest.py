@@ -12,6 +12,10 @@ TNG_STARS = {"GFM_InitialMass": "mass", "Coordinates": "coords", "GFM_Metallicit
 TNG_GAS = {"Density": "density", "Masses": "mass", "GFM_Metallicity": "metallicity", "GFM_Metals": "metals", "StarFormationRate": "sfr", "InternalEnergy": "internal_energy", "Velocities": "velocity", "Coordinates": "coords", "ElectronAbundance": "electron_abundance"}
 PYNBODY_STARS = {"pos": "coords", "mass": "mass", "vel": "velocity", "metals": "metallicity", "tform": "age"}
 PYNBODY_GAS = {"density": "density", "temp": "temperature", "pos": "coords", "mass": "mass", "vel": "velocity", "metals": "metallicity"}
+DEFAULT_FIELDS = {
+    "gas": ["Coordinates", "Density", "Masses", "GFM_Metallicity", "GFM_Metals", "StarFormationRate", "InternalEnergy", "Velocities", "ElectronAbundance"],
+    "stars": ["Coordinates", "GFM_InitialMass", "GFM_Metallicity", "GFM_StellarFormationTime", "Velocities"],
+}
 REQUIRED = {"stars": ["coords", "mass", "metallicity", "velocity", "age"], "gas": ["coords", "mass", "metallicity", "velocity", "density", "metals"], "galaxy": ["redshift", "center", "halfmassrad_stars"]}
 UNITS = {"coords": "kpc", "center": "kpc", "halfmassrad_stars": "kpc", "mass": "Msun", "velocity": "km/s", "age": "Gyr", "density": "Msun/kpc^3", "sfr": "Msun/yr", "internal_energy": "erg/g", "temperature": "K", "metallicity": "", "metals": "", "electron_abundance": "", "redshift": ""}
 UNIT_FACTORS = {
@@ -40,9 +44,20 @@ def select_halo(df: DataFrame, halo_id: int | None = None) -> DataFrame:
     return df.where(F.col("halo_id") == halo_id) if halo_id else df.join(F.broadcast(df.agg(F.min("halo_id").alias("halo_id"))), "halo_id", "left_semi")
 
 
-def select_fields(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Projection that reaches the scan."""
-    return df.select(*fields)
+def select_fields(df: DataFrame, kind: str, keep: tuple[str, ...] = ("galaxy_id", "particle_id")) -> DataFrame:
+    """The default fields of a particle type; the projection reaches the scan."""
+    return df.select(*[c for c in keep if c in df.columns], *DEFAULT_FIELDS[kind])
+
+
+def vector_columns(df: DataFrame) -> DataFrame:
+    """coords and velocity arrays as the columns x, y, z, vx, vy, vz, with their units."""
+    for source, names in (("coords", ("x", "y", "z")), ("velocity", ("vx", "vy", "vz"))):
+        if source in df.columns:
+            unit = df.schema[source].metadata
+            df = df.withColumns({c: F.element_at(source, k + 1) for k, c in enumerate(names)}).drop(source)
+            for c in names if unit else ():
+                df = df.withMetadata(c, unit)
+    return df
 
 
 def to_physical(df: DataFrame, attributes: dict[str, tuple[float, float, float]], scale_factor: float | Column, hubble: float | Column) -> DataFrame:
@@ -79,6 +94,16 @@ def validate(df: DataFrame, kind: str, with_units: bool = True) -> DataFrame:
     return value_report(df, [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")])
 
 
+def validate_groups(groups: dict[str, DataFrame], with_units: bool = True) -> dict[str, DataFrame]:
+    """Reports of all particle types; an error names an unexpected group, or says that no particle type is there."""
+    unexpected = [g for g in groups if g not in REQUIRED]
+    if unexpected:
+        raise ValueError(f"unexpected groups: {unexpected}")
+    if not {"stars", "gas"} & set(groups):
+        raise ValueError("none of the expected particle types is present")
+    return {kind: validate(df, kind, with_units) for kind, df in groups.items() if kind != "galaxy"}
+
+
 def value_report(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = [F.sum(F.when(test, 1).otherwise(0)).alias(f"{c}_{name}") for c in columns for name, test in (("null", F.col(c).isNull()), ("nan", F.isnan(c)), ("negative", F.col(c) < 0))]
     return df.groupBy("galaxy_id").agg(F.count("*").alias("rows"), *counts)
@@ -95,6 +120,7 @@ def read_canonical(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_header(spark: SparkSession, header: dict[str, object], path: str, galaxy_id: int | None = None, mode: str = "append") -> None:
+    """Metadata of a snapshot as a key/value table."""
     spark.createDataFrame([(galaxy_id, k, str(v)) for k, v in header.items()], "galaxy_id long, key string, value string").write.mode(mode).parquet(path)
 
 
@@ -130,7 +156,9 @@ def load_template_cards(cards: DataFrame, rows: DataFrame) -> DataFrame:
     return grid.join(F.broadcast(met), "metallicity").join(F.broadcast(ages), "age").select("met_idx", "age_idx", "metallicity", "age", F.transform("flux", lambda v: v / (1 / weight)).alias("flux"))
 
 
-def template_wave(crval: float, cdelt: float, crpix: float, n: int) -> Column:
+def template_wave(crval: float, cdelt: float | None, crpix: float, n: int) -> Column:
+    """Wavelengths of a header; a missing or zero CDELT means 1."""
+    cdelt = cdelt or 1.0
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(crval) + F.lit(cdelt) * (i + 1 - crpix))
 
 
@@ -145,6 +173,9 @@ def load_filters(df: DataFrame, facility: str, instrument: str | list[str] | Non
         if name is not None:
             names = [name] if isinstance(name, str) else name
             rows = rows.where(F.col("filter_id").isin([f"{facility}/{i}.{n}" for i in instruments for n in names]))
+            found = {r[0].rsplit(".", 1)[1] for r in rows.select("filter_id").distinct().collect()}
+            if set(names) - found:
+                raise ValueError(f"invalid filter names: {sorted(set(names) - found)}")
     return rows
 
 
@@ -162,8 +193,9 @@ def write_filters(df: DataFrame, path: str) -> None:
 
 
 def uniform(*keys: Column | str | int) -> Column:
-    """A uniform number in [0, 1) that depends on the keys alone, not on partitioning."""
-    return F.pmod(F.xxhash64(*[F.lit(k) if isinstance(k, int) else k for k in keys]), F.lit(1 << 53)) / float(1 << 53)
+    """A uniform number in [0, 1) that depends on the keys alone, not on partitioning: 52 bits of the MD5 of the keys as text."""
+    digits = F.substring(F.md5(F.concat_ws(",", *[F.lit(k) if isinstance(k, int) else k for k in keys])), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
 def synth_galaxy(spark: SparkSession, n: int, seed: int = 0, metallicity: tuple[float, float] = (1e-4, 0.05), age: tuple[float, float] = (0.0, 13.8)) -> DataFrame:
@@ -176,18 +208,31 @@ def synth_galaxy(spark: SparkSession, n: int, seed: int = 0, metallicity: tuple[
 
 
 # Header keys of a cube.
-CUBE_KEYS = ("PIPELINE", "DIST_z", "ROTATION", "SIM", "GALAXYID", "SNAPSHOT", "SUBSET", "SSP", "INSTR", "PSF", "PSF_SIZE", "PSFSIGMA", "LSF", "LSFSIGMA", "S_TO_N", "N_DISTR", "COSMO")
+CUBE_KEYS = ("PIPELINE", "DIST_z", "ROTATION", "SIM", "GALAXYID", "SNAPSHOT", "SUBSET", "SSP", "INSTR", "PSF", "PSF_SIZE", "PSFSIGMA", "LSF", "S_TO_N", "N_DISTR", "COSMO")
+
+
+def cube_name(header: dict[str, object], ptype: str = "stars") -> str:
+    return f"{header.get('SIM', 'sim')}_id{header.get('GALAXYID', 0)}_snap{header.get('SNAPSHOT', 0)}_{ptype}_subset{header.get('SUBSET', False)}"
 
 
-def cube_name(header: dict[str, object]) -> str:
-    return f"{header.get('SIM', 'sim')}_id{header.get('GALAXYID', 0)}_snap{header.get('SNAPSHOT', 0)}_{header.get('INSTR', 'instrument')}_{header.get('PIPELINE', 'mock_cube')}"
+def cube_wcs(n: int, wave0: float, wave_step: float, pixel_arcsec: float, unit: str) -> dict[str, object]:
+    """The world coordinates of a cube of n x n spaxels; the sky axes are centred, in degrees."""
+    degrees = pixel_arcsec / 3600
+    axes = {"CRPIX1": (n - 1) / 2, "CRPIX2": (n - 1) / 2, "CRPIX3": 1, "CRVAL3": wave0, "CD1_1": degrees, "CD1_2": 0, "CD1_3": 0, "CD2_1": 0, "CD2_2": degrees, "CD2_3": 0, "CD3_1": 0, "CD3_2": 0, "CD3_3": wave_step}
+    return axes | {"CUNIT1": "deg", "CUNIT2": "deg", "CUNIT3": "Angstrom", "CTYPE1": "RA---TAN", "CTYPE2": "DEC--TAN", "CTYPE3": "AWAV", "BUNIT": unit, "EXTNAME": "DATA"}
 
 
-def write_cube(cube: DataFrame, header: dict[str, object], path: str, wave0: float, wave_step: float, pixel_arcsec: float) -> None:
-    """Cube by galaxy under path/cube, and its header with the WCS keys under path/header."""
-    wcs = {"CRPIX1": 0, "CRPIX2": 0, "CRPIX3": 0, "CDELT1": pixel_arcsec, "CDELT2": pixel_arcsec, "CDELT3": wave_step, "CRVAL3": wave0, "CUNIT3": "Angstrom", "BUNIT": "Lsun/Angstrom"}
-    cube.write.partitionBy("galaxy_id").mode("overwrite").parquet(f"{path}/cube")
-    write_header(cube.sparkSession, {k: header.get(k, "") for k in CUBE_KEYS} | wcs, f"{path}/header", mode="overwrite")
+def write_cube(cube: DataFrame, header: dict[str, object], path: str, n: int, wave0: float, wave_step: float, pixel_arcsec: float, ptype: str = "stars", unit: str = "Lsun/Angstrom") -> None:
+    """Cube by galaxy under path/cube, and a header of each of its galaxies with the WCS keys under path/header; galaxies that
+    are there already stay unless this cube has them. unit: erg/(s*cm^2*A) after luminosity_to_flux."""
+    fixed = {k: header.get(k, "") for k in CUBE_KEYS if k != "GALAXYID"} | cube_wcs(n, wave0, wave_step, pixel_arcsec, unit)
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(str(v)).alias("value")) for k, v in fixed.items()])
+    galaxy = F.col("galaxy_id").cast("string")
+    before, after = cube_name(header | {"GALAXYID": "\0"}, ptype).split("\0")
+    own = F.array(F.struct(F.lit("GALAXYID").alias("key"), galaxy.alias("value")), F.struct(F.lit("NAME").alias("key"), F.concat(F.lit(before), galaxy, F.lit(after)).alias("value")))
+    keys = cube.select("galaxy_id").distinct().select("galaxy_id", F.explode(F.concat(pairs, own)).alias("p")).select("galaxy_id", "p.*")
+    for df, part in ((cube, "cube"), (keys, "header")):
+        df.write.partitionBy("galaxy_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{part}")
 
 
 def read_cube(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from spaxelflow.operators import dust as D
 from spaxelflow.operators import geometry as G
 from spaxelflow.operators import particles as P
 from spaxelflow.operators import spectra as S
+from spaxelflow.plans import jobs
 from spaxelflow.sources import ingest as I
 
 
@@ -74,8 +75,15 @@ def test_euler(spark):
 
 @pytest.mark.parametrize("kind", ["square", "circular", "hexagonal"])
 def test_apertures(spark, kind):
-    n = G.aperture(spark, kind, 10).count()
-    assert n == 100 if kind == "square" else 40 < n < 100
+    n, got = 10, {(r.x, r.y) for r in G.aperture(spark, kind, 10).collect()}
+    want = set()
+    for x in range(n):
+        for y in range(n):
+            dx, dy = abs(x + 1 - (n / 2 + 0.5)), abs(y + 1 - (n / 2 + 0.5))
+            apothem = n * math.sqrt(3) / 4
+            if {"square": True, "circular": math.hypot(dx, dy) <= n / 2, "hexagonal": 2 * n / 4 * apothem - n / 4 * dy - apothem * dx >= 0 and dx < n / 2 and dy < apothem}[kind]:
+                want.add((x, y))
+    assert got == want and len(got) == {"square": 100}.get(kind, len(got))
 
 
 def test_resample(spark):
@@ -179,9 +187,15 @@ def test_validation_and_sinks(spark, tmp_path):
     I.write_canonical(marked.limit(10), path, "overwrite")
     assert I.read_canonical(spark, path).count() == 10
     cube = spark.createDataFrame([(0, 0, [1.0])], "galaxy_id long, spaxel int, flux array<double>")
-    I.write_cube(cube, {"SIM": "t"}, str(tmp_path / "cube"), 4700.0, 1.25, 0.2)
-    back, header = I.read_cube(spark, str(tmp_path / "cube"))
-    assert back.count() == 1 and header.count() == len(I.CUBE_KEYS) + 9
+    folder = str(tmp_path / "cube")
+    I.write_cube(cube, {"SIM": "t", "SNAPSHOT": 7}, folder, 25, 4700.0, 1.25, 0.2)
+    I.write_cube(cube.withColumn("galaxy_id", F.lit(3)), {"SIM": "t"}, folder, 25, 4700.0, 1.25, 0.2)
+    I.write_cube(cube.withColumn("flux", F.array(F.lit(9.0))), {"SIM": "t", "SNAPSHOT": 8}, folder, 25, 4700.0, 1.25, 0.2)
+    back, header = I.read_cube(spark, folder)
+    assert {r.galaxy_id: r.flux for r in back.collect()} == {0: [9.0], 3: [1.0]}
+    keys = {r.key: r.value for r in header.where("galaxy_id = 0").collect()}
+    assert (keys["CRPIX1"], keys["CRPIX3"], keys["CUNIT1"], keys["CTYPE3"], keys["GALAXYID"], keys["SNAPSHOT"]) == ("12.0", "1", "deg", "AWAV", "0", "8")
+    assert float(keys["CD1_1"]) == pytest.approx(0.2 / 3600) and keys["NAME"] == "t_id0_snap8_stars_subsetFalse" and header.count() == 2 * (len(I.CUBE_KEYS) + 22)
 
 
 def test_ingest_and_templates(spark):
@@ -203,3 +217,133 @@ def test_subset_is_stable(spark):
     df = I.synth_galaxy(spark, 500, 2)
     a = sorted(r.particle_id for r in P.subset(df, 40).collect())
     assert len(a) == 40 and a == sorted(r.particle_id for r in P.subset(df.repartition(7), 40).collect())
+
+
+def test_central_velocity_is_the_median(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 400):
+        v = np.concatenate([rng.normal(0, 50, (n, 3)), np.zeros((n // 3, 3)), rng.normal(1e6, 1e5, (n // 4, 3))])
+        df = points(spark, [(0, 0, 1, *row) for row in v] + [(0, 0, 50, 9, 9, 9)], "x y z vx vy vz").repartition(3)
+        row = P.central_velocity(df).first()
+        assert (row.vx, row.vy, row.vz) == pytest.approx(tuple(np.median(v, axis=0)))
+    holes = spark.createDataFrame([(0, 0.0, 0.0, 0.0, None, float("nan"), 3.0), (0, 0.0, 0.0, 0.0, 1.0, 2.0, 5.0)], "galaxy_id long, x double, y double, z double, vx double, vy double, vz double")
+    assert tuple(P.central_velocity(holes).first())[1:] == (1.0, 2.0, 4.0)
+
+
+def test_running_sums_in_slabs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, int(g), float(z), float(m)) for g, z, m in zip(rng.integers(0, 3, 200), rng.normal(0, 4, 200), rng.random(200))] + [(0, 0, None, 1.0)]
+    df = spark.createDataFrame(rows, "galaxy_id long, spaxel int, z double, m double").repartition(4)
+    for slab in (0.5, 100.0):
+        got = sorted((r.spaxel, r.z if r.z is not None else -1e9, r.column) for r in D.column_density(df, "m", slab=slab).collect())
+        want = []
+        for g in range(3):
+            own = sorted((z if z is not None else -1e9, m) for _, s, z, m in rows if s == g)
+            want += [(g, z, t) for (z, _), t in zip(own, np.cumsum([m for _, m in own]))]
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_half_mass_radius_with_a_far_particle(spark):
+    rng = np.random.default_rng(7)
+    xyz, mass = rng.normal(size=(500, 3)), rng.random(500)
+    xyz[0] = 1e9
+    r = np.linalg.norm(xyz, axis=1)
+    order = np.argsort(r)
+    want = r[order][np.searchsorted(np.cumsum(mass[order]), mass.sum() / 2)]
+    df = points(spark, [(*p, m) for p, m in zip(xyz, mass)], "x y z mass")
+    assert P.half_mass_radius(df).first().halfmassrad == pytest.approx(want)
+
+
+def test_instruments():
+    sizes = {name: (G.instrument_bins(name), len(G.instrument_wave(name))) for name in G.INSTRUMENTS}
+    assert sizes["MUSE"] == (25, 3721) and len(sizes) == 15
+    for name, (_, _, lo, hi, step, _, _) in G.INSTRUMENTS.items():
+        assert len(G.instrument_wave(name)) == len(np.arange(lo, hi, step))
+    assert G.instrument_lsf("MUSE") == pytest.approx(2.51 / 2.354820045)
+
+
+def test_argument_errors(spark):
+    cube = spark.createDataFrame([(0, 0, [1.0])], "galaxy_id long, spaxel int, flux array<double>")
+    for bad in (lambda: C.convolve_psf(cube, 1, None, 1.0), lambda: C.convolve_psf(cube, 1, 3, None), lambda: C.convolve_lsf(cube, None, 1.0), lambda: C.add_noise(cube, None), lambda: C.add_noise(cube, 1.0, "poisson")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_psf_of_even_size(spark):
+    kernel = C.gaussian_kernel(4, 4, 1.0)
+    assert len(kernel) == 16 and sum(w for *_, w in kernel) == pytest.approx(1)
+    cube = spark.createDataFrame([(0, k, [float(k == 55)]) for k in range(100)], "galaxy_id long, spaxel int, flux array<double>")
+    assert sum(r.flux[0] for r in C.convolve_psf(cube, 10, 4, 1.0).collect()) == pytest.approx(1)
+
+
+def test_template_grid_and_wave(spark):
+    flux = [[[0.5, 1.0, 1.5], [2.0, 3.0, 4.0]], [[5.0, 6.0, 7.0], [8.0, 9.0, 10.0]]]
+    dense = spark.createDataFrame([([-1.0, 0.0], [0.01, 0.02], flux)], "age array<double>, metallicity array<double>, flux array<array<array<double>>>")
+    got = {(r.met_idx, r.age_idx): (r.metallicity, r.age, r.flux) for r in I.load_template_grid(dense, ("age",)).collect()}
+    assert got[1, 0] == (0.02, pytest.approx(0.1), flux[1][0]) and len(got) == 4
+    one = spark.range(1)
+    for cdelt, step in ((2.0, 2.0), (0.0, 1.0), (None, 1.0)):
+        assert one.select(I.template_wave(4000.0, cdelt, 1.0, 3)).first()[0] == [4000.0, 4000.0 + step, 4000.0 + 2 * step]
+
+
+def test_filter_files(spark, tmp_path):
+    curve = spark.createDataFrame([(f"{f}/I.{n}", float(w), 0.5) for f in ("A", "B") for n in "gr" for w in (1, 2)], "filter_id string, wavelength double, transmission double")
+    I.write_filters(curve, str(tmp_path / "f"))
+    back = I.read_filters(spark, str(tmp_path / "f"))
+    assert sorted(back.select(*curve.columns).collect()) == sorted(curve.collect())
+    assert I.load_filters(back, "A", "I", ["g"]).count() == 2
+    with pytest.raises(ValueError, match="invalid"):
+        I.load_filters(back, "A", "I", ["g", "none"])
+
+
+def test_validation_of_groups(spark):
+    galaxy = spark.createDataFrame([(0, 0.1)], "galaxy_id long, redshift double")
+    with pytest.raises(ValueError, match="unexpected"):
+        I.validate_groups({"stars": galaxy, "black_holes": galaxy})
+    with pytest.raises(ValueError, match="none of the expected"):
+        I.validate_groups({"galaxy": galaxy})
+
+
+def raw_snapshot(spark):
+    """Five star particles, one of them a wind cell, and gas, in the TNG layout."""
+    rng = np.random.default_rng(1)
+    stars = [(0, k, rng.normal(0, 2, 3).tolist(), 1.0 + k, 0.02, 0.5 if k else -0.5, rng.normal(0, 50, 3).tolist()) for k in range(6)]
+    gas = [(0, k, 1.0, 5.0, 0.01, [0.7, 0.2, 0.01, 0.01, 0.02], 0.1, 1.0, rng.normal(0, 50, 3).tolist(), rng.normal(0, 2, 3).tolist(), 1.0) for k in range(20)]
+    return {
+        "stars": spark.createDataFrame(stars, "galaxy_id long, particle_id long, Coordinates array<double>, GFM_InitialMass double, GFM_Metallicity double, GFM_StellarFormationTime double, Velocities array<double>"),
+        "gas": spark.createDataFrame(gas, "galaxy_id long, particle_id long, Density double, Masses double, GFM_Metallicity double, GFM_Metals array<double>, StarFormationRate double, InternalEnergy double, Velocities array<double>, Coordinates array<double>, ElectronAbundance double"),
+    }
+
+
+def test_raw_snapshot_to_cube(spark, tmp_path):
+    galaxy = spark.createDataFrame([(0, 0.1, [0.0, 0.0, 0.0], 3.0)], "galaxy_id long, redshift double, center array<double>, halfmassrad_stars double")
+    raw = {k: I.select_fields(df, k) for k, df in raw_snapshot(spark).items()}
+    snapshot = jobs.prepare(raw, galaxy, str(tmp_path / "store"), attributes={"stars": {"mass": (0.0, -1.0, 0.0)}}, hubble=0.5, header={"Time": 0.5})
+    stars = snapshot.stars.collect()
+    assert len(stars) == 5 and sorted(r.mass for r in stars) == [4.0, 6.0, 8.0, 10.0, 12.0]
+    assert all(r.age == pytest.approx(7.94165, rel=1e-3) for r in stars) and np.median([r.vx for r in stars]) == pytest.approx(0)
+    assert I.units_of(I.read_canonical(spark, str(tmp_path / "store/stars")))["mass"] == "Msun"
+    again = jobs.prepare({k: df.limit(0) for k, df in raw.items()}, galaxy, str(tmp_path / "store"))
+    assert again.stars.count() == 5  # what is stored stays
+    grid = (np.array([0.0, 0.03, 0.06]), np.array([0.0, 5.0, 14.0]), np.random.default_rng(0).random((3, 3, 200)))
+    seen, options = jobs.observed_with(galaxy, "CALIFA")
+    gas = snapshot.gas.withColumns({"h_frac": F.element_at("metals", 1), "o_frac": F.element_at("metals", 5)})
+    observed = jobs.Snapshot(seen, snapshot.stars, gas)
+    for job in (jobs.mock_cube, jobs.mock_cube_dusty):
+        cube = job(observed, grid, np.linspace(3000, 5000, 200), psf=(5, 0.6), noise=(1.0, "normal", 0), **options).collect()
+        flux = np.array([r.flux for r in cube])
+        assert flux.shape == (74 * 74, len(options["target"])) and np.isfinite(flux).all() and flux.any()
+    assert jobs.prepare(raw, galaxy, subset=3).stars.count() == 3
+    with pytest.raises(ValueError, match="unexpected"):
+        jobs.canonical({"stars": raw["stars"], "other": raw["stars"]})
+
+
+def test_pynbody_layout(spark):
+    raw = spark.createDataFrame([(0, 1, [1.0, 2.0, 3.0], 2.0, [1.0, 0.0, 0.0], 4.0)], "galaxy_id long, particle_id long, pos array<double>, mass double, vel array<double>, tform double")
+    row = I.vector_columns(jobs.canonical({"stars": raw}, "pynbody")["stars"]).first()
+    assert (row.x, row.vz, row.metallicity, row.age) == (1.0, 0.0, 0.0, 4.0)
+
+
+def test_particle_order_and_cosmology_of_galaxies(spark):
+    df = points(spark, [(1, 1, z) for z in (3, 1, 2)]).withColumn("spaxel", F.lit(0))
+    assert [r.z for r in P.sort_columns(df).collect()] == [1.0, 2.0, 3.0]
