@@ -1,8 +1,7 @@
 """Lempel-Ziv phrase fingerprints (operator 7).
 
-A text is parsed into LZ78 phrases (each the shortest one not met before); the phrases' hashes give a one-permutation
-minimum-hash signature, empty bins being filled from the next one that isn't. Parsing starts anew every SEGMENT
-characters, as a compressor starts a block, so memory stays bounded on very long texts.
+A text is parsed, whole, into LZ78 phrases (each the shortest one not met before); the phrases' hashes give a
+one-permutation minimum-hash signature, empty bins being filled from the next one that isn't.
 """
 
 from __future__ import annotations
@@ -14,10 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, mix, partitions_of, span_hash
+from .kernel import U64, mix, partitions_of, slices, span_hash
 
 BINS = 128
-SEGMENT = 1 << 20
 
 
 def phrase_ends(text: str, start: int = 0, seen: set | None = None, open_at: int | None = None) -> tuple[list[int], int]:
@@ -45,18 +43,12 @@ def _hashes(text: str, ends: list[int]) -> np.ndarray:
 
 def phrases(text: str) -> np.ndarray:
     """Sorted distinct hashes of a text's phrases."""
-    out = []
-    for k in range(0, len(text), SEGMENT):
-        part = text[k : k + SEGMENT]
-        out.append(_hashes(part, phrase_ends(part)[0]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
+    return _hashes(text, phrase_ends(text)[0])
 
 
 def phrases_of_both(text: str, edited: str) -> tuple[np.ndarray, np.ndarray]:
     """phrases() of a text and of an edited form that shares its first half; the shared half is parsed once."""
     half = len(text) - len(text) // 2
-    if max(len(text), len(edited)) > SEGMENT:
-        return phrases(text), phrases(edited)
     seen: set[str] = set()
     head, begin = phrase_ends(text[:half], 0, seen)
     branch = set(seen)
@@ -105,7 +97,7 @@ def _stream(batches):
 
     out: list[list] = [[] for _ in range(7)]
     pending: list | None = None  # [doc_id, text, signature, edited sha, edited signature] that waits for the next one's signature
-    for batch in batches:
+    for batch in slices(batches, "text"):
         buckets, ids, texts, ahead = (batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "ahead"))
         for bucket, doc_id, text, look in zip(buckets, ids, texts, ahead):
             text = text or ""
@@ -147,7 +139,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
 
     The next document is the one behind it by descending doc_id; behind the last comes the first. Null text is empty: an
     empty fingerprint, like only to another empty one. Null doc_id: last. Rows that repeat a doc_id follow each other
-    by text. A single row is its own next one. Extra columns are ignored. Empty table: empty result.
+    by text. A single row is its own next one. A very long text is parsed whole; its phrases are held while it is. Extra columns are ignored. Empty table: empty result.
 
     Documents are dealt into ranges of doc_id (bounds from approximate quantiles); the first of each range is sent to
     the range before it too, so that one shuffle brings every document to its next one.
