@@ -1,9 +1,11 @@
-"""Benchmark decontamination over a document-partitioned positional inverted index (operator 6).
-
-Pass 1 counts every benchmark term over all training documents. Pass 2 lists, slice by slice, the positions of the terms
-that are the rarest of some window. Exact hits take the positions of a window's rarest term, shifted by its offset, and
-compare the hash of the window's words there; only near items intersect the lists of several terms. A document's postings never leave its shard, so there is no
-shuffle by term and a frequent term is no hot key.
+"""Benchmark decontamination over a distributed positional inverted index (operator 6).
+
+The index is a written table, one row a shard of whole documents (about 2 MB of text): the shard's different terms, sorted
+by hash, and each one's list of word positions. It is built once, by document, so that there is no shuffle by term and a
+frequent term is no hot key. Test items are sought in blocks of bounded size. A window's terms are ordered by their counts
+over the whole index; the positions of the rarest one, shifted by its offset, are intersected with the shifted lists of the
+others, from rare to frequent, and what is left of all lists are the exact matches. A proximity match needs the rarest
+terms' lists alone, near each other.
 """
 
 from __future__ import annotations
@@ -15,174 +17,227 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import ALNUM_WORDS, U64, Words, join2, slices, window_hash
+from .kernel import ALNUM_WORDS, U64, Words, checkpoint, slices, spread
 
 WINDOW = 10
 RAREST = 3  # terms of a window that proximity asks for
 SLOP = 5  # further words that a proximity match may span
-MAX_ITEM_WORDS = 20_000_000  # the broadcast query set; more benchmark text is refused
+BLOCK_CHARS = 24_000_000  # of test items in one block: about 130 MB broadcast
+CANDIDATES = 2_000_000  # positions that are intersected at once
+_LISTS = "terms binary, ends binary, positions binary"
+
+
+def _index(batches):
+    for part in slices(batches, "text"):
+        words = Words(part.column("text"), ALNUM_WORDS, lower=True)
+        h = words.hashes()
+        positions = np.argsort(h, kind="stable")  # stable: positions ascend inside a term
+        terms, ends = _run_ends(h[positions])
+        rows = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column("row")]))
+        packed = (words.first.astype("<u4"), terms.astype("<u8"), ends.astype("<u4"), positions.astype("<u4"))
+        yield pa.RecordBatch.from_arrays([rows, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["rows", "first", "terms", "ends", "positions"])
+
 
+def _run_ends(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a sorted array, and where each one's run ends."""
+    if not len(values):
+        return values, np.zeros(0, np.int64)
+    last = np.append(np.flatnonzero(values[1:] != values[:-1]), len(values) - 1)
+    return values[last], last + 1
 
-class Queries:
-    """The windows of the benchmark items, by hash, and their rarest terms."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
+def build_index(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """docs(text, ...) -> the index as a written table: (rows: the kept columns of a shard's documents, first: each document's
+    first word, terms, ends of their lists, positions), arrays packed."""
+    types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return checkpoint(docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(_index, f"rows array<struct<{types}>>, first binary, {_LISTS}"))
+
+
+class Block:
+    """Windows of some test items: `start` and `length` in the items' words, whose terms are numbers of `vocabulary`."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         words = Words(pa.array([t for _, t in items], pa.string()), ALNUM_WORDS, lower=True)
-        h = words.hashes()
-        grams = window_hash(h, width) if len(h) else h
-        terms, hashes, lengths, owner = [], [], [], []
-        for k, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-            if b - a >= width:
-                span = np.arange(a, b - width + 1)
-                hashes.append(grams[span])
-                lengths.append(np.full(len(span), width))
-                terms += [h[i : i + width] for i in span]
-                owner += [k] * len(span)
-            elif b > a:
-                hashes.append(window_hash(h[a:b], b - a)[:1])
-                lengths.append(np.array([b - a]))
-                terms.append(h[a:b])
-                owner.append(k)
-        self.names = [i for i, _ in items]
-        self.terms, self.owner = terms, np.array(owner, np.int64)
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-        self.length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        self.vocabulary = np.unique(h)
+        self.width, self.names = width, [i for i, _ in items]
+        self.vocabulary, term = np.unique(words.hashes(), return_inverse=True)
+        self.term = term.astype(np.int32)
+        n = words.counts
+        windows = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+        self.owner = np.repeat(np.arange(len(n)), windows)
+        self.start = spread(words.first[:-1], windows)
+        self.length = np.minimum(n, width)[self.owner]
 
     def plan(self, counts: np.ndarray) -> None:
-        """Each window's terms by corpus count, rarest first; `anchor` is the first of them."""
-        frequency = counts
-        self.anchor, self.anchor_offset, self.near = [], [], []
-        for t in self.terms:
-            c = frequency[np.searchsorted(self.vocabulary, t)]
-            order = np.argsort(c, kind="stable")
-            self.anchor.append(t[order[0]])
-            self.anchor_offset.append(order[0])
-            self.near.append([t[i] for i in dict.fromkeys(order[:RAREST].tolist())])
-        self.anchor, self.anchor_offset = np.array(self.anchor, U64), np.array(self.anchor_offset, np.int64)
-        by = np.argsort(self.anchor, kind="stable")
-        self.by_anchor, self.sorted_anchor = by, self.anchor[by]
-        self.indexed = np.unique(np.concatenate([np.array(x, U64) for x in self.near])) if self.near else np.zeros(0, U64)
-
-
-def _find(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of each x in sorted_values, or -1."""
-    if not len(sorted_values):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return np.where(sorted_values[at] == x, at, -1)
-
-
-class TermFilter:
-    """Positions of the words that are among some terms: a bitmap of hash tails first, then an exact search."""
-
-    def __init__(self, terms: np.ndarray):
-        self.terms = terms
-        self.tails = np.zeros(1 << 20, bool)
-        self.tails[(terms & U64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        maybe = np.flatnonzero(self.tails[(h & U64((1 << 20) - 1)).astype(np.int64)])
-        at = _find(self.terms, h[maybe])
-        return maybe[at >= 0], at[at >= 0]
+        """`order`: each window's offsets, rarest term first (then leftmost); offsets past a short window come last."""
+        offset = np.arange(self.width)
+        self.order = np.zeros((len(self.start), self.width), np.int8)
+        for k in range(0, len(self.start), 1 << 18):
+            inside = offset < self.length[k : k + (1 << 18), None]
+            at = np.minimum(self.start[k : k + (1 << 18), None] + offset, max(len(self.term) - 1, 0))
+            self.order[k : k + (1 << 18)] = np.argsort(np.where(inside, counts[self.term[at]], np.iinfo(np.int64).max), axis=1, kind="stable")
+
+    def terms(self, window: np.ndarray, rank: int) -> np.ndarray:
+        """The term of that rank in each window."""
+        return self.term[self.start[window] + self.order[window, rank]]
+
+
+def _known(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers in the vocabulary, places in `terms`) of the terms that both have."""
+    if not len(vocabulary) or not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+    place = np.flatnonzero(vocabulary[at] == terms)
+    return at[place], place
 
 
 def _term_counts(shared):
     def run(batches):
-        q = shared.value
-        known, counts = TermFilter(q.vocabulary), np.zeros(len(q.vocabulary), np.int64)
-        for part in slices(batches, "text"):
-            _, at = known.find(Words(part.column("text"), ALNUM_WORDS, lower=True).hashes())
-            counts += np.bincount(at, minlength=len(counts))
+        vocabulary = shared.value.vocabulary
+        counts = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for terms, ends in zip(batch.column("terms").to_pylist(), batch.column("ends").to_pylist()):
+                number, place = _known(vocabulary, np.frombuffer(terms, "<u8"))
+                counts[number] += np.diff(np.frombuffer(ends, "<u4").astype(np.int64), prepend=0)[place]
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["term", "count"])
 
     return run
 
 
-def _search(shared, slop: int):
+def _packed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(k).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary()) for k in (0, 1)], ["terms", "counts"])
+
+
+class Shard:
+    """One row of the index: position lists by term, in one sorted array of (list, position)."""
+
+    def __init__(self, first: bytes, terms: bytes, ends: bytes, positions: bytes):
+        self.first = np.frombuffer(first, "<u4").astype(np.int64)
+        self.terms = np.frombuffer(terms, "<u8")
+        self.ends = np.frombuffer(ends, "<u4").astype(np.int64)
+        self.begins = np.concatenate(([0], self.ends[:-1])) if len(self.ends) else self.ends
+        self.positions = np.frombuffer(positions, "<u4").astype(np.int64)
+        self.entries = np.repeat(np.arange(len(self.terms)) << 32, self.ends - self.begins) + self.positions
+
+    def has(self, lists: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Does the list hold a position in [low, high)?"""
+        base = lists << 32
+        at = np.searchsorted(self.entries, base + low)
+        return (at < len(self.entries)) & (self.entries[np.minimum(at, len(self.entries) - 1)] < base + high)
+
+    def matches(self, block: Block, slop: int):
+        """Yields (exact, windows, first words or positions of the rarest term), part by part."""
+        lists = np.full(len(block.vocabulary), -1)
+        number, place = _known(block.vocabulary, self.terms)
+        lists[number] = place
+        alive = np.flatnonzero(lists[block.terms(np.arange(len(block.start)), 0)] >= 0) if len(number) else np.zeros(0, np.int64)
+        anchor = lists[block.terms(alive, 0)]
+        sizes = (self.ends - self.begins)[anchor] if len(alive) else alive
+        parts = np.flatnonzero(np.diff(np.cumsum(sizes) // CANDIDATES, prepend=-1)) if len(alive) else alive
+        for a, b in zip(parts.tolist(), [*parts[1:].tolist(), len(alive)]):
+            window = np.repeat(alive[a:b], sizes[a:b])
+            at = self.positions[spread(self.begins[anchor[a:b]], sizes[a:b])]
+            text = np.searchsorted(self.first, at, side="right") - 1
+            low, high = self.first[text], self.first[text + 1]
+            begin = at - block.order[window, 0]
+            fits = (begin >= low) & (begin + block.length[window] <= high)
+            w, p = window[fits], begin[fits]
+            for rank in range(1, block.width):
+                if not len(w):
+                    break
+                more = rank < block.length[w]
+                found = lists[block.terms(np.where(more, w, w[0]), rank)] if more.any() else np.zeros(len(w), np.int64)
+                q = p + block.order[w, rank]
+                keep = ~more | ((found >= 0) & self.has(found, q, q + 1))
+                w, p = w[keep], p[keep]
+            yield True, w, p
+            for rank in range(1, RAREST):  # near: within width + slop words of the rarest term, in its document
+                more = rank < block.length[window]
+                found = lists[block.terms(np.where(more, window, window[0]), rank)] if more.any() else np.zeros(len(window), np.int64)
+                reach = block.length[window] + slop
+                keep = ~more | ((found >= 0) & self.has(found, np.maximum(at - reach + 1, low), np.minimum(at + reach, high)))
+                window, at, low, high = window[keep], at[keep], low[keep], high[keep]
+                if not len(window):
+                    break
+            yield False, window, at
+
+
+def _search(shared, slop: int, last: bool):
+    """Adds a block's matches to what each shard has: covered words, items and near items of each document; `last` gives a
+    row a document."""
+
     def run(batches):
-        q = shared.value
-        index, widths = TermFilter(q.indexed), np.unique(q.length)
-        for part in slices(batches, "text"):
-            words = Words(part.column("text"), ALNUM_WORDS, lower=True)
-            h = words.hashes()
-            text = words.text_of_word()
-            position, term = index.find(h)  # the shard's postings, by position; by term below
-            order = np.argsort(term, kind="stable")
-            lists = np.searchsorted(term[order], np.arange(len(q.indexed) + 1))
-            hit = np.zeros(len(h) + 1, np.int64)
-            exact: list[tuple[np.ndarray, np.ndarray]] = []
-            near: list[tuple[np.ndarray, np.ndarray]] = []
-            gram = {int(w): window_hash(h, int(w)) for w in widths} if len(position) else {}
-            anchors = np.unique(q.anchor)
-            for t, k in zip(anchors.tolist(), _find(q.indexed, anchors).tolist()):
-                at = position[order[lists[k] : lists[k + 1]]]
-                if not len(at):
+        block = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                shard = Shard(*(one.column(c)[0].as_py() for c in ("first", "terms", "ends", "positions")))
+                covered = np.frombuffer(one.column("covered")[0].as_py(), np.uint8) > 0
+                step = np.zeros(len(shard.positions) + 1, np.int64)
+                pairs: dict[bool, list] = {True: [], False: []}
+                for exact, window, at in shard.matches(block, slop):
+                    if exact:
+                        np.add.at(step, at, 1)
+                        np.add.at(step, at + block.length[window], -1)
+                    text = np.searchsorted(shard.first, at, side="right") - 1
+                    pairs[exact].append(np.unique(text * max(len(block.names), 1) + block.owner[window]))
+                covered = (covered if len(covered) else np.zeros(len(shard.positions), bool)) | (np.cumsum(step[:-1]) > 0)
+                names = []
+                for exact, column in ((True, "items"), (False, "near")):
+                    sets = [set(x) for x in one.column(column)[0].as_py() or [[]] * (len(shard.first) - 1)]
+                    for code in np.unique(np.concatenate(pairs[exact])).tolist() if pairs[exact] else ():
+                        text, owner = divmod(code, len(block.names))
+                        sets[text].add(block.names[owner])
+                    names.append([sorted(x, key=lambda i: (i is None, i)) for x in sets])
+                if not last:
+                    values = [pa.array([covered.astype(np.uint8).tobytes()], pa.binary()), *(pa.array([n], pa.list_(pa.list_(pa.string()))) for n in names)]
+                    yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("rows", "first", "terms", "ends", "positions")), *values], ["rows", "first", "terms", "ends", "positions", "covered", "items", "near"])
                     continue
-                a, b = np.searchsorted(q.sorted_anchor, U64(t)), np.searchsorted(q.sorted_anchor, U64(t), side="right")
-                for w in q.by_anchor[a:b].tolist():
-                    width, offset = int(q.length[w]), int(q.anchor_offset[w])
-                    start = at - offset
-                    first, last = words.first[text[at]], words.first[text[at] + 1]
-                    fits = start[(start >= first) & (start + width <= last)]
-                    found = fits[gram[width][fits] == q.hash[w]]
-                    if len(found):
-                        np.add.at(hit, found, 1)
-                        np.add.at(hit, found + width, -1)
-                        docs = np.unique(text[found])
-                        exact.append((docs, np.full(len(docs), q.owner[w])))
-                    close = at
-                    for other in q.near[w][1:]:
-                        if not len(close):
-                            break
-                        o = int(_find(q.indexed, np.array([other], U64))[0])
-                        rest = position[order[lists[o] : lists[o + 1]]]
-                        i = np.searchsorted(rest, np.maximum(close - width - slop + 1, words.first[text[close]]))
-                        end = np.minimum(close + width + slop, words.first[text[close] + 1])
-                        close = close[(i < len(rest)) & (rest[np.minimum(i, len(rest) - 1)] < end)] if len(rest) else close[:0]
-                    if len(close):
-                        docs = np.unique(text[close])
-                        near.append((docs, np.full(len(docs), q.owner[w])))
-            covered = np.concatenate(([0], np.cumsum(np.cumsum(hit[:-1]) > 0))) if len(h) else np.zeros(1, np.int64)
-            n_hit = covered[words.first[1:]] - covered[words.first[:-1]]
-            items, close_items = [[] for _ in words.counts], [set() for _ in words.counts]
-            for found, into in ((exact, "items"), (near, "near")):
-                if found:
-                    pairs = np.unique(np.stack([np.concatenate([d for d, _ in found]), np.concatenate([o for _, o in found])], axis=1), axis=0)
-                    for d, o in pairs.tolist():
-                        items[d].append(q.names[o]) if into == "items" else close_items[d].add(q.names[o])
-            items = [sorted(set(x), key=lambda i: (i is None, i)) for x in items]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([len(x) for x in close_items], pa.int64())], ["row", "n_words", "n_hit", "items", "n_near"])
-
-    return run, "n_words long, n_hit long, items array<string>, n_near long"
+                hits = np.concatenate(([0], np.cumsum(covered)))
+                counts = (np.diff(shard.first), hits[shard.first[1:]] - hits[shard.first[:-1]])
+                yield pa.RecordBatch.from_arrays([one.column("rows").flatten(), *(pa.array(c, pa.int64()) for c in counts), pa.array(names[0], pa.list_(pa.string())), pa.array([len(x) for x in names[1]], pa.int64())], ["row", "n_words", "n_hit", "items", "n_near"])
+
+    return run
+
+
+def _blocks(items: DataFrame, width: int):
+    """The test items in blocks of about BLOCK_CHARS characters, dealt by a hash of the text; one at a time is on the driver."""
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    number = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
+    for k in range(number):
+        part = rows if number == 1 else rows.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(number)) == k)
+        yield k == number - 1, Block([(r[0], r[1]) for r in part.collect()], width)
+
+
+def search(index: DataFrame, items: DataFrame, width: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """An index of build_index(), items(item_id, text) -> (row, n_words, n_hit, items, n_near), one row a document."""
+    spark, kept = index.sparkSession, index.schema["rows"].dataType
+    found = index.withColumns({"covered": F.lit(b""), "items": F.lit(None).cast("array<array<string>>"), "near": F.lit(None).cast("array<array<string>>")})
+    for last, block in _blocks(items, width):
+        counts = np.zeros(len(block.vocabulary), np.int64)
+        tallied = index.select("terms", "ends").mapInArrow(_term_counts(spark.sparkContext.broadcast(block)), "term long, count long").groupBy("term").agg(F.sum("count").alias("count"))
+        for terms, n in tallied.mapInArrow(_packed, "terms binary, counts binary").collect():
+            counts[np.frombuffer(terms, "<i8")] = np.frombuffer(n, "<i8")
+        block.plan(counts)
+        run = _search(spark.sparkContext.broadcast(block), slop, last)
+        if last:
+            return found.mapInArrow(run, f"row {kept.elementType.simpleString()}, n_words long, n_hit long, items array<string>, n_near long")
+        found = checkpoint(found.mapInArrow(run, f"rows {kept.simpleString()}, first binary, {_LISTS}, covered binary, items array<array<string>>, near array<array<string>>"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, width: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """docs(text, ...), items(item_id, text) -> the `keep` columns of docs with n_words, n_hit, items, n_near.
 
     items: ids (as strings, sorted) of items of which a window occurs. All items without an id count as one, a null at the
-    end of the list: their words are hits, they add one to n_items, and no name to items_sha256. n_hit: words inside any occurrence; n_near: items of
-    which some window's rarest terms stand within width + slop words. Null and empty texts have no words and no hits, as
-    have items without words; repeated items count once; repeated documents each get their row; an empty table
-    gives an empty result. Extra columns may have any name. Items of over 6 * MAX_ITEM_WORDS characters raise ValueError.
+    end of the list: their words are hits, they add one to n_items, and no name to items_sha256. n_hit: words inside any
+    occurrence; n_near: items of which some window's rarest terms stand within width + slop words. Null and empty texts have
+    no words and no hits, as have items without words; repeated items count once; repeated documents each get their row; an
+    empty table gives an empty result. A very long text is a shard of its own. Other columns may have any name. Terms are
+    compared by 64-bit hashes, of which a match of a window needs all.
     """
-    spark = docs.sparkSession
     keep = keep if keep is not None else [c for c in docs.columns if c != "text"]
-    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if words > 6 * MAX_ITEM_WORDS:
-        raise ValueError("more benchmark text than one broadcast may hold: give it in parts")
-    rows = [(r[0], r[1]) for r in items.select(F.col("item_id").cast("string"), "text").distinct().collect()]
-    queries = Queries(rows, width)
-    first = spark.sparkContext.broadcast(queries)
-    counts = np.zeros(len(queries.vocabulary), np.int64)
-    for t, c in docs.select("text").mapInArrow(_term_counts(first), "term long, count long").groupBy("term").agg(F.sum("count")).collect():
-        counts[t] = c
-    queries.plan(counts)
-    run, schema = _search(spark.sparkContext.broadcast(queries), slop)
-    types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    found = docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(run, f"row struct<{types}>, {schema}")
-    return found.select("row.*", "n_words", "n_hit", "items", "n_near")
+    return search(build_index(docs, keep), items, width, slop).select("row.*", "n_words", "n_hit", "items", "n_near")
 
 
 def digest(ids: list[str]) -> str:

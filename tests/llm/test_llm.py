@@ -139,6 +139,48 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_near_and_blocks(spark, docs, monkeypatch):
+    """Hits, items and near items against brute force, with the test items in one block and in several."""
+    rng = np.random.default_rng(12)
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    rows = [(i, word(t)) for i, t in corpus()]
+    items = []
+    for k in range(40):
+        w = rows[int(rng.integers(len(rows)))][1]
+        at = int(rng.integers(max(len(w) - 14, 1)))
+        part = w[at : at + int(rng.integers(3, 14))]
+        if k % 3 == 0 and len(part) > 5:
+            part = part[:4] + ["the"] + part[4:]  # near, not exact
+        items.append((k // 2, " ".join(part)))
+    count = {}
+    for _, w in rows:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    want = {}
+    for i, w in rows:
+        hit, exact, near = set(), set(), set()
+        for name, text in items:
+            v = word(text)
+            for k in range(max(len(v) - 9, 1 if v else 0)):
+                g = v[k : k + 10]
+                for at in range(len(w) - len(g) + 1):
+                    if w[at : at + len(g)] == g:
+                        hit.update(range(at, at + len(g)))
+                        exact.add(str(name))
+                rare = [g[o] for o in sorted(range(len(g)), key=lambda o: (count.get(g[o], 0), o))[:3]]
+                reach = len(g) + 5
+                if any(w[at] == rare[0] and all(x in w[max(at - reach + 1, 0) : at + reach] for x in rare) for at in range(len(w))):
+                    near.add(str(name))
+        want[i] = (len(w), len(hit), sorted(exact), len(near))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontamination.BLOCK_CHARS, 400):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", size)
+        got = {r.doc_id: (r.n_words, r.n_hit, r.items, r.n_near) for r in decontamination.contamination(docs, bench, ["doc_id", "row"]).collect()}
+        assert got == want
+    monkeypatch.setattr(decontamination, "CANDIDATES", 3)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items, r.n_near) for r in decontamination.contamination(docs, bench, ["doc_id"]).collect()} == want
+
+
 def test_decontamination_without_item_id(spark, tmp_path):
     from spaxelflow.llm import queries
 
@@ -168,6 +210,62 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_neighbours(empty).count() == 0
 
 
+def test_fingerprints_by_definition(spark):
+    """Phrases and signatures written down again from their definitions, on texts of every kind."""
+    M = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & M
+        return x ^ (x >> 31)
+
+    def join(a, b):
+        return mix((a * 0x9E3779B97F4A7C15 + b + 0x632BE59BD9B4E019) & M)
+
+    def phrase_hash(phrase):
+        raw = phrase.encode("utf-32-le")
+        lanes = [int.from_bytes(raw[k : k + 8], "little") for k in range(0, len(raw), 8)]
+        out = mix((len(raw) * 0x9E3779B97F4A7C15 + lanes[0]) & M)
+        for lane in lanes[1:]:
+            out = join(out, lane)
+        return out
+
+    def sign(text):
+        seen, phrase = [], ""
+        for c in text:
+            phrase += c
+            if phrase not in seen:
+                seen.append(phrase)
+                phrase = ""
+        hashes = {phrase_hash(x) for x in [*seen, phrase] if x}
+        if not hashes:
+            return None
+        bins = {}
+        for h in hashes:
+            bins[h >> 57] = min(bins.get(h >> 57, M), mix(h))
+        out = []
+        for k in range(128):
+            distance = next(d for d in range(128) if (k + d) % 128 in bins)
+            out.append(mix((bins[(k + distance) % 128] + distance * 0x9E3779B97F4A7C15) & M) & 0xFFFF)
+        return out
+
+    rng = np.random.default_rng(2)
+    texts = ["", "a", "ab" * 100, "é中\U0001F600" * 9, None, *["".join(rng.choice(list("abc é"), int(n))) for n in rng.integers(1, 300, 12)]]
+    rows = [(None if k == 7 else k // 2 if k > 12 else k, t, 0.5) for k, t in enumerate(texts)]
+    got = fingerprints.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string, near_next double").repartition(4)).collect()
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        cut = len(t) // 2
+        edited = t[: len(t) - cut] + following[:cut]
+        a, b, c = sign(t), sign(edited), sign(following)
+        like = lambda x, y: float(x is None and y is None) if x is None or y is None else sum(p == q for p, q in zip(x, y)) / 128
+        form = lambda x: "" if x is None else b"".join(v.to_bytes(2, "little") for v in x).hex()
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), form(a), form(b), like(a, b), like(a, c)))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_packing(docs, empty):
     import public_tokenizers as tokens
 
