@@ -1,12 +1,14 @@
 """Removal of repeated word windows by recompression (operator 8).
 
 A text's words are level-0 symbols. In each round every pair of neighbours (left, right) whose symbols fall into the
-round's left and right half is replaced by a new symbol named by both; the halves depend on the symbol alone, so the
-names are the same in all documents without exchanging them. A run of equal symbols is never cut by the rule (equal
-symbols fall into one half) and is named by its symbol. After ROUNDS = 4 rounds a symbol covers at most 16 words and
-equal word sequences differ in at most 1 + 2 + 4 + 8 words at either end, so two equal windows of 50 words share at
-least 20 inner words in equal symbols, that is two neighbouring symbols at least. Names of two neighbouring symbols that
-occur in one document only therefore rule their windows out; windows around shared names are verified by their own hash.
+round's left and right half is replaced by a new symbol named by both. Halves and names depend on the symbols alone (names
+are hashes of what they stand for), so they are the same in all documents, and a task runs its rounds without an exchange.
+Runs of equal symbols fall into one half, are never cut and stay as they are: a name for a run and its length would set a
+run of 60 words apart from one of 70, although both hold the same windows of 50. After ROUNDS = 4 rounds a symbol covers at
+most 16 words and equal word sequences differ in at most 1 + 2 + 4 + 8 words at either end, so two equal windows of 50 words
+share at least 20 inner words in equal symbols, that is two neighbouring symbols at least. Names of two neighbouring symbols
+that occur in one document only therefore rule their windows out; windows around shared names are compared by 96 bits of
+hashes of all their words.
 """
 
 from __future__ import annotations
@@ -133,27 +135,40 @@ def _candidates(shared, buckets: int, width: int):
             key = part.column("row_key").to_numpy(zero_copy_only=False)
             doc = part.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
             # Buckets follow the windows' least inner 5-gram, so a document's windows meet few of them.
-            gram, inner = window_hash(s.h, width)[at], mix(least_gram(s.h, width)[at])
+            gram, check, inner = window_hash(s.h, width)[at], second_hash(s.h, width)[at], mix(least_gram(s.h, width)[at])
             owner = s.text[at]
-            order = np.lexsort((doc[owner], gram))
-            gram, inner, at, owner = gram[order], inner[order], at[order], owner[order]
-            fresh = np.ones(len(gram), bool)
-            fresh[1:] = gram[1:] != gram[:-1]
+            order = np.lexsort((doc[owner], check, gram))
+            gram, check, inner, at, owner = gram[order], check[order], inner[order], at[order], owner[order]
+            fresh = fresh_windows(gram, check)
             least = doc[owner[np.flatnonzero(fresh)]][np.cumsum(fresh) - 1]
             known = doc[owner] > least
             place = (at - first[owner]).astype(np.uint32)
             send = ~known  # the least document's windows, the first and its own repeats
-            empty = pa.array([b""], pa.binary())
+            rows = [(b, *c) for b, c in by_bucket(inner[send], buckets, gram[send], check[send], place[send], owner[send])]
             if known.any():
-                number = -1 - int(gram[0] % U64(buckets))
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), empty, empty, pa.array([place[known].tobytes()], pa.binary()), pa.array([key[owner[known]].tobytes()], pa.binary())], _FIELDS)
-            rows = list(by_bucket(inner[send], buckets, gram[send], doc[owner[send]], place[send], key[owner[send]]))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([c[k].tobytes() for _, c in rows], pa.binary()) for k in range(4))], _FIELDS)
+                rows.append((-1 - int(gram[0] % U64(buckets)), gram[:0], check[:0], place[known], owner[known]))
+            packed = []
+            for b, g, c, p, o in rows:
+                texts, who = np.unique(o, return_inverse=True)  # a document's number and key go once a bucket
+                packed.append((b, *(x.tobytes() for x in (g, c, p, who.astype(np.uint32), doc[texts], key[texts]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in packed], pa.int32()), *(pa.array([r[k] for r in packed], pa.binary()) for k in range(1, 7))], _FIELDS)
 
-    return run, "bucket int, gram binary, doc binary, place binary, row_key binary"
+    return run, "bucket int, gram binary, check binary, place binary, who binary, doc binary, row_key binary"
 
 
-_FIELDS = ["bucket", "gram", "doc", "place", "row_key"]
+def second_hash(h: np.ndarray, width: int) -> np.ndarray:
+    """32 bits of an independent hash of each window."""
+    return (window_hash(mix(h ^ U64(0x5851F42D4C957F2D)), width) >> U64(32)).astype(np.uint32)
+
+
+def fresh_windows(gram: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """True at the first of equal windows, in sorted arrays of both hashes."""
+    fresh = np.ones(len(gram), bool)
+    fresh[1:] = (gram[1:] != gram[:-1]) | (check[1:] != check[:-1])
+    return fresh
+
+
+_FIELDS = ["bucket", "gram", "check", "place", "who", "doc", "row_key"]
 
 
 def _packed(keys: np.ndarray, place: np.ndarray) -> pa.Table:
@@ -166,13 +181,14 @@ def _packed(keys: np.ndarray, place: np.ndarray) -> pa.Table:
 
 
 def _repeated(key, table):
-    gram, doc, place, row = (gathered(table, c, t) for c, t in (("gram", U64), ("doc", np.int64), ("place", np.uint32), ("row_key", np.int64)))
+    gram, check, place = (gathered(table, c, t) for c, t in (("gram", U64), ("check", np.uint32), ("place", np.uint32)))
+    who = [np.frombuffer(x, np.uint32) for x in table.column("who").to_pylist()]
+    doc, row = (np.concatenate([np.frombuffer(x, np.int64)[w] for x, w in zip(table.column(c).to_pylist(), who)]) for c in ("doc", "row_key"))
     if key[0].as_py() < 0:
         return _packed(row, place)
-    order = np.lexsort((doc, gram))
-    gram, doc, place, row = gram[order], doc[order], place[order], row[order]
-    fresh = np.ones(len(gram), bool)
-    fresh[1:] = gram[1:] != gram[:-1]
+    order = np.lexsort((doc, check, gram))
+    gram, check, doc, place, row = gram[order], check[order], doc[order], place[order], row[order]
+    fresh = fresh_windows(gram, check)
     later = doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
     return _packed(row[later], place[later])
 
@@ -206,7 +222,8 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, width: int =
 
     A word goes where a window of `width` words covers it whose word sequence also starts in a document of a smaller
     doc_id; windows are judged on the input. Null text: no words. A null doc_id counts as the largest. Rows that repeat a
-    doc_id don't remove from each other. Texts of fewer words stay whole. Empty table: empty result.
+    doc_id don't remove from each other. Texts of fewer words stay whole; a very long text is one slice of its own. Other
+    columns may have any name. Empty table: empty result.
     """
     if width != WINDOW:
         raise ValueError(f"the rounds are proven for windows of {WINDOW} words")
