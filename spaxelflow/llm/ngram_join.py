@@ -26,6 +26,7 @@ PERCENT = 75
 COUNT_SLOTS = 1 << 20  # of the approximate shingle counts; fixed, so the broadcast order table is 1 MB at any input size
 POSTINGS_A_BUCKET = 1_000_000
 SHINGLES_A_TASK = 4_000_000
+SETS_A_TASK = 10_000  # a task compares its sets' bitmaps pair by pair
 PAIRED_LIST = 64  # longer index lists go on without the test of pairs by position
 _SEGMENTS = 64
 
@@ -297,10 +298,11 @@ def _links(docs: DataFrame, reps: DataFrame, heads: DataFrame, size: int, percen
     """heads(head, member, n) -> spanning links (a, b) of set keys, exact on whole sets.
 
     First the heads' members meet as parity bitmaps, and only sets with a possible link go on. A head's sets meet in one
-    task up to SHINGLES_A_TASK; more are cut into blocks, and each pair of blocks is a task of its own, so no task
+    task up to SHINGLES_A_TASK and SETS_A_TASK; more are cut into blocks, and each pair of blocks is a task of its own, so no task
     holds an unbounded group. What may link is then compared by its whole sets.
     """
-    blocks = heads.groupBy("head").agg(F.sum("n").alias("total")).where(F.col("total") > SHINGLES_A_TASK).select("head", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int").alias("blocks"))
+    weight = F.greatest(F.col("n"), F.lit(SHINGLES_A_TASK // SETS_A_TASK))
+    blocks = heads.groupBy("head").agg(F.sum(weight).alias("total")).where(F.col("total") > SHINGLES_A_TASK).select("head", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int").alias("blocks"))
     dealt = heads.join(blocks, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("member"), "blocks").cast("int"))
     dealt = dealt.select("head", "member", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("head", "member", "n", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
