@@ -71,8 +71,9 @@ def brute_components(rows):
 
 def test_ngram_join(docs, empty, monkeypatch):
     want = brute_components(corpus())
-    for limit in (ngram_join.SHINGLES_A_TASK, 900):  # the second cuts groups into blocks
+    for limit, sets in ((ngram_join.SHINGLES_A_TASK, ngram_join.SETS_A_TASK), (900, 900), (4_000_000, 3)):  # the others cut groups into blocks
         monkeypatch.setattr(ngram_join, "SHINGLES_A_TASK", limit)
+        monkeypatch.setattr(ngram_join, "SETS_A_TASK", sets)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicate_groups(docs).collect()} == want
     assert ngram_join.near_duplicate_groups(empty).count() == 0
 
@@ -535,6 +536,52 @@ def test_html_large_host(spark, monkeypatch):
         assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == dict(enumerate(own))
 
 
+def test_html_host_runs_against_brute_force(spark):
+    """Blocks outside containers, by the definition: runs of 16 words, or whole shorter blocks, on two pages of a host go."""
+    rng = np.random.default_rng(13)
+    vocabulary = [f"w{k}" for k in range(60)]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    shared = {h: [say(int(n)) for n in rng.integers(2, 40, 12)] for h in "ab"}
+    pages = []
+    for k in range(60):
+        host = "ab"[k % 2]
+        blocks = []
+        for _ in range(int(rng.integers(1, 6))):
+            piece = shared[host][int(rng.integers(12))] if rng.random() < 0.5 else say(int(rng.integers(1, 50)))
+            blocks.append(piece if rng.random() < 0.5 else f"{say(int(rng.integers(1, 20)))} {piece}")
+        pages.append((k, host, blocks))
+    pages.append((60, "lone", [say(5), say(30)]))
+    pages.append((61, "a", list(pages[0][2])))
+
+    def runs(block):
+        w = block.split()
+        return [tuple(w[k : k + 16]) for k in range(len(w) - 15)] if len(w) >= 16 else [tuple(w)]
+
+    on = {}
+    for k, host, blocks in pages:
+        for b in blocks:
+            for run in runs(b):
+                on.setdefault((host, run), set()).add(k)
+    want, changed = {}, 0
+    for k, host, blocks in pages:
+        kept = []
+        for b in blocks:
+            w = b.split()
+            gone = [False] * len(w)
+            for at, run in enumerate(runs(b)):
+                if len(on[host, run]) > 1:
+                    gone[at : at + len(run)] = [True] * len(run)
+            if not all(gone):
+                kept.append(" ".join(x for x, y in zip(w, gone) if not y))
+            changed += any(gone)
+        want[k] = "\n".join(kept)
+    rows = [(k, f"http://{host}.example/p{k}", "<body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body>", "x") for k, host, blocks in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(5)
+    got = {r.page_id: r.text for r in html_text.main_text(df, ["page_id", "url"]).collect()}
+    assert got == want and changed > 50
+    assert html_text.main_text(df.limit(0), ["page_id"]).count() == 0
+
+
 def test_html_outside_container(spark):
     page = lambda k: f"<body><div>Welcome to the shop</div><h1>Title {k}</h1><article><p>Text {k % 2}</p></article><div>Ends {k}</div><div>All rights reserved</div><footer>f {k}</footer>"
     rows = [(k, "http://a.example/x", page(k)) for k in range(3)] + [(9, "http://lone.example/", page(9))]
