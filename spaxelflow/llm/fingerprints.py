@@ -7,6 +7,7 @@ one-permutation minimum-hash signature, empty bins being filled from the next on
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,44 +35,47 @@ def phrase_ends(text: str, start: int = 0, seen: set | None = None, open_at: int
     return ends, ends[-1] if ends else begin
 
 
-def _hashes(text: str, ends: list[int]) -> np.ndarray:
-    """Distinct hashes of the phrases that end there, and of what is left behind the last."""
-    marks = np.array([0, *ends, *([len(text)] if len(text) > (ends[-1] if ends else 0) else [])], np.int64) * 4
-    data = np.frombuffer(text.encode("utf-32-le"), np.uint8)
-    return np.unique(span_hash(data, marks[:-1], marks[1:])) if len(marks) > 1 else np.zeros(0, U64)
-
-
-def phrases(text: str) -> np.ndarray:
-    """Sorted distinct hashes of a text's phrases."""
-    return _hashes(text, phrase_ends(text)[0])
-
-
-def phrases_of_both(text: str, edited: str) -> tuple[np.ndarray, np.ndarray]:
-    """phrases() of a text and of an edited form that shares its first half; the shared half is parsed once."""
+def ends_of_both(text: str, edited: str) -> tuple[list[int], list[int]]:
+    """Phrase ends of a text and of an edited form that shares its first half; the shared half is parsed once."""
     half = len(text) - len(text) // 2
     seen: set[str] = set()
     head, begin = phrase_ends(text[:half], 0, seen)
     branch = set(seen)
     rest, _ = phrase_ends(text, half, seen, begin)
     other, _ = phrase_ends(edited, half, branch, begin)
-    return _hashes(text, head + rest), _hashes(edited, head + other)
-
-
-def signature(h: np.ndarray, bins: int = BINS) -> np.ndarray | None:
-    """uint16 values of one-permutation minimum hashing; None for no phrases."""
-    if not len(h):
-        return None
-    where = (h >> U64(57)).astype(np.int64) if bins == 128 else (h % U64(bins)).astype(np.int64)
-    tail = mix(h)
-    order = np.lexsort((tail, where))
-    where, tail = where[order], tail[order]
-    first = np.ones(len(where), bool)
-    first[1:] = where[1:] != where[:-1]
-    filled = where[first]
-    low = tail[first]
-    take = np.searchsorted(filled, np.arange(bins)) % len(filled)
-    distance = (filled[take] - np.arange(bins)) % bins
-    return (mix(low[take] + distance.astype(U64) * U64(0x9E3779B97F4A7C15)) & U64(0xFFFF)).astype(np.uint16)
+    return head + rest, head + other
+
+
+def signatures(texts: list[str], ends: list[list[int]], bins: int = BINS) -> list[np.ndarray | None]:
+    """Each text's uint16 values of one-permutation minimum hashing over its phrases (and what is left behind the last);
+    None for no phrases. All texts are hashed at once."""
+    size = np.array([len(t) for t in texts], np.int64)
+    stops = [e if e and e[-1] == len(t) else [*e, len(t)] if t else e for t, e in zip(texts, ends)]
+    count = np.array([len(e) for e in stops], np.int64)
+    text = np.repeat(np.arange(len(texts)), count)
+    stop = np.fromiter(chain.from_iterable(stops), np.int64, int(count.sum()))
+    start = np.zeros(len(stop), np.int64)
+    start[1:] = stop[:-1]
+    start[(np.cumsum(count) - count)[count > 0]] = 0
+    base = (np.cumsum(size) - size)[text]
+    h = span_hash(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint8), (base + start) * 4, (base + stop) * 4)
+    cell, tail = text * bins + (h % U64(bins) if bins != 128 else h >> U64(57)).astype(np.int64), mix(h)
+    order = np.lexsort((tail, cell))
+    cell, tail = cell[order], tail[order]
+    first = np.ones(len(cell), bool)
+    first[1:] = cell[1:] != cell[:-1]
+    cell, least = cell[first], tail[first]  # the least hash of each filled bin
+    known = np.flatnonzero(count)
+    wanted = (known[:, None] * bins + np.arange(bins)).ravel()
+    begin, end = (np.repeat(np.searchsorted(cell, (known + k) * bins), bins) for k in (0, 1))
+    take = np.searchsorted(cell, wanted)
+    take = np.where(take < end, take, begin)  # past the last filled bin: the text's first one
+    distance = (cell[take] - wanted) % bins if len(wanted) else wanted
+    values = (mix(least[take] + distance.astype(U64) * U64(0x9E3779B97F4A7C15)) & U64(0xFFFF)).astype(np.uint16).reshape(-1, bins)
+    out: list[np.ndarray | None] = [None] * len(texts)
+    for k, v in zip(known.tolist(), values):
+        out[k] = v
+    return out
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
@@ -93,37 +97,35 @@ def edited_text(text: str, following: str) -> str:
 
 def _stream(batches):
     """Rows sorted by (bucket, doc_id descending); each waits for the row behind it in its bucket."""
-    held = None
-
-    out: list[list] = [[] for _ in range(7)]
-    pending: list | None = None  # [doc_id, text, signature, edited sha, edited signature] that waits for the next one's signature
+    held, waiting = None, None
     for batch in slices(batches, "text"):
-        buckets, ids, texts, ahead = (batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "ahead"))
-        for bucket, doc_id, text, look in zip(buckets, ids, texts, ahead):
-            text = text or ""
+        pairs = []  # (doc_id, text, the next document's text, is that one from the next range)
+        for bucket, doc_id, text, ahead in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text", "ahead"))):
             if held is not None and held[0] == bucket and not held[3]:
-                _, h_id, h_text, _ = held
-                changed = edited_text(h_text, text)
-                p, q = phrases_of_both(h_text, changed)
-                own, edited = signature(p), signature(q)
-                if pending is not None:
-                    _emit(out, pending, own)
-                pending = [h_id, len(h_text), own, hashlib.sha256(changed.encode()).hexdigest(), edited]
-                if look:
-                    _emit(out, pending, signature(phrases(text)))
-                    pending = None
-            held = (bucket, doc_id, text, look)
-        if out[0]:
-            yield _batch(out)
-            out = [[] for _ in range(7)]
-    if out[0]:
-        yield _batch(out)
-
-
-def _emit(out, row, following):
-    doc_id, n, own, sha, edited = row
-    for column, v in zip(out, (doc_id, n, sha, text_form(own), text_form(edited), likeness(own, edited), likeness(own, following))):
-        column.append(v)
+                pairs.append((held[1], held[2], text or "", ahead))
+            held = (bucket, doc_id, text or "", ahead)
+        rows, waiting = _answers(pairs, waiting)
+        if rows:
+            yield _batch(zip(*rows))
+
+
+def _answers(pairs, waiting):
+    """The rows of all pairs whose next document's signature is known, and the one that waits for the next pair."""
+    texts, ends, rows = [], [], []
+    for _, text, following, ahead in pairs:
+        changed = edited_text(text, following)
+        texts += [text, changed] + [following] * ahead
+        ends += [*ends_of_both(text, changed), *([phrase_ends(following)[0]] if ahead else [])]
+    signed = iter(zip(texts, signatures(texts, ends)))
+    for doc_id, text, _, ahead in pairs:
+        (_, own), (changed, edited) = next(signed), next(signed)
+        if waiting is not None:
+            rows.append((*waiting[:-1], likeness(waiting[-1], own)))
+        waiting = (doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), text_form(own), text_form(edited), likeness(own, edited), own)
+        if ahead:
+            rows.append((*waiting[:-1], likeness(own, next(signed)[1])))
+            waiting = None
+    return rows, waiting
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -131,7 +133,7 @@ _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 def _batch(out):
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(out, types)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:

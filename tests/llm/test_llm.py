@@ -199,15 +199,14 @@ def test_decontamination_without_item_id(spark, tmp_path):
 def test_fingerprints(docs, empty):
     rows = sorted(((i, t or "") for i, t in corpus()), reverse=True)
     got = {r.doc_id: r for r in fingerprints.fingerprint_neighbours(docs).collect()}
-    sign = {i: fingerprints.signature(fingerprints.phrases(t)) for i, t in rows}
+    sign = lambda t: fingerprints.signatures([t], [fingerprints.phrase_ends(t)[0]])[0]
     for k, (i, t) in enumerate(rows):
-        j, other = rows[(k + 1) % len(rows)]
+        other = rows[(k + 1) % len(rows)][1]
         edited = fingerprints.edited_text(t, other)
-        changed = fingerprints.signature(fingerprints.phrases(edited))
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (fingerprints.text_form(sign[i]), fingerprints.text_form(changed))
-        assert (r.near_edited, r.near_next) == (fingerprints.likeness(sign[i], changed), fingerprints.likeness(sign[i], sign[j]))
+        assert (r.fingerprint, r.edited_fingerprint) == (fingerprints.text_form(sign(t)), fingerprints.text_form(sign(edited)))
+        assert (r.near_edited, r.near_next) == (fingerprints.likeness(sign(t), sign(edited)), fingerprints.likeness(sign(t), sign(other)))
     assert fingerprints.fingerprint_neighbours(empty).count() == 0
 
 
