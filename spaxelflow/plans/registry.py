@@ -596,6 +596,13 @@ def extinguish(spark, d):
     return out.select("vec_id", F.posexplode("flux").alias("k", "v")).select("vec_id", "k", r(F.col("v"), 8).alias("v"))
 
 
+@query("SELECT p_partkey, round(pow(10, -0.4e0 * pow(0.31e0 + p_partkey % 400 / 600e0, 1.61e0) * (0.574e0 - 0.527e0 / 3.1e0) * 3.1e0 * p_size / 50e0), 9) AS kept FROM part")
+def extinguish_ebv(spark, d):
+    """Transmission by colour excess, on the infrared branch of the curve."""
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", (0.31 + F.col("p_partkey") % 400 / 600.0).alias("x"))
+    return parts.select("p_partkey", r(D.extinguish(D.ccm89(F.col("x")), ebv=F.col("p_size") / 50.0), 9).alias("kept"))
+
+
 # ---- samples, generators and jobs
 @query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY galaxy_id ORDER BY md5(concat_ws(',', 42, l_orderkey, l_linenumber, l_partkey, l_suppkey, mass)), l_orderkey, l_linenumber, l_partkey, l_suppkey, mass) AS n FROM stars) WHERE n <= 100")
 def subset(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,13 +30,15 @@ def _each(column: str, dtype, f) -> Column:
 
 
 def ingest_snapshot(df: DataFrame, mapping: dict[str, str], missing: str = "error", keep: tuple[str, ...] = ("galaxy_id", "particle_id")) -> DataFrame:
-    """Renames source fields; unknown fields are an error; absent ones an error, or zeros for missing='zero'."""
+    """Renames source fields; unknown fields are an error; absent ones an error, or zeros with a warning for missing='zero'."""
     unknown = [c for c in df.columns if c not in mapping and c not in keep]
     absent = [s for s in mapping if s not in df.columns]
     if unknown:
         raise ValueError(f"unknown fields: {unknown}")
     if absent and missing != "zero":
         raise ValueError(f"missing fields: {absent}")
+    if absent:
+        warnings.warn(f"fields set to zero: {absent}", stacklevel=2)
     return df.select(*[c for c in keep if c in df.columns], *[(F.col(s) if s in df.columns else F.lit(0.0)).alias(t) for s, t in mapping.items()])
 
 
