@@ -27,7 +27,6 @@ COUNT_SLOTS = 1 << 20  # of the approximate shingle counts; fixed, so the broadc
 POSTINGS_A_BUCKET = 1_000_000
 SHINGLES_A_TASK = 4_000_000
 SETS_A_TASK = 10_000  # a task compares its sets' bitmaps pair by pair
-PAIRED_LIST = 64  # longer index lists go on without the test of pairs by position
 _SEGMENTS = 64
 
 
@@ -130,34 +129,51 @@ def _lists(table: pa.Table):
     return bounds, key, n, place
 
 
-def _pairable(n: np.ndarray, room: np.ndarray, percent: int) -> np.ndarray:
-    """True for each set of an index list that size and position leave a possible partner in it; a pair is judged at the
-    first member that it shares, so no more than `room` members are common."""
-    sums, low = n[:, None] + n, np.minimum(n[:, None], n)
-    fits = (np.minimum(room[:, None], room) >= -(-percent * sums // (100 + percent))) & (100 * low >= percent * (sums - low))
-    np.fill_diagonal(fits, False)
-    return fits.any(axis=1)
+def _largest(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The largest of values[start:end] for each pair of bounds, -1 where it is empty; ranges are covered by two spans of a
+    power of two."""
+    out = np.full(len(start), -1, np.int64)
+    length = end - start
+    level = np.where(length > 0, np.frexp(np.maximum(length, 1))[1] - 1, -1)
+    top, span = values, 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = np.maximum(top[start[at]], top[end[at] - span])
+        top, span = np.maximum(top[:-span], top[span:]), 2 * span
+    return out
+
+
+def _pairable(bounds: np.ndarray, n: np.ndarray, room: np.ndarray, percent: int) -> np.ndarray:
+    """True for each set of each index list (sorted by size) that size and position leave a possible partner in its list.
+
+    A pair is judged at the first member that it shares, so no more than `room` members are common to either: a set's
+    partners have at most `reach` members. The widest reach among sizes within bounds, the set itself left out, decides.
+    """
+    reach = room * (100 + percent) // percent - n
+    which = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) << 32
+    at, key = np.arange(len(n)), which + n
+    low = np.searchsorted(key, which - (-percent * n // 100), side="left")
+    high = np.searchsorted(key, which + np.clip(np.minimum(reach, 100 * n // percent), 0, (1 << 32) - 1), side="right")
+    return np.maximum(_largest(reach, low, np.minimum(high, at)), _largest(reach, np.maximum(low, at + 1), high)) >= n
 
 
 def _heads(percent: int):
     """From each list: (head, member, size of member) rows, one head for a block of sizes within the size bound.
 
     A pair within the bound lies in one block or in two neighbours, so each member goes to its own block's head and
-    to the one before it; sets that size and position leave no partner in a list of PAIRED_LIST or fewer are skipped.
+    to the one before it; sets that size and position leave no partner in their list are skipped.
     """
 
     def run(_, table):
         bounds, key, n, place = _lists(table)
-        size = np.diff(bounds)
         n = n.astype(np.int64)
+        fit = np.flatnonzero(_pairable(bounds, n, n - place, percent))
+        bounds = np.unique(np.searchsorted(fit, bounds))
+        size = np.diff(bounds)
         two = bounds[:-1][size == 2]
-        room = 1 + np.minimum(n[two] - place[two] - 1, n[two + 1] - place[two + 1] - 1)
-        two = two[(room >= -(-percent * (n[two] + n[two + 1]) // (100 + percent))) & (100 * n[two] >= percent * n[two + 1])]
-        heads, members = [np.repeat(two, 2)], [np.repeat(two, 2) + np.tile([0, 1], len(two))]
+        heads, members = [np.repeat(fit[two], 2)], [fit[np.repeat(two, 2) + np.tile([0, 1], len(two))]]
         for a, b in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist()):
-            rows = np.arange(a, b)
-            if b - a <= PAIRED_LIST:
-                rows = rows[_pairable(n[a:b], n[a:b] - place[a:b], percent)]
+            rows = fit[a:b]
             sizes, before, at = n[rows], None, 0
             while at < len(rows):
                 end = at + int(np.searchsorted(sizes[at:], 100 * sizes[at] // percent, side="right"))

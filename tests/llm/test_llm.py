@@ -78,6 +78,21 @@ def test_ngram_join(docs, empty, monkeypatch):
     assert ngram_join.near_duplicate_groups(empty).count() == 0
 
 
+def test_positions_in_lists_of_any_length():
+    rng = np.random.default_rng(3)
+    for lengths in ([1], [2, 3, 70, 1, 300], []):
+        bounds = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+        n = np.concatenate([np.sort(rng.integers(1, 60, k)) for k in lengths] or [np.zeros(0, int)])
+        room = n - (rng.random(len(n)) * (n // 2 + 1)).astype(np.int64)
+        want = [
+            any(j != i and 175 * min(room[i], room[j]) >= 75 * (n[i] + n[j]) and 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j]) for j in range(a, b))
+            for a, b in zip(bounds, bounds[1:])
+            for i in range(a, b)
+        ]
+        assert ngram_join._pairable(bounds, n, room, 75).tolist() == want
+        assert len(n) < 70 or (any(want) and not all(want))
+
+
 def test_parity_bound():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
