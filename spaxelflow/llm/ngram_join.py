@@ -5,8 +5,9 @@ prefix; index lists are sorted by set size and cut into blocks, so that blocks w
 skipped, and sets are skipped by position where too few shingles are left behind it.
 Answer-level skipping: equal sets share one entry and one answer. The lists of a block name its first set as head;
 a head's sets meet in one task (or in pairs of bounded blocks), where each set's overlaps with all others are counted
-at once, and the answers of sets that have met in one component are derived from the ones already computed. Parity
-bitmaps rule out, exactly, most sets without a link before any whole set is moved.
+at once, or derived from a highly similar set's counts by the lists of the members in which the two differ; sets that
+have met in one component need no answer. Parity bitmaps rule out, exactly, most sets without a link before any whole
+set is moved.
 
 Overlaps are counted on whole 64-bit shingle sets, so links are exact.
 """
@@ -249,8 +250,10 @@ def _survivors(percent: int):
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join what all links of these sets join: at most len(sets) - 1.
 
-    A set's overlaps with all others are counted at once over an inverted list. Sets that have met need no answers
-    of their own against each other: sets are taken from the smaller components until one component alone holds
+    A set's overlaps with all others are counted at once over an inverted list. The next set is the one most like the set
+    just answered, and its overlaps are derived from that answer where that reads less: the lists of members that only
+    the old set has are taken off, those of members that only the new one has are added. Sets that have met need no
+    answers of their own against each other: sets are taken from the smaller components until one component alone holds
     sets that weren't taken.
     """
     m = len(sets)
@@ -266,15 +269,24 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     counts = np.diff(np.append(starts, len(token)))
     owners, first = owner[order], np.cumsum(sizes) - sizes
     label, taken, out = np.arange(m), np.zeros(m, bool), []
+    runs, common = np.zeros(0, np.int64), np.zeros(m, np.int64)  # of the set just answered
+
+    def owning(runs):
+        return np.bincount(owners[spread(starts[runs], counts[runs])], minlength=m)
+
     while True:
         open_labels, amount = np.unique(label[~taken], return_counts=True)
         if len(open_labels) <= 1:
             return out
-        a = int(np.flatnonzero(~taken & (label != open_labels[np.argmax(amount)]))[0])
+        rest = np.flatnonzero(~taken & (label != open_labels[np.argmax(amount)]))
+        a = int(rest[np.argmax(common[rest] / sizes[rest])])
         taken[a] = True
-        runs = run_of[first[a] : first[a] + sizes[a]]
-        runs = runs[counts[runs] > 1]
-        common = np.bincount(owners[spread(starts[runs], counts[runs])], minlength=m)
+        before, runs = runs, run_of[first[a] : first[a] + sizes[a]]
+        lost, gained = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((before, runs), (runs, before)))
+        if counts[lost].sum() + counts[gained].sum() < counts[runs].sum():
+            common = common - owning(lost) + owning(gained)
+        else:
+            common = owning(runs)
         linked = np.flatnonzero((100 * common >= percent * (sizes[a] + sizes - common)) & (label != label[a]))
         if len(linked):
             met, where = np.unique(label[linked], return_index=True)

@@ -103,6 +103,30 @@ def test_parity_bound():
         assert differ <= len(np.setxor1d(a, b))
 
 
+def test_spanning_links():
+    rng = np.random.default_rng(5)
+    for seed in range(6):
+        sets = []
+        for k in range(12):
+            own = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 90))).astype(np.uint64))
+            for _ in range(1 + k % 5):
+                flipped = rng.random(len(own)) < rng.choice([0.0, 0.05, 0.2])
+                sets.append(np.unique(np.concatenate([own[~flipped], rng.integers(0, 2**63, int(flipped.sum()) + (0 if (~flipped).any() else 1)).astype(np.uint64)])))
+        sets = [sets[k] for k in rng.permutation(len(sets))]
+        members = [set(x.tolist()) for x in sets]
+        linked = lambda i, j: 100 * len(members[i] & members[j]) >= 75 * len(members[i] | members[j])
+        links = ngram_join.spanning_links(sets, 75)
+        assert all(linked(i, j) for i, j in links) and len(links) < len(sets)
+
+        def classes(pairs):
+            label = list(range(len(sets)))
+            for i, j in pairs:
+                label = [label[i] if x == label[j] else x for x in label]
+            return [label.index(x) for x in label]
+
+        assert classes(links) == classes([(i, j) for i in range(len(sets)) for j in range(i) if linked(i, j)])
+
+
 def test_components(spark):
     rows = [(1, 2), (2, 3), (3, 4), (9, 10), (10, 9), (7, 7), (4, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25)]
     got = dict(components.connected_components(spark.createDataFrame(rows, "a long, b long")).collect())
