@@ -4,10 +4,10 @@ Index-level skipping: shingles are ordered by an approximate corpus count, rare
 prefix; index lists are sorted by set size and cut into blocks, so that blocks which the size bound rules out are
 skipped, and sets are skipped by position where too few shingles are left behind it.
 Answer-level skipping: equal sets share one entry and one answer. The lists of a block name its first set as head;
-a head's sets meet in one task (or in pairs of bounded blocks), where each set's overlaps with all others are counted
-at once, or derived from a highly similar set's counts by the lists of the members in which the two differ; sets that
-have met in one component need no answer. Parity bitmaps rule out, exactly, most sets without a link before any whole
-set is moved.
+a head's sets meet in one task (or in bounded blocks, and then what is left outside the head's component against all
+blocks), where each set's overlaps with all others are counted at once, or derived from a highly similar set's counts by
+the lists of the members in which the two differ; sets that have met in one component need no answer. Parity bitmaps
+rule out, exactly, most sets without a link before any whole set is moved.
 
 Overlaps are counted on whole 64-bit shingle sets, so links are exact.
 """
@@ -28,6 +28,7 @@ COUNT_SLOTS = 1 << 20  # of the approximate shingle counts; fixed, so the broadc
 POSTINGS_A_BUCKET = 1_000_000
 SHINGLES_A_TASK = 4_000_000
 SETS_A_TASK = 10_000  # a task compares its sets' bitmaps pair by pair
+BROADCAST_HEADS = 1_000_000  # 12 bytes each; more are joined by a shuffle
 _SEGMENTS = 64
 
 
@@ -322,26 +323,68 @@ def _without_contained(groups: DataFrame) -> DataFrame:
     return groups.join(inside, "group", "left_anti")
 
 
-def _links(docs: DataFrame, reps: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
-    """heads(head, member, n) -> spanning links (a, b) of set keys, exact on whole sets.
+def _block(blocks, seed: int = 0):
+    """Which of `blocks` (a column) a set falls into."""
+    return F.pmod(F.xxhash64("member", F.lit(seed)), blocks).cast("int")
 
-    First the heads' members meet as parity bitmaps, and only sets with a possible link go on. A head's sets meet in one
-    task up to SHINGLES_A_TASK and SETS_A_TASK; more are cut into blocks, and each pair of blocks is a task of its own, so no task
-    holds an unbounded group. What may link is then compared by its whole sets.
-    """
+
+def _blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """(head, blocks) of the heads whose rows weigh more than `limit`: blocks of half that weight. There are no more of
+    them than the rows' whole weight over `limit`."""
     weight = F.greatest(F.col("n"), F.lit(SHINGLES_A_TASK // SETS_A_TASK))
-    blocks = heads.groupBy("head").agg(F.sum(weight).alias("total")).where(F.col("total") > SHINGLES_A_TASK).select("head", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int").alias("blocks"))
-    dealt = heads.join(blocks, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("member"), "blocks").cast("int"))
-    dealt = dealt.select("head", "member", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("head", "member", "n", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    total = rows.groupBy("head").agg(F.sum(weight).alias("total")).where(F.col("total") > limit)
+    return checkpoint(total.select("head", F.ceil(2 * F.col("total") / SHINGLES_A_TASK).cast("int").alias("blocks")))
+
+
+def _few(table: DataFrame, count: int) -> DataFrame:
+    """The table, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(table) if count <= BROADCAST_HEADS else table
+
+
+def _compared(docs: DataFrame, reps: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
+    """dealt(head, i, j, member, n), the sets of (head, i, j) in one task -> spanning links (a, b) of set keys.
+
+    They meet as parity bitmaps first; what may link is then compared by its whole sets, so links are exact.
+    """
     run, schema = _survivors(percent)
-    bitmaps = _fetch(docs, reps, heads, size, parity_bits)
+    bitmaps = _fetch(docs, reps, dealt, size, parity_bits)
     groups = checkpoint(dealt.join(bitmaps, "member").groupBy("head", "i", "j").applyInArrow(run, schema).distinct())
     groups = checkpoint(_without_contained(groups))
     run, schema = _answer(percent)
     return groups.join(_fetch(docs, reps, groups, size, lambda s: s), "member").groupBy("group").applyInArrow(run, schema)
 
 
+def _links(docs: DataFrame, reps: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
+    """heads(head, member, n) -> spanning links (a, b) of set keys, exact on whole sets.
+
+    A head's sets meet in one task up to SHINGLES_A_TASK and SETS_A_TASK. More are cut into blocks, so no task holds an
+    unbounded group, and are answered in two rounds: first each block by itself, together with the head, so that the
+    near copies of the head fall in one component; then the sets outside the head's largest component, cut into blocks
+    of their own, against every block. Sets of one component need no answers of their own, so blocks don't meet in all
+    pairs unless the group falls apart.
+    """
+    blocks = _blocks(heads, SHINGLES_A_TASK)
+    large = blocks.count()
+    whole = F.lit(0)
+    if not large:
+        return _compared(docs, reps, heads.select("head", whole.alias("i"), whole.alias("j"), "member", "n"), size, percent)
+    blocks = _few(blocks, large)
+    small = heads.join(blocks, "head", "left_anti").select("head", whole.alias("i"), whole.alias("j"), "member", "n")
+    cut = heads.join(blocks, "head").withColumn("own", _block(F.col("blocks")))
+    everywhere = F.when(F.col("head") == F.col("member"), F.sequence(whole, F.col("blocks") - 1)).otherwise(F.array("own"))
+    near = checkpoint(_compared(docs, reps, small.unionByName(cut.select("head", F.explode(everywhere).alias("i"), whole.alias("j"), "member", "n")), size, percent))
+
+    parts = connected_components(near).select(F.col("node").alias("member"), "component")
+    cut = checkpoint(cut.join(parts, "member", "left").withColumn("part", F.coalesce("component", "member")).drop("component"))
+    top = cut.groupBy("head", "part").count().groupBy("head").agg(F.max(F.struct("count", "part")).part.alias("part"))
+    outside = checkpoint(cut.join(_few(top, large), ["head", "part"], "left_anti").select("head", "member", "n", "blocks"))
+    several = _blocks(outside, 0).withColumnRenamed("blocks", "others")
+    outside = outside.join(_few(several, large), "head").withColumn("i", _block(F.col("others"), 1))
+    outside = outside.select("head", "i", F.explode(F.sequence(whole, F.col("blocks") - 1)).alias("j"), "member", "n")
+    rest = cut.join(_few(several, large), "head").select("head", F.explode(F.sequence(whole, F.col("others") - 1)).alias("i"), F.col("own").alias("j"), "member", "n")
+    return near.unionByName(_compared(docs, reps, outside.unionByName(rest), size, percent))
+
+
 def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text, ...) -> (profile, components).
 
