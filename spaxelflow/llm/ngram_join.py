@@ -29,6 +29,7 @@ POSTINGS_A_BUCKET = 1_000_000
 SHINGLES_A_TASK = 4_000_000
 SETS_A_TASK = 10_000  # a task compares its sets' bitmaps pair by pair
 BROADCAST_HEADS = 1_000_000  # 12 bytes each; more are joined by a shuffle
+COPIES = 1000  # sets of more equal rows are joined to them by a broadcast, up to as many sets
 _SEGMENTS = 64
 
 
@@ -411,6 +412,18 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     return profile, connected_components(links)
 
 
+def _to_rows(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows(set_key, ...) joined with sets(set_key, copies, ...), one row a set; a set of many equal rows doesn't bring them
+    into one task."""
+    sets = checkpoint(sets)
+    hot = sets.where(F.col("copies") > COPIES)
+    count = hot.count()
+    if not 0 < count <= BROADCAST_HEADS:
+        return rows.join(sets, "set_key")
+    hot = F.broadcast(hot)
+    return rows.join(hot, "set_key").unionByName(rows.join(hot.select("set_key"), "set_key", "left_anti").join(sets.where(F.col("copies") <= COPIES), "set_key"))
+
+
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id), one row a document row.
 
@@ -418,12 +431,12 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE, percent: int = P
     A null doc_id never gives a component its id unless all of its ids are null.
     """
     profile, parts = jaccard_links(docs, size, percent)
-    reps = profile.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    reps = profile.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     linked = reps.join(parts, reps.set_key == parts.node).select("set_key", "rep", F.col("component").alias("part"))
     names = linked.groupBy("part").agg(F.min("rep").alias("component"))
     parts = linked.join(names, "part").select("set_key", "component")
-    placed = reps.join(parts, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    full = profile.where("n > 0").join(placed, "set_key").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    placed = reps.join(parts, "set_key", "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component"))
+    full = _to_rows(profile.where("n > 0"), placed).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return full.unionByName(profile.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -436,7 +449,9 @@ def surplus(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     """
     profile, parts = jaccard_links(docs, size, percent)
     rows = profile.where("n > 0").groupBy("doc_id", "set_key").agg(F.count("*").alias("rows"))
-    rows = rows.join(parts, rows.set_key == parts.node, "left").select("doc_id", "set_key", "rows", F.coalesce("component", "set_key").alias("component"))
+    sets = rows.groupBy("set_key").agg(F.count("*").alias("copies"))
+    sets = sets.join(parts, sets.set_key == parts.node, "left").select("set_key", "copies", F.coalesce("component", "set_key").alias("component"))
+    rows = _to_rows(rows, sets)
     top = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_key")).alias("top"))
     top = top.select(F.col("top.doc_id").alias("top_id"), F.col("top.set_key").alias("top_key"))
     found = rows.join(top, rows.doc_id.eqNullSafe(top.top_id) & (rows.set_key == top.top_key), "left")

@@ -74,6 +74,7 @@ def test_ngram_join(docs, empty, monkeypatch):
     for limit, sets in ((ngram_join.SHINGLES_A_TASK, ngram_join.SETS_A_TASK), (900, 900), (4_000_000, 3)):  # the others cut groups into blocks
         monkeypatch.setattr(ngram_join, "SHINGLES_A_TASK", limit)
         monkeypatch.setattr(ngram_join, "SETS_A_TASK", sets)
+        monkeypatch.setattr(ngram_join, "COPIES", 1 if limit == 900 else 1000)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicate_groups(docs).collect()} == want
     assert ngram_join.near_duplicate_groups(empty).count() == 0
 
@@ -639,7 +640,9 @@ def test_chat(spark):
     assert chat_format.render(turns.limit(0)).count() == 0
 
 
-def test_near_duplicates_by_row(spark):
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_near_duplicates_by_row(spark, monkeypatch, copies):
+    monkeypatch.setattr(ngram_join, "COPIES", copies)
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(3)
     say = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
