@@ -700,3 +700,70 @@ def test_pipeline_stages_with_labels(spark, tmp_path):
     assert ids[1] == ids[0] - {180, 181, 182, 183} | ({182, 183} & ids[1]) and not {180, 181} & ids[1]
     assert 182 not in ids[2] and ids[2] == ids[1] - {182}
     assert ids[3] == ids[2] and all(r.text == texts[k].replace("password = hunter2222", "[SECRET]") and r.spans == "s" for k, r in kept[3].items())
+
+
+def test_substring_dedup_odd_rows(spark):
+    """Null ids count as the largest, rows of one id don't remove from each other, equal rows stay alike, columns of any name."""
+    rng = np.random.default_rng(21)
+    say = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    shared, run, much = say(60), ["la"] * 130, say(30_000)
+    texts = [(5, say(9) + shared), (5, shared + say(4)), (None, say(3) + shared), (None, say(2) + shared[5:] + say(1)), (2, run), (7, ["x"] + run[:70]), (8, run[:49]), (9, say(20) + shared[:49]), (11, much), (12, much[100:] + say(5)), (12, much[100:]), (13, None), (13, shared), (13, shared), (None, None)]
+    rows = [(i, None if w is None else " ".join(w), "r", k, "t") for k, (i, w) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, row_key long, places string").repartition(4)
+    found = substring_dedup.remove_repeats(docs, ["doc_id", "row_key", "places"]).collect()
+    got = {r.row_key: r for r in found}
+    assert len(found) == len(rows)
+    order = lambda i: (i is None, i or 0)
+    first = {}
+    for i, w in texts:
+        for k in range(len(w or ()) - 49):
+            g = tuple(w[k : k + 50])
+            first[g] = min(first.get(g, (True, 1)), order(i))
+    for k, (i, w) in enumerate(texts):
+        w = w or []
+        gone = [False] * len(w)
+        for at in range(len(w) - 49):
+            if first[tuple(w[at : at + 50])] < order(i):
+                gone[at : at + 50] = [True] * 50
+        assert (got[k].n_words, got[k].n_removed, got[k].kept_text, got[k].places) == (len(w), sum(gone), " ".join(x for x, y in zip(w, gone) if not y), "t")
+
+
+def test_chat_odd_rows(spark):
+    long = "é中x " * 300_000
+    rows = [(1, 0, "user", long, "h"), (2, 0, "user", long, "h"), (2, 1, "assistant", "b", "h"), (3, 0, "user", long[:-1], "h"), (4, 5, "", "", None), (4, 5, "", "", None), (None, 0, "user", long, "h")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, pos string").withColumns({c: F.lit(1) for c in ("n", "block", "h1", "part", "own", "base")}).repartition(3)
+    got = {r.conv_id: r for r in chat_format.render(turns).collect()}
+    assert sorted(got) == [2, 3, 4] and [got[k].n_copies for k in (2, 3, 4)] == [1, 1, 1]
+    assert got[2].rendered == f"<|user|>\n{long}<|end|>\n<|assistant|>\nb<|end|>\n" and got[4].rendered == "<||>\n<|end|>\n"
+
+
+def test_packing_odd_rows(spark):
+    """Null and repeated ids, ties in length, very long texts, columns with names that the plan uses."""
+    rows = [(None, "one two", 1), (None, None, 2), (3, "one two", 3), (3, "one two", 3), (3, "é " * 40_000, 4), (4, "", 5), (5, "ab " * 5_000, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rank int").withColumns({c: F.lit("x") for c in ("piece", "length", "salt", "slot", "ranges", "row", "offset")}).repartition(3)
+    found = packing.pack(docs, keep=["doc_id", "rank", "salt"]).collect()
+    by_row, bins = {}, {}
+    for r in found:
+        by_row.setdefault(r.rank, []).append(r)
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(by_row) == [1, 2, 3, 4, 5, 6] and len(by_row[3]) == 2 and by_row[2][0].length == by_row[5][0].length == 1
+    for k in (4, 6):
+        own = sorted(by_row[k], key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own))) and all(r.length == 2048 for r in own[1:]) and [r.start for r in own[1:]] == list(np.cumsum([r.length for r in own])[:-1])
+    for parts in bins.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_decontamination_odd_rows(spark):
+    """Very long texts, repeated and null ids, columns with names that the operator uses."""
+    rng = np.random.default_rng(22)
+    say = lambda n: [f"u{x}" for x in rng.integers(0, 10**6, n)]
+    item, filler = say(12), say(150_000)
+    rows = [(1, filler + item + filler[:50] + item[:10], 0), (1, item[1:11], 1), (None, item, 2), (None, None, 3), (4, item[:9] + ["z"] + item[9:], 4), (4, item[:9] + ["z"] + item[9:], 4)]
+    docs = spark.createDataFrame([(i, None if w is None else " ".join(w), k) for i, w, k in rows], "doc_id long, text string, n_hit int").withColumns({c: F.lit("x") for c in ("items", "term", "row", "kept", "n_words", "n_near")}).repartition(3)
+    bench = spark.createDataFrame([(7, " ".join(item), "e"), (7, " ".join(item), "e"), (8, "", "e")], "item_id long, text string, doc_id string")
+    found = decontamination.contamination(docs.select(F.struct(*docs.columns).alias("kept"), "text"), bench, ["kept"]).select(F.col("kept.n_hit").alias("k"), "n_words", "n_hit", "items").collect()
+    got = sorted((r.k, r.n_words, r.n_hit, tuple(r.items)) for r in found)
+    assert got == [(0, 150_072, 22, ("7",)), (1, 10, 10, ("7",)), (2, 12, 12, ("7",)), (3, 0, 0, ()), (4, 13, 0, ()), (4, 13, 0, ())]
