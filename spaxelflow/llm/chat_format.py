@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernel import written
+
 BLOCK = 64  # turn numbers in a block of the two-level sums
 PART = 256  # turns in a rendered row
 
 
-def turn_prefixes(turns: DataFrame) -> DataFrame:
-    """turns(conv_id, turn, role, text, ...) -> (conv_id, pos, n, role, text, h1, h2): pos from 1, n turns in all, and
-    two independent prefix hashes up to pos."""
+def placed_turns(turns: DataFrame) -> DataFrame:
+    """turns(conv_id, turn, role, text, ...) -> (conv_id, block, pos, n, role, text, x1, x2): pos from 1, n turns in all, and
+    two hashes of each turn. The rows are written once; what reads hashes alone doesn't read texts."""
     rows = (
         turns.where("conv_id is not null")
         .select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -30,11 +32,18 @@ def turn_prefixes(turns: DataFrame) -> DataFrame:
     all_blocks = Window.partitionBy("conv_id")
     counts = rows.groupBy("conv_id", "block").agg(F.count("*").alias("c")).select("conv_id", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"), F.sum("c").over(all_blocks).alias("n"))
     placed = rows.withColumn("own", F.row_number().over(inner)).join(counts, ["conv_id", "block"]).withColumn("pos", F.col("base") + F.col("own"))
-    hashed = placed.withColumn("x1", F.xxhash64("pos", "role", "text").cast("decimal(20,0)")).withColumn("x2", F.xxhash64(F.lit("second"), "pos", "role", "text").cast("decimal(20,0)"))
+    return written(placed.select("conv_id", "block", "pos", "n", "role", "text", F.xxhash64("pos", "role", "text").alias("x1"), F.xxhash64(F.lit("second"), "pos", "role", "text").alias("x2")))
+
+
+def turn_prefixes(placed: DataFrame) -> DataFrame:
+    """placed turns -> (conv_id, pos, n, h1, h2): two independent prefix hashes up to pos. No text is read."""
+    hashed = placed.select("conv_id", "block", "pos", "n", *[F.col(x).cast("decimal(20,0)").alias(x) for x in ("x1", "x2")])
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("conv_id", "block").orderBy("pos")
     sums = hashed.groupBy("conv_id", "block").agg(F.sum("x1").alias("s1"), F.sum("x2").alias("s2"))
-    sums = sums.select("conv_id", "block", F.coalesce(F.sum("s1").over(before), F.lit(0)).cast("decimal(38,0)").alias("b1"), F.coalesce(F.sum("s2").over(before), F.lit(0)).cast("decimal(38,0)").alias("b2"))
+    sums = sums.select("conv_id", "block", *[F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)).cast("decimal(38,0)").alias(f"b{k}") for k in (1, 2)])
     running = hashed.withColumn("r1", F.sum("x1").over(inner)).withColumn("r2", F.sum("x2").over(inner)).join(sums, ["conv_id", "block"])
-    return running.select("conv_id", "pos", "n", "role", "text", (F.col("b1") + F.col("r1")).cast("decimal(38,0)").alias("h1"), (F.col("b2") + F.col("r2")).cast("decimal(38,0)").alias("h2"))
+    return running.select("conv_id", "pos", "n", *[(F.col(f"b{k}") + F.col(f"r{k}")).cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)])
 
 
 def collapse(prefixes: DataFrame) -> DataFrame:
@@ -51,8 +60,11 @@ def render(turns: DataFrame) -> DataFrame:
     are ordered by role and text; a null turn comes first, a null role is `unknown`, a null text empty, rows without
     conv_id are left out. Extra columns are ignored. Empty table: empty result.
     """
-    prefixes = turn_prefixes(turns)
-    kept = prefixes.join(collapse(prefixes), "conv_id").withColumn("part", F.floor((F.col("pos") - 1) / PART))
+    placed = placed_turns(turns)
+    kept = collapse(turn_prefixes(placed))
+    # Texts meet by conversation and part, so a conversation of very many turns is no hot key.
+    parts = kept.select("conv_id", "n_turns", "n_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_turns") - 1) / PART))).alias("part"))
     line = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n"))
-    grouped = kept.groupBy("conv_id", "part", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
+    lines = placed.select("conv_id", F.floor((F.col("pos") - 1) / PART).alias("part"), "pos", line.alias("line")).join(parts, ["conv_id", "part"])
+    grouped = lines.groupBy("conv_id", "part", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     return grouped.select("conv_id", "part", "n_turns", "n_copies", F.array_join(F.col("lines.line"), "").alias("rendered"))

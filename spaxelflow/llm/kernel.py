@@ -6,6 +6,8 @@ Texts are read as UTF-8 bytes without a Python object per text; words are spans
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -197,6 +199,15 @@ def checkpoint(df):
     return df.checkpoint()
 
 
+def written(df):
+    """Writes df as a table in the shared checkpoint folder and reads it again: lineage is cut, and later reads take only
+    the columns that they need."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 class KeyFilter:
     """A Bloom filter of 64-bit keys: `has` may say yes wrongly, never no wrongly.
 
