@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import slices
-from .packing import _CACHE_IDS, PieceEncoder
+from .packing import PieceEncoder
 
 RANKS_BYTES = 64 << 20  # a larger rank file is refused: it is broadcast
-_PAIRS = 4_000_000
+_PAIRS, _PIECES = 400_000, 400_000  # kept by a worker: judged pairs, encoded pre-tokens
 # Stand-ins of the classes of characters that another Unicode version knows: letter, number, other.
 _STAND_INS = {r"\p{L}": "ª", r"\p{N}": "½", r"[^\s\p{L}\p{N}]": "¤"}
 
@@ -171,12 +171,17 @@ class Encoder(PieceEncoder):
         self.own: dict[str, np.ndarray] = {}
         self.single = lambda piece: table.encode(piece.encode())
 
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > _PIECES:
+            self.clear()
+        return super().encode(column)
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.own) > _CACHE_IDS // 20:
-            self.own.clear()
         out = []
         for text in texts:
             pieces = self.splitter.pieces(text)
+            if len(self.own) > _PIECES // 4:
+                self.own.clear()
             for p in pieces:
                 if p not in self.own:
                     self.own[p] = np.array(self.single(p), np.uint32)
