@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontamination, fingerprints, html_text, language_id, ngram_join, packing, quality, secrets, substring_dedup
+from . import byte_bpe, chat_format, clustering, decontamination, fingerprints, hard_negatives, html_text, language_id, ngram_join, packing, quality, secrets, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -78,13 +78,49 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_read(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("vec_id")
+    label = F.when(number % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), number % 100 == 0, 64, label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_VECTORS = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _cluster_sql(k: int, rounds: int) -> str:
+    """Rounds of assignment and floored means, one after another."""
+    parts = [f"e AS MATERIALIZED ({_VECTORS})", "l AS MATERIALIZED (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e)"]
+    parts.append(f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM e QUALIFY c < {k})")
+    near = "SELECT vec_id, c, list_sum(list_transform(list_zip(e.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM e, c{r} AS m QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) = 1"
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED ({near.format(r=r)})")
+        if r < rounds:
+            sums = f"SELECT c, d, sum(x) AS s, count(*) AS n FROM a{r} JOIN l USING (vec_id) GROUP BY c, d"
+            moved = f"SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS v FROM ({sums}) GROUP BY c"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r} AS o LEFT JOIN ({moved}) AS m ON m.c = o.c)")
+    last = f"a{rounds}"
+    return f"WITH {', '.join(parts)} SELECT vec_id, CAST(c AS INT) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, (SELECT sha256(array_to_string(v, ',')) FROM c{rounds} AS m WHERE m.c = {last}.c) AS centroid_sha256 FROM {last}"
+
+
 _SQL = {
+    "op12_centroid_clustering": _cluster_sql(40, 5),
+    "op13_hard_negatives": f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(v AS DOUBLE[]) AS v FROM ({_VECTORS}) WHERE label IS NOT NULL),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5""",
     "op1_chat_format": """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
