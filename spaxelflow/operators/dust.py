@@ -1,56 +1,34 @@
-"""Dust: column densities by window, as-of lookup of them for stars, extinction curves."""
+"""Dust: column densities, dust-to-gas ratios, extinction curves."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .particles import running_sum
+from .scan import running_sum
 
 # G in a solar mass, cm in a kpc, solar oxygen abundance.
 MSUN_G, KPC_CM, X_SOLAR = 1.989e33, 3.08568e21, 8.69
+# The places of hydrogen and oxygen in the array of metal fractions.
+ABUNDANCES = {"h_frac": 0, "o_frac": 4}
 # Fixed values of the fits log(G/D) = a + alpha (x_sol - x): free slope (a, alpha); broken (a, alpha_h, b, alpha_l, x_t).
 FREE_SLOPE = {"MW": (2.21, 1.62), "Z": (2.21, 2.02)}
 BROKEN = {"MW": (2.21, 1.00, 0.68, 3.08, 7.96), "Z": (2.21, 1.00, 0.96, 3.10, 8.10)}
 
 
-SLAB = 1.0  # kpc: depth of the slabs that a spaxel is cut into
-
-
-def column_density(gas: DataFrame, value: str, by: tuple[str, ...] = ("galaxy_id", "spaxel"), order: tuple[str, ...] = ("z",), slab: float = SLAB) -> DataFrame:
-    """Adds `column`, the sum of `value` along z, each cell's own included; in slabs, so that no spaxel is one task."""
-    return running_sum(gas, list(by), list(order), value, "column", slab)
-
-
-def asof_interp(stars: DataFrame, gas: DataFrame, value: str, by: tuple[str, ...] = ("galaxy_id", "spaxel"), slab: float | None = SLAB) -> DataFrame:
-    """Stars with the gas column `value` (already cumulative) interpolated at their z between the gas cells before and
-    behind; clamped at both ends, 0 where the group has no gas; at equal z gas comes first, the last of equals counts.
-
-    slab: depth in z of a sub-group (None: whole groups). A group's window is then cut into slabs, whose border values are carried over by a
-    small second window, so that a crowded spaxel is not one task.
-    """
-    points = gas.select(*by, "z", F.col(value).alias("_v"), F.lit(0).alias("_t"))
-    rows = stars.withColumn("_t", F.lit(1)).unionByName(points, allowMissingColumns=True)
-    group = list(by)
-    if slab:
-        rows = rows.withColumn("_slab", F.floor(F.col("z") / slab))
-        group = [*by, "_slab"]
-    back = Window.partitionBy(*group).orderBy("z", "_t", F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    # looking ahead is looking back in the reverse order, which keeps a running value instead of a frame a row
-    ahead = Window.partitionBy(*group).orderBy(F.desc("z"), F.desc("_t"), F.col("_v").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col("_t") == 0, F.struct("z", "_v"))
-    marked = rows.withColumn("_b", F.last(known, ignorenulls=True).over(back)).withColumn("_a", F.last(known, ignorenulls=True).over(ahead))
-    if slab:
-        ends = points.withColumn("_slab", F.floor(F.col("z") / slab)).groupBy(*group).agg(F.max(F.struct("z", "_v")).alias("_hi"), F.min(F.struct("z", "_v")).alias("_lo"))
-        spans = rows.select(*group).distinct().join(ends, group, "left")
-        order, reverse = Window.partitionBy(*by).orderBy("_slab"), Window.partitionBy(*by).orderBy(F.desc("_slab"))
-        carried = spans.select(*group, F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_pb"), F.last("_lo", ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, -1)).alias("_pa"))
-        marked = marked.join(carried, group).withColumn("_b", F.coalesce("_b", "_pb")).withColumn("_a", F.coalesce("_a", "_pa")).drop("_slab", "_pb", "_pa")
-    between = F.col("_b._v") + (F.col("_a._v") - F.col("_b._v")) * (F.col("z") - F.col("_b.z")) / (F.col("_a.z") - F.col("_b.z"))
-    result = F.when(F.col("_b").isNull() & F.col("_a").isNull(), 0.0).when(F.col("_b").isNull(), F.col("_a._v")).when(F.col("_a").isNull(), F.col("_b._v")).otherwise(between)
-    return marked.where("_t = 1").withColumn("asof", result).drop("_t", "_v", "_a", "_b")
+def column_density(gas: DataFrame, value: str, by: tuple[str, ...] = ("galaxy_id", "spaxel"), order: tuple[str, ...] = ("z",), rows_a_piece: int | None = None) -> DataFrame:
+    """Adds `column`, the sum of `value` along z, each cell's own included."""
+    return running_sum(gas, tuple(by), tuple(order), value, "column", rows_a_piece)
+
+
+def with_abundances(gas: DataFrame) -> DataFrame:
+    """Gas with h_frac and o_frac: as they are, or else the first and fifth of the mass fractions `metals`."""
+    absent = [c for c in ABUNDANCES if c not in gas.columns]
+    if absent and "metals" not in gas.columns:
+        raise ValueError(f"gas has neither metals nor {absent}")
+    return gas.withColumns({c: F.get("metals", F.lit(ABUNDANCES[c])) for c in absent})
 
 
 def oxygen_abundance(oxygen: Column, hydrogen: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.ingest import uniform
+from .scan import running_sum
 
 MASKED = ("mass", "metallicity", "age", "density", "sfr", "internal_energy", "electron_abundance", "temperature")
 
@@ -127,21 +128,6 @@ def tensor_sums(near: DataFrame) -> DataFrame:
     return near.groupBy("galaxy_id").agg(*diagonal, *[(-F.sum(F.col("mass") * F.col(a) * F.col(b))).alias(f"i{a}{b}") for a, b in ("xy", "xz", "yz")])
 
 
-def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out: str, slab: float) -> DataFrame:
-    """Adds `out`, the sum of `value` up to each row in the order of the columns `order`, group by group.
-
-    Groups are cut into slabs of depth `slab` in the first order column: rows are summed inside their slab, and a second,
-    small window over the slabs' totals gives what lies before, so that a crowded group is not one task.
-    """
-    rows = df.withColumn("_slab", F.coalesce(F.floor(F.col(order[0]) / slab), F.lit(-(1 << 62))))
-    totals = rows.groupBy(*by, "_slab").agg(F.sum(value).alias("_total"))
-    earlier = Window.partitionBy(*by).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "_slab", F.sum("_total").over(earlier).alias("_before"))
-    inside = Window.partitionBy(*by, "_slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn(out, F.sum(value).over(inside)).join(before, [*by, "_slab"], "left")
-    return summed.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0.0))).drop("_slab", "_before")
-
-
 def half_mass_radius(df: DataFrame, shells: int = 32) -> DataFrame:
     """The least radius whose enclosed mass reaches half of the total, per galaxy.
 
@@ -159,9 +145,9 @@ def half_mass_radius(df: DataFrame, shells: int = 32) -> DataFrame:
     return reached.groupBy("galaxy_id").agg(F.min("r").alias("halfmassrad"))
 
 
-def running_mass(df: DataFrame, ties: tuple[str, ...] = (), shell: float = 1.0) -> DataFrame:
+def running_mass(df: DataFrame, ties: tuple[str, ...] = (), rows_a_piece: int | None = None) -> DataFrame:
     """Adds r and the mass inside each particle's radius, itself included; `ties` order particles at one radius."""
-    return running_sum(df.withColumn("r", radius()), ["galaxy_id"], ["r", *ties], "mass", "running_mass", shell)
+    return running_sum(df.withColumn("r", radius()), ("galaxy_id",), ("r", *ties), "mass", "running_mass", rows_a_piece)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import dust as D
 from ..operators import geometry as G
 from ..operators import particles as P
 from ..operators import spectra as S
+from ..operators.scan import asof_sum
 from ..sources import ingest as I
 
 
@@ -114,13 +115,14 @@ def mock_cube(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, ha
     return _observed(cube, n, psf, lsf, noise, float(target[1] - target[0]))
 
 
-def dust_columns(stars: DataFrame, gas: DataFrame, half_size: float | str, n: int, model: str = "broken power law fit", xco: str = "Z", grain_density: float = 3.5, slab: float = D.SLAB) -> DataFrame:
-    """Stars (placed) with av: gas dust columns accumulated along z per spaxel, interpolated at each star. gas has
+def dust_columns(stars: DataFrame, gas: DataFrame, half_size: float | str, n: int, model: str = "broken power law fit", xco: str = "Z", grain_density: float = 3.5, rows_a_piece: int | None = None) -> DataFrame:
+    """Stars (placed) with av: gas dust columns accumulated along z per spaxel, interpolated at each star. gas has metals, or
     h_frac and o_frac. Gas outside the field of view stays as knots of no mass in the edge spaxels."""
     side = 2 * _value(half_size) / n
-    dusty = gas.withColumn("surface", F.col("mass") * D.dust_to_gas(D.oxygen_abundance(F.col("o_frac"), F.col("h_frac")), model, xco) / (side * side))
-    summed = D.column_density(dusty, "surface", slab=slab)
-    return D.asof_interp(stars, summed.withColumn("a", D.visual_extinction(F.col("column"), grain_density)), "a", slab=slab).withColumnRenamed("asof", "av")
+    gas = D.with_abundances(gas)
+    surface = F.col("mass") * D.dust_to_gas(D.oxygen_abundance(F.col("o_frac"), F.col("h_frac")), model, xco) / (side * side)
+    dusty = gas.select("galaxy_id", "spaxel", "z", D.visual_extinction(surface, grain_density).alias("a"))
+    return asof_sum(stars, dusty, "a", "av", rows_a_piece=rows_a_piece)
 
 
 CURVES = {"Cardelli89": D.ccm89, "Gordon23": D.gordon23}

@@ -17,6 +17,7 @@ from ..operators import dust as D
 from ..operators import geometry as G
 from ..operators import particles as P
 from ..operators import spectra as S
+from ..operators.scan import asof_sum
 from ..sources import ingest as I
 from ..sources.views import GAS, STARS, frames
 from . import jobs
@@ -538,9 +539,9 @@ def column_density(spark, d):
 _ASOF = f"WITH {_PL}, {_PG}, cg AS (SELECT galaxy_id, spaxel, z, sum(mass) OVER (PARTITION BY galaxy_id, spaxel ORDER BY z, o_orderkey) AS v FROM pg), u AS (SELECT galaxy_id, spaxel, z, v, 0 AS t, NULL AS l_orderkey, NULL AS l_linenumber, NULL AS l_partkey, NULL AS l_suppkey FROM cg UNION ALL SELECT galaxy_id, spaxel, z, NULL, 1, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM p), b AS (SELECT *, max(CASE WHEN t = 0 THEN z END) OVER w1 AS z0, max(v) OVER w1 AS v0, min(CASE WHEN t = 0 THEN z END) OVER w2 AS z1, min(v) OVER w2 AS v1 FROM u WINDOW w1 AS (PARTITION BY galaxy_id, spaxel ORDER BY z, t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY galaxy_id, spaxel ORDER BY z, t RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, round({_AV!r} * CASE WHEN z0 IS NULL AND z1 IS NULL THEN 0 WHEN z0 IS NULL THEN v1 WHEN z1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (z - z0) / (z1 - z0) END, 6) AS av FROM b WHERE t = 1"
 
 
-def _asof(spark, d, **slab):
-    gas = D.column_density(placed(spark, d, gas=True), "mass", order=("z", "o_orderkey"))
-    return D.asof_interp(placed(spark, d), gas, "column", **slab).select(*KEYS, r(D.visual_extinction(F.col("asof"))).alias("av"))
+def _asof(spark, d, **options):
+    found = asof_sum(placed(spark, d), placed(spark, d, gas=True), "mass", ties=("o_orderkey",), **options)
+    return found.select(*KEYS, r(D.visual_extinction(F.col("asof"))).alias("av"))
 
 
 @query(_ASOF)
@@ -550,7 +551,14 @@ def asof_extinction(spark, d):
 
 @query(_ASOF)
 def asof_extinction_whole(spark, d):
-    return _asof(spark, d, slab=None)
+    """Every spaxel in one piece."""
+    return _asof(spark, d, split=False)
+
+
+@query(_ASOF)
+def asof_extinction_pieces(spark, d):
+    """Spaxels cut into pieces of about 50 rows."""
+    return _asof(spark, d, rows_a_piece=50)
 
 
 def numbers(spark, d, scale: float):

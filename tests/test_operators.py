@@ -12,6 +12,7 @@ from spaxelflow.operators import dust as D
 from spaxelflow.operators import geometry as G
 from spaxelflow.operators import particles as P
 from spaxelflow.operators import spectra as S
+from spaxelflow.operators.scan import asof_sum, cut_large_groups
 from spaxelflow.plans import jobs
 from spaxelflow.sources import ingest as I
 
@@ -159,20 +160,50 @@ def test_dust_parts(spark):
         D.extinguish(x)
 
 
-def test_asof_matches_numpy_with_and_without_slabs(spark):
+def thin_disc(spark, n_gas=3000, n_stars=2000):
+    """A face-on disc: all gas within 1 kpc, a third of everything in one spaxel, many equal places."""
     rng = np.random.default_rng(3)
-    gas = [(0, int(s), float(z), float(v)) for s, z, v in zip(rng.integers(0, 5, 300), rng.normal(size=300), rng.random(300))]
-    stars = [(0, int(s), float(z), k) for k, (s, z) in enumerate(zip(rng.integers(0, 6, 200), 1.3 * rng.normal(size=200)))]
-    g = D.column_density(spark.createDataFrame(gas, "galaxy_id long, spaxel int, z double, m double"), "m")
-    s = spark.createDataFrame(stars, "galaxy_id long, spaxel int, z double, id int")
-    for slab in (None, 0.4):
-        got = {r.id: r.asof for r in D.asof_interp(s, g, "column", slab=slab).collect()}
+    spaxel = lambda n: np.where(rng.random(n) < 0.35, 2, rng.integers(0, 5, n))
+    gas = [(0, int(s), float(z), float(v), k) for k, (s, z, v) in enumerate(zip(spaxel(n_gas), np.round(rng.normal(0, 0.2, n_gas), 2), rng.random(n_gas)))]
+    stars = [(0, int(s), float(z), k) for k, (s, z) in enumerate(zip(np.where(rng.random(n_stars) < 0.02, 7, spaxel(n_stars)), np.round(1.3 * rng.normal(0, 0.2, n_stars), 2)))]
+    g = spark.createDataFrame(gas, "galaxy_id long, spaxel int, z double, m double, k int")
+    return gas, stars, g, spark.createDataFrame(stars, "galaxy_id long, spaxel int, z double, id int")
+
+
+def test_asof_matches_numpy_whole_and_in_pieces(spark):
+    gas, stars, g, s = thin_disc(spark, 600, 300)
+    g = g.unionByName(spark.createDataFrame([(0, 1, None, 5.0, 0), (0, 1, 0.1, None, 0)], g.schema))  # neither counts
+    s = s.unionByName(spark.createDataFrame([(0, 1, None, -1)], s.schema))
+    for options in ({"split": False}, {}, {"rows_a_piece": 20}, {"rows_a_piece": 1}):
+        got = {r.id: r.asof for r in asof_sum(s, g, "m", ties=("k",), **options).collect()}
+        assert len(got) == len(stars) + 1 and got.pop(-1) is None
         for _, spaxel, z, k in stars:
-            own = sorted((q, m) for _, p, q, m in gas if p == spaxel)
-            want = np.interp(z, [q for q, _ in own], np.cumsum([m for _, m in own])) if own else 0.0
+            own = sorted((q, j, m) for _, p, q, m, j in gas if p == spaxel)
+            at, sums = [q for q, *_ in own], np.cumsum([m for *_, m in own])
+            i = np.searchsorted(at, z, side="right")  # the last of equal knots counts
+            want = 0.0 if not own else sums[0] if i == 0 else sums[-1] if i == len(own) else sums[i - 1] + (sums[i] - sums[i - 1]) * (z - at[i - 1]) / (at[i] - at[i - 1])
             assert got[k] == pytest.approx(want, abs=1e-9)
 
 
+def test_pieces_are_even_in_a_thin_disc(spark):
+    """However thin the disc, no piece holds more than twice its share of the rows."""
+    _, _, g, _ = thin_disc(spark, 40_000)
+    rows = g.withColumn("z", F.col("z") + F.col("k") * 1e-9)
+    cuts = cut_large_groups(rows.select("galaxy_id", "spaxel", "z"), ("galaxy_id", "spaxel"), ("z",), 2000)
+    sizes = [r["count"] for r in cuts.place(rows).groupBy("galaxy_id", "spaxel", "_piece").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= 2 * 2000
+    assert len(sizes) >= 40_000 / 2000
+
+
+def test_asof_reads_each_table_once(spark, tmp_path):
+    _, _, g, s = thin_disc(spark, 50, 50)
+    g.write.parquet(str(tmp_path / "g"))
+    s.write.parquet(str(tmp_path / "s"))
+    out = asof_sum(spark.read.parquet(str(tmp_path / "s")), spark.read.parquet(str(tmp_path / "g")), "m")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_validation_and_sinks(spark, tmp_path):
     df = I.synth_galaxy(spark, 50, 1)
     assert df.count() == 50 and sorted(df.collect()) == sorted(I.synth_galaxy(spark, 50, 1).repartition(4).collect())
@@ -230,17 +261,18 @@ def test_central_velocity_is_the_median(spark):
     assert tuple(P.central_velocity(holes).first())[1:] == (1.0, 2.0, 4.0)
 
 
-def test_running_sums_in_slabs(spark):
+def test_running_sums_whole_and_in_pieces(spark):
     rng = np.random.default_rng(6)
     rows = [(0, int(g), float(z), float(m)) for g, z, m in zip(rng.integers(0, 3, 200), rng.normal(0, 4, 200), rng.random(200))] + [(0, 0, None, 1.0)]
     df = spark.createDataFrame(rows, "galaxy_id long, spaxel int, z double, m double").repartition(4)
-    for slab in (0.5, 100.0):
-        got = sorted((r.spaxel, r.z if r.z is not None else -1e9, r.column) for r in D.column_density(df, "m", slab=slab).collect())
+    for size in (None, 10, 70):
+        got = sorted((r.spaxel, r.z if r.z is not None else -1e9, r.column) for r in D.column_density(df, "m", rows_a_piece=size).collect())
         want = []
         for g in range(3):
             own = sorted((z if z is not None else -1e9, m) for _, s, z, m in rows if s == g)
             want += [(g, z, t) for (z, _), t in zip(own, np.cumsum([m for _, m in own]))]
         assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+    assert D.column_density(df.limit(0), "m").collect() == []
 
 
 def test_half_mass_radius_with_a_far_particle(spark):
