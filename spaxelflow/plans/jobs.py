@@ -16,6 +16,7 @@ from ..operators import particles as P
 from ..operators import spectra as S
 from ..operators.scan import asof_sum
 from ..sources import ingest as I
+from ..sources.store import GalaxyStore
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,11 @@ LAYOUTS = {
 }
 
 
-def canonical(raw: dict[str, DataFrame], layout: str = "TNG", attributes: dict | None = None, units: dict | None = None, scale_factor: float | Column = 1.0, hubble: float | Column = K.PLANCK15.h, cosmology: K.Cosmology = K.PLANCK15) -> dict[str, DataFrame]:
+def canonical(raw: dict[str, DataFrame], layout: str | Layout = "TNG", attributes: dict | None = None, units: dict | None = None, scale_factor: float | Column = 1.0, hubble: float | Column = K.PLANCK15.h, cosmology: K.Cosmology = K.PLANCK15) -> dict[str, DataFrame]:
     """Raw particle tables by type -> canonical ones: fields renamed, wind cells dropped and formation factors turned into
-    ages, physical and canonical units, checked. attributes: {type: {field: (alpha, beta, cgs)}}; units: {type: {field:
-    unit}}, canonical ones where none is given."""
-    plan, out = LAYOUTS[layout], {}
+    ages, physical and canonical units, fields and units checked. attributes: {type: {field: (alpha, beta, cgs)}}; units:
+    {type: {field: unit}}, canonical ones where none is given."""
+    plan, out = LAYOUTS[layout] if isinstance(layout, str) else layout, {}
     unexpected = [kind for kind in raw if kind not in plan.fields]
     if unexpected:
         raise ValueError(f"unexpected groups: {unexpected}")
@@ -59,21 +60,26 @@ def canonical(raw: dict[str, DataFrame], layout: str = "TNG", attributes: dict |
     return out
 
 
-def prepare(raw: dict[str, DataFrame], galaxy: DataFrame, path: str | None = None, mode: str = "ignore", header: dict | None = None, subset: int | None = None, seed: int = 42, **ingest) -> Snapshot:
-    """Raw snapshot -> centred particles. Canonical tables are stored under `path` by type and read back (mode `ignore` keeps
-    what is there), centers must lie inside the particles' bounds, velocities lose the central one, and `subset` particles
-    of each type and galaxy are drawn. `ingest`: arguments of canonical()."""
+def prepare(raw: dict[str, DataFrame], galaxy: DataFrame, path: str | None = None, mode: str = "skip", header: dict | None = None, subset: int | None = None, seed: int = 42, **ingest) -> Snapshot:
+    """Raw snapshot -> centred particles of the galaxies in `galaxy`. Centers must lie inside the particles' bounds, velocities
+    lose the central one, gas with metals gets its abundances, and `subset` particles of each type and galaxy are drawn.
+    `ingest`: arguments of canonical().
+
+    path: a GalaxyStore, from which the particles then come. mode: `skip` takes from raw only the galaxies that the store lacks,
+    `overwrite` all of them, `reuse` none (an absent one is an error), `error` refuses a galaxy that is there. Stored particles
+    need a place and a mass."""
+    I.validate_galaxy(galaxy)
     tables = canonical(raw, **ingest)
     if path:
-        spark = galaxy.sparkSession
-        for kind, df in tables.items():
-            I.write_canonical(df, f"{path}/{kind}", mode)
-            tables[kind] = I.read_canonical(spark, f"{path}/{kind}")
-        if header:
-            I.write_header(spark, header, f"{path}/header")
+        store = GalaxyStore(galaxy.sparkSession, path)
+        fresh = store.to_write(galaxy, mode)
+        if not fresh.isEmpty():
+            store.add(tables, fresh, header, I.check_places)
+        tables = {kind: store.read(kind, galaxy) for kind in tables}
 
     def one(df):
         df = P.center(I.vector_columns(df), galaxy)
+        df = D.with_abundances(df) if "metals" in df.columns else df
         return P.subset(df, subset, seed) if subset else df
 
     return Snapshot(galaxy, one(tables["stars"]), one(tables["gas"]) if "gas" in tables else None)

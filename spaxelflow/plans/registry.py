@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cosmology as K
@@ -19,6 +20,7 @@ from ..operators import particles as P
 from ..operators import spectra as S
 from ..operators.scan import asof_sum
 from ..sources import ingest as I
+from ..sources.store import GalaxyStore, scratch
 from ..sources.views import GAS, STARS, frames
 from . import jobs
 
@@ -193,15 +195,72 @@ def histogram(spark, d):
 _RAW = f"{_ST}, raw AS (SELECT galaxy_id, l_orderkey, x, y, z, vx, vy, vz, mass * 1e-3 * 0.5e0 AS mass, metallicity, (l_linenumber - 2) / 6e0 AS a FROM stars), kept AS (SELECT * FROM raw WHERE a >= 0)"
 
 
+def catalogue_of(s):
+    return galaxies(s).withColumn("redshift", F.lit(0.1))
+
+
+def raw_stars(s):
+    return s.select("galaxy_id", F.col("l_orderkey").alias("particle_id"), F.array("x", "y", "z").alias("Coordinates"), F.array("vx", "vy", "vz").alias("Velocities"), (F.col("mass") * 1e-3).alias("GFM_InitialMass"), F.col("metallicity").alias("GFM_Metallicity"), ((F.col("l_linenumber") - 2) / 6.0).alias("GFM_StellarFormationTime"))
+
+
 @query(f"WITH {_RAW}, g AS (SELECT galaxy_id, count(*) % 7 / 10e0 AS c FROM stars GROUP BY galaxy_id), m AS (SELECT kept.* REPLACE (x - c AS x, y - c / 2 AS y) FROM kept JOIN g USING (galaxy_id)), v AS (SELECT galaxy_id, median(vx) AS mx, median(vy) AS my, median(vz) AS mz FROM m WHERE {_R2} < 10 GROUP BY galaxy_id) SELECT galaxy_id, l_orderkey AS particle_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(vx - mx, 6) AS vx, round(vy - my, 6) AS vy, round(vz - mz, 6) AS vz, round(mass, 6) AS mass, metallicity, round({2 / 3 / math.sqrt(0.6925) * K.PLANCK15.hubble_time!r} * (asinh(sqrt({0.6925 / 0.3075!r})) - asinh(sqrt({0.6925 / 0.3075!r}) * pow(greatest(a, 1e-3), 1.5e0))), 1) AS age FROM m JOIN v USING (galaxy_id)")
 def prepare(spark, d):
     """Raw star fields in the TNG layout, made of the particle view, to centred particles."""
     s = stars_of(spark, d)
-    raw = s.select("galaxy_id", F.col("l_orderkey").alias("particle_id"), F.array("x", "y", "z").alias("Coordinates"), F.array("vx", "vy", "vz").alias("Velocities"), (F.col("mass") * 1e-3).alias("GFM_InitialMass"), F.col("metallicity").alias("GFM_Metallicity"), ((F.col("l_linenumber") - 2) / 6.0).alias("GFM_StellarFormationTime"))
-    out = jobs.prepare({"stars": raw}, galaxies(s), attributes={"stars": {"mass": (1.0, 0.0, 0.0)}}, scale_factor=0.5).stars
+    raw = raw_stars(s)
+    out = jobs.prepare({"stars": raw}, catalogue_of(s), attributes={"stars": {"mass": (1.0, 0.0, 0.0)}}, scale_factor=0.5).stars
     return rounded(rounded(out, "x", "y", "z", "vx", "vy", "vz", "mass"), "age", digits=1)
 
 
+@query(f"WITH {_RAW} SELECT galaxy_id, count(*) AS n, round(sum(mass), 3) AS mass, round(sum(x + y + z), 3) AS places, CASE WHEN galaxy_id IN (1, 2) THEN 1 ELSE 2 END AS written FROM kept GROUP BY galaxy_id")
+def prepare_store(spark, d):
+    """Galaxies 1 and 2 go to a store, then a second call asks for all: it adds the ones that are new, and reads them all."""
+    s = stars_of(spark, d)
+    options = {"attributes": {"stars": {"mass": (1.0, 0.0, 0.0)}}, "scale_factor": 0.5, "path": scratch(spark)}
+    jobs.prepare({"stars": raw_stars(s)}, catalogue_of(s).where("galaxy_id in (1, 2)"), **options)
+    jobs.prepare({"stars": raw_stars(s)}, catalogue_of(s), **options)
+    store = GalaxyStore(spark, options["path"])
+    place = I.vector_columns(store.read("stars"))
+    sums = place.groupBy("galaxy_id").agg(F.count("*").alias("n"), r(F.sum("mass"), 3).alias("mass"), r(F.sum(F.col("x") + F.col("y") + F.col("z")), 3).alias("places"))
+    return sums.join(store.manifest().select("galaxy_id", F.col("seq").cast("int").alias("written")), "galaxy_id")
+
+
+@query("SELECT s_suppkey AS subhalo_id, s_acctbal AS mass, CAST(s_acctbal / 100 AS DOUBLE) AS cx, CAST(s_nationkey AS DOUBLE) AS cy, s_suppkey % 9 - 4e0 AS cz, 6 AS fields FROM supplier")
+def catalogue_flatten(spark, d):
+    """A subhalo catalogue with nested fields, made of the supplier table, to scalar fields and a center."""
+    nested = [F.struct("s_suppkey").alias("related"), F.create_map("s_suppkey", "s_acctbal").alias("meta")]
+    raw = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("subhalo_id"), F.col("s_acctbal").alias("mass"), (F.col("s_acctbal") / 100).cast("double").alias("pos_x"), F.col("s_nationkey").cast("double").alias("pos_y"), (F.col("s_suppkey") % 9 - 4.0).alias("pos_z"), *nested)
+    flat = I.flatten_catalogue(raw)
+    place = [F.element_at("center", k + 1).alias(c) for k, c in enumerate(("cx", "cy", "cz"))]
+    return flat.select("subhalo_id", "mass", *place, F.lit(len(flat.columns)).alias("fields"))
+
+
+@query(f"WITH {_ST} SELECT galaxy_id, l_orderkey AS particle_id, x, vz, mass * 1e-3 AS mass, 7 AS fields FROM stars")
+def field_list(spark, d):
+    """The default fields of the stars out of a wider raw table."""
+    s = stars_of(spark, d).select("*")
+    wide = raw_stars(s).withColumns({"Potential": F.lit(1.0), "SubfindHsml": F.lit(2.0)})
+    kept = I.select_fields(wide, "stars")
+    return kept.select("galaxy_id", "particle_id", F.element_at("Coordinates", 1).alias("x"), F.element_at("Velocities", 3).alias("vz"), F.col("GFM_InitialMass").alias("mass"), F.lit(len(kept.columns)).alias("fields"))
+
+
+@query(f"WITH {_PL} SELECT galaxy_id, spaxel, row_number() OVER (PARTITION BY galaxy_id, spaxel ORDER BY z) AS place, z FROM p")
+def sort_columns(spark, d):
+    """Each spaxel's stars in the order in which they come, after the sort along the line of sight."""
+    laid = P.sort_columns(placed(spark, d)).withColumn("_at", F.monotonically_increasing_id())
+    return laid.select("galaxy_id", "spaxel", F.row_number().over(Window.partitionBy("galaxy_id", "spaxel").orderBy("_at")).alias("place"), "z")
+
+
+_SYNTH = "(CAST('0x' || substr(md5(concat_ws(',', i, 5, {k})), 1, 13) AS BIGINT) / 4503599627370496e0)"
+
+
+@query(f"SELECT 0 AS galaxy_id, i AS particle_id, {', '.join(f'round({_SYNTH.format(k=k)} * 200 - 100, 9) AS {c}' for k, c in enumerate(('x', 'y', 'z', 'vx', 'vy', 'vz')))}, 1e0 AS mass, round({_SYNTH.format(k=6)} * 0.0499e0 + 1e-4, 9) AS metallicity, round({_SYNTH.format(k=7)} * 13.8e0, 9) AS age FROM range(0, (SELECT count(*) FROM part)) AS q(i)")
+def synth_galaxy(spark, d):
+    """As many seeded particles as the part table has rows."""
+    out = I.synth_galaxy(spark, spark.read.parquet(f"{d}/part.parquet").count(), seed=5)
+    return rounded(out, "x", "y", "z", "vx", "vy", "vz", "metallicity", "age", digits=9)
+
+
 # ---- geometry
 _M = G.euler_matrix(30.0, 40.0, 50.0)
 _ROT = ", ".join(f"round(x * {float(_M[0, j])!r} + y * {float(_M[1, j])!r} + z * {float(_M[2, j])!r}, 6) AS {c}" for j, c in enumerate("xyz"))
@@ -331,6 +390,16 @@ def slice_wave(spark, d):
     return long_out(C.slice_wave(cube_of(spark, d), 10, 20))
 
 
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, k, round(v, 6) AS v, 'mock_id' || galaxy_id || '_snap7_stars_subsetFalse' AS name, '{{}}' AS crval FROM cl".replace("{}", "4000.0"))
+def cube_store(spark, d):
+    """Cubes written by galaxy and read again, with two of their header keys."""
+    path = scratch(spark)
+    I.write_cube(cube_of(spark, d), {"SIM": "mock", "SNAPSHOT": 7}, path, N, 4000.0, 10.0, 0.2)
+    cube, header = I.read_cube(spark, path)
+    keys = header.groupBy("galaxy_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(c) for k, c in (("NAME", "name"), ("CRVAL3", "crval"))])
+    return long_out(cube.withColumn("galaxy_id", F.col("galaxy_id").cast("long"))).join(keys.withColumn("galaxy_id", F.col("galaxy_id").cast("long")), "galaxy_id")
+
+
 @query(f"WITH {_SP} SELECT galaxy_id, spaxel, k, round(v, 6) AS v FROM cl WHERE spaxel = 1 + 5 * 3")
 def spectrum_at(spark, d):
     return long_out(C.spectrum_at(cube_of(spark, d), N, 1, 3))
@@ -460,6 +529,26 @@ def grid_frame(spark, d):
 _GR = f"{_SP}, gr AS (SELECT vec_id % 4 AS m, floor(vec_id / 4) % 6 AS a, k, sum(v) AS v FROM sl GROUP BY ALL)"
 
 
+@query(f"WITH {_GR} SELECT CAST(m AS INT) AS met_idx, CAST(a AS INT) AS age_idx, m * 0.02e0 AS metallicity, round(pow(10, a / 10e0), 9) AS age, k, round(v, 6) AS v FROM gr")
+def template_grid(spark, d):
+    """A dense grid (arrays of metallicities and log ages, nested fluxes) to a row for each node."""
+    lines = grid_frame(spark, d).groupBy("met_idx").agg(F.sort_array(F.collect_list(F.struct("age_idx", "flux"))).alias("line"))
+    dense = lines.agg(F.sort_array(F.collect_list(F.struct("met_idx", "line"))).alias("g")).select(F.transform("g", lambda m: m["met_idx"] * 0.02).alias("metallicity"), F.transform(F.get("g", F.lit(0))["line"], lambda a: a["age_idx"] / 10.0).alias("age"), F.transform("g", lambda m: F.transform(m["line"], lambda a: a["flux"])).alias("flux"))
+    rows = I.load_template_grid(dense, ("age",))
+    return rows.select("met_idx", "age_idx", "metallicity", r(F.col("age"), 9).alias("age"), F.posexplode("flux").alias("k", "v")).withColumn("v", r(F.col("v")))
+
+
+@query(f"WITH {_GR} SELECT CAST(m AS INT) AS met_idx, CAST(a AS INT) AS age_idx, round(m * 0.02e0, 9) AS metallicity, a * 2.5e0 AS age, k, 3000e0 + 2.5e0 * (k - 1) AS wave, round(v * CASE WHEN (6 * m + a) % 3 = 0 THEN 1 ELSE (6 * m + a) % 3 END, 6) AS v FROM gr")
+def template_cards(spark, d):
+    """Header cards (names with age and metallicity, mass-to-light ratios) and flux rows to a grid, with its wavelengths."""
+    nodes = grid_frame(spark, d).withColumn("idx", F.col("met_idx") * 6 + F.col("age_idx"))
+    name = F.concat(F.lit("ssp_"), F.col("age").cast("string"), F.lit("Gyr_z"), F.lpad((F.col("met_idx") * 200).cast("string"), 4, "0"))
+    cards = nodes.select(F.concat(F.lit("NAME"), "idx").alias("key"), name.alias("value")).unionByName(nodes.select(F.concat(F.lit("NORM"), "idx").alias("key"), (F.col("idx") % 3).cast("string").alias("value")))
+    grid = I.load_template_cards(cards, nodes.select("idx", "flux")).withColumn("waves", I.template_wave(3000.0, 2.5, 2.0, 64))
+    long = grid.select("met_idx", "age_idx", r(F.col("metallicity"), 9).alias("metallicity"), "age", "waves", F.posexplode("flux").alias("k", "v"))
+    return long.select("met_idx", "age_idx", "metallicity", "age", "k", F.get("waves", F.col("k")).alias("wave"), r(F.col("v")).alias("v"))
+
+
 _CELLS = "least(greatest(floor(metallicity / 0.02e0 + 1e-9), 0), 2) AS i, least(greatest(floor(age / 2.5e0), 0), 4) AS j, (metallicity - i * 0.02e0) / 0.02e0 AS s, (age - j * 2.5e0) / 2.5e0 AS t, metallicity <= 0.06e0 AND age <= 12.5e0 AS inside"
 
 
@@ -628,16 +717,17 @@ def _snapshot(spark, d):
 _JOB = {"wave": 4000 + 10 * np.arange(64.0), "target": 4100 + 8 * np.arange(40.0), "half_size": "half", "n": N, "z": "redshift", "psf": (3, 0.6), "lsf": 10.0, "noise": (2.0, "normal", 3), "method": "linear"}
 
 
-def _job_sql(dusty: bool) -> str:
-    """Face-on particles of each galaxy's own axes, placed, looked up, resampled, summed, smoothed, with noise."""
+def _job_sql(dusty: bool, stars: str = _ST, gas: str = _GA) -> str:
+    """Face-on particles of each galaxy's own axes, placed, looked up, resampled, summed, smoothed, with noise. stars, gas: the
+    SQL of the particle tables."""
     half = "(8e0 - galaxy_id / 4e0)"
     cell = lambda c: f"least(greatest(floor(({c} + {half}) / (2 * {half} / 5)), 0), 4)"
     inside = f"x BETWEEN -{half} AND {half} AND y BETWEEN -{half} AND {half}"
     placed_as = f"CAST({cell('x')} + 5 * {cell('y')} AS INT) AS spaxel"
-    parts = [_ST, _GR, _turned_sql("stars", "mass", "metallicity", "age", "s.vx * x3 + s.vy * y3 + s.vz * z3 AS vz")]
+    parts = [stars, _GR, _turned_sql("stars", "mass", "metallicity", "age", "s.vx * x3 + s.vy * y3 + s.vz * z3 AS vz")]
     parts.append(f"st AS (SELECT *, row_number() OVER () AS id, {placed_as}, exp(vz / 299792.458e0) * (1 + (0.01e0 + galaxy_id / 1000e0)) AS f FROM turned_stars WHERE {inside})")
     if dusty:
-        parts += [_GA, _turned_sql("gas", "mass", "h_frac", "o_frac")]
+        parts += [gas, _turned_sql("gas", "mass", "h_frac", "o_frac")]
         parts.append(f"gp AS (SELECT *, {placed_as}, CASE WHEN {inside} THEN mass ELSE 0 END * {_DG} / pow(2 * {half} / 5, 2) AS sd FROM turned_gas)")
         parts.append(f"cg AS (SELECT galaxy_id, spaxel, z, sum(sd) OVER (PARTITION BY galaxy_id, spaxel ORDER BY z) * {_AV!r} AS v FROM gp)")
         parts.append("un AS (SELECT galaxy_id, spaxel, z, v, 0 AS t, NULL AS id FROM cg UNION ALL SELECT galaxy_id, spaxel, z, NULL, 1, id FROM st)")
@@ -673,6 +763,24 @@ def mock_cube_dusty(spark, d):
     return _cube_out(jobs.mock_cube_dusty(_snapshot(spark, d), S.grid_arrays(grid_frame(spark, d)), **_JOB))
 
 
+_RAW_ST = f"rs0 AS ({STARS}), cen AS (SELECT galaxy_id, count(*) % 7 / 10e0 AS c FROM rs0 GROUP BY galaxy_id), ms AS (SELECT rs0.* REPLACE (x - c AS x, y - c / 2 AS y, mass / 2 AS mass) FROM rs0 JOIN cen USING (galaxy_id)), mv AS (SELECT galaxy_id, median(vx) AS mx, median(vy) AS my, median(vz) AS mz FROM ms WHERE {_R2} < 10 GROUP BY galaxy_id), stars AS (SELECT ms.* REPLACE (vx - mx AS vx, vy - my AS vy, vz - mz AS vz) FROM ms JOIN mv USING (galaxy_id))"
+_RAW_GA = f"rg0 AS ({GAS}), gas AS (SELECT rg0.* REPLACE (x - c AS x, y - c / 2 AS y) FROM rg0 JOIN cen USING (galaxy_id))"
+
+
+@query(_job_sql(True, _RAW_ST, _RAW_GA))
+def mock_cube_dusty_raw(spark, d):
+    """Raw stars and gas, the gas with its array of metal fractions, by way of a store to a dusty cube."""
+    s, g, _ = frames(spark, d)
+    stars = s.select("galaxy_id", F.col("l_orderkey").alias("particle_id"), F.array("x", "y", "z").alias("Coordinates"), F.array("vx", "vy", "vz").alias("Velocities"), F.col("mass").alias("GFM_InitialMass"), F.col("metallicity").alias("GFM_Metallicity"), F.col("age").alias("GFM_StellarFormationTime"))
+    none = F.lit(0.0)
+    fields = {"Density": none, "GFM_Metallicity": none, "StarFormationRate": none, "InternalEnergy": none, "ElectronAbundance": none, "Velocities": F.array(none, none, none)}
+    gas = g.select("galaxy_id", F.col("o_orderkey").alias("particle_id"), F.array("x", "y", "z").alias("Coordinates"), F.col("mass").alias("Masses"), F.array("h_frac", none, none, none, "o_frac").alias("GFM_Metals"), *[v.alias(k) for k, v in fields.items()])
+    plain = jobs.Layout(jobs.LAYOUTS["TNG"].fields, "error", formation=False)  # ages as they are
+    galaxy = galaxies(s).withColumns({"redshift": 0.01 + F.col("galaxy_id") / 1000.0, "half": F.lit(HALF) - F.col("galaxy_id") / 4.0})
+    snapshot = jobs.prepare({"stars": stars, "gas": gas}, galaxy, scratch(spark), layout=plain, attributes={"stars": {"mass": (1.0, 0.0, 0.0)}}, scale_factor=0.5)
+    return _cube_out(jobs.mock_cube_dusty(snapshot, S.grid_arrays(grid_frame(spark, d)), **_JOB))
+
+
 @query(f"WITH {_SP}, {_CV}, pr AS (SELECT galaxy_id, spaxel, filter_id, cl.k, v * t0 AS v FROM cl JOIN rs ON rs.k = cl.k), im AS (SELECT galaxy_id, spaxel, filter_id, sum(a) AS image FROM (SELECT galaxy_id, spaxel, filter_id, (v + lag(v) OVER (PARTITION BY galaxy_id, spaxel, filter_id ORDER BY k)) / 2 AS a FROM pr) GROUP BY ALL) SELECT galaxy_id, spaxel, filter_id, round(image, 6) AS image, round((image - min(image) OVER w) / (max(image) OVER w - min(image) OVER w), 6) AS scaled FROM im WINDOW w AS (PARTITION BY galaxy_id)")
 def photometric_images(spark, d):
     out = jobs.photometric_images(cube_of(spark, d), curves(spark, d), np.arange(64.0))

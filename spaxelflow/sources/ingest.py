@@ -29,8 +29,18 @@ def _each(column: str, dtype, f) -> Column:
     return F.transform(column, f) if dtype.typeName() == "array" else f(F.col(column))
 
 
+# Components of the fields that are vectors; a field that is not here is a number.
+COMPONENTS = {"coords": 3, "velocity": 3, "center": 3, "metals": 10}
+
+
+def zero_of(field: str) -> Column:
+    """A zero of a canonical field's own shape."""
+    return F.array_repeat(F.lit(0.0), COMPONENTS[field]) if field in COMPONENTS else F.lit(0.0)
+
+
 def ingest_snapshot(df: DataFrame, mapping: dict[str, str], missing: str = "error", keep: tuple[str, ...] = ("galaxy_id", "particle_id")) -> DataFrame:
-    """Renames source fields; unknown fields are an error; absent ones an error, or zeros with a warning for missing='zero'."""
+    """Renames source fields; unknown fields are an error; absent ones an error, or zeros of the field's shape with a warning
+    for missing='zero'."""
     unknown = [c for c in df.columns if c not in mapping and c not in keep]
     absent = [s for s in mapping if s not in df.columns]
     if unknown:
@@ -39,7 +49,7 @@ def ingest_snapshot(df: DataFrame, mapping: dict[str, str], missing: str = "erro
         raise ValueError(f"missing fields: {absent}")
     if absent:
         warnings.warn(f"fields set to zero: {absent}", stacklevel=2)
-    return df.select(*[c for c in keep if c in df.columns], *[(F.col(s) if s in df.columns else F.lit(0.0)).alias(t) for s, t in mapping.items()])
+    return df.select(*[c for c in keep if c in df.columns], *[(F.col(s) if s in df.columns else zero_of(t)).alias(t) for s, t in mapping.items()])
 
 
 def select_halo(df: DataFrame, halo_id: int | None = None) -> DataFrame:
@@ -107,6 +117,26 @@ def validate_groups(groups: dict[str, DataFrame], with_units: bool = True) -> di
     return {kind: validate(df, kind, with_units) for kind, df in groups.items() if kind != "galaxy"}
 
 
+def validate_galaxy(galaxy: DataFrame, with_units: bool = False) -> None:
+    """An error names a missing field of the galaxy table, or says that it has none of the expected ones."""
+    absent = [f for f in ("galaxy_id", *REQUIRED["galaxy"]) if f not in galaxy.columns]
+    if not set(REQUIRED["galaxy"]) & set(galaxy.columns):
+        raise ValueError("none of the expected fields is in galaxy")
+    if absent:
+        raise ValueError(f"missing fields in galaxy: {absent}")
+    units = [f for f in REQUIRED["galaxy"] if "unit" not in galaxy.schema[f].metadata] if with_units else []
+    if units:
+        raise ValueError(f"missing unit of {units} in galaxy")
+
+
+def check_places(kind: str, df: DataFrame) -> None:
+    """Particles need a place and a mass: an error names galaxies with a null or NaN among coords or mass."""
+    lost = F.col("coords").isNull() | F.exists("coords", lambda v: v.isNull() | F.isnan(v)) | F.col("mass").isNull() | F.isnan("mass")
+    bad = df.where(lost).select("galaxy_id").distinct().limit(5).collect()
+    if bad:
+        raise ValueError(f"{kind} without place or mass in galaxies {[r[0] for r in bad]}")
+
+
 def value_report(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = [F.sum(F.when(test, 1).otherwise(0)).alias(f"{c}_{name}") for c in columns for name, test in (("null", F.col(c).isNull()), ("nan", F.isnan(c)), ("negative", F.col(c) < 0))]
     return df.groupBy("galaxy_id").agg(F.count("*").alias("rows"), *counts)

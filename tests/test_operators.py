@@ -1,5 +1,6 @@
 """Small literal fixtures of the particle-to-datacube operators."""
 
+import itertools
 import math
 
 import numpy as np
@@ -15,6 +16,7 @@ from spaxelflow.operators import spectra as S
 from spaxelflow.operators.scan import asof_sum, cut_large_groups
 from spaxelflow.plans import jobs
 from spaxelflow.sources import ingest as I
+from spaxelflow.sources.store import GalaxyStore
 
 
 def points(spark, rows, names="x y z"):
@@ -354,13 +356,14 @@ def test_raw_snapshot_to_cube(spark, tmp_path):
     stars = snapshot.stars.collect()
     assert len(stars) == 5 and sorted(r.mass for r in stars) == [4.0, 6.0, 8.0, 10.0, 12.0]
     assert all(r.age == pytest.approx(7.94165, rel=1e-3) for r in stars) and np.median([r.vx for r in stars]) == pytest.approx(0)
-    assert I.units_of(I.read_canonical(spark, str(tmp_path / "store/stars")))["mass"] == "Msun"
+    store = GalaxyStore(spark, str(tmp_path / "store"))
+    assert I.units_of(store.read("stars"))["mass"] == "Msun" and [tuple(r) for r in store.header().collect()] == [(0, "Time", "0.5")]
     again = jobs.prepare({k: df.limit(0) for k, df in raw.items()}, galaxy, str(tmp_path / "store"))
     assert again.stars.count() == 5  # what is stored stays
     grid = (np.array([0.0, 0.03, 0.06]), np.array([0.0, 5.0, 14.0]), np.random.default_rng(0).random((3, 3, 200)))
     seen, options = jobs.observed_with(galaxy, "NIRSpec_PRISM_CLEAR")
-    gas = snapshot.gas.withColumns({"h_frac": F.element_at("metals", 1), "o_frac": F.element_at("metals", 5)})
-    observed = jobs.Snapshot(seen, snapshot.stars, gas)
+    assert {(r.h_frac, r.o_frac) for r in snapshot.gas.collect()} == {(0.7, 0.02)}
+    observed = jobs.Snapshot(seen, snapshot.stars, snapshot.gas)
     for job in (jobs.mock_cube, jobs.mock_cube_dusty):
         cube = job(observed, grid, np.linspace(4000, 60000, 200), psf=(5, 0.6), noise=(1.0, "normal", 0), **options).collect()
         flux = np.array([r.flux for r in cube])
@@ -370,6 +373,86 @@ def test_raw_snapshot_to_cube(spark, tmp_path):
         jobs.canonical({"stars": raw["stars"], "other": raw["stars"]})
 
 
+def several_galaxies(spark, ids, mass=1.0):
+    rows = [(g, k, [k - 1.0, 0.0, 1.0 - k], mass + k, 0.02, 0.5, [0.0, 0.0, 0.0]) for g in ids for k in range(3)]
+    raw = {"stars": spark.createDataFrame(rows, "galaxy_id long, particle_id long, Coordinates array<double>, GFM_InitialMass double, GFM_Metallicity double, GFM_StellarFormationTime double, Velocities array<double>")}
+    return raw, spark.createDataFrame([(g, 0.1, [0.0, 0.0, 0.0], 3.0) for g in ids], "galaxy_id int, redshift double, center array<double>, halfmassrad_stars double")
+
+
+def masses(snapshot):
+    return {g: sorted(r.mass for r in rows) for g, rows in itertools.groupby(sorted(snapshot.stars.collect(), key=lambda r: r.galaxy_id), lambda r: r.galaxy_id)}
+
+
+def test_store_by_galaxy(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert masses(jobs.prepare(*several_galaxies(spark, [1]), path)) == {1: [1.0, 2.0, 3.0]}
+    # skip: the galaxy that is there stays as it is, the new one is added
+    assert masses(jobs.prepare(*several_galaxies(spark, [1, 2], 5.0), path)) == {1: [1.0, 2.0, 3.0], 2: [5.0, 6.0, 7.0]}
+    # a snapshot is limited to the galaxies asked for
+    assert masses(jobs.prepare(*several_galaxies(spark, [2], 9.0), path)) == {2: [5.0, 6.0, 7.0]}
+    # overwrite: the asked galaxies alone
+    assert masses(jobs.prepare(*several_galaxies(spark, [2], 9.0), path, "overwrite")) == {2: [9.0, 10.0, 11.0]}
+    # reuse writes nothing, and needs all of them
+    assert masses(jobs.prepare(*several_galaxies(spark, [1, 2], 0.0), path, "reuse")) == {1: [1.0, 2.0, 3.0], 2: [9.0, 10.0, 11.0]}
+    with pytest.raises(ValueError, match=r"not in the store: \[3\]"):
+        jobs.prepare(*several_galaxies(spark, [1, 3]), path, "reuse")
+    with pytest.raises(ValueError, match=r"already in the store: \[2\]"):
+        jobs.prepare(*several_galaxies(spark, [2, 3]), path, "error")
+    with pytest.raises(ValueError, match="mode"):
+        jobs.prepare(*several_galaxies(spark, [2]), path, "append")
+    assert masses(jobs.prepare(*several_galaxies(spark, [3]), path, "error")) == {3: [1.0, 2.0, 3.0]}
+    manifest = {r.galaxy_id: (r.seq, r.rows) for r in GalaxyStore(spark, path).manifest().collect()}
+    assert manifest == {1: (1, {"stars": 3}), 2: (3, {"stars": 3}), 3: (4, {"stars": 3})}
+
+
+def test_what_fails_is_not_committed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    jobs.prepare(*several_galaxies(spark, [1]), path)
+    raw, galaxy = several_galaxies(spark, [1, 2, 3])
+    with pytest.raises(ValueError, match=r"no particles of galaxies \[3\]"):
+        jobs.prepare({"stars": raw["stars"].where("galaxy_id < 3")}, galaxy, path)
+    lost = raw["stars"].withColumn("Coordinates", F.when(F.col("galaxy_id") == 2, F.array(F.lit(float("nan")), F.lit(0.0), F.lit(0.0))).otherwise(F.col("Coordinates")))
+    with pytest.raises(ValueError, match=r"without place or mass in galaxies \[2\]"):
+        jobs.prepare({"stars": lost}, galaxy, path)
+    store = GalaxyStore(spark, path)
+    assert [r.galaxy_id for r in store.manifest().collect()] == [1] and store.read("stars").count() == 3
+    # a write that ended before its commit leaves rows that nobody reads
+    store._read("data/stars").where("galaxy_id = 2").withColumn("batch", F.lit("lost")).write.partitionBy("batch").mode("append").parquet(f"{path}/data/stars")
+    assert store.read("stars").count() == 3
+    assert masses(jobs.prepare(raw, galaxy, path)) == {g: [1.0, 2.0, 3.0] for g in (1, 2, 3)}
+
+
+def test_store_reads_only_the_asked_galaxies(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for g in (1, 2, 3):
+        jobs.prepare(*several_galaxies(spark, [g]), path)
+    asked = GalaxyStore(spark, path).read("stars", spark.createDataFrame([(2,)], "galaxy_id long"))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(galaxy_id, [2])" in plan or "EqualTo(galaxy_id,2)" in plan
+    assert len({f.rsplit("/", 2)[1] for f in asked.inputFiles()}) >= 1 and [r.galaxy_id for r in asked.collect()] == [2] * 3
+    with pytest.raises(ValueError, match="no gas"):
+        GalaxyStore(spark, path).read("gas")
+
+
+def test_galaxy_table_is_checked(spark):
+    raw, galaxy = several_galaxies(spark, [1])
+    with pytest.raises(ValueError, match="redshift"):
+        jobs.prepare(raw, galaxy.drop("redshift"))
+    with pytest.raises(ValueError, match="none of the expected"):
+        jobs.prepare(raw, galaxy.select("galaxy_id"))
+    with pytest.raises(ValueError, match="unit"):
+        I.validate_galaxy(galaxy, with_units=True)
+    with pytest.raises(ValueError, match="metals"):
+        D.with_abundances(raw["stars"])
+
+
+def test_missing_vectors_are_zero_vectors(spark):
+    raw = spark.createDataFrame([(0, 1, 2.0, 0.5)], "galaxy_id long, particle_id long, mass double, metals double")
+    with pytest.warns(UserWarning, match="zero"):
+        row = I.vector_columns(jobs.canonical({"stars": raw}, "pynbody")["stars"]).first()
+    assert (row.x, row.y, row.z, row.vx, row.vy, row.vz, row.age, row.mass) == (0, 0, 0, 0, 0, 0, 0, 2.0)
+
+
 def test_pynbody_layout(spark):
     raw = spark.createDataFrame([(0, 1, [1.0, 2.0, 3.0], 2.0, [1.0, 0.0, 0.0], 4.0)], "galaxy_id long, particle_id long, pos array<double>, mass double, vel array<double>, tform double")
     with pytest.warns(UserWarning, match="zero"):
