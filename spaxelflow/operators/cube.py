@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ingest import uniform
@@ -87,10 +87,15 @@ def accumulate_cube(df: DataFrame, n: int | None = None) -> DataFrame:
     return cube if n is None else zero_fill(cube, n)
 
 
-def zero_fill(cube: DataFrame, n: int) -> DataFrame:
-    galaxies = cube.groupBy("galaxy_id").agg(F.max(F.size("flux")).alias("w"))
-    full = galaxies.select("galaxy_id", "w", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("spaxel"))
-    filled = full.join(cube, ["galaxy_id", "spaxel"], "left")
+def zero_fill(cube: DataFrame, n: int, width: int | None = None, galaxies: DataFrame | None = None) -> DataFrame:
+    """All n * n spaxels of each galaxy, zeros where the cube has none. With the galaxies and the length of a spectrum, the cube
+    is not read to learn them."""
+    if width is None or galaxies is None:
+        galaxies = cube.groupBy("galaxy_id").agg(F.max(F.size("flux")).alias("w"))
+    else:
+        galaxies = galaxies.select(F.col("galaxy_id").cast("long").alias("galaxy_id"), F.lit(width).alias("w"))
+    spaxels = F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("spaxel")
+    filled = galaxies.select("galaxy_id", "w", spaxels).join(cube, ["galaxy_id", "spaxel"], "left")
     return filled.select("galaxy_id", "spaxel", F.coalesce("flux", F.array_repeat(F.lit(0.0), F.col("w"))).alias("flux"))
 
 
@@ -136,19 +141,90 @@ def gaussian_kernel(m: int, n: int, sigma: float) -> list[tuple[int, int, float]
     return [(int(math.ceil(a)), int(math.ceil(b)), w / total) for (a, b), w in zip(cells, weights)]
 
 
-def stencil_sum(cube: DataFrame, kernel: list[tuple[int, int, float]], n: int) -> DataFrame:
-    """Each spaxel gives weight * spectrum to its neighbours; what falls outside is lost (zero padding). The kernel is an
-    array literal of fixed size; partial sums of each task go before the shuffle."""
-    cells = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(w).alias("w")) for a, b, w in kernel])
-    moved = with_xy(cube, n).select("galaxy_id", "x", "y", "flux", F.explode(cells).alias("c")).withColumn("x", F.col("x") + F.col("c.dx")).withColumn("y", F.col("y") + F.col("c.dy"))
-    inside = moved.where(F.col("x").between(0, n - 1) & F.col("y").between(0, n - 1))
-    return accumulate_cube(inside.select("galaxy_id", (F.col("x") + n * F.col("y")).alias("spaxel"), F.transform("flux", lambda v: v * F.col("c.w")).alias("flux")))
+TILE = 24  # spaxels along the side of a tile
+
+
+def _reach(kernel) -> tuple[int, int, int, int]:
+    ys, xs = [k[0] for k in kernel], [k[1] for k in kernel]
+    return min(ys), max(ys), min(xs), max(xs)
+
+
+def _tile_sum(own: np.ndarray, at: np.ndarray, corner: tuple[int, int], shape: tuple[int, int], steps):
+    """(places, spectra) of a tile's spaxels that any of `own` (spectra at rows and columns `at`) reaches, after the stencils
+    of `steps` one after another."""
+    reaches = [_reach(k) for k in steps]
+    low_y, high_y, low_x, high_x = (sum(r[i] for r in reaches) for i in range(4))
+    first = np.array([corner[0] - high_y, corner[1] - high_x])
+    size = (shape[0] + high_y - low_y, shape[1] + high_x - low_x)
+    grid, there = np.zeros((*size, own.shape[1])), np.zeros(size, bool)
+    i, j = (at - first).T
+    np.add.at(grid, (i, j), own)
+    there[i, j] = True
+    for kernel, (ly, hy, lx, hx) in zip(steps, reaches):
+        h, w = grid.shape[0] - (hy - ly), grid.shape[1] - (hx - lx)
+        total, reached = np.zeros((h, w, own.shape[1])), np.zeros((h, w), bool)
+        for dy, dx, weight in kernel:
+            part = slice(hy - dy, hy - dy + h), slice(hx - dx, hx - dx + w)
+            total += weight * grid[part]
+            reached |= there[part]
+        grid, there = total, reached
+    y, x = np.nonzero(there)
+    return np.stack([y, x], axis=1) + np.array(corner), grid[y, x]
+
+
+def _stencils(cube: DataFrame, steps, n: int, tile: int) -> DataFrame:
+    """Tiles of tile x tile spaxels meet in a task each, with the spaxels around them that reach into them; only those border
+    spaxels are copied."""
+    reaches = [_reach(k) for k in steps]
+    low_y, high_y, low_x, high_x = (sum(r[i] for r in reaches) for i in range(4))
+
+    def tiles(c: str, low: int, high: int) -> Column:
+        place = lambda d: F.floor(F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(c) + d)) / tile).cast("int")
+        return F.explode(F.sequence(place(low), place(high)))
+
+    def run(batches):
+        key, own, at = None, [], []
+
+        def done():
+            corner = (key[1] * tile, key[2] * tile)
+            shape = (min(tile, n - corner[0]), min(tile, n - corner[1]))
+            places, flux = _tile_sum(np.array(own), np.array(at), corner, shape, steps)
+            if len(places):
+                width = flux.shape[1]
+                column = pa.ListArray.from_arrays(pa.array(np.arange(len(flux) + 1, dtype=np.int32) * width), pa.array(flux.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(flux), pa.int64()), pa.array(places[:, 1] + n * places[:, 0], pa.int32()), column], ["galaxy_id", "spaxel", "flux"])
 
-
-def convolve_psf(cube: DataFrame, n: int, size: int, sigma: float) -> DataFrame:
+        for batch in batches:
+            values = batch.column("flux").flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(np.diff(batch.column("flux").offsets.to_numpy()))
+            names = zip(*(batch.column(c).to_pylist() for c in ("galaxy_id", "ty", "tx", "y", "x")))
+            for (g, ty, tx, y, x), start, end in zip(names, np.concatenate(([0], ends[:-1])), ends):
+                if (g, ty, tx) != key:
+                    if key is not None:
+                        yield from done()
+                    key, own, at = (g, ty, tx), [], []
+                own.append(values[start:end])
+                at.append((y, x))
+        if key is not None:
+            yield from done()
+
+    rows = with_xy(cube.where("flux is not null"), n).select(F.col("galaxy_id").cast("long").alias("galaxy_id"), "y", "x", "flux")
+    dealt = rows.withColumn("ty", tiles("y", low_y, high_y)).withColumn("tx", tiles("x", low_x, high_x))
+    met = dealt.repartition("galaxy_id", "ty", "tx").sortWithinPartitions("galaxy_id", "ty", "tx")
+    return met.select("galaxy_id", "ty", "tx", "y", "x", F.col("flux").cast("array<double>").alias("flux")).mapInArrow(run, CUBE_SCHEMA)
+
+
+def stencil_sum(cube: DataFrame, kernel: list[tuple[int, int, float]], n: int, tile: int = TILE) -> DataFrame:
+    """Each spaxel gives weight * spectrum to its neighbours (dy, dx, weight); what falls outside is lost (zero padding)."""
+    return _stencils(cube, [kernel], n, tile)
+
+
+def convolve_psf(cube: DataFrame, n: int, size: int, sigma: float, tile: int = TILE) -> DataFrame:
+    """The Gaussian of gaussian_kernel(size, size, sigma), along y and then along x."""
     if not (size and size > 0 and sigma and sigma > 0):
         raise ValueError("a PSF needs a size and a sigma above 0")
-    return stencil_sum(cube, gaussian_kernel(size, size, sigma), n)
+    line = gaussian_kernel(size, 1, sigma)
+    return _stencils(cube, [line, [(dx, dy, w) for dy, dx, w in line]], n, tile)
 
 
 def lsf_taps(sigma: float, wave_res: float, extent: int = 12) -> list[float]:
@@ -175,20 +251,21 @@ def convolve_lsf(cube: DataFrame, sigma: float, wave_res: float, extent: int = 1
     return cube.select(F.col("galaxy_id").cast("long").alias("galaxy_id"), F.col("spaxel").cast("int").alias("spaxel"), "flux").mapInArrow(smooth, "galaxy_id long, spaxel int, flux array<double>")
 
 
-def _amplitude(sn: float) -> Column:
-    """sqrt(median of the galaxy's non-zero image fluxes) / sn / sqrt(flux) of each spaxel's `image`; 0 where it is 0. A
-    galaxy's cube is small, so its spaxels may meet in one window."""
-    median = F.median(F.when(F.col("image") > 0, F.col("image"))).over(Window.partitionBy("galaxy_id"))
-    return F.when(F.col("image") > 0, F.sqrt(F.coalesce(median, F.lit(0.0))) / sn / F.sqrt("image")).otherwise(0.0)
+def _with_amplitude(images: DataFrame, sn: float) -> DataFrame:
+    """Adds snr to images (galaxy_id, image, ...): sqrt(median of the galaxy's non-zero images) / sn / sqrt(image), 0 where the
+    image is 0. The median is taken over images alone; rows with spectra never meet by galaxy."""
+    medians = images.where("image > 0").groupBy("galaxy_id").agg(F.median("image").alias("_median"))
+    snr = F.when(F.col("image") > 0, F.sqrt(F.coalesce("_median", F.lit(0.0))) / sn / F.sqrt("image")).otherwise(0.0)
+    return images.join(medians, "galaxy_id", "left").withColumn("snr", snr).drop("_median")
 
 
 def snr_map(cube: DataFrame, sn: float) -> DataFrame:
-    return image(cube).select("galaxy_id", "spaxel", _amplitude(sn).alias("snr"))
+    return _with_amplitude(image(cube), sn).select("galaxy_id", "spaxel", "snr")
 
 
 def add_noise(cube: DataFrame, sn: float, distribution: str = "normal", seed: int = 0) -> DataFrame:
     """flux + flux * draw * amplitude; draws depend on (galaxy, spaxel, bin, seed) alone, whatever the partitioning. The cube
-    is read once."""
+    is read for its images' medians, which join it as one number a galaxy, and again for the noise."""
     if distribution not in ("normal", "uniform"):
         raise ValueError(f"distribution {distribution} is neither normal nor uniform")
     if sn is None or sn <= 0:
@@ -201,7 +278,7 @@ def add_noise(cube: DataFrame, sn: float, distribution: str = "normal", seed: in
         v = uniform(F.col("galaxy_id"), F.col("spaxel"), k, seed, 1)
         return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
 
-    both = cube.withColumn("image", array_total("flux")).withColumn("snr", _amplitude(sn))
+    both = _with_amplitude(cube.withColumn("image", array_total("flux")), sn)
     return both.select("galaxy_id", "spaxel", F.transform("flux", lambda v, k: v + v * draw(k) * F.col("snr")).alias("flux"))
 
 

@@ -102,9 +102,11 @@ def apply_rotation(df: DataFrame, axes: DataFrame) -> DataFrame:
 
 
 def orient(df: DataFrame, galaxy: DataFrame, view: str | tuple[float, float, float], align: DataFrame | None = None) -> DataFrame:
-    """Aligns with the principal axes (of `align`, else of df itself), then turns to the view or the given angles."""
+    """Aligns with the principal axes (of `align`, else of df itself), then turns to the view or the given angles. The axes, nine
+    numbers a galaxy, are kept, since jobs read their particles more than once."""
     angles = VIEWS[view] if isinstance(view, str) else view
-    return euler_rotate(apply_rotation(df, principal_axes(inertia_tensor(df if align is None else align, galaxy))), *angles)
+    axes = principal_axes(inertia_tensor(df if align is None else align, galaxy)).persist()
+    return euler_rotate(apply_rotation(df, axes), *angles)
 
 
 def aperture(spark: SparkSession, kind: str, n: int) -> DataFrame:

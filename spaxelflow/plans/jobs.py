@@ -117,7 +117,7 @@ def mock_cube(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, ha
     half_size, z: one value for all galaxies, or a column of the galaxy table. psf: (size, sigma); noise: (signal to noise,
     distribution, seed)."""
     stars = _placed(G.orient(snapshot.stars, snapshot.galaxy, view), snapshot.galaxy, half_size, n, "drop", z)
-    cube = C.zero_fill(C.add_cubes(S.star_cube(stars, grid, wave, target, _value(z), method)), n)
+    cube = C.zero_fill(C.add_cubes(S.star_cube(stars, grid, wave, target, _value(z), method)), n, len(target), snapshot.galaxy)
     return _observed(cube, n, psf, lsf, noise, float(target[1] - target[0]))
 
 
@@ -147,7 +147,7 @@ def mock_cube_dusty(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarr
     stars = _placed(G.orient(snapshot.stars, galaxy, view), galaxy, half_size, n, "drop", z)
     gas = _placed(G.orient(snapshot.gas, galaxy, view, snapshot.stars if align_by == "stars" else None), galaxy, half_size, n, "zero")
     seen = dust_columns(stars, gas, half_size, n, model, xco, grain_density)
-    cube = C.zero_fill(C.add_cubes(S.star_cube(seen, grid, wave, target, _value(z), method, curve=curve_on(stars.sparkSession, target, curve, rv))), n)
+    cube = C.zero_fill(C.add_cubes(S.star_cube(seen, grid, wave, target, _value(z), method, curve=curve_on(stars.sparkSession, target, curve, rv))), n, len(target), galaxy)
     return _observed(cube, n, psf, lsf, noise, float(target[1] - target[0]))
 
 

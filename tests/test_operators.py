@@ -310,6 +310,40 @@ def test_psf_of_even_size(spark):
     assert sum(r.flux[0] for r in C.convolve_psf(cube, 10, 4, 1.0).collect()) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("size, sigma, n, tile", [(3, 0.6, 7, 3), (5, 1.0, 11, 4), (4, 0.8, 9, 2), (7, 2.0, 5, 24)])
+def test_psf_in_tiles_is_the_convolution(spark, size, sigma, n, tile):
+    rng = np.random.default_rng(2)
+    flux = rng.random((n, n, 4))
+    absent = {3, 8}
+    flux.reshape(-1, 4)[sorted(absent)] = 0
+    cube = spark.createDataFrame([(g, k, (g * flux).reshape(-1, 4)[k].tolist()) for g in (1, 2) for k in range(n * n) if k not in absent], "galaxy_id long, spaxel int, flux array<double>").repartition(3)
+    want = np.zeros_like(flux)
+    for dy, dx, w in C.gaussian_kernel(size, size, sigma):
+        for y in range(n):
+            for x in range(n):
+                if 0 <= y - dy < n and 0 <= x - dx < n:
+                    want[y, x] += w * flux[y - dy, x - dx]
+    for made in (C.convolve_psf(cube, n, size, sigma, tile), C.stencil_sum(cube, C.gaussian_kernel(size, size, sigma), n, tile)):
+        found = {(r.galaxy_id, r.spaxel): r.flux for r in made.collect()}
+        assert len(found) == 2 * n * n
+        for (g, k), v in found.items():
+            assert v == pytest.approx((g * want).reshape(-1, 4)[k].tolist())
+
+
+def test_psf_copies_border_spaxels_alone(spark):
+    cube = spark.createDataFrame([(0, k, [1.0]) for k in range(48 * 48)], "galaxy_id long, spaxel int, flux array<double>")
+    plan = C.convolve_psf(cube, 48, 5, 1.0, 24)
+    assert plan.count() == 48 * 48
+    dealt = sum(int(np.prod([1 + any(0 <= (v + d) // 24 < 2 and (v + d) // 24 != v // 24 for d in (-2, 2)) for v in divmod(k, 48)])) for k in range(48 * 48))
+    assert dealt == 52 * 52  # rows of the shuffle: spaxels and their border copies
+
+
+def test_noise_never_gathers_spectra_by_galaxy(spark):
+    cube = spark.createDataFrame([(0, k, [float(k), 1.0]) for k in range(9)], "galaxy_id long, spaxel int, flux array<double>")
+    plan = C.add_noise(cube, 2.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_template_grid_and_wave(spark):
     flux = [[[0.5, 1.0, 1.5], [2.0, 3.0, 4.0]], [[5.0, 6.0, 7.0], [8.0, 9.0, 10.0]]]
     dense = spark.createDataFrame([([-1.0, 0.0], [0.01, 0.02], flux)], "age array<double>, metallicity array<double>, flux array<array<array<double>>>")
