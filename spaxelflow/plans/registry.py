@@ -21,7 +21,7 @@ from ..operators import spectra as S
 from ..operators.scan import asof_sum
 from ..sources import ingest as I
 from ..sources.store import GalaxyStore, scratch
-from ..sources.views import GAS, STARS, frames
+from ..sources.views import GAS, STARS, frame
 from . import jobs
 
 HALF, N = 8.0, 5
@@ -48,11 +48,11 @@ def rounded(df, *columns, digits: int = 6):
 
 
 def stars_of(spark, d):
-    return frames(spark, d)[0]
+    return frame(spark, d, "stars")
 
 
 def placed(spark, d, gas: bool = False):
-    return P.assign_spaxel(P.apply_mask(P.fov_mask(frames(spark, d)[1 if gas else 0], HALF)), HALF, N)
+    return P.assign_spaxel(P.apply_mask(P.fov_mask(frame(spark, d, "gas" if gas else "stars"), HALF)), HALF, N)
 
 
 def galaxies(df):
@@ -71,7 +71,7 @@ _CEN = f"g AS (SELECT galaxy_id, count(*) % 7 / 10e0 AS a FROM stars GROUP BY ga
 
 
 def cube_of(spark, d):
-    return C.accumulate_cube(frames(spark, d)[2])
+    return C.accumulate_cube(frame(spark, d, "spectra"))
 
 
 def long_out(cube, digits: int = 6):
@@ -86,7 +86,7 @@ def fov_filter(spark, d):
 
 @query(f"WITH {_GA} SELECT o_orderkey, x, y, CASE WHEN {_IN} THEN mass ELSE 0 END AS mass FROM gas")
 def fov_zero_mask(spark, d):
-    return P.apply_mask(P.fov_mask(frames(spark, d)[1], HALF), "zero").select("o_orderkey", "x", "y", "mass")
+    return P.apply_mask(P.fov_mask(frame(spark, d, "gas"), HALF), "zero").select("o_orderkey", "x", "y", "mass")
 
 
 @query(f"WITH {_ST} SELECT galaxy_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, vz AS v_los FROM stars")
@@ -148,7 +148,7 @@ def validate(spark, d):
 
 @query(f"WITH {_ST}, {_GA} SELECT 'stars' AS ptype, galaxy_id, count(*) AS n, round(sum(mass), 2) AS mass, count(age) AS aged FROM stars GROUP BY ALL UNION ALL SELECT 'gas', galaxy_id, count(*), round(sum(mass), 2), 0 FROM gas GROUP BY ALL")
 def union_types(spark, d):
-    s, g, _ = frames(spark, d)
+    s, g = frame(spark, d, "stars"), frame(spark, d, "gas")
     return P.union_types(s, g).groupBy("ptype", "galaxy_id").agg(F.count("*").alias("n"), r(F.sum("mass"), 2).alias("mass"), F.count("age").alias("aged"))
 
 
@@ -412,7 +412,7 @@ def within_radius(spark, d):
 
 @query(f"WITH {_SP} SELECT vec_id, k, round(v * (1 + vec_id % 3), 6) AS v FROM sl")
 def scale_by_mass(spark, d):
-    df = C.scale_by_mass(frames(spark, d)[2].withColumn("mass", 1.0 + F.col("vec_id") % 3))
+    df = C.scale_by_mass(frame(spark, d, "spectra").withColumn("mass", 1.0 + F.col("vec_id") % 3))
     return df.select("vec_id", F.posexplode("flux").alias("k", "v")).select("vec_id", "k", r(F.col("v")).alias("v"))
 
 
@@ -500,7 +500,7 @@ _TG = "tg AS (SELECT i, 1.5e0 + 2 * i AS t FROM range(0, 30) AS q(i))"
 
 @query(f"WITH {_SP}, {_TG}, n AS (SELECT a.vec_id, i, t, a.v + (b.v - a.v) * (t - floor(t)) AS v FROM tg JOIN sl AS a ON a.k = floor(t) JOIN sl AS b ON b.k = a.k + 1 AND b.vec_id = a.vec_id), o AS (SELECT vec_id, sum(v) FILTER (WHERE k BETWEEN 1.5 AND 59.5) AS o FROM sl GROUP BY 1), w AS (SELECT vec_id, sum(v * 2) FILTER (WHERE i > 0) AS w FROM n GROUP BY 1) SELECT vec_id, i AS k, round(CASE WHEN w = 0 THEN 0 ELSE v * o / w END, 8) AS v FROM n JOIN o USING (vec_id) JOIN w USING (vec_id)")
 def resample_spectrum(spark, d):
-    out = S.resample(frames(spark, d)[2], np.arange(64.0), 1.5 + 2 * np.arange(30.0), ["vec_id"])
+    out = S.resample(frame(spark, d, "spectra"), np.arange(64.0), 1.5 + 2 * np.arange(30.0), ["vec_id"])
     return out.select("vec_id", F.posexplode("flux").alias("k", "v")).select("vec_id", "k", r(F.col("v"), 8).alias("v"))
 
 
@@ -522,7 +522,7 @@ def cumulative_trapezoid(spark, d):
 
 # A template grid made of the table's own spectra: metallicity node = vec_id % 4, age node = vec_id / 4 % 6, summed.
 def grid_frame(spark, d):
-    base = frames(spark, d)[2].select((F.col("vec_id") % 4).cast("long").alias("galaxy_id"), (F.floor(F.col("vec_id") / 4) % 6).cast("int").alias("spaxel"), "flux")
+    base = frame(spark, d, "spectra").select((F.col("vec_id") % 4).cast("long").alias("galaxy_id"), (F.floor(F.col("vec_id") / 4) % 6).cast("int").alias("spaxel"), "flux")
     return C.accumulate_cube(base).select(F.col("galaxy_id").cast("int").alias("met_idx"), F.col("spaxel").alias("age_idx"), (F.col("galaxy_id") * 0.02).alias("metallicity"), (F.col("spaxel") * 2.5).alias("age"), "flux")
 
 
@@ -606,7 +606,7 @@ _AV = 3 * math.pi * D.MSUN_G / D.KPC_CM**2 / (0.4 * math.log(10) * 5448.0 * 1e-8
 def dust_to_gas(spark, d):
     oh = D.oxygen_abundance(F.col("o_frac"), F.col("h_frac"))
     dg = D.dust_to_gas(oh)
-    return frames(spark, d)[1].select("o_orderkey", r(oh, 8).alias("oh"), r(dg, 10).alias("dg"), r(D.visual_extinction(F.col("mass") * dg) * 1e3).alias("av"))
+    return frame(spark, d, "gas").select("o_orderkey", r(oh, 8).alias("oh"), r(dg, 10).alias("dg"), r(D.visual_extinction(F.col("mass") * dg) * 1e3).alias("av"))
 
 
 def _fit_sql(a: float, alpha: float) -> str:
@@ -616,7 +616,7 @@ def _fit_sql(a: float, alpha: float) -> str:
 @query(f"WITH {_GA} SELECT o_orderkey, round({_fit_sql(2.21, 1.62)}, 10) AS free_mw, round({_fit_sql(2.21, 2.02)}, 10) AS free_z, round(CASE WHEN {_OH} > 7.96e0 THEN {_fit_sql(2.21, 1.0)} ELSE {_fit_sql(0.68, 3.08)} END, 10) AS broken_mw FROM gas")
 def dust_to_gas_models(spark, d):
     oh, free = D.oxygen_abundance(F.col("o_frac"), F.col("h_frac")), "power law slope free"
-    return frames(spark, d)[1].select("o_orderkey", r(D.dust_to_gas(oh, free, "MW"), 10).alias("free_mw"), r(D.dust_to_gas(oh, free, "Z"), 10).alias("free_z"), r(D.dust_to_gas(oh, xco="MW"), 10).alias("broken_mw"))
+    return frame(spark, d, "gas").select("o_orderkey", r(D.dust_to_gas(oh, free, "MW"), 10).alias("free_mw"), r(D.dust_to_gas(oh, free, "Z"), 10).alias("free_z"), r(D.dust_to_gas(oh, xco="MW"), 10).alias("broken_mw"))
 
 
 @query(f"WITH {_PG} SELECT galaxy_id, spaxel, o_orderkey, round(sum(mass) OVER (PARTITION BY galaxy_id, spaxel ORDER BY z, o_orderkey), 2) AS c FROM pg")
@@ -689,7 +689,7 @@ def extinction_g23(spark, d):
 @query(f"WITH {_SP} SELECT vec_id, k, round(v * pow(10, -0.4e0 * (vec_id % 5 / 4e0) * (0.5e0 + k / 64e0)), 8) AS v FROM sl")
 def extinguish(spark, d):
     curve = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 0.5 + i / 64.0)
-    out = D.attenuate(frames(spark, d)[2].withColumn("av", F.col("vec_id") % 5 / 4.0), curve)
+    out = D.attenuate(frame(spark, d, "spectra").withColumn("av", F.col("vec_id") % 5 / 4.0), curve)
     return out.select("vec_id", F.posexplode("flux").alias("k", "v")).select("vec_id", "k", r(F.col("v"), 8).alias("v"))
 
 
@@ -707,7 +707,7 @@ def subset(spark, d):
 
 
 def _snapshot(spark, d):
-    s, g, _ = frames(spark, d)
+    s, g = frame(spark, d, "stars"), frame(spark, d, "gas")
     g = g.withColumns({c: F.lit(0.0) for c in ("vx", "vy", "vz")})
     galaxy = galaxies(s).withColumns({"redshift": 0.01 + F.col("galaxy_id") / 1000.0, "half": F.lit(HALF) - F.col("galaxy_id") / 4.0})
     return jobs.Snapshot(galaxy, s, g)
@@ -770,7 +770,7 @@ _RAW_GA = f"rg0 AS ({GAS}), gas AS (SELECT rg0.* REPLACE (x - c AS x, y - c / 2
 @query(_job_sql(True, _RAW_ST, _RAW_GA))
 def mock_cube_dusty_raw(spark, d):
     """Raw stars and gas, the gas with its array of metal fractions, by way of a store to a dusty cube."""
-    s, g, _ = frames(spark, d)
+    s, g = frame(spark, d, "stars"), frame(spark, d, "gas")
     stars = s.select("galaxy_id", F.col("l_orderkey").alias("particle_id"), F.array("x", "y", "z").alias("Coordinates"), F.array("vx", "vy", "vz").alias("Velocities"), F.col("mass").alias("GFM_InitialMass"), F.col("metallicity").alias("GFM_Metallicity"), F.col("age").alias("GFM_StellarFormationTime"))
     none = F.lit(0.0)
     fields = {"Density": none, "GFM_Metallicity": none, "StarFormationRate": none, "InternalEnergy": none, "ElectronAbundance": none, "Velocities": F.array(none, none, none)}

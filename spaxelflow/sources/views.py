@@ -11,10 +11,12 @@ GAS = """SELECT o_custkey % 4 AS galaxy_id, o_orderkey, (o_orderkey % 50 - 24.5e
        0.70e0 + (o_orderkey % 7) / 100e0 AS h_frac, 0.001e0 + (o_custkey % 11) / 1000e0 AS o_frac FROM orders"""
 
 
-def frames(spark, sf_dir: str):
-    """(stars, gas, spectra) DataFrames; spectra: galaxy_id, vec_id, spaxel, flux array<double>."""
-    views = {"lineitem": STARS, "orders": GAS}
-    out = [spark.sql(text.replace(f"FROM {t}", "FROM {src}"), src=spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t, text in views.items()]
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    spectra = vectors.selectExpr("label % 4 AS galaxy_id", "vec_id", "cast(vec_id % 25 AS int) AS spaxel", "transform(embedding, v -> abs(cast(v AS double))) AS flux")
-    return *out, spectra
+SPECTRA = ("label % 4 AS galaxy_id", "vec_id", "cast(vec_id % 25 AS int) AS spaxel", "transform(embedding, v -> abs(cast(v AS double))) AS flux")
+
+
+def frame(spark, sf_dir: str, kind: str):
+    """The DataFrame of `stars`, `gas` or `spectra` (galaxy_id, vec_id, spaxel, flux array<double>)."""
+    if kind == "spectra":
+        return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr(*SPECTRA)
+    text, table = {"stars": (STARS, "lineitem"), "gas": (GAS, "orders")}[kind]
+    return spark.sql(text.replace(f"FROM {table}", "FROM {src}"), src=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
