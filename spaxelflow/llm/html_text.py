@@ -30,6 +30,12 @@ RAW = frozenset("script style textarea title noscript iframe xmp".split())
 CHROME = frozenset("nav header footer aside form menu dialog".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html caption li dd dt td th tr tbody thead tfoot legend summary figcaption".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())  # any other tag ends an open head
+# What a start tag ends, if it is open inside the nearest of the elements behind it.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr", "td", "th", "caption"}, {"table", "tbody", "thead", "tfoot"}), **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"})),
+}
 MARKED = re.compile(
     r"(^|[\s_-])(ad|ads|advert|advertisement|adbox|adslot|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|footer|header|masthead|"
     r"cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|signup|social|share|sharing|related|recommended|comment|comments|reply|replies|disqus|widget|toolbar|pagination|pager|copyright|legal|skip)([\s_-]|$)",
@@ -38,6 +44,7 @@ MARKED = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN_IDS = re.compile(r"(^|[\s_-])(article-body|post-content|entry-content|main-content|article-content|story-body)([\s_-]|$)", re.IGNORECASE)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
+BROKEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")  # a quote in it never closes
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"[\x20\t\n\r\f\v\x85\xa0  -     　]+")
 
@@ -60,7 +67,12 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
 
 
 def blocks_of(page: str) -> list[tuple[bool, str]]:
-    """(inside a main container, text) of each block that isn't chrome, in page order."""
+    """(inside a main container, text) of each block that isn't chrome, in page order.
+
+    End tags may be left out where HTML allows it: a head ends at the first tag or text that does not belong in one, and table
+    cells, rows and list items end at the next. Character references are decoded text node by text node, so that `&<b>amp;</b>`
+    stays as it is. A tag with a quote that never closes ends at its first >. Headers are left out, those of an article too.
+    """
     out: list[tuple[bool, str]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent or chrome, main, block
     silent = main = 0
@@ -70,7 +82,7 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
 
     def close_block() -> None:
         if words:
-            text = SPACE.sub(" ", entities.unescape("".join(words))).strip(" ")
+            text = SPACE.sub(" ", "".join(words)).strip(" ")
             words.clear()
             if text:
                 out.append((open_main, text))
@@ -88,12 +100,14 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
+        if lt > at and stack and stack[-1][0] == "head" and not page[at:lt].isspace():
+            pop(len(stack) - 1)
         if lt > at and not silent:
             open_main = main > 0
-            words.append(page[at:lt])
+            words.append(entities.unescape(page[at:lt]))
         if lt == n:
             break
-        m = TAG.match(page, lt)
+        m = TAG.match(page, lt) or BROKEN_TAG.match(page, lt)
         if not m:
             if not silent:
                 open_main = main > 0
@@ -114,6 +128,8 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
                 if tag in BLOCK:
                     close_block()
             continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop(len(stack) - 1)
         if tag in BLOCK or tag == "br":
             if tag in CLOSES_P:
                 for k in range(len(stack) - 1, -1, -1):
@@ -122,13 +138,16 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
                         break
                     if stack[k][3]:
                         break
-            if tag == "li":
+            if tag in ENDS:
+                ended, within = ENDS[tag]
+                first = None
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "li":
-                        pop(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "menu"):
+                    if stack[k][0] in within:
                         break
+                    if stack[k][0] in ended:
+                        first = k
+                if first is not None:
+                    pop(first)
             if tag == "br":
                 if not silent:
                     words.append(" ")
@@ -331,9 +350,14 @@ def main_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     A page is the text of its main container, if any, and what its host's suffix array leaves of the blocks outside that
     no mark rules out. Null or empty html, or nothing left: empty text. A page alone on its host with such blocks keeps its
     container alone, or all such blocks if it has none. Repeated rows are distinct pages of their host. Null urls share one host. Empty table: empty result.
+    Pages of any length go whole. keep: all columns but html and those named text or n_chars, unless it is given; such a name in it is
+    a ValueError.
     """
     spark = pages.sparkSession
-    keep = keep if keep is not None else [c for c in pages.columns if c != "html"]
+    clash = [c for c in keep or () if c.lower() in ("text", "n_chars")]
+    if clash:
+        raise ValueError(f"kept columns named like results: {clash}")
+    keep = keep if keep is not None else [c for c in pages.columns if c.lower() not in ("html", "text", "n_chars")]
     types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
     row = f"row struct<{types}>"
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", r"^[^/?#]*//([^/?#]*)", 1), F.lit(""))))
