@@ -112,16 +112,6 @@ def resample(df: DataFrame, wave: np.ndarray, target: np.ndarray, keep: list[str
     return df.select(*keep, *([factor] if factor and factor not in keep else []), "flux").mapInArrow(run, f"{schema}, flux array<double>")
 
 
-def resample_column(flux: Column, wave: Column, target: Column) -> Column:
-    """The same by array functions alone."""
-    step = lambda a, i: F.when(i == 0, 0.0).otherwise(F.get(a, i) - F.get(a, i - 1))
-    new = F.transform(target, lambda x: interp_array(x, wave, flux))
-    last = F.get(target, F.size(target) - 1)
-    old_sum = F.aggregate(F.sequence(F.lit(0), F.size(wave) - 1), F.lit(0.0), lambda s, i: s + F.when((F.get(wave, i) >= F.get(target, F.lit(0))) & (F.get(wave, i) <= last), F.get(flux, i) * step(wave, i)).otherwise(0.0))
-    new_sum = F.aggregate(F.sequence(F.lit(0), F.size(target) - 1), F.lit(0.0), lambda s, i: s + F.get(new, i) * step(target, i))
-    return F.transform(new, lambda v: F.when(new_sum == 0, 0.0).otherwise(v * old_sum / new_sum))
-
-
 def cubic_weights(axis: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first index, 4 weights, inside) of cubic Hermite interpolation with slopes from neighbours on a non-uniform axis."""
     n = len(axis)
@@ -164,61 +154,134 @@ WEIGHTS = {"cubic": cubic_weights, "linear": linear_weights, "nearest": nearest_
 
 
 def template_flux(grid, metallicity: np.ndarray, age: np.ndarray, method: str = "cubic") -> np.ndarray:
-    """Spectra at (metallicity, age) from grid = (mets, ages, flux[met, age, wave]); zeros outside the grid."""
+    """Spectra at (metallicity, age) from grid = (mets, ages, flux[met, age, wave]); zeros outside the grid and where one of the two
+    is NaN (null)."""
     mets, ages, flux = grid
     mi, mw, m_in = WEIGHTS[method](mets, metallicity)
     ai, aw, a_in = WEIGHTS[method](ages, age)
     out = np.zeros((len(age), flux.shape[2]))
     for p in range(4):
         for q in range(4):
-            w = mw[:, p] * aw[:, q] * (m_in & a_in)
+            w = np.where(m_in & a_in, mw[:, p] * aw[:, q], 0.0)
             if w.any():
                 out += w[:, None] * flux[np.clip(mi + p, 0, len(mets) - 1), np.clip(ai + q, 0, len(ages) - 1)]
     return out
 
 
-def grid_arrays(grid: DataFrame):
-    """The template grid on the driver: a fixed model table (mets x ages x wave), not data."""
+MAX_GRID_BYTES = 64 << 20  # of a template grid that is broadcast; a larger one is looked up cell by cell
+STARS_A_CELL = 100_000  # of one task's share of a cell
+
+
+def grid_arrays(grid: DataFrame, limit: int = MAX_GRID_BYTES):
+    """The template grid (met_idx, age_idx, metallicity, age, flux) as arrays on the driver, ready to be broadcast. A grid of more
+    than `limit` bytes is a ValueError: lookups take it as a DataFrame."""
+    nodes, width = grid.agg(F.count("*"), F.max(F.size("flux"))).first()
+    if nodes * (width or 0) * 8 > limit:
+        raise ValueError(f"template grid of {nodes * width * 8} bytes, more than {limit}: give the DataFrame to the lookup")
     rows = grid.orderBy("met_idx", "age_idx").select("metallicity", "age", "flux").collect()
     mets, ages = np.unique([r[0] for r in rows]), np.unique([r[1] for r in rows])
     return mets, ages, np.array([r[2] for r in rows]).reshape(len(mets), len(ages), -1)
 
 
-def lookup_template(stars: DataFrame, grid, keep: list[str], method: str = "cubic") -> DataFrame:
-    """Adds each star's template spectrum; `grid` as grid_arrays gives it is broadcast."""
+def _by_cell(stars: DataFrame, grid: DataFrame, stars_a_cell: int):
+    """(rows, axes): stars in the order of the grid's cells, each cell's up to 16 nodes in front of its stars.
+
+    Cells with many stars are dealt to several tasks, with their nodes. Only the axes come to the driver, and one count for
+    each cell that has stars.
+    """
+    axes = [np.array([r[0] for r in grid.select(c).distinct().orderBy(c).collect()], float) for c in ("metallicity", "age")]
+    names = [f.name for f in stars.schema]
+
+    def cell(c: str, axis: np.ndarray) -> Column:
+        found = F.size(F.filter(F.array(*[F.lit(float(v)) for v in axis]), lambda v: v <= F.col(c).cast("double"))) - 1
+        return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(len(axis) - 2), found)), F.lit(0))
+
+    placed = stars.withColumns({"_i": cell("metallicity", axes[0]), "_j": cell("age", axes[1])})
+    counts = placed.groupBy("_i", "_j").agg(F.ceil(F.count("*") / stars_a_cell).cast("int").alias("_shares"))  # a row for each cell
+    shares = F.broadcast(stars.sparkSession.createDataFrame(counts.collect(), counts.schema))
+    dealt = placed.join(shares, ["_i", "_j"]).withColumn("_share", F.pmod(F.monotonically_increasing_id(), F.col("_shares")).cast("int"))
+    around = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - 2), F.least(F.lit(n - 2), F.col(c) + 1)))
+    nodes = grid.select("met_idx", "age_idx", F.col("metallicity").cast("double").alias("_met"), F.col("age").cast("double").alias("_age"), F.col("flux").cast("array<double>").alias("_flux"))
+    nodes = nodes.withColumn("_i", around("met_idx", len(axes[0]))).withColumn("_j", around("age_idx", len(axes[1]))).join(shares, ["_i", "_j"]).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    keys = ["_i", "_j", "_share"]
+    both = dealt.select(*names, *keys, F.lit(1).alias("_t")).unionByName(nodes.select(*keys, F.lit(0).alias("_t"), "met_idx", "age_idx", "_met", "_age", "_flux"), allowMissingColumns=True)
+    return both.repartition(int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "_t", "met_idx", "age_idx")
+
+
+def _with_cells(batches, step: int):
+    """(grid of the cell, stars) in parts of `step` stars at most, of rows as _by_cell() orders them."""
+    key, nodes, grid = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_i", "_j", "_share", "_t")])
+        cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            part, own = batch.slice(a, b - a), tuple(keys[:3, a].tolist())
+            if own != key:
+                key, nodes, grid = own, [], None
+            if keys[3, a] == 0:
+                nodes.append([part.column(c).to_numpy(zero_copy_only=False) for c in ("_met", "_age")] + [part.column("_flux").flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)])
+                continue
+            if grid is None:
+                met, age, flux = (np.concatenate(x) for x in zip(*nodes))
+                mets, ages = np.unique(met), np.unique(age)
+                grid = mets, ages, flux.reshape(len(mets), len(ages), -1)
+            for k in range(0, b - a, step):
+                yield grid, part.slice(k, step)
+
+
+def _with_grid(stars: DataFrame, grid, limit: int, stars_a_cell: int, step: int):
+    """(rows, parts): `parts(batches)` gives (grid, stars) pairs of the rows. An array grid, or a DataFrame up to `limit` bytes, is
+    broadcast; a larger one meets its stars cell by cell."""
+    if isinstance(grid, DataFrame):
+        nodes, width = grid.agg(F.count("*"), F.max(F.size("flux"))).first()
+        if nodes * (width or 0) * 8 > limit:
+            return _by_cell(stars, grid, stars_a_cell), lambda batches: _with_cells(batches, step)
+        grid = grid_arrays(grid, limit)
     shared = stars.sparkSession.sparkContext.broadcast(grid)
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                m, a = (part.column(c).to_numpy(zero_copy_only=False) for c in ("metallicity", "age"))
-                yield _flux_batch(part, keep, template_flux(shared.value, m, a, method))
+            for k in range(0, batch.num_rows, step):
+                yield shared.value, batch.slice(k, step)
+
+    return stars, parts
+
+
+def lookup_template(stars: DataFrame, grid, keep: list[str], method: str = "cubic", limit: int = MAX_GRID_BYTES, stars_a_cell: int = STARS_A_CELL) -> DataFrame:
+    """Adds each star's template spectrum. grid: what grid_arrays() gives, or the grid's DataFrame, which is broadcast up to
+    `limit` bytes; beyond, stars are brought to the grid's cells."""
+    rows, parts = _with_grid(stars.select(*dict.fromkeys([*keep, "metallicity", "age"])), grid, limit, stars_a_cell, 1000)
+
+    def run(batches):
+        for g, part in parts(batches):
+            m, a = (part.column(c).to_numpy(zero_copy_only=False) for c in ("metallicity", "age"))
+            yield _flux_batch(part, keep, template_flux(g, m, a, method))
 
     schema = ", ".join(f"{c} {stars.schema[c].dataType.simpleString()}" for c in keep)
-    return stars.select(*dict.fromkeys([*keep, "metallicity", "age"])).mapInArrow(run, f"{schema}, flux array<double>")
+    return rows.mapInArrow(run, f"{schema}, flux array<double>")
 
 
-def star_cube(stars: DataFrame, grid, wave: np.ndarray, target: np.ndarray, z: float | Column = 0.0, method: str = "cubic", axis: str = "z", curve=None) -> DataFrame:
+def star_cube(stars: DataFrame, grid, wave: np.ndarray, target: np.ndarray, z: float | Column = 0.0, method: str = "cubic", axis: str = "z", curve=None, limit: int = MAX_GRID_BYTES, stars_a_cell: int = STARS_A_CELL) -> DataFrame:
     """Template lookup, times mass, Doppler shift and resampling in one pass, with the task's partial sums by (galaxy,
     spaxel), so that no spectrum of a star crosses a shuffle. z: one redshift, or a column. curve: A(wave) / A_V on
-    `target`; spectra are then attenuated by each star's column av in the same pass."""
+    `target`; spectra are then attenuated by each star's column av in the same pass. grid, limit: as in lookup_template()."""
     from .cube import CUBE_SCHEMA, _partial_sums
 
-    shared = stars.sparkSession.sparkContext.broadcast((grid, np.asarray(wave, float), np.asarray(target, float), None if curve is None else np.asarray(curve, float)))
+    shared = stars.sparkSession.sparkContext.broadcast((np.asarray(wave, float), np.asarray(target, float), None if curve is None else np.asarray(curve, float)))
     columns = ["galaxy_id", "spaxel"]
-
-    def spectra(batches):
-        g, w, t, k_v = shared.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                m, a, mass, shift = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("metallicity", "age", "mass", "_shift"))
-                flux = resample_kernel(template_flux(g, m, a, method) * mass[:, None], w, shift, t)
-                if k_v is not None:
-                    flux *= 10 ** (-0.4 * part.column("av").to_numpy(zero_copy_only=False)[:, None] * k_v)
-                yield _flux_batch(part, columns, flux)
-
     shift = doppler_factor(F.col(f"v{axis}")) * (1 + (z if isinstance(z, Column) else F.lit(float(z))))
     needed = stars.select(F.col("galaxy_id").cast("long").alias("galaxy_id"), F.col("spaxel").cast("int").alias("spaxel"), "metallicity", "age", "mass", shift.alias("_shift"), *(["av"] if curve is not None else []))
-    return needed.mapInArrow(lambda batches: _partial_sums(spectra(batches)), CUBE_SCHEMA)
+    rows, parts = _with_grid(needed, grid, limit, stars_a_cell, 500)
+
+    def spectra(batches):
+        w, t, k_v = shared.value
+        for g, part in parts(batches):
+            m, a, mass, shift = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("metallicity", "age", "mass", "_shift"))
+            flux = resample_kernel(template_flux(g, m, a, method) * mass[:, None], w, shift, t)
+            if k_v is not None:
+                flux *= 10 ** (-0.4 * part.column("av").to_numpy(zero_copy_only=False)[:, None] * k_v)
+            yield _flux_batch(part, columns, flux)
+
+    return rows.mapInArrow(lambda batches: _partial_sums(spectra(batches)), CUBE_SCHEMA)

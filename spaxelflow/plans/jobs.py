@@ -111,13 +111,13 @@ def _observed(cube: DataFrame, n: int, psf, lsf, noise, wave_res: float) -> Data
     return C.add_noise(cube, *noise) if noise else cube
 
 
-def mock_cube(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, half_size: float | str, n: int, z: float | str = 0.0, view="face-on", psf=None, lsf: float | None = None, noise=None, method: str = "cubic") -> DataFrame:
+def mock_cube(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, half_size: float | str, n: int, z: float | str = 0.0, view="face-on", psf=None, lsf: float | None = None, noise=None, method: str = "cubic", grid_limit: int = S.MAX_GRID_BYTES) -> DataFrame:
     """orient -> field of view -> spaxel -> template * mass -> Doppler and resample -> sum -> PSF -> LSF -> noise.
 
     half_size, z: one value for all galaxies, or a column of the galaxy table. psf: (size, sigma); noise: (signal to noise,
-    distribution, seed)."""
+    distribution, seed). grid: arrays or a DataFrame, which is broadcast up to grid_limit bytes."""
     stars = _placed(G.orient(snapshot.stars, snapshot.galaxy, view), snapshot.galaxy, half_size, n, "drop", z)
-    cube = C.zero_fill(C.add_cubes(S.star_cube(stars, grid, wave, target, _value(z), method)), n, len(target), snapshot.galaxy)
+    cube = C.zero_fill(C.add_cubes(S.star_cube(stars, grid, wave, target, _value(z), method, limit=grid_limit)), n, len(target), snapshot.galaxy)
     return _observed(cube, n, psf, lsf, noise, float(target[1] - target[0]))
 
 
@@ -140,14 +140,14 @@ def curve_on(spark, target: np.ndarray, curve: str, rv: float) -> list[float]:
     return spark.range(1).select(F.transform(microns, lambda x: CURVES[curve](x, rv))).first()[0]
 
 
-def mock_cube_dusty(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, half_size: float | str, n: int, z: float | str = 0.0, view="face-on", psf=None, lsf: float | None = None, noise=None, method: str = "cubic", curve: str = "Cardelli89", rv: float = 3.1, model: str = "broken power law fit", xco: str = "Z", grain_density: float = 3.5, align_by: str | None = None) -> DataFrame:
+def mock_cube_dusty(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, half_size: float | str, n: int, z: float | str = 0.0, view="face-on", psf=None, lsf: float | None = None, noise=None, method: str = "cubic", curve: str = "Cardelli89", rv: float = 3.1, model: str = "broken power law fit", xco: str = "Z", grain_density: float = 3.5, align_by: str | None = None, grid_limit: int = S.MAX_GRID_BYTES) -> DataFrame:
     """mock_cube with each star's spectrum attenuated before it is summed, in the same pass. align_by='stars': gas is turned
     with the stars' axes instead of its own."""
     galaxy = snapshot.galaxy
     stars = _placed(G.orient(snapshot.stars, galaxy, view), galaxy, half_size, n, "drop", z)
     gas = _placed(G.orient(snapshot.gas, galaxy, view, snapshot.stars if align_by == "stars" else None), galaxy, half_size, n, "zero")
     seen = dust_columns(stars, gas, half_size, n, model, xco, grain_density)
-    cube = C.zero_fill(C.add_cubes(S.star_cube(seen, grid, wave, target, _value(z), method, curve=curve_on(stars.sparkSession, target, curve, rv))), n, len(target), galaxy)
+    cube = C.zero_fill(C.add_cubes(S.star_cube(seen, grid, wave, target, _value(z), method, curve=curve_on(stars.sparkSession, target, curve, rv), limit=grid_limit)), n, len(target), galaxy)
     return _observed(cube, n, psf, lsf, noise, float(target[1] - target[0]))
 
 

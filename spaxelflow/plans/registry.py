@@ -574,9 +574,9 @@ def _lookup_sql(method: dict) -> str:
     return f"WITH {_ST}, {_GR}, {nodes}, c AS (SELECT {keys}, mass, row_number() OVER () AS id, {_CELLS} FROM stars), e AS (SELECT {keys}, id, {total('v0')} AS total, {total('v1')} AS moment FROM c JOIN tot ON tot.m BETWEEN i - 1 AND i + 2 AND tot.a BETWEEN j - 1 AND j + 2 GROUP BY ALL) SELECT {keys}, round(total, 4) AS total, round(moment, 2) AS moment FROM e"
 
 
-def _lookup(spark, d, method: str):
+def _lookup(spark, d, method: str, **options):
     keys = [*KEYS, "metallicity", "age"]
-    out = S.lookup_template(stars_of(spark, d), S.grid_arrays(grid_frame(spark, d)), keys, method)
+    out = S.lookup_template(stars_of(spark, d), grid_frame(spark, d), keys, method, **options)
     moment = F.aggregate(F.transform("flux", lambda v, k: v * k), F.lit(0.0), lambda s, v: s + v)
     return out.select(*keys, r(C.array_total("flux"), 4).alias("total"), r(moment, 2).alias("moment"))
 
@@ -596,6 +596,12 @@ def template_lookup_cubic(spark, d):
     return _lookup(spark, d, "cubic")
 
 
+@query(_lookup_sql({"cubic": True}))
+def template_lookup_cells(spark, d):
+    """The grid is not broadcast: stars come to its cells."""
+    return _lookup(spark, d, "cubic", limit=0, stars_a_cell=1000)
+
+
 # ---- dust
 _OH = "(12 + log10(o_frac / (16 * h_frac)))"
 _DG = f"CASE WHEN {_OH} > 8.1e0 THEN pow(10, -(2.21e0 + 1.0e0 * (8.69e0 - {_OH}))) ELSE pow(10, -(0.96e0 + 3.1e0 * (8.69e0 - {_OH}))) END"
@@ -755,12 +761,18 @@ def _cube_out(cube):
 
 @query(_job_sql(False))
 def mock_cube(spark, d):
-    return _cube_out(jobs.mock_cube(_snapshot(spark, d), S.grid_arrays(grid_frame(spark, d)), **_JOB))
+    return _cube_out(jobs.mock_cube(_snapshot(spark, d), grid_frame(spark, d), **_JOB))
 
 
 @query(_job_sql(True))
 def mock_cube_dusty(spark, d):
-    return _cube_out(jobs.mock_cube_dusty(_snapshot(spark, d), S.grid_arrays(grid_frame(spark, d)), **_JOB))
+    return _cube_out(jobs.mock_cube_dusty(_snapshot(spark, d), grid_frame(spark, d), **_JOB))
+
+
+@query(_job_sql(False))
+def mock_cube_cells(spark, d):
+    """The grid is not broadcast."""
+    return _cube_out(jobs.mock_cube(_snapshot(spark, d), grid_frame(spark, d), grid_limit=0, **_JOB))
 
 
 _RAW_ST = f"rs0 AS ({STARS}), cen AS (SELECT galaxy_id, count(*) % 7 / 10e0 AS c FROM rs0 GROUP BY galaxy_id), ms AS (SELECT rs0.* REPLACE (x - c AS x, y - c / 2 AS y, mass / 2 AS mass) FROM rs0 JOIN cen USING (galaxy_id)), mv AS (SELECT galaxy_id, median(vx) AS mx, median(vy) AS my, median(vz) AS mz FROM ms WHERE {_R2} < 10 GROUP BY galaxy_id), stars AS (SELECT ms.* REPLACE (vx - mx AS vx, vy - my AS vy, vz - mz AS vz) FROM ms JOIN mv USING (galaxy_id))"
@@ -778,7 +790,7 @@ def mock_cube_dusty_raw(spark, d):
     plain = jobs.Layout(jobs.LAYOUTS["TNG"].fields, "error", formation=False)  # ages as they are
     galaxy = galaxies(s).withColumns({"redshift": 0.01 + F.col("galaxy_id") / 1000.0, "half": F.lit(HALF) - F.col("galaxy_id") / 4.0})
     snapshot = jobs.prepare({"stars": stars, "gas": gas}, galaxy, scratch(spark), layout=plain, attributes={"stars": {"mass": (1.0, 0.0, 0.0)}}, scale_factor=0.5)
-    return _cube_out(jobs.mock_cube_dusty(snapshot, S.grid_arrays(grid_frame(spark, d)), **_JOB))
+    return _cube_out(jobs.mock_cube_dusty(snapshot, grid_frame(spark, d), **_JOB))
 
 
 @query(f"WITH {_SP}, {_CV}, pr AS (SELECT galaxy_id, spaxel, filter_id, cl.k, v * t0 AS v FROM cl JOIN rs ON rs.k = cl.k), im AS (SELECT galaxy_id, spaxel, filter_id, sum(a) AS image FROM (SELECT galaxy_id, spaxel, filter_id, (v + lag(v) OVER (PARTITION BY galaxy_id, spaxel, filter_id ORDER BY k)) / 2 AS a FROM pr) GROUP BY ALL) SELECT galaxy_id, spaxel, filter_id, round(image, 6) AS image, round((image - min(image) OVER w) / (max(image) OVER w - min(image) OVER w), 6) AS scaled FROM im WINDOW w AS (PARTITION BY galaxy_id)")

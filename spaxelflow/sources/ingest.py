@@ -255,18 +255,50 @@ def cube_wcs(n: int, wave0: float, wave_step: float, pixel_arcsec: float, unit:
     return axes | {"CUNIT1": "deg", "CUNIT2": "deg", "CUNIT3": "Angstrom", "CTYPE1": "RA---TAN", "CTYPE2": "DEC--TAN", "CTYPE3": "AWAV", "BUNIT": unit, "EXTNAME": "DATA"}
 
 
-def write_cube(cube: DataFrame, header: dict[str, object], path: str, n: int, wave0: float, wave_step: float, pixel_arcsec: float, ptype: str = "stars", unit: str = "Lsun/Angstrom") -> None:
-    """Cube by galaxy under path/cube, and a header of each of its galaxies with the WCS keys under path/header; galaxies that
-    are there already stay unless this cube has them. unit: erg/(s*cm^2*A) after luminosity_to_flux."""
-    fixed = {k: header.get(k, "") for k in CUBE_KEYS if k != "GALAXYID"} | cube_wcs(n, wave0, wave_step, pixel_arcsec, unit)
+CHUNK = 512  # wavelengths of a stored chunk of a spectrum
+
+
+def write_cube(cube: DataFrame, header: dict[str, object], path: str, n: int, wave0: float, wave_step: float, pixel_arcsec: float, ptype: str = "stars", unit: str = "Lsun/Angstrom", chunk: int = CHUNK) -> None:
+    """Cube by galaxy under path/cube, each spectrum in chunks of `chunk` wavelengths, and a header of each of its galaxies with
+    the WCS keys under path/header; galaxies that are there already stay unless this cube has them. unit: erg/(s*cm^2*A) after
+    luminosity_to_flux."""
+    fixed = {k: header.get(k, "") for k in CUBE_KEYS if k != "GALAXYID"} | cube_wcs(n, wave0, wave_step, pixel_arcsec, unit) | {"CHUNK": chunk}
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(str(v)).alias("value")) for k, v in fixed.items()])
     galaxy = F.col("galaxy_id").cast("string")
     before, after = cube_name(header | {"GALAXYID": "\0"}, ptype).split("\0")
     own = F.array(F.struct(F.lit("GALAXYID").alias("key"), galaxy.alias("value")), F.struct(F.lit("NAME").alias("key"), F.concat(F.lit(before), galaxy, F.lit(after)).alias("value")))
     keys = cube.select("galaxy_id").distinct().select("galaxy_id", F.explode(F.concat(pairs, own)).alias("p")).select("galaxy_id", "p.*")
-    for df, part in ((cube, "cube"), (keys, "header")):
-        df.write.partitionBy("galaxy_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{part}")
-
-
-def read_cube(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/cube"), spark.read.parquet(f"{path}/header")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("flux") - 1), F.lit(chunk))
+    parts = F.explode(F.transform(starts, lambda at: F.struct((at / chunk).cast("int").alias("chunk"), F.slice("flux", at + 1, chunk).alias("flux"))))
+    chunks = cube.where("flux is not null").select("galaxy_id", "spaxel", parts.alias("c")).select("galaxy_id", "spaxel", "c.chunk", "c.flux")
+    for df, part, by in ((chunks, "cube", ("galaxy_id", "chunk")), (keys, "header", ("galaxy_id",))):
+        df.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{part}")
+
+
+def read_chunks(spark: SparkSession, path: str, lo: int = 0, hi: int | None = None) -> tuple[DataFrame, int]:
+    """(rows (galaxy_id, spaxel, chunk, flux), chunk length) of the stored chunks that hold wavelengths lo .. hi - 1."""
+    found = spark.read.parquet(f"{path}/header").where("key = 'CHUNK'").select(F.col("value").cast("int")).distinct().collect()
+    if len(found) != 1:
+        raise ValueError(f"cubes of {len(found)} chunk lengths under {path}")
+    chunk = found[0][0]
+    rows = spark.read.parquet(f"{path}/cube")
+    return rows.where(F.col("chunk") >= lo // chunk) if hi is None else rows.where(F.col("chunk").between(lo // chunk, (hi - 1) // chunk)), chunk
+
+
+def read_cube(spark: SparkSession, path: str, lo: int = 0, hi: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cube, header); of the wavelengths lo .. hi - 1 alone, where they are given: other chunks are not read."""
+    rows, chunk = read_chunks(spark, path, lo, hi)
+    pieces = F.array_sort(F.collect_list(F.struct("chunk", "flux")))  # as many as a spectrum has chunks
+    whole = rows.groupBy("galaxy_id", "spaxel").agg(F.flatten(F.transform(pieces, lambda p: p["flux"])).alias("flux"))
+    first = lo - lo // chunk * chunk
+    cut = F.slice("flux", first + 1, hi - lo) if hi is not None else F.slice("flux", first + 1, F.greatest(F.lit(0), F.size("flux") - first))
+    return whole.select("galaxy_id", "spaxel", cut.alias("flux")), spark.read.parquet(f"{path}/header")
+
+
+def stored_image(spark: SparkSession, path: str, lo: int, hi: int) -> DataFrame:
+    """The flux of wavelengths lo .. hi - 1 in each spaxel of a stored cube, summed chunk by chunk; no spectrum is put together."""
+    rows, chunk = read_chunks(spark, path, lo, hi)
+    at = F.col("chunk") * chunk
+    first, last = F.greatest(F.lit(lo), at) - at, F.least(F.lit(hi), at + chunk) - at
+    part = F.aggregate(F.slice("flux", first + 1, F.greatest(F.lit(0), last - first)), F.lit(0.0), lambda s, v: s + v)
+    return rows.groupBy("galaxy_id", "spaxel").agg(F.sum(part).alias("image"))

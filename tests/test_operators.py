@@ -94,8 +94,6 @@ def test_resample(spark):
     want = [1.2857142857, 2.1428571429, 3.0, 3.8571428571]
     assert np.allclose(S.resample_kernel(flux[None, :], wave, np.ones(1), target)[0], want)
     assert not S.resample_kernel(0 * flux[None, :], wave, np.ones(1), target).any()
-    df = spark.createDataFrame([(flux.tolist(), wave.tolist(), target.tolist())], "f array<double>, w array<double>, t array<double>")
-    assert np.allclose(df.select(S.resample_column(F.col("f"), F.col("w"), F.col("t"))).first()[0], want)
 
 
 def test_template_nodes_and_outside():
@@ -228,7 +226,7 @@ def test_validation_and_sinks(spark, tmp_path):
     assert {r.galaxy_id: r.flux for r in back.collect()} == {0: [9.0], 3: [1.0]}
     keys = {r.key: r.value for r in header.where("galaxy_id = 0").collect()}
     assert (keys["CRPIX1"], keys["CRPIX3"], keys["CUNIT1"], keys["CTYPE3"], keys["GALAXYID"], keys["SNAPSHOT"]) == ("12.0", "1", "deg", "AWAV", "0", "8")
-    assert float(keys["CD1_1"]) == pytest.approx(0.2 / 3600) and keys["NAME"] == "t_id0_snap8_stars_subsetFalse" and header.count() == 2 * (len(I.CUBE_KEYS) + 22)
+    assert float(keys["CD1_1"]) == pytest.approx(0.2 / 3600) and keys["NAME"] == "t_id0_snap8_stars_subsetFalse" and header.count() == 2 * (len(I.CUBE_KEYS) + 23)
 
 
 def test_ingest_and_templates(spark):
@@ -439,6 +437,51 @@ def test_store_by_galaxy(spark, tmp_path):
     assert manifest == {1: (1, {"stars": 3}), 2: (3, {"stars": 3}), 3: (4, {"stars": 3})}
 
 
+def test_stored_chunks_are_read_where_they_are_asked_for(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    flux = {(g, k): rng.random(23).round(3).tolist() for g in (0, 1) for k in range(4)}
+    path = str(tmp_path / "cube")
+    cube = spark.createDataFrame([(*k, v) for k, v in flux.items()], "galaxy_id long, spaxel int, flux array<double>").coalesce(1)
+    I.write_cube(cube, {}, path, 2, 4000.0, 1.0, 0.2, chunk=5)
+    assert {(r.galaxy_id, r.spaxel): r.flux for r in I.read_cube(spark, path)[0].collect()} == flux
+    for lo, hi in ((0, 23), (0, 5), (5, 10), (4, 6), (7, 8), (3, 22), (20, 23), (22, 40)):
+        part = I.read_cube(spark, path, lo, hi)[0]
+        assert {(r.galaxy_id, r.spaxel): r.flux for r in part.collect()} == {k: v[lo:hi] for k, v in flux.items()}
+        image = I.stored_image(spark, path, lo, hi)
+        assert {(r.galaxy_id, r.spaxel): r.image for r in image.collect()} == pytest.approx({k: sum(v[lo:hi]) for k, v in flux.items()})
+        assert _scan_files(part) == _scan_files(image) == 2 * (min(hi - 1, 22) // 5 - lo // 5 + 1)  # one file a galaxy and chunk
+    assert {k: len(v) for k, v in (((r.galaxy_id, r.spaxel), r.flux) for r in I.read_cube(spark, path, 21)[0].collect())} == dict.fromkeys(flux, 2)
+
+
+def _scan_files(df):
+    """Files that the scans of a plan select."""
+    leaves = df._jdf.queryExecution().executedPlan().inputPlan().collectLeaves()
+    scans = [leaves.apply(k) for k in range(leaves.size())]
+    return sum(s.selectedPartitions().totalNumberOfFiles() for s in scans if s.nodeName().startswith("Scan parquet"))
+
+
+@pytest.mark.parametrize("method", ["cubic", "linear", "nearest"])
+def test_lookup_by_cells_equals_the_broadcast_grid(spark, method):
+    """Stars on nodes, between them, outside, without a place, and more than half of them in one cell."""
+    rng = np.random.default_rng(9)
+    mets, ages = np.array([0.0, 0.01, 0.03, 0.04, 0.1]), np.array([0.1, 1.0, 2.0, 9.0])
+    flux = rng.random((5, 4, 6))
+    grid = spark.createDataFrame([(i, j, float(mets[i]), float(ages[j]), flux[i, j].tolist()) for i in range(5) for j in range(4)], "met_idx int, age_idx int, metallicity double, age double, flux array<double>").repartition(3)
+    place = np.concatenate([np.column_stack([rng.uniform(-0.01, 0.12, 200), rng.uniform(-1, 11, 200)]), np.tile([0.02, 1.5], (300, 1)), [(m, a) for m in mets for a in ages]])
+    rows = [(k, float(m), float(a)) for k, (m, a) in enumerate(place)] + [(len(place), None, 1.0), (len(place) + 1, 0.02, None)]
+    stars = spark.createDataFrame(rows, "id long, metallicity double, age double").repartition(4)
+    want = S.template_flux((mets, ages, flux), place[:, 0], place[:, 1], method)
+    for options in ({}, {"limit": 0}, {"limit": 0, "stars_a_cell": 7}):
+        got = {r.id: r.flux for r in S.lookup_template(stars, grid, ["id"], method, **options).collect()}
+        assert len(got) == len(rows) and np.allclose([got[k] for k in range(len(place))], want)
+        assert got[len(place)] == got[len(place) + 1] == [0.0] * 6
+    with pytest.raises(ValueError, match="bytes"):
+        S.grid_arrays(grid, 100)
+    moving = stars.select(F.lit(0).alias("galaxy_id"), (F.col("id") % 3).alias("spaxel"), F.coalesce("metallicity", F.lit(9.0)).alias("metallicity"), F.coalesce("age", F.lit(9.0)).alias("age"), F.lit(1.0).alias("mass"), (F.col("id") * 1.0).alias("vz"))
+    cubes = [{r.spaxel: r.flux for r in C.add_cubes(S.star_cube(moving, grid, np.arange(6) + 10.0, np.arange(5) + 10.5, method=method, **o)).collect()} for o in ({}, {"limit": 0, "stars_a_cell": 50})]
+    assert all(cubes[0][k] == pytest.approx(cubes[1][k]) for k in range(3))
+
+
 def test_what_fails_is_not_committed(spark, tmp_path):
     path = str(tmp_path / "store")
     jobs.prepare(*several_galaxies(spark, [1]), path)
