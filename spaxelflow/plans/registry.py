@@ -22,6 +22,7 @@ from ..operators.scan import asof_sum
 from ..sources import ingest as I
 from ..sources.store import GalaxyStore, scratch
 from ..sources.views import GAS, STARS, frame
+from ..streaming import cubes as incremental
 from . import jobs
 
 HALF, N = 8.0, 5
@@ -400,6 +401,26 @@ def cube_store(spark, d):
     return long_out(cube.withColumn("galaxy_id", F.col("galaxy_id").cast("long"))).join(keys.withColumn("galaxy_id", F.col("galaxy_id").cast("long")), "galaxy_id")
 
 
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, k - 10 AS k, round(v, 6) AS v, round(sum(v) FILTER (WHERE k < 20) OVER (PARTITION BY galaxy_id, spaxel), 6) AS image FROM cl WHERE k >= 10 AND k < 27 QUALIFY k < 13")
+def cube_store_slice(spark, d):
+    """Of a cube stored in chunks of eight wavelengths: three wavelengths, and the image of ten."""
+    path = scratch(spark)
+    I.write_cube(cube_of(spark, d), {}, path, N, 4000.0, 10.0, 0.2, chunk=8)
+    part = long_out(I.read_cube(spark, path, 10, 13)[0])
+    return part.join(rounded(I.stored_image(spark, path, 10, 20), "image"), ["galaxy_id", "spaxel"]).withColumn("galaxy_id", F.col("galaxy_id").cast("long"))
+
+
+@query(f"WITH {_SP} SELECT galaxy_id, spaxel, k, round(v, 6) AS v FROM cl")
+def incremental_cube(spark, d):
+    """Spectra that arrive in two parts, each summed by a query of its own that goes on from the other's state."""
+    spectra, path = frame(spark, d, "spectra").select("galaxy_id", "spaxel", "flux", "vec_id"), scratch(spark)
+    for k in (0, 1):
+        spectra.where(F.col("vec_id") % 2 == k).drop("vec_id").write.mode("append").parquet(f"{path}/arrived")
+        made = incremental.incremental_cube(incremental.arriving(spark, f"{path}/arrived", spectra.drop("vec_id").schema))
+        incremental.keep_cube(made, f"{path}/cube", f"{path}/state").awaitTermination()
+    return long_out(incremental.kept_cube(spark, f"{path}/cube"))
+
+
 @query(f"WITH {_SP} SELECT galaxy_id, spaxel, k, round(v, 6) AS v FROM cl WHERE spaxel = 1 + 5 * 3")
 def spectrum_at(spark, d):
     return long_out(C.spectrum_at(cube_of(spark, d), N, 1, 3))
