@@ -231,14 +231,21 @@ def _with_cells(batches, step: int):
                 yield grid, part.slice(k, step)
 
 
-def _with_grid(stars: DataFrame, grid, limit: int, stars_a_cell: int, step: int):
+def _step(width: int) -> int:
+    """Stars whose spectra are worked on at once: about 2 MB of them."""
+    return max(32, (1 << 18) // max(width, 1))
+
+
+def _with_grid(stars: DataFrame, grid, limit: int, stars_a_cell: int, width: int = 0):
     """(rows, parts): `parts(batches)` gives (grid, stars) pairs of the rows. An array grid, or a DataFrame up to `limit` bytes, is
     broadcast; a larger one meets its stars cell by cell."""
     if isinstance(grid, DataFrame):
-        nodes, width = grid.agg(F.count("*"), F.max(F.size("flux"))).first()
-        if nodes * (width or 0) * 8 > limit:
+        nodes, length = grid.agg(F.count("*"), F.max(F.size("flux"))).first()
+        if nodes * (length or 0) * 8 > limit:
+            step = _step(max(width, length))
             return _by_cell(stars, grid, stars_a_cell), lambda batches: _with_cells(batches, step)
         grid = grid_arrays(grid, limit)
+    step = _step(max(width, grid[2].shape[2]))
     shared = stars.sparkSession.sparkContext.broadcast(grid)
 
     def parts(batches):
@@ -252,7 +259,7 @@ def _with_grid(stars: DataFrame, grid, limit: int, stars_a_cell: int, step: int)
 def lookup_template(stars: DataFrame, grid, keep: list[str], method: str = "cubic", limit: int = MAX_GRID_BYTES, stars_a_cell: int = STARS_A_CELL) -> DataFrame:
     """Adds each star's template spectrum. grid: what grid_arrays() gives, or the grid's DataFrame, which is broadcast up to
     `limit` bytes; beyond, stars are brought to the grid's cells."""
-    rows, parts = _with_grid(stars.select(*dict.fromkeys([*keep, "metallicity", "age"])), grid, limit, stars_a_cell, 1000)
+    rows, parts = _with_grid(stars.select(*dict.fromkeys([*keep, "metallicity", "age"])), grid, limit, stars_a_cell)
 
     def run(batches):
         for g, part in parts(batches):
@@ -273,7 +280,7 @@ def star_cube(stars: DataFrame, grid, wave: np.ndarray, target: np.ndarray, z: f
     columns = ["galaxy_id", "spaxel"]
     shift = doppler_factor(F.col(f"v{axis}")) * (1 + (z if isinstance(z, Column) else F.lit(float(z))))
     needed = stars.select(F.col("galaxy_id").cast("long").alias("galaxy_id"), F.col("spaxel").cast("int").alias("spaxel"), "metallicity", "age", "mass", shift.alias("_shift"), *(["av"] if curve is not None else []))
-    rows, parts = _with_grid(needed, grid, limit, stars_a_cell, 500)
+    rows, parts = _with_grid(needed, grid, limit, stars_a_cell, len(target))
 
     def spectra(batches):
         w, t, k_v = shared.value
