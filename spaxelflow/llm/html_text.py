@@ -1,11 +1,11 @@
-"""Main text of web pages by structure and a host suffix array (operator 3).
-
-Blocks inside an <article>, <main> or role="main" element are main text, except for parts marked as menus, adverts and
-the like. Blocks outside one, on no such part, are template or text, on every page: a suffix array over a slice's token
-streams, host by host, groups the runs of MIN_RUN tokens (and whole shorter blocks) and counts their pages; the counts
-meet over the whole host by (host, run) hash. The tokens that runs on distinct pages cover are removed as boilerplate, and
-what is left is kept, on a page with a container only where another such page of the host can show what is template. A page's own
-container is never held against other pages (equal articles stay).
+"""Main text of web pages by a suffix array over each host, and by structure (operator 3).
+
+All blocks outside a page's main container (menus, footers, adverts and loose text alike, but no scripts or styles) go to
+a suffix array over a slice's token streams, host by host: it groups the runs of MIN_RUN tokens (and whole shorter blocks) and
+counts their pages; the counts meet over the whole host by (host, run) hash. What runs on distinct pages cover is removed as
+boilerplate. Of what is left, parts marked as menus, adverts and the like go by their marks; unmarked text is kept, on a page
+with a container only where another such page of the host can show what is template. Blocks inside an <article>, <main> or
+role="main" element are main text, except for marked parts; they are never held against other pages (equal articles stay).
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, WHITESPACE_WORDS, KeyFilter, Words, checkpoint, join2, slices, window_hash
+from .kernel import U64, WHITESPACE_WORDS, KeyFilter, Words, checkpoint, join2, slices, window_hash, written
 
 MIN_RUN = 16  # a power of two: the depth of the suffix array
 HOT_PAGES = 10_000  # a run on more pages is looked up in a broadcast of HOT_RUNS at most, and is no hot key of a join
 HOT_RUNS = 2_000_000
 
+OUTSIDE, MAIN, MARKS = range(3)  # kinds of blocks
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas head title select textarea button audio video map".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -66,35 +67,45 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
     return False, tag in ("article", "main") or role in ("main", "article") or bool(MAIN_IDS.search(names))
 
 
-def blocks_of(page: str) -> list[tuple[bool, str]]:
-    """(inside a main container, text) of each block that isn't chrome, in page order.
+def all_blocks(page: str) -> list[tuple[int, str]]:
+    """(OUTSIDE a container, in a MAIN one or in a part that MARKS rule out, text) of each block in page order.
 
     End tags may be left out where HTML allows it: a head ends at the first tag or text that does not belong in one, and table
     cells, rows and list items end at the next. Character references are decoded text node by text node, so that `&<b>amp;</b>`
     stays as it is. A tag with a quote that never closes ends at its first >. Headers are left out, those of an article too.
     """
-    out: list[tuple[bool, str]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent or chrome, main, block
-    silent = main = 0
+    out: list[tuple[int, str]] = []
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, silent, main, block, marked
+    silent = main = marked = 0
     words: list[str] = []
+    aside: list[str] = []  # text of marked parts
     open_main = False
     at, n = 0, len(page)
 
     def close_block() -> None:
-        if words:
-            text = SPACE.sub(" ", "".join(words)).strip(" ")
-            words.clear()
+        for own, kind in ((words, MAIN if open_main else OUTSIDE), (aside, MARKS)):
+            text = SPACE.sub(" ", "".join(own)).strip(" ") if own else ""
+            own.clear()
             if text:
-                out.append((open_main, text))
+                out.append((kind, text))
+
+    def say(text: str) -> None:
+        nonlocal open_main
+        if marked:
+            aside.append(text)
+        elif not silent:
+            open_main = main > 0
+            words.append(text)
 
     def pop(upto: int) -> None:
-        nonlocal silent, main
+        nonlocal silent, main, marked
         while len(stack) > upto:
-            _, quiet, is_main, block = stack.pop()
+            _, quiet, is_main, block, mark = stack.pop()
             if block:
                 close_block()
             silent -= quiet
             main -= is_main
+            marked -= mark
 
     while at < n:
         lt = page.find("<", at)
@@ -103,15 +114,13 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
         if lt > at and stack and stack[-1][0] == "head" and not page[at:lt].isspace():
             pop(len(stack) - 1)
         if lt > at and not silent:
-            open_main = main > 0
-            words.append(entities.unescape(page[at:lt]))
+            say(entities.unescape(page[at:lt]))
         if lt == n:
             break
         m = TAG.match(page, lt) or BROKEN_TAG.match(page, lt)
         if not m:
             if not silent:
-                open_main = main > 0
-                words.append("<")
+                say("<")
             at = lt + 1
             continue
         at = m.end()
@@ -150,7 +159,7 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
                     pop(first)
             if tag == "br":
                 if not silent:
-                    words.append(" ")
+                    (aside if marked else words).append(" ")
                 continue
             close_block()
         if tag in VOID:
@@ -163,25 +172,33 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
             continue
         if self_closed:
             continue
-        chrome, is_main = (True, False) if quiet else _kind(tag, m.group(3))
-        stack.append((tag, chrome, is_main, tag in BLOCK))
-        silent += chrome
+        mark, is_main = (False, False) if quiet else _kind(tag, m.group(3))
+        stack.append((tag, quiet, is_main, tag in BLOCK, mark))
+        silent += quiet
         main += is_main
+        marked += mark
     close_block()
     return out
 
 
+def blocks_of(page: str) -> list[tuple[bool, str]]:
+    """(inside a main container, text) of each block that no mark rules out."""
+    return [(kind == MAIN, text) for kind, text in all_blocks(page) if kind != MARKS]
+
+
 def _split(batches):
+    """The texts of main blocks; those of blocks outside, and behind them of marked ones, for the suffix array."""
     for part in slices(batches, "html"):
-        main, outside, before = [], [], []
+        main, others, outside, before = [], [], [], []
         for page in part.column("html").to_pylist():
-            found = blocks_of(page or "")
-            inside = [t for m, t in found if m]
-            main.append(inside or None)
-            outside.append([t for m, t in found if not m] or None)
-            at = np.cumsum([m for m, _ in found])
-            before.append([int(n) for n, (m, _) in zip(at, found) if not m] or None)
-        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(main, pa.list_(pa.string())), pa.array(outside, pa.list_(pa.string())), pa.array(before, pa.list_(pa.int32()))], ["row", "main", "outside", "before"])
+            found = all_blocks(page or "")
+            own = [[t for k, t in found if k == kind] for kind in (OUTSIDE, MAIN, MARKS)]
+            main.append(own[MAIN] or None)
+            others.append(own[OUTSIDE] + own[MARKS] or None)
+            outside.append(len(own[OUTSIDE]))
+            at = np.cumsum([k == MAIN for k, _ in found])
+            before.append([int(n) for n, (k, _) in zip(at, found) if k == OUTSIDE] or None)
+        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(main, pa.list_(pa.string())), pa.array(others, pa.list_(pa.string())), pa.array(outside, pa.int32()), pa.array(before, pa.list_(pa.int32()))], ["row", "main", "others", "outside", "before"])
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +294,7 @@ def _host_slices(batches, rows: int = 500):
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             part = batch.slice(a, rows)
-            yield part, Streams(part.column("outside").to_pylist(), _column(part, "host").view(U64))
+            yield part, Streams(part.column("others").to_pylist(), _column(part, "host").view(U64))
 
 
 def _local_runs(batches):
@@ -316,55 +333,66 @@ def _unique_text(hot):
                     mine = by_page[first[k] : first[k + 1]]
                     gone[mine] |= np.isin(keys[mine], shared)
                     judged[k] |= peer[k] in shared
-            main, before = part.column("main").to_pylist(), part.column("before").to_pylist()
+            main, before, outside = (part.column(c).to_pylist() for c in ("main", "before", "outside"))
+            blocks = np.bincount(streams.page_of_block, minlength=part.num_rows)
+            left, by_mark = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
             kept = [[(i, 1, t) for i, t in enumerate(m or ())] for m in main]  # (place among the container's blocks, ..., text)
             for k, block, text in streams.unique_blocks(gone):
-                if judged[k] or main[k] is None:
+                left[k] += 1
+                if block >= outside[k]:
+                    by_mark[k] += 1
+                elif judged[k] or main[k] is None:
                     kept[k].append((before[k][block], 0, text))
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(["\n".join(t for _, _, t in sorted(k, key=lambda x: x[:2])) for k in kept], pa.string())], ["row", "text"])
+            texts = pa.array(["\n".join(t for _, _, t in sorted(k, key=lambda x: x[:2])) for k in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("row"), texts, pa.array(blocks - left), pa.array(by_mark)], ["row", "text", "n_repeated", "n_marked"])
 
     return run
 
 
 def shared_runs(left: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """left(page, host, outside) -> ((page, keys) of the runs that stand on other pages of the host too, the hot ones).
+    """left(page, host, others) -> ((page, keys) of the runs that stand on other pages of the host too, the hot ones).
     A host with several pages has a key of its own among them.
 
     A key outside the hot ones has HOT_PAGES rows at most, or a HOT_RUNS-th of all, so no join has a hot key.
     """
     spark = left.sparkSession
-    counts = left.select("page", "host", "outside").mapInArrow(_local_runs, "key long, pages long").groupBy("key").agg(F.sum("pages").alias("pages"))
+    counts = left.select("page", "host", "others").mapInArrow(_local_runs, "key long, pages long").groupBy("key").agg(F.sum("pages").alias("pages"))
     shared = checkpoint(counts.where("pages > 1"))
     n, total = shared.agg(F.count("*"), F.sum("pages")).first()
     limit = max(HOT_PAGES, -(-(total or 0) // HOT_RUNS))
     hot = np.sort(np.array([r[0] for r in shared.where(F.col("pages") > limit).select("key").collect()], np.int64))
     rest = shared.where(F.col("pages") <= limit).select("key")
     maybe = spark.sparkContext.broadcast(KeyFilter.build(rest, "key", n))
-    found = left.select("page", "host", "outside").mapInArrow(_page_runs(maybe), "page long, key long").join(rest, "key")
+    found = left.select("page", "host", "others").mapInArrow(_page_runs(maybe), "page long, key long").join(rest, "key")
     return found.groupBy("page").agg(F.collect_list("key").alias("keys")), hot
 
 
+RESULTS = ("text", "n_chars", "n_repeated", "n_marked")
+
+
 def main_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """pages(url, html, ...) -> the `keep` columns with text and n_chars (code points).
+    """pages(url, html, ...) -> the `keep` columns with text, n_chars (code points), n_repeated and n_marked: how many blocks went
+    because other pages of the host cover them, and how many of the rest went by their marks.
 
     A page is the text of its main container, if any, and what its host's suffix array leaves of the blocks outside that
     no mark rules out. Null or empty html, or nothing left: empty text. A page alone on its host with such blocks keeps its
     container alone, or all such blocks if it has none. Repeated rows are distinct pages of their host. Null urls share one host. Empty table: empty result.
-    Pages of any length go whole. keep: all columns but html and those named text or n_chars, unless it is given; such a name in it is
+    Pages of any length go whole. keep: all columns but html and those named like results, unless it is given; such a name in it is
     a ValueError.
     """
     spark = pages.sparkSession
-    clash = [c for c in keep or () if c.lower() in ("text", "n_chars")]
+    clash = [c for c in keep or () if c.lower() in RESULTS]
     if clash:
         raise ValueError(f"kept columns named like results: {clash}")
-    keep = keep if keep is not None else [c for c in pages.columns if c.lower() not in ("html", "text", "n_chars")]
+    keep = keep if keep is not None else [c for c in pages.columns if c.lower() not in ("html", *RESULTS)]
     types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
     row = f"row struct<{types}>"
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", r"^[^/?#]*//([^/?#]*)", 1), F.lit(""))))
-    split = pages.select(F.struct(F.struct(*keep).alias("kept"), host.alias("host")).alias("row"), "html").mapInArrow(_split, f"row struct<kept: struct<{types}>, host: bigint>, main array<string>, outside array<string>, before array<int>")
-    done = split.where("outside is null").select(F.col("row.kept").alias("row"), F.coalesce(F.array_join("main", "\n"), F.lit("")).alias("text"))
-    left = split.where("outside is not null").select(F.col("row.kept").alias("row"), "row.host", "main", "outside", "before")
-    left = checkpoint(left.withColumn("page", F.monotonically_increasing_id()))
+    split = pages.select(F.struct(F.struct(*keep).alias("kept"), host.alias("host")).alias("row"), "html").mapInArrow(_split, f"row struct<kept: struct<{types}>, host: bigint>, main array<string>, others array<string>, outside int, before array<int>")
+    none = [F.lit(0).cast("long").alias(c) for c in RESULTS[2:]]
+    split = written(split.withColumn("page", F.monotonically_increasing_id()))
+    done = split.where("others is null").select(F.col("row.kept").alias("row"), F.coalesce(F.array_join("main", "\n"), F.lit("")).alias("text"), *none)
+    left = split.where("others is not null").select(F.col("row.kept").alias("row"), "row.host", "page", "main", "others", "outside", "before")
     shared, hot = shared_runs(left)
-    found = left.join(shared, "page", "left").select("row", "host", "main", "outside", "before", "keys").mapInArrow(_unique_text(spark.sparkContext.broadcast(hot)), f"{row}, text string")
-    return done.unionByName(found).select("row.*", "text").withColumn("n_chars", F.length("text").cast("long"))
+    found = left.join(shared, "page", "left").select("row", "host", "main", "others", "outside", "before", "keys").mapInArrow(_unique_text(spark.sparkContext.broadcast(hot)), f"{row}, text string, n_repeated long, n_marked long")
+    return done.unionByName(found).select("row.*", "text", F.length("text").cast("long").alias("n_chars"), *RESULTS[2:])

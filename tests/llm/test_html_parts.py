@@ -36,7 +36,29 @@ def test_pages_and_names(spark):
     rows = [(k, f"http://h{k}.example/x", p, "t", 1) for k, p in enumerate(PAGES)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int").repartition(3)
     out = html_text.main_text(pages)
-    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert out.columns == ["page_id", "url", "text", "n_chars", "n_repeated", "n_marked"]
     assert {r.page_id: (r.text, r.n_chars) for r in out.collect()} == {k: (v, len(v)) for k, v in enumerate(PAGES.values())}
     with pytest.raises(ValueError, match="text"):
         html_text.main_text(pages, ["page_id", "text"])
+
+
+def test_repetition_takes_most_of_the_chrome(spark):
+    """Menus and footers that a host's pages share go by the suffix array, whatever their marks; marks take the rest. Loose
+    text that is a menu elsewhere on the host goes too; a host of one page is left to the marks."""
+    menu = "<ul class=menu><li>Home page<li>All our products</ul>"
+    page = lambda k: f"<nav><ul><li>Home<li>Offers {k % 2}</ul></nav>{menu}<article><p>Text {k} of the host's pages</article><div class=ad>Only here {k}</div><footer>All rights reserved by the host</footer>"
+    rows = [(k, "http://a.example/", page(k)) for k in range(5)] + [(9, "http://b.example/", page(9)), (10, "http://a.example/", "<div>All rights reserved by the host</div><p>Loose words")]
+    got = {r.page_id: (r.text, r.n_repeated, r.n_marked) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == {k: (f"Text {k} of the host's pages", 5, 1) for k in range(5)} | {9: ("Text 9 of the host's pages", 0, 6), 10: ("Loose words", 1, 0)}
+
+
+def test_given_pages_lose_most_chrome_by_repetition(spark):
+    sf = "/root/testdata/sf0.1/pages.parquet"
+    if not __import__("os").path.exists(sf):
+        pytest.skip("no given tables")
+    pages = spark.read.parquet(sf)
+    found = html_text.main_text(pages).collect()
+    repeated, marked = sum(r.n_repeated for r in found), sum(r.n_marked for r in found)
+    assert repeated > marked > 0
+    by_marks = {r.page_id: "\n".join(t for m, t in html_text.blocks_of(r.html or "") if m) for r in pages.collect()}
+    assert {r.page_id: r.text for r in found} == by_marks  # repetition takes nothing that is text
