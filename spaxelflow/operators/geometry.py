@@ -101,11 +101,12 @@ def apply_rotation(df: DataFrame, axes: DataFrame) -> DataFrame:
     return df.join(axes, "galaxy_id").withColumns(turned).drop("axes")
 
 
-def orient(df: DataFrame, galaxy: DataFrame, view: str | tuple[float, float, float], align: DataFrame | None = None) -> DataFrame:
-    """Aligns with the principal axes (of `align`, else of df itself), then turns to the view or the given angles. The axes, nine
-    numbers a galaxy, are kept, since jobs read their particles more than once."""
+def orient(df: DataFrame, galaxy: DataFrame, view: str | tuple[float, float, float], align: DataFrame | None = None, axes: DataFrame | None = None) -> DataFrame:
+    """Aligns with the principal axes (`axes`, where they are known, else those of `align` or of df itself), then turns to the
+    view or the given angles. The axes, nine numbers a galaxy, are kept, since jobs read their particles more than once."""
     angles = VIEWS[view] if isinstance(view, str) else view
-    axes = principal_axes(inertia_tensor(df if align is None else align, galaxy)).persist()
+    if axes is None:
+        axes = principal_axes(inertia_tensor(df if align is None else align, galaxy)).persist()
     return euler_rotate(apply_rotation(df, axes), *angles)
 
 

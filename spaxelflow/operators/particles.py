@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,12 +75,17 @@ def check_center(df: DataFrame, galaxy: DataFrame) -> DataFrame:
     return bounds.join(galaxy.select("galaxy_id", "center"), "galaxy_id").withColumn("inside", inside[0] & inside[1] & inside[2])
 
 
-def central_velocity(df: DataFrame, r: float = 10.0, exact: bool = True) -> DataFrame:
+def velocity_bin(v: Column) -> Column:
+    """Narrow bins near zero, in proportion beyond; null for a null or NaN."""
+    return F.when(v.isNotNull() & ~F.isnan(v), F.floor(F.asinh(v) * 64))
+
+
+def central_velocity(df: DataFrame, r: float = 10.0, exact: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """Per-axis median velocity of the particles nearer than r to the center (columns x, y, z relative to it), without nulls
     and NaN.
 
-    Exact, in two levels: counts of velocity bins (narrow near zero, in proportion beyond) tell which bins hold the middle
-    ranks; only their particles are ranked, by different values.
+    Exact, in two levels: counts of velocity bins tell which bins hold the middle ranks; only their particles are ranked, by
+    different values. counts: (galaxy_id, axis, bin, n), where a summary has them already.
     """
     near = df.where(radius() < r)
     axes = ("vx", "vy", "vz")
@@ -87,9 +93,10 @@ def central_velocity(df: DataFrame, r: float = 10.0, exact: bool = True) -> Data
         return near.groupBy("galaxy_id").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in axes])
     group = ["galaxy_id", "axis"]
     long = near.select("galaxy_id", F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in axes])).alias("p")).select("galaxy_id", "p.*")
-    rows = long.where("v is not null and not isnan(v)").withColumn("bin", F.floor(F.asinh("v") * 64))
+    rows = long.withColumn("bin", velocity_bin(F.col("v"))).where("bin is not null")
     run, whole = Window.partitionBy(*group).orderBy("bin"), Window.partitionBy(*group)
-    counts = rows.groupBy(*group, "bin").agg(F.count("*").alias("n"))
+    if counts is None:
+        counts = rows.groupBy(*group, "bin").agg(F.count("*").alias("n"))
     counts = counts.withColumns({"before": F.sum("n").over(run) - F.col("n"), "total": F.sum("n").over(whole)})
     ranks = [F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)]
     holds = lambda before, n: [(before <= k) & (k < before + n) for k in ranks]
@@ -102,6 +109,49 @@ def central_velocity(df: DataFrame, r: float = 10.0, exact: bool = True) -> Data
     return halves.groupBy("galaxy_id").agg(*[F.sum(F.when(F.col("axis") == c, F.col("share"))).alias(c) for c in axes])
 
 
+TENSOR = ("ixx", "iyy", "izz", "ixy", "ixz", "iyz")
+
+
+@dataclass(frozen=True)
+class Summary:
+    """What one pass over the particles says about each galaxy, about its center: (galaxy_id, axis, bin, n, lo, hi, tensor sums),
+    one row for each velocity bin of each axis (bin null: particles beyond the central radius, or without a velocity)."""
+
+    bins: DataFrame
+
+    def bounds(self) -> DataFrame:
+        """(galaxy_id, x_min, x_max, ...), relative to the center."""
+        pick = lambda f, c, k: f(F.when(F.col("axis") == f"v{k}", F.col(c)))
+        return self.bins.groupBy("galaxy_id").agg(*[pick(f, c, k).alias(f"{k}_{n}") for k in "xyz" for n, f, c in (("min", F.min, "lo"), ("max", F.max, "hi"))])
+
+    def velocity_counts(self) -> DataFrame:
+        return self.bins.where("bin is not null").select("galaxy_id", "axis", "bin", "n")
+
+    def tensor(self) -> DataFrame:
+        return self.bins.groupBy("galaxy_id").agg(*[F.sum(c).alias(c) for c in TENSOR])
+
+
+def summarise(df: DataFrame, galaxy: DataFrame, r: float = 10.0) -> Summary:
+    """Bounds, counts of velocity bins within r of the center and second moments within the half-mass radius, of all galaxies in
+    one pass; what it keeps is a few hundred rows a galaxy."""
+    near = with_galaxy(df, galaxy.select("galaxy_id", "center", "halfmassrad_stars")).withColumns({c: F.col(c) - F.element_at("center", k + 1) for k, c in enumerate("xyz")})
+    inner = F.col("_r") <= F.col("halfmassrad_stars")
+    axes = [F.struct(F.lit(f"v{c}").alias("axis"), F.col(c).cast("double").alias("at"), F.when(F.col("_r") < r, velocity_bin(F.col(f"v{c}").cast("double"))).alias("bin")) for c in "xyz"]
+    long = near.withColumn("_r", radius()).select("galaxy_id", "x", "y", "z", "mass", inner.alias("_inner"), F.explode(F.array(*axes)).alias("p")).select("*", "p.*")
+    once = F.when(F.col("_inner") & (F.col("axis") == "vx"), F.col("mass"))  # a particle's moments count on one of its rows
+    r2 = F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")
+    sums = [F.sum(once * (r2 - F.col(c) * F.col(c))).alias(f"i{c}{c}") for c in "xyz"] + [(-F.sum(once * F.col(a) * F.col(b))).alias(f"i{a}{b}") for a, b in ("xy", "xz", "yz")]
+    return Summary(long.groupBy("galaxy_id", "axis", "bin").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), *sums).persist())
+
+
+def check_inside(summary: Summary) -> None:
+    """Raises where a center lies outside the particles' bounds on an axis."""
+    inside = [(F.col(f"{c}_min") <= 0) & (F.col(f"{c}_max") >= 0) for c in "xyz"]
+    outside = summary.bounds().where(~(inside[0] & inside[1] & inside[2])).select("galaxy_id").limit(5).collect()
+    if outside:
+        raise ValueError(f"center outside the particles' bounds: {outside}")
+
+
 def center(df: DataFrame, galaxy: DataFrame, r: float = 10.0) -> DataFrame:
     """Coordinates relative to the center, velocities relative to the central velocity; raises where a center is outside."""
     outside = check_center(df, galaxy).where(~F.col("inside")).select("galaxy_id").limit(5).collect()
@@ -110,9 +160,9 @@ def center(df: DataFrame, galaxy: DataFrame, r: float = 10.0) -> DataFrame:
     return recenter(df, galaxy, r)
 
 
-def recenter(df: DataFrame, galaxy: DataFrame, r: float = 10.0) -> DataFrame:
+def recenter(df: DataFrame, galaxy: DataFrame, r: float = 10.0, counts: DataFrame | None = None) -> DataFrame:
     moved = with_galaxy(df, galaxy.select("galaxy_id", "center")).withColumns({c: F.col(c) - F.element_at("center", k + 1) for k, c in enumerate("xyz")}).drop("center")
-    v = central_velocity(moved, r).select("galaxy_id", *[F.col(c).alias(f"_{c}") for c in ("vx", "vy", "vz")])
+    v = central_velocity(moved, r, counts=counts).select("galaxy_id", *[F.col(c).alias(f"_{c}") for c in ("vx", "vy", "vz")])
     return moved.join(v, "galaxy_id", "left").withColumns({c: F.col(c) - F.coalesce(f"_{c}", F.lit(0.0)) for c in ("vx", "vy", "vz")}).drop("_vx", "_vy", "_vz")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,7 @@ class Snapshot:
     galaxy: DataFrame
     stars: DataFrame
     gas: DataFrame | None = None
+    axes: dict[str, DataFrame] = field(default_factory=dict)  # principal axes by type, where they are known already
 
 
 @dataclass(frozen=True)
@@ -77,12 +78,19 @@ def prepare(raw: dict[str, DataFrame], galaxy: DataFrame, path: str | None = Non
             store.add(tables, fresh, header, I.check_places)
         tables = {kind: store.read(kind, galaxy) for kind in tables}
 
-    def one(df):
-        df = P.center(I.vector_columns(df), galaxy)
+    out, axes = {}, {}
+    for kind, df in tables.items():
+        df = I.vector_columns(df)
+        summary = P.summarise(df, galaxy)  # one pass: bounds, velocity counts, second moments
+        P.check_inside(summary)
+        df = P.recenter(df, galaxy, counts=summary.velocity_counts())
         df = D.with_abundances(df) if "metals" in df.columns else df
-        return P.subset(df, subset, seed) if subset else df
-
-    return Snapshot(galaxy, one(tables["stars"]), one(tables["gas"]) if "gas" in tables else None)
+        if subset:
+            df = P.subset(df, subset, seed)  # which has axes of its own
+        else:
+            axes[kind] = G.principal_axes(summary.tensor()).persist()
+        out[kind] = df
+    return Snapshot(galaxy, out["stars"], out.get("gas"), axes)
 
 
 def observed_with(galaxy: DataFrame, instrument: str) -> tuple[DataFrame, dict]:
@@ -116,7 +124,7 @@ def mock_cube(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, ha
 
     half_size, z: one value for all galaxies, or a column of the galaxy table. psf: (size, sigma); noise: (signal to noise,
     distribution, seed). grid: arrays or a DataFrame, which is broadcast up to grid_limit bytes."""
-    stars = _placed(G.orient(snapshot.stars, snapshot.galaxy, view), snapshot.galaxy, half_size, n, "drop", z)
+    stars = _placed(G.orient(snapshot.stars, snapshot.galaxy, view, axes=snapshot.axes.get("stars")), snapshot.galaxy, half_size, n, "drop", z)
     cube = C.zero_fill(C.add_cubes(S.star_cube(stars, grid, wave, target, _value(z), method, limit=grid_limit)), n, len(target), snapshot.galaxy)
     return _observed(cube, n, psf, lsf, noise, float(target[1] - target[0]))
 
@@ -144,8 +152,9 @@ def mock_cube_dusty(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarr
     """mock_cube with each star's spectrum attenuated before it is summed, in the same pass. align_by='stars': gas is turned
     with the stars' axes instead of its own."""
     galaxy = snapshot.galaxy
-    stars = _placed(G.orient(snapshot.stars, galaxy, view), galaxy, half_size, n, "drop", z)
-    gas = _placed(G.orient(snapshot.gas, galaxy, view, snapshot.stars if align_by == "stars" else None), galaxy, half_size, n, "zero")
+    stars = _placed(G.orient(snapshot.stars, galaxy, view, axes=snapshot.axes.get("stars")), galaxy, half_size, n, "drop", z)
+    own = snapshot.axes.get("stars" if align_by == "stars" else "gas")
+    gas = _placed(G.orient(snapshot.gas, galaxy, view, snapshot.stars if align_by == "stars" else None, own), galaxy, half_size, n, "zero")
     seen = dust_columns(stars, gas, half_size, n, model, xco, grain_density)
     cube = C.zero_fill(C.add_cubes(S.star_cube(seen, grid, wave, target, _value(z), method, curve=curve_on(stars.sparkSession, target, curve, rv), limit=grid_limit)), n, len(target), galaxy)
     return _observed(cube, n, psf, lsf, noise, float(target[1] - target[0]))

@@ -482,6 +482,43 @@ def test_lookup_by_cells_equals_the_broadcast_grid(spark, method):
     assert all(cubes[0][k] == pytest.approx(cubes[1][k]) for k in range(3))
 
 
+def test_one_pass_says_what_the_separate_ones_say(spark):
+    rng = np.random.default_rng(12)
+    rows = [(g, *rng.normal(3 * g, 4, 3).tolist(), *(float(v) if rng.random() > 0.05 else None for v in rng.normal(0, 80, 3)), float(rng.random())) for g in (0, 1) for _ in range(400)] + [(1, 9.0, 9.0, 9.0, float("nan"), 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "galaxy_id long, x double, y double, z double, vx double, vy double, vz double, mass double").repartition(3)
+    galaxy = spark.createDataFrame([(g, [3.0 * g, 3.0 * g + 0.5, 3.0 * g], 5.0) for g in (0, 1)], "galaxy_id long, center array<double>, halfmassrad_stars double")
+    summary = P.summarise(df, galaxy)
+    moved = P.recenter(df, galaxy)
+    by_galaxy = lambda found: {r.galaxy_id: r.asDict() for r in found.collect()}
+    want = by_galaxy(P.inertia_tensor(moved, galaxy))
+    assert by_galaxy(summary.tensor()) == {g: pytest.approx(r) for g, r in want.items()}
+    limits = by_galaxy(moved.groupBy("galaxy_id").agg(*[f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]))
+    assert by_galaxy(summary.bounds()) == {g: pytest.approx(r) for g, r in limits.items()}
+    given = P.recenter(df, galaxy, counts=summary.velocity_counts())
+    key = lambda r: (r.galaxy_id, r.x, r.y, r.z)
+    assert repr(sorted(given.collect(), key=key)) == repr(sorted(moved.collect(), key=key))
+    P.check_inside(summary)
+    far = galaxy.withColumn("center", F.array(F.lit(1e6), F.lit(0.0), F.lit(0.0)))
+    with pytest.raises(ValueError, match="outside"):
+        P.check_inside(P.summarise(df, far))
+
+
+def test_dusty_job_solves_for_axes_once(spark, tmp_path):
+    """A prepared snapshot brings its axes; the job's plan solves for none but reads what is kept."""
+    galaxy = spark.createDataFrame([(0, 0.1, [0.0, 0.0, 0.0], 3.0)], "galaxy_id long, redshift double, center array<double>, halfmassrad_stars double")
+    snapshot = jobs.prepare({k: I.select_fields(df, k) for k, df in raw_snapshot(spark).items()}, galaxy)
+    grid = (np.array([0.0, 0.05]), np.array([0.0, 14.0]), np.ones((2, 2, 5)))
+    cube = jobs.mock_cube_dusty(snapshot, grid, np.arange(5.0) + 4000, np.arange(3.0) + 4001, 8.0, 2)
+
+    def nodes(plan):  # what is kept in memory is a leaf
+        children = plan.children()
+        return [plan.nodeName(), *(n for k in range(children.size()) for n in nodes(children.apply(k)))]
+
+    names = nodes(cube._jdf.queryExecution().optimizedPlan())
+    assert not [n for n in names if "EvalPython" in n] and names.count("InMemoryRelation") >= 2
+    assert cube.count() == 4
+
+
 def test_what_fails_is_not_committed(spark, tmp_path):
     path = str(tmp_path / "store")
     jobs.prepare(*several_galaxies(spark, [1]), path)
