@@ -694,12 +694,13 @@ def _g23_sql() -> str:
     step = lambda lo, hi: f"(pow(least(1e0, greatest(0e0, (x - {lo}) / ({hi} - {lo}))), 2) * (3 - 2 * least(1e0, greatest(0e0, (x - {lo}) / ({hi} - {lo})))))"
     dr = lambda x, a, c, g: f"({a} * pow({g} / {c}, 2) / (pow({x} / {c} - {c} / {x}, 2) + pow({g} / {c}, 2)))"
     opt = lambda p: "(" + _POLY(p[0], "(1 / x)") + " + " + " + ".join(dr("(1 / x)", *k) for k in p[1]) + ")"
+    # Fixed values of the published far-ultraviolet term: 5.9, 0.5392, 0.05644.
     fm = lambda p: f"({p[0]} + {p[1]} / x + {p[2]} / (x * x) / (pow(1 / (x * x) - {p[4]} * {p[4]}, 2) + {p[5]} * {p[5]} / (x * x)) + {p[3]} * (0.5392e0 * pow(greatest(1 / x - 5.9e0, 0), 2) + 0.05644e0 * pow(greatest(1 / x - 5.9e0, 0), 3)))"
     s = D.G23_IR
     m = step(s["centre"] - s["width"] / 2, s["centre"] + s["width"] / 2)
     ratio = s["centre"] ** -s["alpha"] / s["centre"] ** -s["alpha2"]
     ir_a = f"({s['scale']} * pow(x, -{s['alpha']}) * (1 - {m}) + {s['scale'] * ratio!r} * pow(x, -{s['alpha2']}) * {m} + " + " + ".join(dr("x", a, c, f"(2 * {g} / (1 + exp({t} * (x - {c}))))") for a, c, g, t in s["silicates"]) + ")"
-    ir_b = "(-1.01251e0 * pow(x, 1.06099e0))"
+    ir_b = f"({D.G23_IR_B[0]!r} * pow(x, {-D.G23_IR_B[1]!r}))"
     pick = lambda ir, o, u: f"CASE WHEN x < 0.3 THEN {u} WHEN x <= 0.33 THEN (1 - {step(0.3, 0.33)}) * {u} + {step(0.3, 0.33)} * {o} WHEN x < 0.9 THEN {o} WHEN x <= 1.1 THEN (1 - {step(0.9, 1.1)}) * {o} + {step(0.9, 1.1)} * {ir} ELSE {ir} END"
     return f"({pick(ir_a, opt(D.G23_OPT_A), fm(D.G23_UV_A))}) + ({pick(ir_b, opt(D.G23_OPT_B), fm(D.G23_UV_B))}) * (1 / 4.0e0 - 1 / 3.1e0)"
 
