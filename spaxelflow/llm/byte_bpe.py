@@ -22,7 +22,7 @@ from .kernel import slices
 from .packing import PieceEncoder
 
 RANKS_BYTES = 64 << 20  # a larger rank file is refused: it is broadcast
-_PAIRS, _PIECES = 400_000, 400_000  # kept by a worker: judged pairs, encoded pre-tokens
+_PAIRS, _PIECES = 200_000, 200_000  # kept by a worker: judged pairs, encoded pre-tokens
 # Stand-ins of the classes of characters that another Unicode version knows: letter, number, other.
 _STAND_INS = {r"\p{L}": "ª", r"\p{N}": "½", r"[^\s\p{L}\p{N}]": "¤"}
 
