@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,8 +115,8 @@ TENSOR = ("ixx", "iyy", "izz", "ixy", "ixz", "iyz")
 
 @dataclass(frozen=True)
 class Summary:
-    """What one pass over the particles says about each galaxy, about its center: (galaxy_id, axis, bin, n, lo, hi, tensor sums),
-    one row for each velocity bin of each axis (bin null: particles beyond the central radius, or without a velocity)."""
+    """What one pass over the particles says about each galaxy, about its center: (galaxy_id, axis, bin, n, lo, hi, lost, tensor
+    sums), one row for each velocity bin of each axis (bin null: particles beyond the central radius, or without a velocity)."""
 
     bins: DataFrame
 
@@ -127,6 +128,10 @@ class Summary:
     def velocity_counts(self) -> DataFrame:
         return self.bins.where("bin is not null").select("galaxy_id", "axis", "bin", "n")
 
+    def lost(self) -> DataFrame:
+        """Galaxies with particles that have no place or no mass, and the number of those (null or NaN) particles."""
+        return self.bins.groupBy("galaxy_id").agg(F.sum("lost").alias("lost")).where("lost > 0")
+
     def tensor(self) -> DataFrame:
         return self.bins.groupBy("galaxy_id").agg(*[F.sum(c).alias(c) for c in TENSOR])
 
@@ -141,11 +146,16 @@ def summarise(df: DataFrame, galaxy: DataFrame, r: float = 10.0) -> Summary:
     once = F.when(F.col("_inner") & (F.col("axis") == "vx"), F.col("mass"))  # a particle's moments count on one of its rows
     r2 = F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")
     sums = [F.sum(once * (r2 - F.col(c) * F.col(c))).alias(f"i{c}{c}") for c in "xyz"] + [(-F.sum(once * F.col(a) * F.col(b))).alias(f"i{a}{b}") for a, b in ("xy", "xz", "yz")]
-    return Summary(long.groupBy("galaxy_id", "axis", "bin").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), *sums).persist())
+    known = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(c) for c in ("x", "y", "z", "mass")])
+    lost = F.sum(F.when((F.col("axis") == "vx") & ~known, 1).otherwise(0)).alias("lost")
+    return Summary(long.groupBy("galaxy_id", "axis", "bin").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), lost, *sums).persist())
 
 
 def check_inside(summary: Summary) -> None:
-    """Raises where a center lies outside the particles' bounds on an axis."""
+    """Raises where particles lack a place or a mass, or where a center lies outside the particles' bounds on an axis."""
+    lost = summary.lost().select("galaxy_id").limit(5).collect()
+    if lost:
+        raise ValueError(f"particles without place or mass in galaxies {[r[0] for r in lost]}")
     inside = [(F.col(f"{c}_min") <= 0) & (F.col(f"{c}_max") >= 0) for c in "xyz"]
     outside = summary.bounds().where(~(inside[0] & inside[1] & inside[2])).select("galaxy_id").limit(5).collect()
     if outside:

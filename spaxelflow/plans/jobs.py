@@ -45,7 +45,7 @@ LAYOUTS = {
 def canonical(raw: dict[str, DataFrame], layout: str | Layout = "TNG", attributes: dict | None = None, units: dict | None = None, scale_factor: float | Column = 1.0, hubble: float | Column = K.PLANCK15.h, cosmology: K.Cosmology = K.PLANCK15) -> dict[str, DataFrame]:
     """Raw particle tables by type -> canonical ones: fields renamed, wind cells dropped and formation factors turned into
     ages, physical and canonical units, fields and units checked. attributes: {type: {field: (alpha, beta, cgs)}}; units:
-    {type: {field: unit}}, canonical ones where none is given."""
+    {type: {field: unit}}, canonical ones where none is given. Values: see validate_groups() and prepare()."""
     plan, out = LAYOUTS[layout] if isinstance(layout, str) else layout, {}
     unexpected = [kind for kind in raw if kind not in plan.fields]
     if unexpected:
@@ -57,18 +57,18 @@ def canonical(raw: dict[str, DataFrame], layout: str | Layout = "TNG", attribute
         df = I.to_physical(df, (attributes or {}).get(kind, {}), scale_factor, hubble)
         known = {c: I.UNITS[c] for c in df.columns if c in I.UNITS} | (units or {}).get(kind, {})
         out[kind] = I.to_canonical_units(df, known)
-    I.validate_groups(out)
+    I.check_groups(out)
     return out
 
 
 def prepare(raw: dict[str, DataFrame], galaxy: DataFrame, path: str | None = None, mode: str = "skip", header: dict | None = None, subset: int | None = None, seed: int = 42, **ingest) -> Snapshot:
-    """Raw snapshot -> centred particles of the galaxies in `galaxy`. Centers must lie inside the particles' bounds, velocities
+    """Raw snapshot -> centred particles of the galaxies in `galaxy`. Particles need a place and a mass, centers must lie inside their bounds, velocities
     lose the central one, gas with metals gets its abundances, and `subset` particles of each type and galaxy are drawn.
     `ingest`: arguments of canonical().
 
     path: a GalaxyStore, from which the particles then come. mode: `skip` takes from raw only the galaxies that the store lacks,
-    `overwrite` all of them, `reuse` none (an absent one is an error), `error` refuses a galaxy that is there. Stored particles
-    need a place and a mass."""
+    `overwrite` all of them, `reuse` none (an absent one is an error), `error` refuses a galaxy that is there. What fails is not
+    committed."""
     I.validate_galaxy(galaxy)
     tables = canonical(raw, **ingest)
     if path:

@@ -97,23 +97,35 @@ def units_of(df: DataFrame) -> dict[str, str]:
     return {f.name: f.metadata["unit"] for f in df.schema if "unit" in f.metadata}
 
 
-def validate(df: DataFrame, kind: str, with_units: bool = True) -> DataFrame:
-    """Schema check (an error names the field), then null, NaN and negative counts per galaxy and numeric column."""
+def check_fields(df: DataFrame, kind: str, with_units: bool = True) -> None:
+    """An error names a field that is missing, or has no unit."""
     for field in REQUIRED[kind]:
         if field not in df.columns:
             raise ValueError(f"missing field {field} in {kind}")
         if with_units and "unit" not in df.schema[field].metadata:
             raise ValueError(f"missing unit of {field} in {kind}")
+
+
+def validate(df: DataFrame, kind: str, with_units: bool = True) -> DataFrame:
+    """Schema check, then null, NaN and negative counts per galaxy and numeric column."""
+    check_fields(df, kind, with_units)
     return value_report(df, [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")])
 
 
-def validate_groups(groups: dict[str, DataFrame], with_units: bool = True) -> dict[str, DataFrame]:
-    """Reports of all particle types; an error names an unexpected group, or says that no particle type is there."""
+def check_groups(groups: dict[str, DataFrame], with_units: bool = True) -> None:
+    """An error names an unexpected group or a field as above, or says that no particle type is there."""
     unexpected = [g for g in groups if g not in REQUIRED]
     if unexpected:
         raise ValueError(f"unexpected groups: {unexpected}")
     if not {"stars", "gas"} & set(groups):
         raise ValueError("none of the expected particle types is present")
+    for kind in {"stars", "gas"} & set(groups):
+        check_fields(groups[kind], kind, with_units)
+
+
+def validate_groups(groups: dict[str, DataFrame], with_units: bool = True) -> dict[str, DataFrame]:
+    """Value reports of all particle types, whose fields are checked before."""
+    check_groups(groups, with_units)
     return {kind: validate(df, kind, with_units) for kind, df in groups.items() if kind != "galaxy"}
 
 

@@ -577,3 +577,18 @@ def test_pynbody_layout(spark):
 def test_particle_order_and_cosmology_of_galaxies(spark):
     df = points(spark, [(1, 1, z) for z in (3, 1, 2)]).withColumn("spaxel", F.lit(0))
     assert [r.z for r in P.sort_columns(df).collect()] == [1.0, 2.0, 3.0]
+
+
+@pytest.mark.parametrize("where", ["Coordinates", "Coordinate", "NaN", "GFM_InitialMass"])
+def test_prepare_refuses_particles_without_place_or_mass(spark, where):
+    """With a store or without one; a galaxy that is not asked for may have them."""
+    raw, galaxy = several_galaxies(spark, [1, 2])
+    one = (F.col("galaxy_id") == 2) & (F.col("particle_id") == 1)
+    column = "Coordinates" if where in ("Coordinate", "NaN") else where
+    lost = {"Coordinate": F.array(F.lit(0.0), F.lit(None).cast("double"), F.lit(0.0)), "NaN": F.array(F.lit(0.0), F.lit(0.0), F.lit(float("nan")))}.get(where, F.lit(None))
+    broken = {"stars": raw["stars"].withColumn(column, F.when(~one, F.col(column)).otherwise(lost.cast(raw["stars"].schema[column].dataType)))}
+    with pytest.raises(ValueError, match=r"without place or mass in galaxies \[2\]"):
+        jobs.prepare(broken, galaxy)
+    assert jobs.prepare(broken, galaxy.where("galaxy_id = 1")).stars.count() == 3
+    report = I.validate_groups(jobs.canonical(raw))["stars"].orderBy("galaxy_id").collect()
+    assert [(r.galaxy_id, r.rows, r.mass_null) for r in report] == [(1, 3, 0), (2, 3, 0)]
