@@ -2,7 +2,7 @@
 
 The index is a written table, one row a shard of whole documents (about 2 MB of text): the shard's different terms, sorted
 by hash, and each one's list of word positions. It is built once, by document, so that there is no shuffle by term and a
-frequent term is no hot key. Test items are sought in blocks of bounded size. A window's terms are ordered by their counts
+frequent term is no hot key. Test items are sought in blocks of bounded size; a block writes its answers, not the index. A window's terms are ordered by their counts
 over the whole index; the positions of the rarest one, shifted by its offset, are intersected with the shifted lists of the
 others, from rare to frequent, and what is left of all lists are the exact matches. A proximity match needs the rarest
 terms' lists alone, near each other.
@@ -11,6 +11,8 @@ terms' lists alone, near each other.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +49,11 @@ def _run_ends(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_index(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """docs(text, ...) -> the index as a written table: (rows: the kept columns of a shard's documents, first: each document's
-    first word, terms, ends of their lists, positions), arrays packed."""
+    """docs(text, ...) -> the index as a written table: (shard: its number, rows: the kept columns of its documents, first: each
+    document's first word, terms, ends of their lists, positions), arrays packed."""
     types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return checkpoint(docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(_index, f"rows array<struct<{types}>>, first binary, {_LISTS}"))
+    shards = docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(_index, f"rows array<struct<{types}>>, first binary, {_LISTS}")
+    return checkpoint(shards.withColumn("shard", F.monotonically_increasing_id()))
 
 
 class Block:
@@ -163,67 +166,129 @@ class Shard:
             yield False, window, at
 
 
-def _search(shared, slop: int, last: bool):
-    """Adds a block's matches to what each shard has: covered words, items and near items of each document; `last` gives a
-    row a document."""
+def _found(shard: Shard, block: Block, slop: int) -> tuple[np.ndarray, list[list[set]]]:
+    """What a block's windows match in a shard: covered words, and for each document the exact and the near items' names."""
+    step = np.zeros(len(shard.positions) + 1, np.int64)
+    pairs: dict[bool, list] = {True: [], False: []}
+    for exact, window, at in shard.matches(block, slop):
+        if exact:
+            np.add.at(step, at, 1)
+            np.add.at(step, at + block.length[window], -1)
+        text = np.searchsorted(shard.first, at, side="right") - 1
+        pairs[exact].append(np.unique(text * max(len(block.names), 1) + block.owner[window]))
+    names = []
+    for exact in (True, False):
+        sets: list[set] = [set() for _ in range(len(shard.first) - 1)]
+        for code in np.unique(np.concatenate(pairs[exact])).tolist() if pairs[exact] else ():
+            text, owner = divmod(code, len(block.names))
+            sets[text].add(block.names[owner])
+        names.append(sets)
+    return np.cumsum(step[:-1]) > 0, names
+
+
+def _in_order(names: set) -> list:
+    return sorted(names, key=lambda i: (i is None, i))
+
+
+def _rows(rows: pa.Array, first: np.ndarray, covered: np.ndarray, names: list[list[set]]) -> pa.RecordBatch:
+    """One row for each document of a shard."""
+    hits = np.concatenate(([0], np.cumsum(covered)))
+    counts = (np.diff(first), hits[first[1:]] - hits[first[:-1]])
+    items = pa.array([_in_order(x) for x in names[0]], pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([rows, *(pa.array(c, pa.int64()) for c in counts), items, pa.array([len(x) for x in names[1]], pa.int64())], ["row", "n_words", "n_hit", "items", "n_near"])
+
+
+def _shards(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = batch.slice(k, 1)
+            yield one, Shard(*(one.column(c)[0].as_py() for c in ("first", "terms", "ends", "positions")))
+
+
+def _search(shared, slop: int):
+    """Rows of all documents: for test items that are one block."""
 
     def run(batches):
-        block = shared.value
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                shard = Shard(*(one.column(c)[0].as_py() for c in ("first", "terms", "ends", "positions")))
-                covered = np.frombuffer(one.column("covered")[0].as_py(), np.uint8) > 0
-                step = np.zeros(len(shard.positions) + 1, np.int64)
-                pairs: dict[bool, list] = {True: [], False: []}
-                for exact, window, at in shard.matches(block, slop):
-                    if exact:
-                        np.add.at(step, at, 1)
-                        np.add.at(step, at + block.length[window], -1)
-                    text = np.searchsorted(shard.first, at, side="right") - 1
-                    pairs[exact].append(np.unique(text * max(len(block.names), 1) + block.owner[window]))
-                covered = (covered if len(covered) else np.zeros(len(shard.positions), bool)) | (np.cumsum(step[:-1]) > 0)
-                names = []
-                for exact, column in ((True, "items"), (False, "near")):
-                    sets = [set(x) for x in one.column(column)[0].as_py() or [[]] * (len(shard.first) - 1)]
-                    for code in np.unique(np.concatenate(pairs[exact])).tolist() if pairs[exact] else ():
-                        text, owner = divmod(code, len(block.names))
-                        sets[text].add(block.names[owner])
-                    names.append([sorted(x, key=lambda i: (i is None, i)) for x in sets])
-                if not last:
-                    values = [pa.array([covered.astype(np.uint8).tobytes()], pa.binary()), *(pa.array([n], pa.list_(pa.list_(pa.string()))) for n in names)]
-                    yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("rows", "first", "terms", "ends", "positions")), *values], ["rows", "first", "terms", "ends", "positions", "covered", "items", "near"])
-                    continue
-                hits = np.concatenate(([0], np.cumsum(covered)))
-                counts = (np.diff(shard.first), hits[shard.first[1:]] - hits[shard.first[:-1]])
-                yield pa.RecordBatch.from_arrays([one.column("rows").flatten(), *(pa.array(c, pa.int64()) for c in counts), pa.array(names[0], pa.list_(pa.string())), pa.array([len(x) for x in names[1]], pa.int64())], ["row", "n_words", "n_hit", "items", "n_near"])
+        for one, shard in _shards(batches):
+            yield _rows(one.column("rows").flatten(), shard.first, *_found(shard, shared.value, slop))
 
     return run
 
 
-def _blocks(items: DataFrame, width: int):
-    """The test items in blocks of about BLOCK_CHARS characters, dealt by a hash of the text; one at a time is on the driver."""
+_ANSWER = "shard long, covered binary, items array<array<string>>, near array<array<string>>"
+
+
+def _answers(shared, slop: int):
+    """A block's answers of the shards that it matches: covered words as first words and ends of runs, and the items' names."""
+
+    def run(batches):
+        for one, shard in _shards(batches):
+            covered, names = _found(shard, shared.value, slop)
+            if not any(map(any, names)):
+                continue
+            runs = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).astype("<u4")
+            lists = [pa.array([[_in_order(x) for x in sets]], pa.list_(pa.list_(pa.string()))) for sets in names]
+            yield pa.RecordBatch.from_arrays([one.column("shard"), pa.array([runs.tobytes()], pa.binary()), *lists], ["shard", "covered", "items", "near"])
+
+    return run
+
+
+def _merged(batches):
+    """Rows of all documents from their shards' answers to each block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = batch.slice(k, 1)
+            first = np.frombuffer(one.column("first")[0].as_py(), "<u4").astype(np.int64)
+            step = np.zeros(first[-1] + 1, np.int64)
+            names: list[list[set]] = [[set() for _ in first[1:]] for _ in range(2)]
+            for answer in one.column("answers")[0].as_py() or ():
+                runs = np.frombuffer(answer["covered"], "<u4")
+                np.add.at(step, runs[::2], 1)
+                np.add.at(step, runs[1::2], -1)
+                for sets, lists in zip(names, (answer["items"], answer["near"])):
+                    for own, more in zip(sets, lists):
+                        own.update(more)
+            yield _rows(one.column("rows").flatten(), first, np.cumsum(step[:-1]) > 0, names)
+
+
+def _blocks(items: DataFrame, width: int) -> tuple[int, Iterator[Block]]:
+    """The number of blocks, and the test items in blocks of about BLOCK_CHARS characters, dealt by a hash of the text; one at
+    a time is on the driver."""
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     number = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
-    for k in range(number):
-        part = rows if number == 1 else rows.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(number)) == k)
-        yield k == number - 1, Block([(r[0], r[1]) for r in part.collect()], width)
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(number))
+    return number, (Block([(r[0], r[1]) for r in (rows if number == 1 else rows.where(part == k)).collect()], width) for k in range(number))
+
+
+def _plan(index: DataFrame, block: Block):
+    """Broadcasts the block with its windows' terms ordered by their counts over the whole index."""
+    context = index.sparkSession.sparkContext
+    counts, shared = np.zeros(len(block.vocabulary), np.int64), context.broadcast(block)
+    tallied = index.select("terms", "ends").mapInArrow(_term_counts(shared), "term long, count long").groupBy("term").agg(F.sum("count").alias("count"))
+    for terms, n in tallied.mapInArrow(_packed, "terms binary, counts binary").collect():
+        counts[np.frombuffer(terms, "<i8")] = np.frombuffer(n, "<i8")
+    shared.unpersist()
+    block.plan(counts)
+    return context.broadcast(block)
 
 
 def search(index: DataFrame, items: DataFrame, width: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """An index of build_index(), items(item_id, text) -> (row, n_words, n_hit, items, n_near), one row a document."""
-    spark, kept = index.sparkSession, index.schema["rows"].dataType
-    found = index.withColumns({"covered": F.lit(b""), "items": F.lit(None).cast("array<array<string>>"), "near": F.lit(None).cast("array<array<string>>")})
-    for last, block in _blocks(items, width):
-        counts = np.zeros(len(block.vocabulary), np.int64)
-        tallied = index.select("terms", "ends").mapInArrow(_term_counts(spark.sparkContext.broadcast(block)), "term long, count long").groupBy("term").agg(F.sum("count").alias("count"))
-        for terms, n in tallied.mapInArrow(_packed, "terms binary, counts binary").collect():
-            counts[np.frombuffer(terms, "<i8")] = np.frombuffer(n, "<i8")
-        block.plan(counts)
-        run = _search(spark.sparkContext.broadcast(block), slop, last)
-        if last:
-            return found.mapInArrow(run, f"row {kept.elementType.simpleString()}, n_words long, n_hit long, items array<string>, n_near long")
-        found = checkpoint(found.mapInArrow(run, f"rows {kept.simpleString()}, first binary, {_LISTS}, covered binary, items array<array<string>>, near array<array<string>>"))
+    """An index of build_index(), items(item_id, text) -> (row, n_words, n_hit, items, n_near), one row a document.
+
+    One block of test items is answered in a pass over the index. Several are answered one after another, each in a pass
+    that writes the answers of the shards that it matches and nothing else; the answers then meet by shard, once.
+    """
+    result = f"row {index.schema['rows'].dataType.elementType.simpleString()}, n_words long, n_hit long, items array<string>, n_near long"
+    number, blocks = _blocks(items, width)
+    if number == 1:
+        return index.mapInArrow(_search(_plan(index, next(blocks)), slop), result)
+    answers = []
+    for block in blocks:
+        shared = _plan(index, block)
+        answers.append(checkpoint(index.drop("rows").mapInArrow(_answers(shared, slop), _ANSWER)))
+        shared.unpersist()
+    by_shard = reduce(DataFrame.unionByName, answers).groupBy("shard").agg(F.collect_list(F.struct("covered", "items", "near")).alias("answers"))
+    return index.select("shard", "rows", "first").join(by_shard, "shard", "left").select("rows", "first", "answers").mapInArrow(_merged, result)
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, width: int = WINDOW, slop: int = SLOP) -> DataFrame:

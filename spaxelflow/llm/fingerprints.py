@@ -144,7 +144,8 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     by text. A single row is its own next one. A very long text is parsed whole; its phrases are held while it is. Extra columns are ignored. Empty table: empty result.
 
     Documents are dealt into ranges of doc_id (bounds from approximate quantiles); the first of each range is sent to
-    the range before it too, so that one shuffle brings every document to its next one.
+    the range before it too, so that one shuffle brings every document to its next one. Each range is a partition of its
+    own. Rows that repeat one doc_id, or have none, lie in one range.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -168,5 +169,5 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     look = spark.createDataFrame([(b, m, before[b]) for b, m in firsts], "bucket int, m long, into int")
     own = dealt.withColumn("ahead", F.lit(False))
     first = dealt.join(F.broadcast(look), "bucket").where("doc_id <=> m").select(F.col("into").alias("bucket"), "doc_id", "text").withColumn("ahead", F.lit(True))
-    rows = own.unionByName(first).repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "text")
+    rows = own.unionByName(first).repartitionById(len(bounds) + 2, "bucket").sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "text")
     return rows.mapInArrow(_stream, _SCHEMA)

@@ -49,7 +49,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), ["doc_id"])
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def op7_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,15 +142,23 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents A
 JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) AS c ON c.node = d.doc_id""",
     "op6_decontamination": f"""
 WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
-win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS n, list_slice(w, i, i + least(len(w), 10) - 1) AS v, array_to_string(v, ' ') AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
 dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 sizes AS (SELECT DISTINCT n FROM win),
 dg AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
 hit AS (SELECT DISTINCT dg.doc_id, dg.i, dg.n, win.item FROM dg JOIN win ON win.g = dg.g AND win.n = dg.n),
 cov AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
-SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN cov ON cov.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id""",
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+lists AS MATERIALIZED (SELECT doc_id, t, list(p) AS ps FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM dw) GROUP BY doc_id, t),
+counts AS (SELECT t, sum(len(ps)) AS c FROM lists GROUP BY t),
+ranked AS (SELECT item, g, n, t, row_number() OVER (PARTITION BY item, g ORDER BY coalesce(c, 0), o) AS r FROM (SELECT item, g, n, unnest(v) AS t, generate_subscripts(v, 1) AS o FROM win) LEFT JOIN counts USING (t) QUALIFY r <= {decontamination.RAREST}),
+rarest AS (SELECT DISTINCT item, n, ts FROM (SELECT item, g, n, list(t ORDER BY r) AS ts FROM ranked GROUP BY item, g, n)),
+near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT a.doc_id, item FROM rarest JOIN lists AS a ON a.t = ts[1]
+ LEFT JOIN lists AS b ON b.doc_id = a.doc_id AND b.t = ts[2] LEFT JOIN lists AS c ON c.doc_id = a.doc_id AND c.t = ts[3]
+ WHERE len(list_filter(a.ps, lambda p: (len(ts) < 2 OR len(list_filter(b.ps, lambda q: abs(q - p) < n + {decontamination.SLOP})) > 0) AND (len(ts) < 3 OR len(list_filter(c.ps, lambda q: abs(q - p) < n + {decontamination.SLOP})) > 0))) > 0)
+ GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM dw LEFT JOIN cov ON cov.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id LEFT JOIN near ON near.doc_id = dw.doc_id""",
     "op8_substring_dedup": """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),

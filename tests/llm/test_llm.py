@@ -218,6 +218,8 @@ def test_decontamination_near_and_blocks(spark, docs, monkeypatch):
         monkeypatch.setattr(decontamination, "BLOCK_CHARS", size)
         got = {r.doc_id: (r.n_words, r.n_hit, r.items, r.n_near) for r in decontamination.contamination(docs, bench, ["doc_id", "row"]).collect()}
         assert got == want
+    index = decontamination.build_index(docs, ["doc_id"])
+    assert index.select("shard").distinct().count() == index.count()
     monkeypatch.setattr(decontamination, "CANDIDATES", 3)
     assert {r.doc_id: (r.n_words, r.n_hit, r.items, r.n_near) for r in decontamination.contamination(docs, bench, ["doc_id"]).collect()} == want
 
@@ -233,7 +235,14 @@ def test_decontamination_without_item_id(spark, tmp_path):
     assert got == {1: [None], 2: ["10", "7", None], 3: ["10", "7"], 4: []}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     got = {r.doc_id: tuple(r)[1:] for r in queries.op6_decontamination(spark, str(tmp_path)).collect()}
-    assert got == {1: (3, 3, 1, sha(""), True), 2: (8, 6, 3, sha("10,7"), True), 3: (3, 3, 2, sha("10,7"), True), 4: (1, 0, 0, sha(""), False)}
+    near = {1: 1, 2: 3, 3: 2, 4: 0}
+    assert got == {i: (*row, near[i]) for i, row in {1: (3, 3, 1, sha(""), True), 2: (8, 6, 3, sha("10,7"), True), 3: (3, 3, 2, sha("10,7"), True), 4: (1, 0, 0, sha(""), False)}.items()}
+    import duckdb
+
+    for table in ("documents", "benchmark"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    rows = duckdb.sql(queries.oracle_sql()["op6_decontamination"])
+    assert {r[0]: r[1:] for r in rows.fetchall()} == got and rows.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
 
 
 def test_fingerprints(docs, empty):
@@ -306,6 +315,12 @@ def test_fingerprints_by_definition(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_fingerprint_ranges_have_partitions_of_their_own(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    got = [r[0] for r in fingerprints.fingerprint_neighbours(rows).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(got) == 4 and max(got) < 750 and sum(got) == 2000
+
+
 def test_packing(docs, empty):
     import public_tokenizers as tokens
 
