@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import ALNUM_WORDS, U64, Words, checkpoint, slices, spread
+from .kernel import ALNUM_WORDS, U64, Words, checkpoint, kept_columns, slices, spread
 
 WINDOW = 10
 RAREST = 3  # terms of a window that proximity asks for
@@ -298,10 +298,11 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     end of the list: their words are hits, they add one to n_items, and no name to items_sha256. n_hit: words inside any
     occurrence; n_near: items of which some window's rarest terms stand within width + slop words. Null and empty texts have
     no words and no hits, as have items without words; repeated items count once; repeated documents each get their row; an
-    empty table gives an empty result. A very long text is a shard of its own. Other columns may have any name. Terms are
-    compared by 64-bit hashes, of which a match of a window needs all.
+    empty table gives an empty result. A very long text is a shard of its own. Other columns may have any name. A kept
+    column named like a result is a ValueError; without `keep` it is left out. Terms are compared by 64-bit hashes, of which a
+    match of a window needs all.
     """
-    keep = keep if keep is not None else [c for c in docs.columns if c != "text"]
+    keep = kept_columns(docs, keep, ["n_words", "n_hit", "items", "n_near"])
     return search(build_index(docs, keep), items, width, slop).select("row.*", "n_words", "n_hit", "items", "n_near")
 
 

@@ -173,6 +173,17 @@ def gathered(table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
 
 
+def kept_columns(df, keep: list[str] | None, own: list[str], text: str = "text") -> list[str]:
+    """The input columns that a result keeps beside its `own`: `keep`, or all but `text` and those named like one of `own`.
+    Such a name in `keep` is a ValueError. Names compare without case."""
+    if keep is None:
+        return [c for c in df.columns if c.lower() not in {text, *own}]
+    clash = sorted(c for c in keep if c.lower() in own)
+    if clash:
+        raise ValueError(f"kept columns named like results: {clash}")
+    return list(keep)
+
+
 def partitions_of(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

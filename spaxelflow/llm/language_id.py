@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import slices
+from .kernel import kept_columns, slices
 
 FEATURE_BITS = 14
 FEATURES = 1 << FEATURE_BITS
@@ -156,9 +156,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     Null text, or text without a letter, or a model without languages: `und`, score 0. Equal posteriors: the first
     language by name. Equal texts get equal predictions; very long texts are counted piece by piece, whole. Only `text` is
-    an input of the prediction; other columns may have any name. Empty table: empty result.
+    an input of the prediction; other columns may have any name. A kept column named like a result is a ValueError; without `keep` it is left out.
+    Empty table: empty result.
     """
-    keep = keep if keep is not None else [c for c in docs.columns if c != "text"]
+    keep = kept_columns(docs, keep, ["lang_pred", "score"])
     types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     run, schema = _predict(docs.sparkSession.sparkContext.broadcast(model))
     return docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(run, f"row struct<{types}>, {schema}").select("row.*", "lang_pred", "score")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import U64, checkpoint, partitions_of, slices, span_hash, spread, text_bytes
+from .kernel import U64, checkpoint, kept_columns, partitions_of, slices, span_hash, spread, text_bytes
 
 CAPACITY = 2048
 END = 0  # id that closes each document
@@ -231,14 +231,14 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, ranks_path: str | N
     """docs(text, ...) -> the `keep` columns (default doc_id) with piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text is empty: one piece, the end id alone. Repeated rows are packed each; ties in length go by content. Empty
-    table: empty result. Only documents longer than `capacity` are cut; their first piece takes what is over.
+    table: empty result. A kept column named like a result is a ValueError. Only documents longer than `capacity` are cut; their first piece takes what is over.
     """
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path, ranks_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     spark = docs.sparkSession
-    keep = keep or ["doc_id"]
+    keep = kept_columns(docs, keep or ["doc_id"], ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
     types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     run, schema = _pieces(tokenizer_path, ranks_path, capacity)
     pieces = checkpoint(docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(run, f"row struct<{types}>, {schema}"))

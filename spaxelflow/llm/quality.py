@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import _M1, U64, checkpoint, mix, slices, spread, text_bytes
+from .kernel import _M1, U64, checkpoint, kept_columns, mix, slices, spread, text_bytes
 
 BLOCK = 1024
 LEVEL = 6
@@ -179,9 +179,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """docs(text, ...) -> the `keep` columns with score (0 to 1, higher: better).
 
     Null and empty texts score 0 (1 if the model knows no bad text). Only `text` is an input. Repeated rows and equal texts
-    score alike; very long texts are scored block by block, whole. Other columns may have any name. Empty table: empty result.
+    score alike; very long texts are scored block by block, whole. Other columns may have any name.
+    A kept column named like a result is a ValueError; without `keep` it is left out. Empty table: empty result.
     """
-    keep = keep if keep is not None else [c for c in docs.columns if c != "text"]
+    keep = kept_columns(docs, keep, ["score"])
     types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     run = _score(docs.sparkSession.sparkContext.broadcast(model))
     return docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(run, f"row struct<{types}>, score double").select("row.*", "score")

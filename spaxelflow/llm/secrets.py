@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, byte_class, slices
+from .kernel import Words, byte_class, kept_columns, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -149,9 +149,10 @@ def scan(docs: DataFrame, keep: list[str] | None = None, mark: str = "[SECRET]")
 
     clean_text is the text with every span replaced by `mark`; null stays null and has no spans. Spans are whole matches
     in code points. Repeated rows are scanned each; ties in start go by kind. A text is scanned whole, in time that grows
-    with its length. Other columns may have any name. Empty table: empty result.
+    with its length. Other columns may have any name. A kept column named like a result is a ValueError; without `keep` it is left out.
+    Empty table: empty result.
     """
-    keep = keep if keep is not None else [c for c in docs.columns if c != "text"]
+    keep = kept_columns(docs, keep, ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean_text"])
     types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     run, schema = _scan(docs.sparkSession.sparkContext.broadcast(identifiers(docs)), mark)
     return docs.select(F.struct(*keep).alias("row"), "text").mapInArrow(run, f"row struct<{types}>, {schema}").select("row.*", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean_text")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, WHITESPACE_WORDS, KeyFilter, Words, by_bucket, checkpoint, gathered, join2, least_gram, mix, partitions_of, slices, window_hash
+from .kernel import U64, WHITESPACE_WORDS, KeyFilter, Words, by_bucket, checkpoint, gathered, join2, kept_columns, least_gram, mix, partitions_of, slices, window_hash
 
 WINDOW = 50
 ROUNDS = 4
@@ -223,12 +223,13 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, width: int =
     A word goes where a window of `width` words covers it whose word sequence also starts in a document of a smaller
     doc_id; windows are judged on the input. Null text: no words. A null doc_id counts as the largest. Rows that repeat a
     doc_id don't remove from each other. Texts of fewer words stay whole; a very long text is one slice of its own. Other
-    columns may have any name. Empty table: empty result.
+    columns may have any name. A kept column named like a result is a ValueError; without `keep` it is left out. Empty table:
+    empty result.
     """
     if width != WINDOW:
         raise ValueError(f"the rounds are proven for windows of {WINDOW} words")
     spark = docs.sparkSession
-    keep = keep if keep is not None else [c for c in docs.columns if c != "text"]
+    keep = kept_columns(docs, keep, ["n_words", "n_removed", "kept_text", "kept_sha256"])
     types = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     docs = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     bare = docs.select("doc_id", "row_key", "text")
