@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECES_A_PARTITION = 8
-ROWS_A_PIECE = 100_000  # at least; a smaller group is never cut
+ROWS_A_PIECE = 100_000
+MAX_PIECES = 10_000  # of all groups together, since pieces are listed on the driver and broadcast; of more rows they are larger
+ROWS_A_TASK = 1_000_000  # sorted by one task; more rows are dealt to more partitions than the session's
 DRAWS_A_PIECE = 60
 PIECE = "_piece"
 
@@ -26,12 +27,14 @@ class Cuts:
     table: DataFrame
     by: tuple[str, ...]
     order: tuple[str, ...]
+    longest: int  # cuts of one group, at most
 
     def place(self, rows: DataFrame) -> DataFrame:
-        """Rows with their piece, 0 in a group that is not cut."""
-        here = F.struct(*self.order)
-        joined = rows.join(F.broadcast(self.table), list(self.by), "left")
-        return joined.withColumn(PIECE, F.coalesce(F.size(F.filter("cuts", lambda c: c <= here)), F.lit(0))).drop("cuts")
+        """Rows with their piece, 0 in a group that is not cut: the number of cuts up to the row, by halving."""
+        here, placed = F.struct(*self.order), rows.join(F.broadcast(self.table), list(self.by), "left").withColumn(PIECE, F.lit(0))
+        for k in reversed(range(self.longest.bit_length())):  # a column each, so that the steps are compiled
+            placed = placed.withColumn(PIECE, F.when(F.get("cuts", F.col(PIECE) + F.lit((1 << k) - 1)) <= here, F.col(PIECE) + F.lit(1 << k)).otherwise(F.col(PIECE)))
+        return placed.drop("cuts")
 
     def inside(self, rows: DataFrame) -> DataFrame:
         """The rows of cut groups alone, with their piece."""
@@ -39,35 +42,45 @@ class Cuts:
 
 
 def cut_large_groups(keys: DataFrame, by: tuple[str, ...], order: tuple[str, ...], rows_a_piece: int | None = None) -> Cuts | None:
-    """Cuts of the groups with more than rows_a_piece rows (by default the rows of a partition over PIECES_A_PARTITION), or None.
+    """Cuts of the groups with more than rows_a_piece rows, or None. Rows that are equal in all order columns stay together."""
+    return _counted_and_cut(keys, by, order, rows_a_piece)[1]
 
-    At most rows / rows_a_piece groups are that large, and their cuts are as many at most, so both may be broadcast. Rows
-    that are equal in all order columns stay together.
-    """
+
+def _counted_and_cut(keys: DataFrame, by: tuple[str, ...], order: tuple[str, ...], rows_a_piece: int | None) -> tuple[int, Cuts | None]:
+    """The number of rows, and the cuts. At most rows / rows_a_piece groups are large, and their cuts are as many at most, so both
+    may be broadcast; pieces grow where they would be more than MAX_PIECES."""
+    counted = keys.groupBy(*by).agg(F.count("*").alias("n")).persist()
+    total, most = (v or 0 for v in counted.agg(F.sum("n"), F.max("n")).first())
+    limit = max(rows_a_piece or ROWS_A_PIECE, total // MAX_PIECES)
+    large = counted.where(F.col("n") > limit).collect() if most > limit else []
+    counted.unpersist()
+    return total, _cut(keys, by, order, limit, large) if large else None
+
+
+def _cut(keys: DataFrame, by: tuple[str, ...], order: tuple[str, ...], limit: int, large: list) -> Cuts:
     spark = keys.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = keys.groupBy(*by).agg(F.count("*").alias("n"))
-    total, most = counted.agg(F.sum("n"), F.max("n")).first()
-    limit = rows_a_piece or max(ROWS_A_PIECE, (total or 0) // (PIECES_A_PARTITION * partitions))
-    if (most or 0) <= limit:
-        return None
-    large = {tuple(r[:-1]): r.n for r in counted.where(F.col("n") > limit).collect()}
-    listed = spark.createDataFrame([(*k, DRAWS_A_PIECE / limit) for k in large], keys.select(*by).schema.add("share", "double"))
+    listed = spark.createDataFrame([(*r[:-1], DRAWS_A_PIECE / limit) for r in large], keys.select(*by).schema.add("share", "double"))
     chance = F.pmod(F.xxhash64(*by, *order), F.lit(1 << 30)) / float(1 << 30)
     drawn = keys.join(F.broadcast(listed), list(by)).where(chance < F.col("share")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("drawn"))
     size, pieces = F.size("drawn"), F.greatest(F.lit(1), F.floor(F.size("drawn") / DRAWS_A_PIECE)).cast("int")
     at = F.transform(F.sequence(F.lit(1), pieces), lambda k: F.get("drawn", F.least(size - 1, F.floor(k * size / (pieces + 1)).cast("int"))))
     cuts = drawn.select(*by, F.array_distinct(at).alias("cuts"))
     found = cuts.collect()  # the draws of one large group are about DRAWS_A_PIECE times its pieces
-    return Cuts(spark.createDataFrame(found, cuts.schema), by, order)
+    return Cuts(spark.createDataFrame(found, cuts.schema), by, order, max((len(r.cuts) for r in found), default=0))
+
+
+def _dealt(rows: DataFrame, total: int, group: list[str]) -> DataFrame:
+    """Rows whose groups meet in as many partitions as ROWS_A_TASK rows each ask for, where the session's are fewer."""
+    wanted = -(-total // ROWS_A_TASK)
+    return rows.repartition(wanted, *group) if wanted > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def running_sum(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], value: str, out: str, rows_a_piece: int | None = None) -> DataFrame:
     """Adds `out`, the sum of `value` up to each row in the order of the columns `order`, group by group. Null places come
     first, null values add nothing."""
-    cuts = cut_large_groups(df.select(*by, *order), by, order, rows_a_piece)
+    total, cuts = _counted_and_cut(df.select(*by, *order), by, order, rows_a_piece)
     if cuts is None:
-        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        return _dealt(df, total, list(by)).withColumn(out, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     totals = cuts.inside(df.select(*by, *order, value)).groupBy(*by, PIECE).agg(F.sum(value).alias("_total")).collect()
     before, sums = [], {}
     for r in sorted(totals, key=lambda r: r[PIECE]):  # one row a piece
@@ -76,7 +89,7 @@ def running_sum(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], valu
         sums[key] = sums.get(key, 0.0) + (r["_total"] or 0.0)
     carried = df.sparkSession.createDataFrame(before, df.select(*by).schema.add(PIECE, "integer").add("_before", "double"))
     inside = Window.partitionBy(*by, PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = cuts.place(df).withColumn(out, F.sum(value).over(inside)).join(F.broadcast(carried), [*by, PIECE], "left")
+    summed = _dealt(cuts.place(df), total, [*by, PIECE]).withColumn(out, F.sum(value).over(inside)).join(F.broadcast(carried), [*by, PIECE], "left")
     return summed.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0.0))).drop(PIECE, "_before")
 
 
@@ -118,10 +131,12 @@ def asof_sum(stars: DataFrame, gas: DataFrame, value: str, out: str = "asof", by
     knots = gas.where(F.col("z").isNotNull() & F.col(value).isNotNull()).select(*by, F.col("z").cast("double").alias("z"), F.lit(0).alias("_t"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(ties)], F.col(value).cast("double").alias("_v"))
     order = ("z", "_t", *(f"_o{k}" for k in range(len(ties))), "_v")
     rows = stars.withColumn("z", F.col("z").cast("double")).withColumn("_t", F.lit(1)).unionByName(knots, allowMissingColumns=True)
-    cuts = cut_large_groups(rows.select(*by, *order), by, order, rows_a_piece) if split else None
+    # whole groups that meet in one task make it larger: four times the partitions
+    total, cuts = _counted_and_cut(rows.select(*by, *order), by, order, rows_a_piece) if split else (4 * rows.count(), None)
     group = list(by)
     if cuts:
         rows, group = cuts.place(rows), [*by, PIECE]
+    rows = _dealt(rows, total, group)
     up = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # looking ahead is looking back in the reverse order, which keeps a running value instead of a frame a row
     down = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)

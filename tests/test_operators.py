@@ -13,6 +13,7 @@ from spaxelflow.operators import dust as D
 from spaxelflow.operators import geometry as G
 from spaxelflow.operators import particles as P
 from spaxelflow.operators import spectra as S
+from spaxelflow.operators import scan
 from spaxelflow.operators.scan import asof_sum, cut_large_groups
 from spaxelflow.plans import jobs
 from spaxelflow.sources import ingest as I
@@ -261,6 +262,23 @@ def test_central_velocity_is_the_median(spark):
     assert tuple(P.central_velocity(holes).first())[1:] == (1.0, 2.0, 4.0)
 
 
+def test_pieces_are_bounded_and_large_inputs_get_more_partitions(spark, monkeypatch):
+    monkeypatch.setattr(scan, "MAX_PIECES", 20, raising=False)
+    monkeypatch.setattr(scan, "ROWS_A_TASK", 500, raising=False)
+    _, stars, g, s = thin_disc(spark, 4000, 4000)
+    cuts = cut_large_groups(g.select("galaxy_id", "spaxel", "z", "k"), ("galaxy_id", "spaxel"), ("z", "k"), 1)
+    assert 2 <= sum(len(r.cuts) for r in cuts.table.collect()) <= 30  # about MAX_PIECES; one for each 60 rows before, 66
+    placed = cuts.place(g).groupBy("spaxel", scan.PIECE).agg(F.min(F.struct("z", "k")).alias("lo"), F.max(F.struct("z", "k")).alias("hi")).orderBy("spaxel", scan.PIECE).collect()
+    assert all(a.hi < b.lo for a, b in zip(placed, placed[1:]) if a.spaxel == b.spaxel)
+    whole = {r.id: r.asof for r in asof_sum(s, g, "m", ties=("k",), split=False).collect()}
+    assert len(whole) == len(stars)
+    for out in (asof_sum(s, g, "m", ties=("k",), rows_a_piece=1), asof_sum(s, g, "m", ties=("k",)), asof_sum(s, g, "m", ties=("k",), split=False)):
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.id: r.asof for r in out.collect()} == pytest.approx(whole)
+    summed = D.column_density(g, "m", order=("z", "k"), rows_a_piece=1)
+    assert "REPARTITION_BY_NUM" in summed._jdf.queryExecution().executedPlan().toString() and summed.count() == 4000
+
+
 def test_running_sums_whole_and_in_pieces(spark):
     rng = np.random.default_rng(6)
     rows = [(0, int(g), float(z), float(m)) for g, z, m in zip(rng.integers(0, 3, 200), rng.normal(0, 4, 200), rng.random(200))] + [(0, 0, None, 1.0)]
