@@ -610,3 +610,41 @@ def test_prepare_refuses_particles_without_place_or_mass(spark, where):
     assert jobs.prepare(broken, galaxy.where("galaxy_id = 1")).stars.count() == 3
     report = I.validate_groups(jobs.canonical(raw))["stars"].orderBy("galaxy_id").collect()
     assert [(r.galaxy_id, r.rows, r.mass_null) for r in report] == [(1, 3, 0), (2, 3, 0)]
+
+
+def test_particles_are_not_shuffled_by_galaxy(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k % 3, k, *map(float, row)) for k, row in enumerate(rng.normal(0, 3, (600, 6)))]
+    df = spark.createDataFrame(rows, "galaxy_id long, particle_id long, x double, y double, z double, vx double, vy double, vz double").withColumn("mass", F.lit(1.0))
+    galaxy = df.groupBy("galaxy_id").agg(F.array(*[F.lit(0.5)] * 3).alias("center"), F.lit(5.0).alias("halfmassrad_stars"))
+    calls = {
+        "center": lambda: P.recenter(df, galaxy),
+        "orient": lambda: G.orient(df, galaxy, "edge-on"),
+        "subset": lambda: P.subset(df, 600),
+        "galaxy": lambda: P.with_galaxy(df, galaxy),
+    }
+    plain = lambda out: sorted([tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in out.drop("center").collect()])
+    whole = {}
+    for name, call in calls.items():
+        out, plan = call(), call()._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and (name == "subset" or "hashpartitioning(galaxy_id" not in plan)  # a subset ranks what is left
+        whole[name] = plain(out)
+        assert len(whole[name]) == 600
+    monkeypatch.setattr("spaxelflow.sources.galaxies.BROADCAST_ROWS", 1)  # with more galaxies than that they are
+    for name, call in calls.items():
+        assert "SortMergeJoin" in call()._jdf.queryExecution().executedPlan().toString()
+        assert plain(call()) == whole[name]
+
+
+def test_a_large_galaxy_is_written_in_parts_of_bounded_size(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50k")
+    try:
+        rows = spark.range(0, 20_000, 1, 8).select(F.lit(0).alias("galaxy_id"), F.col("id").alias("particle_id"), F.rand(1).alias("mass"))
+        rows = rows.unionByName(spark.range(30).select(F.col("id").cast("int").alias("galaxy_id"), F.lit(-1).cast("long").alias("particle_id"), F.lit(1.0).alias("mass")))
+        store = GalaxyStore(spark, str(tmp_path / "store"))
+        store.add({"stars": rows}, rows.select("galaxy_id").distinct())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = list((tmp_path / "store" / "data" / "stars").rglob("*.parquet"))
+    assert len(files) > 4 and max(spark.read.parquet(str(f)).count() for f in files) < 8000  # the session has 4 partitions
+    assert store.read("stars").count() == 20_030 and store.read("stars", spark.range(3, 5).withColumnRenamed("id", "galaxy_id")).count() == 2
