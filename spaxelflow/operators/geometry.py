@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cosmology import PLANCK15, Cosmology, distance_columns
+from ..sources.galaxies import beside_particles
 from .particles import inertia_tensor
 
 VIEWS = {"face-on": (0.0, 0.0, 0.0), "edge-on": (90.0, 0.0, 0.0)}
@@ -98,7 +99,7 @@ def apply_rotation(df: DataFrame, axes: DataFrame) -> DataFrame:
     for names in (("x", "y", "z"), ("vx", "vy", "vz")):
         for j, out in enumerate(names):
             turned[out] = sum(F.col(names[i]) * F.element_at("axes", 3 * i + j + 1) for i in range(3))
-    return df.join(axes, "galaxy_id").withColumns(turned).drop("axes")
+    return df.join(beside_particles(axes), "galaxy_id").withColumns(turned).drop("axes")
 
 
 def orient(df: DataFrame, galaxy: DataFrame, view: str | tuple[float, float, float], align: DataFrame | None = None, axes: DataFrame | None = None) -> DataFrame:
