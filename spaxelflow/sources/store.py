@@ -17,8 +17,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .galaxies import beside_particles
+
 MANIFEST = "galaxy_id long, seq long, batch string, rows map<string, long>"
 MODES = {"skip": "skip", "ignore": "skip", "overwrite": "overwrite", "reuse": "reuse", "error": "error", "errorifexists": "error"}
+SHARE = "_share"
 PUSHED_GALAXIES = 1000  # as many asked galaxies, at most, become a filter of the scan; more are a join alone
 
 
@@ -70,11 +73,11 @@ class GalaxyStore:
     def add(self, tables: dict[str, DataFrame], galaxies: DataFrame, header: dict[str, object] | None = None, check=None) -> None:
         """Writes the rows of `galaxies` and commits them. A galaxy of them without any row is an error, as is what `check(kind,
         written rows)` raises; nothing is committed then. Tables' rows of other galaxies are left out."""
-        batch, counts = uuid.uuid4().hex, None
+        batch, counts, galaxies = uuid.uuid4().hex, None, beside_particles(galaxies)
         for kind, df in tables.items():
             rows = df.withColumn("galaxy_id", F.col("galaxy_id").cast("long")).join(galaxies, "galaxy_id", "left_semi")
             folder = f"data/{kind}/batch={batch}"
-            rows.repartition("galaxy_id", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "galaxy_id"]), F.lit(16))).sortWithinPartitions("galaxy_id").write.parquet(f"{self.path}/{folder}")
+            rows.withColumn(SHARE, F.pmod(F.xxhash64(*[c for c in rows.columns if c != "galaxy_id"]), F.lit(16))).hint("rebalance", "galaxy_id", SHARE).drop(SHARE).sortWithinPartitions("galaxy_id").write.parquet(f"{self.path}/{folder}")
             done = self.spark.read.parquet(f"{self.path}/{folder}")
             if check:
                 check(kind, done)
@@ -101,7 +104,7 @@ class GalaxyStore:
         if data is None:
             raise ValueError(f"no {kind} in the store")
         batches = [r[0] for r in current.select("batch").distinct().collect()]  # one a write
-        data = data.where(F.col("batch").isin(batches))
+        data, current = data.where(F.col("batch").isin(batches)), beside_particles(current)
         few = current.select("galaxy_id").limit(PUSHED_GALAXIES + 1).collect() if galaxies is not None else []
         if galaxies is not None and len(few) <= PUSHED_GALAXIES:
             data = data.where(F.col("galaxy_id").isin([r[0] for r in few]))
