@@ -16,6 +16,7 @@ from ..operators import particles as P
 from ..operators import spectra as S
 from ..operators.scan import asof_sum
 from ..sources import ingest as I
+from ..sources.galaxies import beside_particles
 from ..sources.store import GalaxyStore
 
 
@@ -70,6 +71,7 @@ def prepare(raw: dict[str, DataFrame], galaxy: DataFrame, path: str | None = Non
     `overwrite` all of them, `reuse` none (an absent one is an error), `error` refuses a galaxy that is there. What fails is not
     committed."""
     I.validate_galaxy(galaxy)
+    galaxy = beside_particles(galaxy)
     tables = canonical(raw, **ingest)
     if path:
         store = GalaxyStore(galaxy.sparkSession, path)
@@ -124,8 +126,9 @@ def mock_cube(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, ha
 
     half_size, z: one value for all galaxies, or a column of the galaxy table. psf: (size, sigma); noise: (signal to noise,
     distribution, seed). grid: arrays or a DataFrame, which is broadcast up to grid_limit bytes."""
-    stars = _placed(G.orient(snapshot.stars, snapshot.galaxy, view, axes=snapshot.axes.get("stars")), snapshot.galaxy, half_size, n, "drop", z)
-    cube = C.zero_fill(C.add_cubes(S.star_cube(stars, grid, wave, target, _value(z), method, limit=grid_limit)), n, len(target), snapshot.galaxy)
+    galaxy = beside_particles(snapshot.galaxy)
+    stars = _placed(G.orient(snapshot.stars, galaxy, view, axes=snapshot.axes.get("stars")), galaxy, half_size, n, "drop", z)
+    cube = C.zero_fill(C.add_cubes(S.star_cube(stars, grid, wave, target, _value(z), method, limit=grid_limit)), n, len(target), galaxy)
     return _observed(cube, n, psf, lsf, noise, float(target[1] - target[0]))
 
 
@@ -151,7 +154,7 @@ def curve_on(spark, target: np.ndarray, curve: str, rv: float) -> list[float]:
 def mock_cube_dusty(snapshot: Snapshot, grid, wave: np.ndarray, target: np.ndarray, half_size: float | str, n: int, z: float | str = 0.0, view="face-on", psf=None, lsf: float | None = None, noise=None, method: str = "cubic", curve: str = "Cardelli89", rv: float = 3.1, model: str = "broken power law fit", xco: str = "Z", grain_density: float = 3.5, align_by: str | None = None, grid_limit: int = S.MAX_GRID_BYTES) -> DataFrame:
     """mock_cube with each star's spectrum attenuated before it is summed, in the same pass. align_by='stars': gas is turned
     with the stars' axes instead of its own."""
-    galaxy = snapshot.galaxy
+    galaxy = beside_particles(snapshot.galaxy)
     stars = _placed(G.orient(snapshot.stars, galaxy, view, axes=snapshot.axes.get("stars")), galaxy, half_size, n, "drop", z)
     own = snapshot.axes.get("stars" if align_by == "stars" else "gas")
     gas = _placed(G.orient(snapshot.gas, galaxy, view, snapshot.stars if align_by == "stars" else None, own), galaxy, half_size, n, "zero")
