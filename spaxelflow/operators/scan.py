@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 ROWS_A_PIECE = 100_000
 MAX_PIECES = 10_000  # of all groups together, since pieces are listed on the driver and broadcast; of more rows they are larger
-ROWS_A_TASK = 1_000_000  # sorted by one task; more rows are dealt to more partitions than the session's
+ROWS_A_TASK = 250_000  # sorted by one task, about; more than the cores hold are dealt to as many partitions as that asks for
 DRAWS_A_PIECE = 60
 PIECE = "_piece"
 
@@ -70,9 +70,13 @@ def _cut(keys: DataFrame, by: tuple[str, ...], order: tuple[str, ...], limit: in
 
 
 def _dealt(rows: DataFrame, total: int, group: list[str]) -> DataFrame:
-    """Rows whose groups meet in as many partitions as ROWS_A_TASK rows each ask for, where the session's are fewer."""
-    wanted = -(-total // ROWS_A_TASK)
-    return rows.repartition(wanted, *group) if wanted > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+    """Rows whose groups meet in as many partitions as ROWS_A_TASK rows each ask for, or the session's if these are more. They are
+    named, since small shuffles are otherwise merged by their packed bytes, to tasks of millions of rows. What the cores hold
+    at once stays with the session."""
+    spark, wanted = rows.sparkSession, -(-total // ROWS_A_TASK)
+    if wanted <= spark.sparkContext.defaultParallelism:
+        return rows
+    return rows.repartition(max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))), *group)
 
 
 def running_sum(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], value: str, out: str, rows_a_piece: int | None = None) -> DataFrame:

@@ -279,6 +279,26 @@ def test_pieces_are_bounded_and_large_inputs_get_more_partitions(spark, monkeypa
     assert "REPARTITION_BY_NUM" in summed._jdf.queryExecution().executedPlan().toString() and summed.count() == 4000
 
 
+@pytest.fixture
+def many_partitions(spark, monkeypatch):
+    """A session with more partitions than the rows ask for: unless their number is named, small ones are merged by packed bytes."""
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    monkeypatch.setattr(scan, "ROWS_A_TASK", 500)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
+def test_running_sums_of_large_inputs_are_not_merged_to_few_tasks(spark, many_partitions):
+    _, _, g, _ = thin_disc(spark, 4000)
+    for size in (None, 100):
+        out = D.column_density(g, "m", order=("z", "k"), rows_a_piece=size)
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 4000 and out.rdd.getNumPartitions() == 30
+    few = D.column_density(g.where("k < 1000"), "m", order=("z", "k"))  # the cores hold them at once
+    assert "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_sums_whole_and_in_pieces(spark):
     rng = np.random.default_rng(6)
     rows = [(0, int(g), float(z), float(m)) for g, z, m in zip(rng.integers(0, 3, 200), rng.normal(0, 4, 200), rng.random(200))] + [(0, 0, None, 1.0)]
