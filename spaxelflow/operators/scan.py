@@ -97,11 +97,11 @@ def running_sum(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], valu
     return summed.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0.0))).drop(PIECE, "_before")
 
 
-def _carries(cuts: Cuts, knots: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+def _carries(cuts: Cuts, knots: DataFrame, total: int, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """(by..., piece, _c_sum, _c_z, _c_next): of each piece of a cut group, the knots' sum and last place before it and the
     first knot (z, v) behind it."""
-    first = F.min(F.struct(*order))
-    ends = cuts.inside(knots).groupBy(*by, PIECE).agg(F.sum("_v").alias("sum"), F.max("z").alias("last"), first.alias("first")).collect()
+    first = F.min(F.struct(*order))  # of structs: sorted by group first, so a task may not take a whole part of the input
+    ends = _dealt(cuts.inside(knots), total, [*by, PIECE]).groupBy(*by, PIECE).agg(F.sum("_v").alias("sum"), F.max("z").alias("last"), first.alias("first")).collect()
     groups: dict[tuple, dict[int, object]] = {}
     for r in ends:
         groups.setdefault(tuple(r[: len(by)]), {})[r[PIECE]] = r
@@ -142,14 +142,13 @@ def asof_sum(stars: DataFrame, gas: DataFrame, value: str, out: str = "asof", by
         rows, group = cuts.place(rows), [*by, PIECE]
     rows = _dealt(rows, total, group)
     up = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # looking ahead is looking back in the reverse order, which keeps a running value instead of a frame a row
-    down = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    knot = F.col("_t") == 0
-    total, last = F.coalesce(F.sum("_v").over(up), F.lit(0.0)), F.last(F.when(knot, F.col("z")), ignorenulls=True).over(up)
-    ahead = F.last(F.when(knot, F.struct("z", F.col("_v").alias("v"))), ignorenulls=True).over(down)
-    seen = rows.withColumns({"_sum": total, "_last": last, "_next": ahead}).where("_t = 1")
+    summed, last = F.coalesce(F.sum("_v").over(up), F.lit(0.0)), F.last(F.when(F.col("_t") == 0, F.col("z")), ignorenulls=True).over(up)
+    # lead keeps its place from row to row, and shares the sort with the sums
+    over = f"PARTITION BY {', '.join(f'`{c}`' for c in group)} ORDER BY {', '.join(order)}"
+    ahead = F.expr(f"lead(CASE WHEN _t = 0 THEN named_struct('z', z, 'v', _v) END) IGNORE NULLS OVER ({over})")
+    seen = rows.withColumns({"_sum": summed, "_last": last, "_next": ahead}).where("_t = 1")
     if cuts:
-        carried = _carries(cuts, knots, by, order)
+        carried = _carries(cuts, knots, total, by, order)
         seen = seen.join(F.broadcast(carried), group, "left").withColumns({"_sum": F.col("_sum") + F.coalesce("_c_sum", F.lit(0.0)), "_last": F.coalesce("_last", "_c_z"), "_next": F.coalesce("_next", "_c_next")})
     return seen.withColumn(out, _between(F.col("z"), F.col("_sum"), F.col("_last"), F.col("_next"))).select(*stars.columns, out)
 

@@ -299,6 +299,28 @@ def test_running_sums_of_large_inputs_are_not_merged_to_few_tasks(spark, many_pa
     assert "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("options", [{"rows_a_piece": 100}, {"split": False}])
+def test_asof_of_large_inputs_sorts_once_in_small_tasks(spark, many_partitions, monkeypatch, options):
+    """Rows, and the knots that are looked through for the pieces' ends, are dealt by number; one sort serves both directions."""
+    dealt, real = [], scan._dealt
+    monkeypatch.setattr(scan, "_dealt", lambda rows, *args: dealt.append(real(rows, *args)) or dealt[-1])
+    _, _, g, s = thin_disc(spark, 4000, 2000)
+    out = asof_sum(s, g, "m", ties=("k",), **options)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == plan.count("Sort [") == 1
+    assert len(dealt) == (2 if "rows_a_piece" in options else 1) and all(d.rdd.getNumPartitions() == 30 for d in dealt)
+
+
+def test_asof_looks_far_ahead(spark):
+    """Three knots, far apart among more stars than a window keeps in its list, and stars before and behind all of them."""
+    at, m = np.array([0.2, 0.5, 0.9]), np.array([2.0, 3.0, 5.0])
+    g = spark.createDataFrame([(0, 0, float(z), float(v)) for z, v in zip(at, m)], "galaxy_id long, spaxel int, z double, m double")
+    s = spark.range(20_000).select(F.lit(0).cast("long").alias("galaxy_id"), F.lit(0).alias("spaxel"), (F.col("id") / 20_000).alias("z"), "id")
+    for options in ({"split": False}, {}, {"rows_a_piece": 700}):
+        got = np.array([r.asof for r in asof_sum(s, g, "m", **options).orderBy("id").collect()])
+        assert np.allclose(got, np.interp(np.arange(20_000) / 20_000, at, np.cumsum(m)))
+
+
 def test_running_sums_whole_and_in_pieces(spark):
     rng = np.random.default_rng(6)
     rows = [(0, int(g), float(z), float(m)) for g, z, m in zip(rng.integers(0, 3, 200), rng.normal(0, 4, 200), rng.random(200))] + [(0, 0, None, 1.0)]
