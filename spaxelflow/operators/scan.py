@@ -135,8 +135,7 @@ def asof_sum(stars: DataFrame, gas: DataFrame, value: str, out: str = "asof", by
     knots = gas.where(F.col("z").isNotNull() & F.col(value).isNotNull()).select(*by, F.col("z").cast("double").alias("z"), F.lit(0).alias("_t"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(ties)], F.col(value).cast("double").alias("_v"))
     order = ("z", "_t", *(f"_o{k}" for k in range(len(ties))), "_v")
     rows = stars.withColumn("z", F.col("z").cast("double")).withColumn("_t", F.lit(1)).unionByName(knots, allowMissingColumns=True)
-    # whole groups that meet in one task make it larger: four times the partitions
-    total, cuts = _counted_and_cut(rows.select(*by, *order), by, order, rows_a_piece) if split else (4 * rows.count(), None)
+    total, cuts = _counted_and_cut(rows.select(*by, *order), by, order, rows_a_piece) if split else (rows.count(), None)
     group = list(by)
     if cuts:
         rows, group = cuts.place(rows), [*by, PIECE]
