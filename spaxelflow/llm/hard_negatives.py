@@ -4,13 +4,14 @@ Two codebooks, one for each half of the components, make cells (a, b). The score
 most the sum of two half bounds, q1.c_a + |q1| r_a + q2.c_b + |q2| r_b, with r the largest distance of a row from its codeword.
 A heap takes the cells of an anchor in falling order of that sum. Each search has two steps: the first cells give lower limits
 of the answers, and then every other cell whose bound reaches those limits is read, so that what is left out is certified to
-hold nothing. Cells lie in blocks of bounded size; anchors meet blocks by an equi-join on (cell, block).
+hold nothing. Cells lie in blocks of bounded size, and blocks in parts that a task holds at once. Anchors are sent to parts, not to
+blocks: a chunk of them goes once to each part that has blocks for it, and streams past the part's blocks there.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ SAMPLE = 20_000  # rows that the codebooks are fitted on, by hash of their id
 FIT_ROUNDS = 8
 ROWS_A_CELL, MAX_CODEWORDS = 1000, 64  # codewords of a half: such that a cell has about so many rows, within 2..64
 BLOCK = 2048  # rows of a block
+PART_BYTES = 32 << 20  # of a part's blocks, and of the anchors that are sent to them; a task holds both
 CHUNK = 256  # anchors of a request
 OPENING = 4096  # rows of the cells that are read first
 HELD = 200_000  # candidate lists that a task holds before it sends them on
@@ -33,13 +35,16 @@ NEVER = -(1 << 62)
 
 @dataclass(frozen=True)
 class Books:
-    """Codebooks of the two halves, the radius of each codeword, and the rows and blocks of each cell (a * codewords + b)."""
+    """Codebooks of the two halves, the radius of each codeword, the rows and blocks of each cell (a * codewords + b), the number of
+    its first block, and how many parts there are; block n lies in part n % parts."""
 
     first: np.ndarray
     second: np.ndarray
     radii: tuple[np.ndarray, np.ndarray]
     rows: dict[int, int]
     blocks: dict[int, int]
+    firsts: dict[int, int] = field(default_factory=dict)
+    parts: int = 1
 
 
 def _fit(halves: np.ndarray, codewords: int) -> np.ndarray:
@@ -66,7 +71,7 @@ def _coder(shared, dims: int):
 
 
 def build(rows: DataFrame, dims: int) -> tuple[Books, DataFrame]:
-    """Codebooks and blocks (cell, block, ids, labels, v: packed arrays) of rows(id, label, v), every row in one block."""
+    """Codebooks and blocks (number, ids, labels, v: packed arrays) of rows(id, label, v), every row in one block."""
     spark, n = rows.sparkSession, rows.count()
     share = min(1.0, 0.9 * SAMPLE / max(n, 1))
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(SAMPLE).toArrow()
@@ -96,27 +101,30 @@ def build(rows: DataFrame, dims: int) -> tuple[Books, DataFrame]:
         a, b = divmod(c.cell, width)
         radii[0][a], radii[1][b] = max(radii[0][a], c.ra), max(radii[1][b], c.rb)
     counts = {c.cell: -(-c.n // BLOCK) for c in cells}
-    made = Books(books[0], books[1], radii, {c.cell: c.n for c in cells}, counts)
+    firsts = dict(zip(counts, np.cumsum([0, *counts.values()]).tolist()))
+    # as many parts as their size asks for, or as keep the cores busy: each more is one more copy of the anchors
+    parts = max(-(-n * (4 * dims + 16) // PART_BYTES), min(partitions_of(spark), 3 * spark.sparkContext.defaultParallelism, sum(counts.values())), 1)
+    made = Books(books[0], books[1], radii, {c.cell: c.n for c in cells}, counts, firsts, parts)
 
     def place(batches):
         turn: dict[int, int] = {}
         for batch in batches:
             cells, _, _ = code(matrix(batch.column("v"), dims))
-            block = np.zeros(len(cells), np.int32)
+            number = np.zeros(len(cells), np.int32)
             for c in np.unique(cells).tolist():  # rows of a cell go round its blocks, from an own place in each task
                 own = np.flatnonzero(cells == c)
                 start = turn.setdefault(c, _task() * 7919)
-                block[own] = (start + np.arange(len(own))) % counts[c]
+                number[own] = firsts[c] + (start + np.arange(len(own))) % counts[c]
                 turn[c] = start + len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(block), *(batch.column(k) for k in ("id", "label", "v"))], ["cell", "block", "id", "label", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(number), *(batch.column(k) for k in ("id", "label", "v"))], ["number", "id", "label", "v"])
 
     def pack(batches):
         key, held = None, []
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("cell", "block")])
-            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            keys = batch.column("number").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), batch.num_rows]
             for x, y in zip(cuts, cuts[1:]):
-                own = tuple(keys[:, x].tolist())
+                own = int(keys[x])
                 if held and own != key:
                     yield _packed_block(key, held, dims)
                     held = []
@@ -125,8 +133,8 @@ def build(rows: DataFrame, dims: int) -> tuple[Books, DataFrame]:
         if held:
             yield _packed_block(key, held, dims)
 
-    placed = rows.mapInArrow(place, "cell int, block int, id long, label long, v binary")
-    blocks = placed.repartition(partitions_of(spark), "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(pack, "cell int, block int, ids binary, labels binary, v binary")
+    placed = rows.mapInArrow(place, "number int, id long, label long, v binary")
+    blocks = placed.repartition(partitions_of(spark), "number").sortWithinPartitions("number").mapInArrow(pack, "number int, ids binary, labels binary, v binary")
     return made, written(blocks)
 
 
@@ -143,7 +151,7 @@ def _packed_block(key, parts: list[pa.RecordBatch], dims: int) -> pa.RecordBatch
     v = matrix(table.column("v").combine_chunks(), dims)
     order = np.argsort(ids, kind="stable")
     packs = [x[order].tobytes() for x in (ids, labels, v)]
-    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *(pa.array([p], pa.binary()) for p in packs)], ["cell", "block", "ids", "labels", "v"])
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), *(pa.array([p], pa.binary()) for p in packs)], ["number", "ids", "labels", "v"])
 
 
 class CellOrder:
@@ -174,15 +182,16 @@ class CellOrder:
                     heapq.heappush(heap, (-(sa[x] + sb[y]), x, y))
 
 
-def requests(anchors: DataFrame, shared, dims: int, opening: bool) -> DataFrame:
-    """The blocks that anchors(aid, label, v, lows, highs) ask for, with the anchors packed. opening: the first cells, to OPENING
-    rows; otherwise those behind them whose bound reaches the least of the anchor's `lows`."""
+def requests(anchors: DataFrame, shared, dims: int, opening: bool, lanes: int = 1) -> DataFrame:
+    """The blocks that anchors(aid, label, v, lows, highs) ask for: a row for each chunk of anchors and part, with those anchors
+    packed that ask for blocks there, the blocks' numbers (`asks`) and, block by block, a bit for each of these anchors (`who`).
+    Chunks go round the lanes. opening: the first cells, to OPENING rows; otherwise those behind them whose bound reaches the least of the anchor's `lows`."""
 
     def run(batches):
-        books = shared.value
+        books, lane = shared.value, _task()
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(at, CHUNK)
+                batch, lane = whole.slice(at, CHUNK), (lane + 1) % lanes
                 q = matrix(batch.column("v"), dims)
                 order, lows = CellOrder(books, q), batch.column("lows").to_pylist()
                 wanted: dict[int, list[int]] = {}
@@ -195,14 +204,21 @@ def requests(anchors: DataFrame, shared, dims: int, opening: bool) -> DataFrame:
                         rows += books.rows[cell]
                         if first == opening:
                             wanted.setdefault(cell, []).append(k)
+                asked: dict[int, list[tuple[int, list[int]]]] = {}
                 for cell, own in wanted.items():
-                    part, n = batch.take(pa.array(own, pa.int64())), books.blocks[cell]
-                    packs = [*(part.column(c).to_numpy().astype("<i8").tobytes() for c in ("aid", "label")), q[own].tobytes()]
-                    limits = [part.column(c).to_pylist() for c in ("lows", "highs")]
-                    columns = [pa.array([cell] * n, pa.int32()), pa.array(range(n), pa.int32()), *(pa.array([x] * n, pa.binary()) for x in packs), *(pa.array([x] * n, pa.list_(pa.list_(pa.int64()))) for x in limits)]
-                    yield pa.RecordBatch.from_arrays(columns, ["cell", "block", "aids", "wanted", "q", "lows", "highs"])
+                    for number in range(books.firsts[cell], books.firsts[cell] + books.blocks[cell]):
+                        asked.setdefault(number % books.parts, []).append((number, own))
+                for part, found in asked.items():
+                    who = np.zeros((len(found), len(q)), bool)
+                    for row, (_, own) in zip(who, found):
+                        row[own] = True
+                    used = np.flatnonzero(who.any(axis=0))
+                    own = batch.take(pa.array(used))
+                    packs = [*(own.column(c).to_numpy().astype("<i8").tobytes() for c in ("aid", "label")), q[used].tobytes(), np.array([x[0] for x in found], "<i4").tobytes(), np.packbits(who[:, used], axis=1).tobytes()]
+                    limits = [pa.array([own.column(c).to_pylist()], pa.list_(pa.list_(pa.int64()))) for c in ("lows", "highs")]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (part, lane)), *(pa.array([x], pa.binary()) for x in packs), *limits], ["part", "lane", "ids", "labels", "v", "asks", "who", "lows", "highs"])
 
-    return anchors.select("aid", "label", "v", "lows", "highs").mapInArrow(run, "cell int, block int, aids binary, wanted binary, q binary, lows array<array<long>>, highs array<array<long>>")
+    return anchors.select("aid", "label", "v", "lows", "highs").mapInArrow(run, "part int, lane int, ids binary, labels binary, v binary, asks binary, who binary, lows array<array<long>>, highs array<array<long>>")
 
 
 def scores_of(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -213,39 +229,55 @@ def scores_of(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ v.T.astype(np.int64)
 
 
-def visit(asked: DataFrame, blocks: DataFrame, dims: int, same: bool, k: int) -> DataFrame:
+def visit(asked: DataFrame, blocks: DataFrame, parts: int, lanes: int, dims: int, same: bool, k: int) -> DataFrame:
     """(aid, w, score, id): of each anchor's w-th range of scores the first k rows, by score and smaller id, in what a task has
-    read; same: rows of the anchor's label, otherwise of other ones."""
+    read; same: rows of the anchor's label, otherwise of other ones. A task gets a part's blocks, then the requests of a lane for them."""
 
     def run(batches):
         best: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for r in range(batch.num_rows):
+            numbers = batch.column("number").to_pylist()
+            for r, number in enumerate(numbers):
                 get = lambda c, t: np.frombuffer(batch.column(c)[r].as_buffer(), t)  # noqa: B023, E731
-                ids, labels, v = get("ids", "<i8"), get("labels", "<i8"), get("v", "<i4").reshape(-1, dims)
-                aids, wanted, q = get("aids", "<i8"), get("wanted", "<i8"), get("q", "<i4").reshape(-1, dims)
+                own = [get("ids", "<i8"), get("labels", "<i8"), get("v", "<i4").reshape(-1, dims)]
+                if number is not None:
+                    held[number] = [x.copy() for x in own]
+                    continue
+                asks = get("asks", "<i4")
+                who = np.unpackbits(get("who", np.uint8).reshape(len(asks), -1), axis=1, count=len(own[0])).astype(bool)
                 lows, highs = batch.column("lows")[r].as_py(), batch.column("highs")[r].as_py()
-                scores = scores_of(q, v)
-                fits = (labels[None, :] == wanted[:, None]) == same
                 least = np.array([min(x) for x in lows])
-                fits &= scores >= least[:, None]
-                for i in np.flatnonzero(fits.any(axis=1)).tolist():
-                    own = np.flatnonzero(fits[i])
-                    own = own[np.argsort(-scores[i, own], kind="stable")]  # rows lie by id
-                    falling = -scores[i, own]
-                    for w, (low, high) in enumerate(zip(lows[i], highs[i])):
-                        x = int(np.searchsorted(falling, -high))
-                        y = min(x + k, int(np.searchsorted(falling, -low, side="right")))
-                        if x < y:
-                            key = (int(aids[i]), w)
-                            new = list(zip(falling[x:y].tolist(), ids[own[x:y]].tolist()))
-                            best[key] = sorted(best[key] + new)[:k] if key in best else new
-                if len(best) > HELD:
-                    yield _candidates(best)
-                    best = {}
+                for block, asking in zip(asks.tolist(), who):
+                    _search_block(best, held[block], own, np.flatnonzero(asking), lows, highs, least, same, k)
+                    if len(best) > HELD:
+                        yield _candidates(best)
+                        best = {}
         yield _candidates(best)
 
-    return asked.join(blocks, ["cell", "block"]).mapInArrow(run, "aid long, w int, score long, id long")
+    placed = blocks.withColumn("part", F.col("number") % parts).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    both = placed.unionByName(asked, allowMissingColumns=True)
+    dealt = both.repartitionById(parts * lanes, F.col("part") * lanes + F.col("lane")).sortWithinPartitions(F.col("number").asc_nulls_last())
+    return dealt.mapInArrow(run, "aid long, w int, score long, id long")
+
+
+def _search_block(best: dict, block: list[np.ndarray], anchors: list[np.ndarray], asking: np.ndarray, lows: list, highs: list, least: np.ndarray, same: bool, k: int) -> None:
+    """Adds what the anchors at `asking` find in a block to best: (aid, w) -> [(-score, id)], the first k."""
+    (ids, labels, v), (aids, wanted, q) = block, anchors
+    scores = scores_of(q[asking], v)
+    fits = (labels[None, :] == wanted[asking, None]) == same
+    fits &= scores >= least[asking, None]
+    for i in np.flatnonzero(fits.any(axis=1)).tolist():
+        own = np.flatnonzero(fits[i])
+        own = own[np.argsort(-scores[i, own], kind="stable")]  # rows lie by id
+        falling, at = -scores[i, own], asking[i]
+        for w, (low, high) in enumerate(zip(lows[at], highs[at])):
+            x = int(np.searchsorted(falling, -high))
+            y = min(x + k, int(np.searchsorted(falling, -low, side="right")))
+            if x < y:
+                key = (int(aids[at]), w)
+                new = list(zip(falling[x:y].tolist(), ids[own[x:y]].tolist()))
+                best[key] = sorted(best[key] + new)[:k] if key in best else new
 
 
 def _candidates(best: dict) -> pa.RecordBatch:
@@ -259,14 +291,15 @@ def first_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(anchors: DataFrame, ranges: DataFrame, blocks: DataFrame, shared, dims: int, same: bool, k: int) -> DataFrame:
+def search(anchors: DataFrame, ranges: DataFrame, blocks: DataFrame, shared, lanes: int, dims: int, same: bool, k: int) -> DataFrame:
     """(aid, w, score, id, rank): the first k rows of each range; ranges(aid, lows, highs: arrays, one entry a range)."""
     asked = anchors.join(ranges, "aid")
-    opened = written(first_of(visit(requests(asked, shared, dims, True), blocks, dims, same, k), k))
+    parts = shared.value.parts
+    opened = written(first_of(visit(requests(asked, shared, dims, True, lanes), blocks, parts, lanes, dims, same, k), k))
     # Each range's k-th score so far is a lower limit of its answers.
     full = opened.where(F.col("rank") == k).groupBy("aid").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("found"))
     raised = asked.join(full, "aid", "left").withColumn("lows", F.transform("lows", lambda low, w: F.greatest(low, F.coalesce(F.element_at("found", w.cast("int")), low))))
-    rest = visit(requests(raised, shared, dims, False), blocks, dims, same, k)
+    rest = visit(requests(raised, shared, dims, False, lanes), blocks, parts, lanes, dims, same, k)
     return written(first_of(opened.drop("rank").unionByName(rest), k))
 
 
@@ -291,10 +324,11 @@ def mine(df: DataFrame, anchor: Column, dims: int, positives: int = 5, negatives
     once = rows.where("asks").groupBy("id", "label", "v").agg(F.count("*").alias("times"))
     spread = once.repartition(partitions_of(spark), "id", "label", "v").withColumn("aid", F.monotonically_increasing_id())
     anchors = written(spread.mapInArrow(_with_own(dims), "aid long, id long, label long, v binary, times long, own long"))
+    lanes = max(1, -(-anchors.count() * (4 * dims + 16 * (positives + 2)) // PART_BYTES))
 
     # The anchor's own row may be among the first: one more is searched, and one row with its id and score is dropped.
     every = anchors.select("aid", F.array(F.lit(NEVER)).alias("lows"), F.array(F.lit(-NEVER)).alias("highs"))
-    near = search(anchors, every, blocks, shared, dims, True, positives + 1)
+    near = search(anchors, every, blocks, shared, lanes, dims, True, positives + 1)
     others = near.join(anchors.select("aid", F.col("id").alias("anchor_id"), "times", "own"), "aid")
     order = Window.partitionBy("aid").orderBy("rank")
     own = ((F.col("id") == F.col("anchor_id")) & (F.col("score") == F.col("own"))).cast("int")
@@ -305,7 +339,7 @@ def mine(df: DataFrame, anchor: Column, dims: int, positives: int = 5, negatives
     # the least whole score in the range; none where the positive score is below zero
     least = F.when(F.col("positive_score") < 0, F.lit(-NEVER)).otherwise(F.expr(f"(positive_score * {low} + 99) div 100"))
     ranges = chosen.groupBy("aid").agg(F.sort_array(F.collect_list(F.struct("w", least.alias("low"), F.col("positive_score").alias("high")))).alias("r"))
-    far = search(anchors, ranges.select("aid", F.col("r.low").alias("lows"), F.col("r.high").alias("highs")), blocks, shared, dims, False, negatives)
+    far = search(anchors, ranges.select("aid", F.col("r.low").alias("lows"), F.col("r.high").alias("highs")), blocks, shared, lanes, dims, False, negatives)
     out = far.select("aid", "w", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(chosen, ["aid", "w"])
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")

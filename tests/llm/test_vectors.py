@@ -89,6 +89,30 @@ def test_negatives_equal_brute_force(frame, opening, monkeypatch):
     assert sorted(map(tuple, out.collect())) == brute_negatives(proper(rows()), 20)
 
 
+@pytest.mark.parametrize("part_bytes", [800, 1 << 20])
+def test_anchors_go_to_parts_and_not_through_the_driver(frame, part_bytes, monkeypatch):
+    """Parts and lanes of any size give the same rows; an anchor goes to a part once for all its blocks, and requests and blocks meet by no
+    broadcast."""
+    for name, value in (("OPENING", 50), ("BLOCK", 4), ("ROWS_A_CELL", 10), ("CHUNK", 7), ("PART_BYTES", part_bytes)):
+        monkeypatch.setattr(hard_negatives, name, value, raising=False)
+    visit, requests, visits, asked = hard_negatives.visit, hard_negatives.requests, [], []
+    monkeypatch.setattr(hard_negatives, "visit", lambda *a: visits.append(visit(*a)) or visits[-1])
+    monkeypatch.setattr(hard_negatives, "requests", lambda *a: asked.append((a[1].value, requests(*a))) or asked[-1][1])
+    out = hard_negatives.mine(frame, F.col("vec_id") % 20 == 0, DIMS)
+    assert sorted(map(tuple, out.collect())) == brute_negatives(proper(rows()), 20)
+    for found in visits:
+        found.collect()
+        lines = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n")
+        depth = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in lines]
+        for k, line in enumerate(lines):
+            if "BroadcastHashJoin" in line:
+                below = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+                assert "MapInArrow" not in "".join(lines[k:below])
+    for books, sent in asked:
+        seen = [(r.part, i) for r in sent.collect() for i in np.frombuffer(r.ids, "<i8").tolist()]
+        assert len(seen) == len(set(seen)) and sum(books.blocks.values()) > books.parts > 1
+
+
 def test_cells_come_in_falling_order_and_bound_their_rows():
     rng = np.random.default_rng(3)
     v = rng.integers(-90, 90, (2000, 8)).astype(np.int32)
