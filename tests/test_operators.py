@@ -15,7 +15,7 @@ from spaxelflow.operators import particles as P
 from spaxelflow.operators import spectra as S
 from spaxelflow.operators import scan
 from spaxelflow.operators.scan import asof_sum, cut_large_groups
-from spaxelflow.plans import jobs
+from spaxelflow.plans import jobs, registry
 from spaxelflow.sources import ingest as I
 from spaxelflow.sources.store import GalaxyStore
 
@@ -55,6 +55,28 @@ def test_centering(spark):
     assert [tuple(r) for r in rows] == [(-3.0, -3.0), (0.0, 0.0), (3.0, 3.0)]
 
 
+def test_center_checks_bounds_in_the_query_and_its_sql(spark, tmp_path):
+    """Every galaxy's center must lie inside its particles' bounds; one that can't be told is refused too."""
+    duckdb = pytest.importorskip("duckdb")
+    run, sql = registry.queries()["center"], registry.oracle_sql()["center"]
+    names = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_extendedprice double"
+    inside = [(order, 1, part, 1, q, 0.05, 0.04, 1.0) for order, part, q in ((400, 90, 20.0), (600, 110, 30.0), (500, 100, 25.0))]
+    above = [(o, n, p, 2, *rest) for o, n, p, _, *rest in inside if o >= 500]  # a second galaxy, all at z > 0
+    unknown = [(o, n, p, 2, None, *rest) for o, n, p, _, _, *rest in inside]
+    for name, rows in (("inside", inside), ("above", [*inside, *above]), ("far", [(o, n, p, s, 60.0 + q, *rest) for o, n, p, s, q, *rest in above]), ("unknown", [*inside, *unknown])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(rows, names).write.parquet(f"{d}/lineitem.parquet")
+        with duckdb.connect() as oracle:
+            oracle.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{d}/lineitem.parquet/*.parquet'")
+            if name == "inside":
+                assert sorted(map(tuple, run(spark, d).collect())) == sorted(oracle.sql(sql).fetchall())
+                continue
+            with pytest.raises(duckdb.Error, match="outside"):
+                oracle.sql(sql).fetchall()
+        with pytest.raises(ValueError, match="outside"):
+            run(spark, d)
+
+
 def test_inertia_and_axes(spark):
     df = points(spark, [(1, 0, 0, 1), (0, 1, 0, 1), (0, 0, 1, 1)], "x y z mass")
     galaxy = spark.createDataFrame([(0, 2.0)], "galaxy_id long, halfmassrad_stars double")
