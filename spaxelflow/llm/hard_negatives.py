@@ -29,7 +29,7 @@ BLOCK = 2048  # rows of a block
 PART_BYTES = 32 << 20  # of a part's blocks, and of the anchors that are sent to them; a task holds both
 CHUNK = 256  # anchors of a request
 OPENING = 4096  # rows of the cells that are read first
-HELD = 200_000  # candidate lists that a task holds before it sends them on
+HELD = 1_000_000  # candidates that a task holds before it keeps the first ones alone, or sends them on
 NEVER = -(1 << 62)
 
 
@@ -224,9 +224,8 @@ def requests(anchors: DataFrame, shared, dims: int, opening: bool, lanes: int =
 def scores_of(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Inner products, exact: by floats where they hold every partial sum."""
     most = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * q.shape[1]
-    if most < 1 << 53:
-        return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
-    return q.astype(np.int64) @ v.T.astype(np.int64)
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    return q.astype(kind) @ v.T.astype(kind)
 
 
 def visit(asked: DataFrame, blocks: DataFrame, parts: int, lanes: int, dims: int, same: bool, k: int) -> DataFrame:
@@ -234,8 +233,8 @@ def visit(asked: DataFrame, blocks: DataFrame, parts: int, lanes: int, dims: int
     read; same: rows of the anchor's label, otherwise of other ones. A task gets a part's blocks, then the requests of a lane for them."""
 
     def run(batches):
-        best: dict[tuple[int, int], list[tuple[int, int]]] = {}
         held: dict[int, list[np.ndarray]] = {}
+        found, n = [], 0
         for batch in batches:
             numbers = batch.column("number").to_pylist()
             for r, number in enumerate(numbers):
@@ -246,14 +245,18 @@ def visit(asked: DataFrame, blocks: DataFrame, parts: int, lanes: int, dims: int
                     continue
                 asks = get("asks", "<i4")
                 who = np.unpackbits(get("who", np.uint8).reshape(len(asks), -1), axis=1, count=len(own[0])).astype(bool)
-                lows, highs = batch.column("lows")[r].as_py(), batch.column("highs")[r].as_py()
-                least = np.array([min(x) for x in lows])
+                limits = [_limits(batch.column(c)[r].as_py(), nothing) for c, nothing in (("lows", -NEVER), ("highs", NEVER))]
                 for block, asking in zip(asks.tolist(), who):
-                    _search_block(best, held[block], own, np.flatnonzero(asking), lows, highs, least, same, k)
-                    if len(best) > HELD:
-                        yield _candidates(best)
-                        best = {}
-        yield _candidates(best)
+                    found.append(_hits(held[block], own, np.flatnonzero(asking), *limits, same))
+                    n += len(found[-1][0])
+                    if n > HELD:
+                        found = [_firsts(found, k)]
+                        n = len(found[0][0])
+                        if n > HELD // 2:
+                            yield _candidates(found[0])
+                            found, n = [], 0
+        if found:
+            yield _candidates(_firsts(found, k))
 
     placed = blocks.withColumn("part", F.col("number") % parts).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     both = placed.unionByName(asked, allowMissingColumns=True)
@@ -261,28 +264,39 @@ def visit(asked: DataFrame, blocks: DataFrame, parts: int, lanes: int, dims: int
     return dealt.mapInArrow(run, "aid long, w int, score long, id long")
 
 
-def _search_block(best: dict, block: list[np.ndarray], anchors: list[np.ndarray], asking: np.ndarray, lows: list, highs: list, least: np.ndarray, same: bool, k: int) -> None:
-    """Adds what the anchors at `asking` find in a block to best: (aid, w) -> [(-score, id)], the first k."""
+def _limits(lists: list[list[int]], nothing: int) -> np.ndarray:
+    """A row for each anchor, filled up with a limit that no score meets."""
+    width = max(map(len, lists))
+    return np.array([x + [nothing] * (width - len(x)) for x in lists], np.int64)
+
+
+def _hits(block: list[np.ndarray], anchors: list[np.ndarray], asking: np.ndarray, lows: np.ndarray, highs: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+    """(aid, w, -score, id) of the block's rows that lie in a range of the anchors at `asking`."""
     (ids, labels, v), (aids, wanted, q) = block, anchors
     scores = scores_of(q[asking], v)
-    fits = (labels[None, :] == wanted[asking, None]) == same
-    fits &= scores >= least[asking, None]
-    for i in np.flatnonzero(fits.any(axis=1)).tolist():
-        own = np.flatnonzero(fits[i])
-        own = own[np.argsort(-scores[i, own], kind="stable")]  # rows lie by id
-        falling, at = -scores[i, own], asking[i]
-        for w, (low, high) in enumerate(zip(lows[at], highs[at])):
-            x = int(np.searchsorted(falling, -high))
-            y = min(x + k, int(np.searchsorted(falling, -low, side="right")))
-            if x < y:
-                key = (int(aids[at]), w)
-                new = list(zip(falling[x:y].tolist(), ids[own[x:y]].tolist()))
-                best[key] = sorted(best[key] + new)[:k] if key in best else new
-
-
-def _candidates(best: dict) -> pa.RecordBatch:
-    rows = [(aid, w, -s, i) for (aid, w), found in best.items() for s, i in found]
-    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["aid", "w", "score", "id"])
+    row, col = np.nonzero(scores >= lows[asking].min(axis=1)[:, None].astype(scores.dtype))
+    fits = (labels[col] == wanted[asking[row]]) == same
+    row, col = row[fits], col[fits]
+    score, at = scores[row, col].astype(np.int64), asking[row]
+    hit, w = np.nonzero((score[:, None] >= lows[at]) & (score[:, None] <= highs[at]))
+    return aids[at[hit]], w, -score[hit], ids[col[hit]]
+
+
+def _firsts(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The first k hits of each anchor's range, by score and smaller id."""
+    aid, w, falling, ids = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids, falling, w, aid))
+    aid, w, falling, ids = (x[order] for x in (aid, w, falling, ids))
+    place = np.arange(len(aid))
+    new = np.ones(len(aid), bool)
+    new[1:] = (np.diff(aid) != 0) | (np.diff(w) != 0)
+    kept = place - np.maximum.accumulate(np.where(new, place, 0)) < k
+    return aid[kept], w[kept], falling[kept], ids[kept]
+
+
+def _candidates(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    aid, w, falling, ids = found
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (aid, w.astype(np.int32), -falling, ids)], ["aid", "w", "score", "id"])
 
 
 def first_of(found: DataFrame, k: int) -> DataFrame:
@@ -291,16 +305,20 @@ def first_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(anchors: DataFrame, ranges: DataFrame, blocks: DataFrame, shared, lanes: int, dims: int, same: bool, k: int) -> DataFrame:
-    """(aid, w, score, id, rank): the first k rows of each range; ranges(aid, lows, highs: arrays, one entry a range)."""
+def search(anchors: DataFrame, ranges: DataFrame, blocks: DataFrame, shared, count: int, dims: int, same: bool, k: int) -> DataFrame:
+    """(aid, w, score, id, rank): the first k rows of each range; ranges(aid, lows, highs: arrays, one entry a range). count: of the
+    anchors, which go to as many tasks as chunks, or the session's if they are fewer, and in lanes of PART_BYTES."""
+    parts, lanes = shared.value.parts, max(1, -(-count * (4 * dims + 16 * (k + 2)) // PART_BYTES))
+    tasks = max(1, min(partitions_of(anchors.sparkSession), -(-count // CHUNK)))
+    # by number: a shuffle by aid would be dropped where the rows lie by aid already, and small tasks are merged
+    spread = lambda rows: rows.repartitionById(tasks, F.pmod("aid", F.lit(tasks)).cast("int"))
+    found = lambda rows, opening: visit(requests(spread(rows), shared, dims, opening, lanes), blocks, parts, lanes, dims, same, k)
     asked = anchors.join(ranges, "aid")
-    parts = shared.value.parts
-    opened = written(first_of(visit(requests(asked, shared, dims, True, lanes), blocks, parts, lanes, dims, same, k), k))
+    opened = written(first_of(found(asked, True), k))
     # Each range's k-th score so far is a lower limit of its answers.
     full = opened.where(F.col("rank") == k).groupBy("aid").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("found"))
     raised = asked.join(full, "aid", "left").withColumn("lows", F.transform("lows", lambda low, w: F.greatest(low, F.coalesce(F.element_at("found", w.cast("int")), low))))
-    rest = visit(requests(raised, shared, dims, False, lanes), blocks, parts, lanes, dims, same, k)
-    return written(first_of(opened.drop("rank").unionByName(rest), k))
+    return written(first_of(opened.drop("rank").unionByName(found(raised, False)), k))
 
 
 def mine(df: DataFrame, anchor: Column, dims: int, positives: int = 5, negatives: int = 5, low: int = 80, label: Column | None = None, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -324,11 +342,11 @@ def mine(df: DataFrame, anchor: Column, dims: int, positives: int = 5, negatives
     once = rows.where("asks").groupBy("id", "label", "v").agg(F.count("*").alias("times"))
     spread = once.repartition(partitions_of(spark), "id", "label", "v").withColumn("aid", F.monotonically_increasing_id())
     anchors = written(spread.mapInArrow(_with_own(dims), "aid long, id long, label long, v binary, times long, own long"))
-    lanes = max(1, -(-anchors.count() * (4 * dims + 16 * (positives + 2)) // PART_BYTES))
+    count = anchors.count()
 
     # The anchor's own row may be among the first: one more is searched, and one row with its id and score is dropped.
     every = anchors.select("aid", F.array(F.lit(NEVER)).alias("lows"), F.array(F.lit(-NEVER)).alias("highs"))
-    near = search(anchors, every, blocks, shared, lanes, dims, True, positives + 1)
+    near = search(anchors, every, blocks, shared, count, dims, True, positives + 1)
     others = near.join(anchors.select("aid", F.col("id").alias("anchor_id"), "times", "own"), "aid")
     order = Window.partitionBy("aid").orderBy("rank")
     own = ((F.col("id") == F.col("anchor_id")) & (F.col("score") == F.col("own"))).cast("int")
@@ -339,7 +357,7 @@ def mine(df: DataFrame, anchor: Column, dims: int, positives: int = 5, negatives
     # the least whole score in the range; none where the positive score is below zero
     least = F.when(F.col("positive_score") < 0, F.lit(-NEVER)).otherwise(F.expr(f"(positive_score * {low} + 99) div 100"))
     ranges = chosen.groupBy("aid").agg(F.sort_array(F.collect_list(F.struct("w", least.alias("low"), F.col("positive_score").alias("high")))).alias("r"))
-    far = search(anchors, ranges.select("aid", F.col("r.low").alias("lows"), F.col("r.high").alias("highs")), blocks, shared, lanes, dims, False, negatives)
+    far = search(anchors, ranges.select("aid", F.col("r.low").alias("lows"), F.col("r.high").alias("highs")), blocks, shared, count, dims, False, negatives)
     out = far.select("aid", "w", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(chosen, ["aid", "w"])
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
